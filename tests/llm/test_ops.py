@@ -1,0 +1,502 @@
+"""Operators against brute force, on odd rows: nulls, empty and long texts,
+ties, repeated rows, empty tables and extra columns with clashing names."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from kgtide.llm import ann, licenses, mixing, packing, pii, quality, simhash, tokenfile, tokens, urlrules, warc
+
+R = random.Random(5)
+VOCAB = ["the", "of", "réseau", "Straße", "don't", "x86", "MIT", "data", "ñandú", "--", "it's", "a.b", "İx", "e\u0301t", "日本語", "U.S.", "naïve,", "<|endoftext|>", "ok!!"] + [f"w{i}" for i in range(60)]
+
+
+def prose(n):
+    return " ".join(R.choice(VOCAB) for _ in range(n))
+
+
+def odd_docs():
+    near = prose(300)
+    rows = [(i, prose(R.randint(1, 400)), R.choice(["en", "fr", None]), f"s{R.randint(0, 4)}") for i in range(60)]
+    rows += [(100 + i, " ".join(w if k != 7 * i else "changed" for k, w in enumerate(near.split(" "))), "en", "s1") for i in range(25)]
+    rows += [(200, None, None, None), (201, "", "en", "s1"), (202, " \t\n ", "en", ""), (None, prose(50), "en", "s2"), (None, None, "en", "s2")]
+    rows += [(203, prose(6000), "en", "s3"), (204, "one", "fr", "zz"), (205, "two words", "fr", "zz")]
+    rows += [(206, "same text " * 40, "en", "s0")] * 3 + [(207, "line\nline\n \nother\nline\r\n" * 20, "en", "s0")]
+    rows += [(300 + i, "Mail a.b@c.de or +49 30 1234 5678, under the MIT License; card 4111 1111 1111 1111, 10.0.0.300 1.2.3.4.5.6.7.8", "en", "s0") for i in range(5)]
+    return rows
+
+
+DOCS = odd_docs()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    frame = spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string").repartition(3)
+    for extra in ("size", "fp", "length", "rid", "n_words", "kept", "taken", "_key", "n", "salt"):
+        frame = frame.selectExpr("*", f"'x' as {extra}")
+    return frame
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def ids_of(text, tok):
+    return tok.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+def test_cached_ids_are_those_of_the_library(tok):
+    code = tokens.coder(tokens.default_vocabulary())
+    odd = ["a\u00a0b", "É. È! ñ's", "x\x1cy", "Σας ΣΑΣ", "ﬁ ½ ²", "don't DON'T 's 't", "a\u200db", "😀 👍🏽x", "..'s", "!\u0338 <\u0338", "µ ÿ Ÿ ª"]
+    for text in [r[1] for r in DOCS if r[1]] + odd:
+        assert np.frombuffer(code.packed(text), "<u4").tolist() == ids_of(text, tok), text
+
+
+def test_caches_are_bounded(tok, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 20)
+    monkeypatch.setattr(tokens, "PIECES", 20)
+    code = tokens.Coder(tokens.default_vocabulary())
+    for text in [r[1] for r in DOCS if r[1]][:40]:
+        assert np.frombuffer(code.packed(text), "<u4").tolist() == ids_of(text, tok)
+
+
+def test_packing(docs, empty, tok):
+    got = packing.op1_packing(docs, 256).collect()
+    want = Counter()
+    for doc, text, *_ in DOCS:
+        ids = np.array(ids_of(text, tok) + [0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 256)):
+            want[doc, k, at, len(ids[at : at + 256]), zlib.crc32(ids[at : at + 256].tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    total = sum(r["length"] for r in got)
+    assert len(bins) <= math.ceil(total / 256) * 1.05 + 1
+    assert packing.op1_packing(empty).count() == 0
+
+
+def test_fullest_filling_is_best():
+    for _ in range(60):
+        counts = {R.randint(1, 30): R.randint(1, 3) for _ in range(5)}
+        room = R.randint(0, 60)
+        used = packing.fullest(counts, room)
+        assert all(used[k] <= counts[k] for k in used)
+        items = [k for k, n in counts.items() for _ in range(n)]
+        best = max(sum(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room)
+        assert sum(k * n for k, n in used.items()) == best
+
+
+def test_licenses(docs, empty):
+    got = Counter(tuple(r)[:6] for r in licenses.op2_license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect())
+    want = Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for doc, text, *_ in DOCS:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(lower))
+        found = [(i, label) for label, phrase in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        at = [i for i, _ in found]
+        want[doc, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))] += 1
+    assert got == want
+    assert licenses.op2_license_scan(empty).count() == 0
+
+
+def test_license_with_changed_words(spark):
+    words = dict(licenses.NOTICES)["bsd"].split()
+    changed = " ".join(["intro"] * 9 + words[:8] + ["indeed"] + words[8:15] + words[16:])
+    rows = spark.createDataFrame([(1, changed), (2, "redistribution and use of nothing")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.op2_license_scan(rows).collect()}
+    assert got[1]["labels"] == "bsd" and got[1]["base_labels"] == "" and got[1]["score"] > 0.6
+    assert got[2]["labels"] == ""
+
+
+def base_spans(text):
+    found = []
+    for kind, pattern, ok in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    ):
+        found += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text) if ok(m[0])]
+    return found
+
+
+def test_pii_matches_the_patterns():
+    pieces = ["a@b.c", "@", "x.y", "1.2.3.4", ".", "4111 1111 1111 1111", "4111-1111-1111-1111", "+", "+49 (30) 1234-567", " ", "-", "12", "é", "İ", "300.1.1.1", "a@b", "0001.2.3.4", "+1", "9" * 30, "5500 0000 0000 0004 1"]
+    for _ in range(4000):
+        text = "".join(R.choice(pieces) for _ in range(R.randint(0, 9)))
+        got = [f"{k}:{a}:{b}" for k, a, b in pii.find_spans(text) if k in pii.BASE]
+        assert got == base_spans(text), text
+
+
+def test_pii_table(docs, empty):
+    got = Counter((r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"]) for r in pii.op3_pii(docs).collect())
+    want = Counter()
+    for doc, text, *_ in DOCS:
+        spans = base_spans(text or "")
+        want[doc, hashlib.sha256(",".join(spans).encode()).hexdigest(), sum(s.startswith("email") for s in spans), sum(s.startswith("ip") for s in spans)] += 1
+    assert got == want
+    assert pii.op3_pii(empty).count() == 0
+    clean = pii.redact_table(docs)
+    assert clean.columns == docs.columns and clean.count() == len(DOCS)
+    assert all("a.b@c.de" not in (r["text"] or "") for r in clean.collect())
+
+
+def test_pii_own_kinds():
+    text = "Pay to IBAN DE89 3704 0044 0532 0130 00 or account number: 12345678, at 221 Baker Street. ftp://me:pw@host.example/x"
+    kinds = {k: text[a:b] for k, a, b in pii.find_spans(text)}
+    assert kinds["address"] == "221 Baker Street" and kinds["credential"] == "ftp://me:pw@host.example"
+    assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "account"] == ["DE89 3704 0044 0532 0130 00", "12345678"]
+    assert pii.redact(text).startswith("Pay to IBAN <ACCOUNT> or") and pii.redact(None) is None
+
+
+def slow_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(fps):
+    """fingerprint -> a name of its class, by all pairs."""
+    name = {f: f for f in fps}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 4:
+            name[root(a)] = root(b)
+    return {f: root(f) for f in fps}
+
+
+def check_components(rows, ids_and_fps):
+    by = classes({f for _, f in ids_and_fps})
+    least = {}
+    for doc, f in ids_and_fps:
+        if doc is not None:
+            least[by[f]] = min(doc, least.get(by[f], doc))
+    assert Counter(rows) == Counter((doc, f"{f:016x}", least.get(by[f])) for doc, f in ids_and_fps)
+
+
+def test_simhash(docs, empty):
+    got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op4_simhash(docs).collect()]
+    check_components(got, [(r[0], slow_fingerprint(r[1])) for r in DOCS])
+    assert simhash.op4_simhash(empty).count() == 0
+
+
+@pytest.mark.parametrize("segments,block", [(simhash.THREE, 2048), (simhash.THREE, 8), (simhash.TWO, 2048)])
+def test_links_lose_nothing(spark, monkeypatch, segments, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    centres = [R.getrandbits(64) for _ in range(3)]
+    fps = {0} | {R.getrandbits(64) for _ in range(30)}
+    for c in centres:
+        for _ in range(40):
+            x = c
+            for b in R.sample(range(64), R.randint(0, 6)):
+                x ^= 1 << b
+            fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(f), 1) for f in fps], "fp long, n long")
+    got = simhash.components(simhash.links(table, segments)).collect()
+    root = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in got}
+    want = classes(fps)
+    groups, found = defaultdict(set), defaultdict(set)
+    for f in fps:
+        groups[want[f]].add(f)
+        found[root.get(f, f)].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_keep_one(docs):
+    found = simhash.near_duplicates(docs).collect()
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in found if r["component_id"] is not None})
+
+
+def test_url_rules(spark):
+    rows = []
+    for i in range(400):
+        host, lang, n = R.choice(["a.example.com", "B.Example.org", "spam.example.net", "ok.example.net", "org", "example.org", "notexample.org"]), R.choice(["fr", "de", "es", "en", "en/1"]), R.randint(0, 300)
+        rows.append((i, f"http://{host}/{lang}/{n}" + R.choice(["", "?a=/de/", "#x", "/"])))
+    rows += [(500, None), (501, "no scheme"), (502, "://"), (503, "http://org"), (504, "x://y://org/"), (505, "http://ORG/?q"), (None, "http://org/"), (7, "http://org/"), (506, "http://a.com?x/fr/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as tokens")
+    got = Counter(tuple(r) for r in urlrules.op5_url_filter(pages).select("page_id", "host", "path", "rule").collect())
+    want = Counter()
+    verdicts = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    for page, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [r for r in verdicts if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        want[page, host, path, max(fits, key=len, default=None)] += 1
+    assert got == want
+    for r in urlrules.op5_url_filter(pages).collect():
+        assert r["verdict"] == verdicts.get(r["rule"], r["verdict"]) and r["verdict"] in ("allow", "block")
+    assert urlrules.op5_url_filter(pages.filter("false")).count() == 0
+
+
+def test_mined_rules_match_brute_force(spark):
+    rows = [(sorted(R.sample(["a", "b", "c", "d", "e"], R.randint(1, 4))),) for _ in range(200)]
+    rows = [(t, "block" if "a" in t and "b" in t else "allow") for (t,) in rows]
+    table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = urlrules.mine(table, 0.02, 0.95)
+    mined = [(frozenset(r["antecedent"]), r["verdict"], r["confidence"]) for r in rules.collect()]
+    for part, verdict, confidence in mined:
+        held = [v for t, v in rows if part <= set(t)]
+        assert confidence == pytest.approx(held.count(verdict) / len(held)) and confidence >= 0.95 and held.count(verdict) >= 0.02 * len(rows)
+    assert (frozenset("ab"), "block", 1.0) in mined and not any(p > frozenset("ab") and v == "block" for p, v, _ in mined)
+    asked = table.select("tokens").distinct()
+    got = {tuple(r["tokens"]): r["mined"] for r in urlrules.match(asked, rules).collect()}
+    for t in {tuple(t) for t, _ in rows}:
+        fits = [(c, v == "block", v) for p, v, c in mined if p <= set(t)]
+        assert got.get(t) == (max(fits)[2] if fits else None)
+
+
+def test_token_files(spark, docs, empty, tok, tmp_path):
+    got = sorted(tokenfile.op6_token_files(docs).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    want = Counter((doc, len(i := ids_of(text, tok) + [1]), zlib.crc32(np.array(i, "<u4").tobytes())) for doc, text, *_ in DOCS)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    assert tokenfile.op6_token_files(empty).count() == 0
+    tokenfile.write_token_files(docs, str(tmp_path / "t"))
+    some = tokenfile.read_token_files(spark, str(tmp_path / "t"), [3, 203])
+    assert {r["doc_id"]: list(r["ids"]) for r in some.collect()} == {d: ids_of(t, tok) + [1] for d, t, *_ in DOCS if d in (3, 203)}
+
+
+def reshare(sizes):
+    """Targets by resharing the excess until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    fixed, left = {}, float(sum(sizes.values()))
+    while True:
+        open_ = [s for s in names if s not in fixed]
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > 3 * sizes[s]]
+        if not over:
+            return fixed | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            fixed[s] = 3.0 * sizes[s]
+        left = sum(sizes.values()) - sum(fixed.values())
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for _, text, _, source in DOCS:
+        sizes[source] += len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+    targets, taken = reshare(sizes), Counter()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len(re.findall("[^\x20\x09-\x0d]+", t or ""))) for d, t, *_ in DOCS)
+    for r in got:
+        assert r["target"] == pytest.approx(targets[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= mixing.BLOCK
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mixing.op7_mixing(empty).count() == 0
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns
+    assert sum(len((r["text"] or "").split()) for r in rows.collect()) == pytest.approx(sum(taken.values()), rel=0.01)
+
+
+def test_apportionment_is_highest_quotients(spark):
+    for _ in range(4):
+        votes = [R.choice([0.0, R.random() * 10, R.random() * 1000]) for _ in range(R.randint(1, 12))]
+        seats = R.randint(0, 200)
+        table = spark.createDataFrame([(1, i, v, seats) for i, v in enumerate(votes)], "g int, i int, v double, seats long")
+        got = {r["i"]: r["quota"] for r in mixing.apportion(table, ["g"], "v", "seats", ["i"]).collect()}
+        want = Counter()
+        for _ in range(seats if any(votes) else 0):
+            want[max(range(len(votes)), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+        assert got == {i: want[i] for i in range(len(votes))}
+
+
+def test_warc(spark, tmp_path):
+    long, other = "<p>" + "x" * 200 + "é</p>", "y" * 100
+    rows = [(i, f"http://a/{i}", R.choice([long, other, "short", f"<html>{i}" + "z" * R.randint(0, 5000)])) for i in range(500)]
+    rows += [(600, None, None), (601, "u v\n", ""), (None, "n", long), (None, "n", "q" * 150), (3, "again", long), (602, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "1 as size", "'d' as digest")
+    least = {}
+    for p, _, h in rows:
+        if p is not None:
+            least[h] = min(p, least.get(h, p))
+    copies = Counter(h for _, _, h in rows)
+    want = Counter()
+    for p, _, h in rows:
+        data = (h or "").encode()
+        again = len(data) >= 100 and copies[h] > 1 and p is not None and p != least[h]
+        want[p, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", least[h] if again else None] += 1
+    assert Counter(tuple(r) for r in warc.op8_warc(pages).collect()) == want
+    assert warc.op8_warc(pages.filter("false")).count() == 0
+    folder = "file://" + str(tmp_path)
+    found = warc.write_archives(warc.with_duplicates(pages), folder)
+    got = warc.read_archives(found, folder, payloads=True).filter("record_type = 'response'")
+    assert {(r["page_id"], r["html"]) for r in got.collect()} == {(p, h or "") for p, _, h in rows if not (len((h or "").encode()) >= 100 and copies[h] > 1 and p is not None and p != least[h])}
+
+
+def test_warc_rejects_damage(tmp_path):
+    rec = warc.record("response", 1, "u", hashlib.sha256(b"abc").hexdigest(), 3, None, b"abc")
+    assert warc.parse(rec)[1] == b"abc"
+    for bad in (rec[:-1], rec.replace(b"abc", b"abd"), rec.replace(b"Content-Length: 3", b"Content-Length: 2"), b"x" + rec):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+    with open(tmp_path / "a", "wb") as out:
+        archive = warc.Writer(out, [rec * 3 + bytes([i]) * 50 for i in range(100)])
+        archive.write(rec)
+    data = (tmp_path / "a").read_bytes()
+    with open(tmp_path / "a", "rb") as file:
+        assert list(warc.read_frames(file)) == [rec]
+    (tmp_path / "b").write_bytes(data[:-3])
+    with open(tmp_path / "b", "rb") as file, pytest.raises(ValueError):
+        list(warc.read_frames(file))
+
+
+def test_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 300)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    g = np.random.default_rng(1)
+    centres = g.standard_normal((8, 32))
+    vecs = [centres[i % 8] + 0.4 * g.standard_normal(32) for i in range(1500)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vecs)]
+    rows += [(2000 + i, rows[4][1]) for i in range(40)] + [rows[100]] * 3 + [(None, rows[1][1]), (3000, None), (3100, [0.0] * 32), (3200, [float("nan")] + [1.0] * 31), (3300, [None] + [1.0] * 31), (3400, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.op9_neighbours(table).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    use = {i: np.array(v, np.float64) for i, v in rows if i is not None and i < 3000}
+    ids = np.array(sorted(use))
+    every = np.stack([use[i] for i in ids])
+    hits = total = 0
+    assert set(got) == {i for i in use if i % 100 == 0}
+    for q, found in got.items():
+        d = np.sqrt(((every - use[q]) ** 2).sum(1))
+        order = [(d[i], ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(s == pytest.approx(np.sqrt(((use[v] - use[q]) ** 2).sum()), abs=1e-12) for _, v, s in found)
+        assert [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        hits += len({v for _, v, _ in found} & {i for _, i in order})
+        total += 10
+    assert hits >= 0.95 * total
+    assert ann.op9_neighbours(table.filter("false")).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in ann.op9_neighbours(few).collect()] == [(0, 1, 5, pytest.approx(math.sqrt(2)))]
+
+
+def test_chi_square():
+    assert ann.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
+    assert ann.chi_square_quantile(0.95, 12) == pytest.approx(21.026, abs=1e-3)
+
+
+def slow_features(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = Counter(windows)
+    held = {i + d for i, w in enumerate(windows) if twice[w] > 1 for d in range(3)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(held) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(held), failed
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 3 != 0) for i in range(60)] + [(None, True), (5, None)], "doc_id long, quality boolean").selectExpr("doc_id", "cast(quality as int) quality")
+    got = Counter(tuple(r)[:7] for r in quality.op10_quality(docs, labels).collect())
+    assert got == Counter((d, *slow_features(t)) for d, t, *_ in DOCS)
+    assert quality.op10_quality(empty, labels).count() == 0
+    assert quality.op10_quality(docs, labels.filter("false")).filter("kept = base_failed").count() == 0
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    judged = quality.op10_quality(docs, labels).filter("kept").count()
+    assert kept.count() == judged
+
+
+def binomial_tail(n, k, p):
+    return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+
+def test_cutoffs_are_certified(spark):
+    rows = []
+    for i in range(6000):
+        good = i % 4 != 0
+        x = R.choice([0, 5, 12, 40]) if good and R.random() < 0.995 else R.randint(200, 900)
+        rows.append((i, "en" if i % 2 else None, False, x, 0, 0, 0))
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, symbols long, repeats long, dup_lines long, marks long")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(6000)], "doc_id long, quality int")
+    got = {r["_stratum"]: r["_symbols"] for r in quality.calibrate(frame, labels).collect()}
+    tests = 2 * len(quality.RULES) * len(quality.CUTOFFS)
+    for lang in ("en", None):
+        goods = [r[3] for r in rows if r[1] == lang and r[0] % 4]
+        bads = [r[3] for r in rows if r[1] == lang and not r[0] % 4]
+        fit = []
+        for c in quality.CUTOFFS:
+            k, caught = sum(x >= c for x in goods), sum(x >= c for x in bads)
+            if caught > k and binomial_tail(len(goods), k, quality.RISK / len(quality.RULES)) <= quality.DELTA / tests:
+                fit.append((caught - k, c))
+        assert got.get(lang) == (max(fit)[1] if fit else None)
+        assert fit or lang is None
+
+
+def test_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = docs
+    for name, stage in cp.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+        assert at.columns == docs.columns, name
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = {r["doc_id"] for r in quality.op10_quality(docs, labels).filter("kept").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
+    by = classes({slow_fingerprint(t) for t in texts.values()})
+    least = {}
+    for d, t in texts.items():
+        f = by[slow_fingerprint(t)]
+        least[f] = min(d, least.get(f, d))
+    out = cp.run(spark, sf_dir)
+    found = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert found <= set(least.values()) and len(found) > 0.2 * len(least)
+    two = cp.near_dedup(spark, cp.quality_rules(spark, docs, sf_dir), sf_dir)
+    assert sorted(r["doc_id"] for r in two.collect()) == sorted(least.values())
+    three = cp.redact_pii(spark, two, sf_dir)
+    assert {r["doc_id"]: r["text"] for r in three.collect()} == {d: pii.redact(texts[d]) for d in least.values()}
