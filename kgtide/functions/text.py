@@ -59,7 +59,7 @@ def is_junk(name: Column) -> Column:
 def alias_key(name: Column) -> Column:
     n = F.lower(name)
     for suffix in vocab.ALIAS_SUFFIXES:
-        n = F.when(n.endswith(suffix), n.substr(F.lit(1), F.length(n) - len(suffix))).otherwise(n)
+        n = F.regexp_replace(n, suffix.replace(".", r"\.") + r"\z", "")
     return F.regexp_replace(n, "[^a-z0-9]", "")
 
 

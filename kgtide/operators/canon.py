@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .lineage import cut
 
 
 def suffix_map(names: DataFrame) -> DataFrame:
@@ -119,12 +120,12 @@ def min_frequency(t: DataFrame, least: int) -> DataFrame:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node -> smallest node of its component, for links (a, b), by label spreading
     with pointer jumping; each round is cut by a checkpoint."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    now = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
+    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(rounds):
         heard = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         near = now.join(heard, "node").select("node", F.least("root", "heard").alias("r"), F.col("root").alias("old"))
-        jump = near.join(near.select(F.col("node").alias("r"), F.col("r").alias("far")), "r", "left").select("node", F.least("r", F.coalesce("far", "r")).alias("root"), "old").checkpoint()
+        jump = cut(near.join(near.select(F.col("node").alias("r"), F.col("r").alias("far")), "r", "left").select("node", F.least("r", F.coalesce("far", "r")).alias("root"), "old"))
         if not jump.filter("root <> old").limit(1).count():
             return jump.select("node", "root")
         now = jump.select("node", "root")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-ORDER = F.struct("url", "seq")
+
+def _order() -> Column:
+    """Place of a triplet in the corpus, for order-sensitive rules."""
+    return F.struct("url", "seq")
 
 
 def clean(t: DataFrame, drop_unknown: bool = False, drop_loops: bool = False) -> DataFrame:
@@ -25,11 +28,11 @@ def month_edges(t: DataFrame) -> DataFrame:
 def enriched_edges(t: DataFrame) -> DataFrame:
     """Edges by (sub, rel, obj); the category of the last occurrence stands."""
     key = ["month", "sub", "rel", "obj"]
-    top = t.groupBy(*key, "event_type").agg(F.count("*").alias("n"), F.min(ORDER).alias("first"))
+    top = t.groupBy(*key, "event_type").agg(F.count("*").alias("n"), F.min(_order()).alias("first"))
     top = top.groupBy(*key).agg(F.min_by("event_type", F.struct(-F.col("n"), "first")).alias("event_type"))
     usd = F.sum(F.when(F.col("materiality_usd") > 0, F.col("materiality_usd")))
     agg = t.groupBy(*key).agg(
-        F.count("*").alias("weight"), F.avg("sentiment").alias("_s"), F.coalesce(usd, F.lit(0)).cast("double").alias("materiality_usd"), F.max_by("rel_category", ORDER).alias("rel_category"),
+        F.count("*").alias("weight"), F.avg("sentiment").alias("_s"), F.coalesce(usd, F.lit(0)).cast("double").alias("materiality_usd"), F.max_by("rel_category", _order()).alias("rel_category"),
     )
     agg = agg.withColumns({"sentiment": F.round("_s", 4), "materiality_log": F.round(F.log1p("materiality_usd"), 4), "polarity": text.sentiment_polarity(F.round("_s", 6))}).drop("_s")
     return agg.join(top, key)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .factors import FACTORS, standardise
+from .lineage import cut
 
 
 def pca_kmeans(f: DataFrame, restarts: int = 10, seed: int = 42) -> dict:
@@ -85,13 +86,12 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame
     nodes = links.select(F.explode(F.array("sub", "obj")).alias("node")).distinct().cache()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    for _ in range(rounds):
         given = ranks.join(degree, F.col("node") == F.col("sub"), "left")
         loose = given.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         got = links.join(given.filter("out is not null").select("sub", (F.col("rank") / F.col("out")).alias("share")), "sub").groupBy(F.col("obj").alias("node")).agg(F.sum("share").alias("got"))
         ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if i % 5 == 4:
-            ranks = ranks.checkpoint()
+        ranks = cut(ranks)  # a round reads the last one twice
     return ranks
 
 

@@ -39,7 +39,7 @@ f AS (SELECT sub, sum(weight)::BIGINT AS attention, sum(sentiment * weight) / su
 sf AS (SELECT * FROM f JOIN n USING (sub))"""
 
 
-@query(f"{SNAP} SELECT sub, attention, round(sentiment, 5) AS sentiment, round(consensus, 5) AS consensus, round(materiality, 5) AS materiality, round(novelty, 5) AS novelty FROM sf")
+@query(f"{SNAP} SELECT sub, attention, round(sentiment, 5) + 0.0 AS sentiment, round(consensus, 5) AS consensus, round(materiality, 5) AS materiality, round(novelty, 5) AS novelty FROM sf")
 def factor_snapshot_rollup(spark, d):
     f = factors.snapshot_factors(graph.enriched_edges(triplets(spark, d)))
     return f.select("sub", "attention", *(F.round(c, 5).alias(c) for c in factors.FACTORS[1:]))
@@ -77,8 +77,8 @@ def news_search(spark, d):
 
 
 @query(f"""WITH {ARTICLES_SQL}, s AS (SELECT url, date, summary, (3 * contains(lower(title), 'of')::INT + contains(lower(summary), 'of')::INT + 3 * contains(lower(title), 'tion')::INT + contains(lower(summary), 'tion')::INT)::BIGINT AS score,
-  greatest(1, coalesce(least(nullif(instr(lower(summary), 'of'), 0), nullif(instr(lower(summary), 'tion'), 0)), 1) - 80) AS at FROM articles)
-SELECT url, date, score, CASE WHEN at > 1 THEN '…' ELSE '' END || substring(summary, at, 400) || CASE WHEN at + 399 < length(summary) THEN '…' ELSE '' END AS snippet FROM s WHERE score > 0 ORDER BY score DESC, date DESC, url LIMIT 10""")
+  greatest(1, coalesce(least(nullif(instr(lower(summary), 'of'), 0), nullif(instr(lower(summary), 'tion'), 0)), 1) - 80) AS pos FROM articles)
+SELECT url, date, score, CASE WHEN pos > 1 THEN '…' ELSE '' END || substring(summary, pos, 400) || CASE WHEN pos + 399 < length(summary) THEN '…' ELSE '' END AS snippet FROM s WHERE score > 0 ORDER BY score DESC, date DESC, url LIMIT 10""")
 def news_search_tool(spark, d):
     return search.search_tool(articles(spark, d), "of tion").select("url", "date", "score", "snippet")
 
@@ -136,8 +136,8 @@ def ingest_staleness(spark, d):
 PERIODS = 'p AS (SELECT "month", row_number() OVER (ORDER BY "month") AS p FROM (SELECT DISTINCT "month" FROM triplets))'
 ACT = 'act AS (SELECT entity, "month", count(*) AS n FROM (SELECT "month", sub AS entity FROM triplets UNION ALL SELECT "month", obj FROM triplets WHERE obj <> sub) GROUP BY ALL)'
 AT = "1996-06"
-Z = f"""{W}, {PERIODS}, {ACT}, at AS (SELECT p AS at FROM p WHERE "month" = '{AT}'),
-r AS (SELECT entity, coalesce(sum(n) FILTER (p > at - 3), 0)::BIGINT AS recent, coalesce(sum(n) FILTER (p <= at - 3), 0)::DOUBLE / (any_value(at) - 3) AS prior FROM act JOIN p USING ("month"), at WHERE p <= at GROUP BY entity),
+Z = f"""{W}, {PERIODS}, {ACT}, cur AS (SELECT p AS latest FROM p WHERE "month" = '{AT}'),
+r AS (SELECT entity, coalesce(sum(n) FILTER (p > latest - 3), 0)::BIGINT AS recent, coalesce(sum(n) FILTER (p <= latest - 3), 0)::DOUBLE / (any_value(latest) - 3) AS prior FROM act JOIN p USING ("month"), cur WHERE p <= latest GROUP BY entity),
 z AS (SELECT entity, recent, CASE WHEN stddev_pop(recent - prior) OVER () < 1e-6 THEN 0 ELSE (recent - prior - avg(recent - prior) OVER ()) / stddev_pop(recent - prior) OVER () END AS z FROM r)"""
 
 
@@ -151,8 +151,8 @@ def pred_activity_band(spark, d):
     return predict.novelty_z(triplets(spark, d), AT).select("entity", predict.band(F.col("z")).alias("band"))
 
 
-@query(f"""{W}, {PERIODS}, {ACT}, at AS (SELECT p AS at FROM p WHERE "month" = '{AT}')
-SELECT entity, coalesce(sum(n) FILTER (p = at - 2), 0)::BIGINT AS t0, coalesce(sum(n) FILTER (p = at - 1), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (p = at), 0)::BIGINT AS t2 FROM act JOIN p USING ("month"), at WHERE p BETWEEN at - 2 AND at GROUP BY entity""")
+@query(f"""{W}, {PERIODS}, {ACT}, cur AS (SELECT p AS latest FROM p WHERE "month" = '{AT}')
+SELECT entity, coalesce(sum(n) FILTER (p = latest - 2), 0)::BIGINT AS t0, coalesce(sum(n) FILTER (p = latest - 1), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (p = latest), 0)::BIGINT AS t2 FROM act JOIN p USING ("month"), cur WHERE p BETWEEN latest - 2 AND latest GROUP BY entity""")
 def pred_trend(spark, d):
     return predict.trend(triplets(spark, d), AT)
 

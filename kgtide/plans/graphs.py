@@ -170,9 +170,9 @@ def kg_min_degree_filter(spark, d):
 
 
 @query(f"""{W}, snap AS (SELECT sub, url AS obj, 1 AS weight FROM triplets WHERE "month" = '1996-01'), {DEG},
-at AS (SELECT min(degree) AS at FROM (SELECT degree FROM deg ORDER BY degree DESC LIMIT 300)),
-o AS (SELECT count(*) FILTER (degree >= at) AS over, any_value(at) AS at, count(*) AS n, max(degree) AS top FROM deg, at)
-SELECT n, CASE WHEN n <= 200 THEN 5 ELSE greatest(1, least(20, ceil(100.0 * (at + CASE WHEN over > 450 THEN 1 ELSE 0 END) / top)))::BIGINT END AS percent FROM o""")
+lim AS (SELECT min(degree) AS least FROM (SELECT degree FROM deg ORDER BY degree DESC LIMIT 300)),
+o AS (SELECT count(*) FILTER (degree >= least) AS over, any_value(least) AS least, count(*) AS n, max(degree) AS top FROM deg, lim)
+SELECT n, CASE WHEN n <= 200 THEN 5 ELSE greatest(1, least(20, ceil(100.0 * (least + CASE WHEN over > 450 THEN 1 ELSE 0 END) / top)))::BIGINT END AS percent FROM o""")
 def kg_auto_threshold(spark, d):
     e = triplets(spark, d).filter("month = '1996-01'").select("sub", F.col("url").alias("obj"), F.lit(1).alias("weight"))
     return graph.auto_threshold(graph.weighted_degree(e))

@@ -61,7 +61,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARTICLES_SQL = """
 articles AS (
   SELECT 'doc://' || doc_id AS url, substring(text, 1, 60) AS title, substring(text, 1, 600) AS summary, upper(source) AS ticker,
-    (DATE '2020-01-01' + (doc_id % 730)::INT)::VARCHAR[:10] AS date, strftime(DATE '2020-01-01' + (doc_id % 730)::INT, '%Y-%m') AS "month"
+    (DATE '2020-01-01' + (doc_id % 730)::INT)::VARCHAR AS date, strftime(DATE '2020-01-01' + (doc_id % 730)::INT, '%Y-%m') AS "month"
   FROM documents)"""
 
 
