@@ -134,8 +134,9 @@ def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "lang", "text")
-    cutoffs = cut(calibrate(features(docs, ["doc_id", "lang"]), labels), "cutoffs")
-    judged = judge(features(whole, ["_row", "lang"]), cutoffs)
+    # Written first: a filter on the verdict, pushed into the statistics, would repeat them without end.
+    rows = cut(features(whole, ["_row", "doc_id", "lang"]), "features")
+    judged = judge(rows, cut(calibrate(rows, labels), "cutoffs"))
     return judged.filter("kept").select("_row.*")
 
 
