@@ -23,8 +23,9 @@ from .common import WS, WS_SPLIT, broadcast_if_small, cut, ws_words
 
 MOST = 3
 BLOCK = 16
-#: Words and documents of a shard, about.
-SHARD_WORDS, SHARD_DOCS = 4_000_000, 50_000
+#: Least words and documents of a shard, about.  Shards grow as square roots of their
+#: source, so that neither a shard nor the list of a source's shards gets large.
+SHARD_WORDS, SHARD_DOCS = 400_000, 2_000
 
 
 def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
@@ -86,7 +87,9 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
     sources = sources.withColumn("target", F.least(cap.cast("double"), F.coalesce(F.col("_rest") * F.col("weight"), cap.cast("double"))))
     sources = sources.withColumns({"_all": F.lit(1), "_seats": F.round(F.col("_sum") / block).cast("long")})
     sources = apportion(sources, ["_all"], "target", "_seats", key)
-    shards = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS))
+    words_each = F.greatest(F.lit(float(SHARD_WORDS)), SHARD_WORDS / SHARD_DOCS * F.sqrt("source_size"))
+    docs_each = F.greatest(F.lit(float(SHARD_DOCS)), F.sqrt("n_docs"))
+    shards = F.greatest(F.ceil(F.col("source_size") / words_each), F.ceil(F.col("n_docs") / docs_each))
     sources = cut(sources.select(*key, "source_size", "target", "quota", shards.alias("n_shards")), "sources")
     small = broadcast_if_small(sources, 100_000)
 
