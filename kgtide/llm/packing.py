@@ -12,6 +12,7 @@ bin and the place in it.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import coder, default_vocabulary
 
-#: Pieces of one length that are numbered in one task.
-GROUP = 50_000
+#: Least pieces of one length that are numbered in one task.  Groups grow as the
+#: square root of a length's pieces, so that the list of its groups stays short too.
+GROUP = 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -127,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         inside = want - firsts[at]
         return pd.DataFrame({"sequence_id": base[at] + inside // copies[at], "offset": offset[at] + (inside % copies[at]) * want_len})
 
-    salts = spark.createDataFrame([(k, -(-n // GROUP)) for k, n in histogram.items()], "length long, n_salts long")
+    salts = spark.createDataFrame([(k, -(-n // max(GROUP, math.isqrt(n)))) for k, n in histogram.items()], "length long, n_salts long")
     ids = [c for c in pieces.columns if c != "length"]
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*ids), F.col("n_salts")))
     before = (
