@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: Entries after which a cache is emptied.
 WORDS, PIECES = 300_000, 500_000
 
@@ -38,23 +40,48 @@ class Coder:
         self.tok = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece.
+
+        Pieces that are one pre-token each are encoded as one line, whose ids
+        part after tokens that end a word; where that does not give as many
+        runs as pieces, each piece is encoded by itself.
+        """
+        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        flat = ids.tobytes()
+        if len(cuts) == len(pieces) and cuts[-1] == len(flat):
+            return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return self._each(pieces)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[bytes]) -> None:
         """Puts the packed ids of the missing words into the cache."""
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        split = {}
+        split, odd = {}, []
         for w in missing:
             s = w.decode()
-            split[w] = _PIECE.findall(s.lower()) if _PLAIN.fullmatch(s) and "<|" not in s else [s]
+            if _PLAIN.fullmatch(s) and "<|" not in s:
+                split[w] = _PIECE.findall(s.lower())
+            else:
+                odd.append(w)
         known = self.pieces
         new = list({p for ps in split.values() for p in ps if p not in known})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            known.update(zip(part, self._encode(part), strict=True))
         for w, ps in split.items():
             self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            self.words.update(zip(part, self._each([w.decode() for w in part]), strict=True))
 
     def packed(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null is empty."""
