@@ -36,6 +36,13 @@ _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}$")
 _USER = re.compile(r"[^\s/?#@:]{1,64}:[^\s/?#@]{1,128}@[A-Za-z0-9.-]+")
 
 ACCOUNT_CUES = ("iban", "account", "acct")
+#: Characters of a country's IBANs; words that follow one pass mod 97 by chance.
+_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 MT31 SC31 LC32"
+)
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -70,6 +77,19 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _iban(text: str, start: int) -> re.Match | None:
+    """The IBAN at ``start`` that ends where a group does: the one as long as
+    its country's are, else the longest."""
+    found, m = None, _IBAN.match(text, start)
+    while m:
+        if iban_holds(m[0]):
+            if len(m[0].replace(" ", "")) == IBAN_LENGTHS.get(m[0][:2]):
+                return m
+            found = found or m
+        m = _IBAN.match(text, start, start + max(0, m[0].rfind(" ")))
+    return found
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by kind and start."""
     if not text:
@@ -114,7 +134,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 out["credential"].append((head.start(), m.end()))
         elif kind == "account":
             start = _AFTER_CUE.match(text, last + 1).end()
-            if start >= account and (m := _IBAN.match(text, start)) and iban_holds(m[0]) or start >= account and (m := _NUMBER.match(text, start)):
+            if start >= account and (m := _iban(text, start) or _NUMBER.match(text, start)):
                 account = m.end()
                 out["account"].append(m.span())
         elif last + 1 == len(text) or not text[last + 1].isalnum():

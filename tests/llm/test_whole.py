@@ -1,0 +1,14 @@
+"""Operators do the whole job where they once did a part of it."""
+
+from kgtide.llm import pii
+
+
+def test_iban_before_upper_case_words_and_numbers():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFF", " EUR 500", " 500", ", BIC X", " A", " USD 12 PER UNIT OF 7 AND MORE"):
+        text = f"Pay to IBAN {iban}{after}"
+        assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "account"] == [iban], after
+        assert pii.redact(text) == f"Pay to IBAN <ACCOUNT>{after}"
+    longest = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    assert pii.redact(f"IBAN {longest} EUR 500 on demand") == "IBAN <ACCOUNT> EUR 500 on demand"
+    assert pii.find_spans("IBAN DE89 3704 0044 0532 0130 01 EUR 500") == []
