@@ -360,7 +360,7 @@ def html_titles(spark, d):
 
 @query(f"""{W}, e AS (SELECT "month", sub, obj, count(*) AS w FROM triplets GROUP BY ALL) SELECT "month", string_agg(sub || '>' || obj || ':' || w, ',' ORDER BY sub, obj) AS packed FROM e WHERE "month" >= '1998-06' GROUP BY "month\"""")
 def gat_input(spark, d):
-    e = graph.month_edges(triplets(spark, d).filter("month >= '1998-06'")).groupBy("month", "sub", "obj").agg(F.sum("weight").alias("w"))
+    e = edges(spark, d).groupBy("month", "sub", "obj").agg(F.sum("weight").alias("w"))
     rows = e.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("sub", "obj", "w"))).alias("x"))
     return rows.select("month", F.array_join(F.transform("x", lambda r: F.concat(r["sub"], F.lit(">"), r["obj"], F.lit(":"), r["w"].cast("string"))), ",").alias("packed"))
 
