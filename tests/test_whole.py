@@ -17,3 +17,10 @@ def test_gat_input_packs_every_month(spark, sf_dir, duck):  # noqa: F811
     ours = agrees(spark, sf_dir, duck, "gat_input", """ WHERE "month" >= '1998-06'""")
     months = duck.execute("SELECT DISTINCT strftime(l_shipdate, '%Y-%m') FROM lineitem").fetchall()
     assert sorted(ours["month"]) == sorted(m for (m,) in months)
+
+
+def test_links_hold_every_customer(spark, sf_dir, duck):  # noqa: F811
+    ours = agrees(spark, sf_dir, duck, "graph_components", " WHERE c_custkey % 3 > 0")
+    customers = duck.execute("SELECT DISTINCT 'c' || c_custkey FROM customer").fetchall()
+    assert sorted(n for n in ours["node"] if n[0] == "c") == sorted(c for (c,) in customers)
+    agrees(spark, sf_dir, duck, "sector_vote", " WHERE c_custkey % 3 > 0")
