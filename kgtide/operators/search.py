@@ -36,12 +36,12 @@ def search(a: DataFrame, query: str, ticker: str | None = None, first: str | Non
 def search_tool(a: DataFrame, query: str, first: str | None = None, last: str | None = None, k: int = 10) -> DataFrame:
     """The tool's scoring: title three times, text once, terms of any length."""
     terms = query.lower().split()
-    score = text.keyword_score([(F.col("title"), 3), (F.col("summary"), 1)], terms)
+    score = text.keyword_score([(F.col("title"), 3), (F.col("text"), 1)], terms)
     hits = in_months(a, first, last).withColumn("score", score.cast("long")).filter("score > 0")
-    return hits.withColumn("snippet", text.snippet(F.col("summary"), terms)).orderBy(F.desc("score"), F.desc("date"), "url").limit(min(k, 25))
+    return hits.withColumn("snippet", text.snippet(F.col("text"), terms)).orderBy(F.desc("score"), F.desc("date"), "url").limit(min(k, 25))
 
 
 def entity_news(a: DataFrame, name: str, k: int = 10) -> DataFrame:
     n = F.lit(name.lower())
-    hits = a.filter(F.contains(F.lower("title"), n) | F.contains(F.lower("summary"), n))
-    return hits.withColumn("snippet", text.snippet(F.col("summary"), [name])).orderBy(F.desc("date"), "url").limit(min(k, 25))
+    hits = a.filter(F.contains(F.lower("title"), n) | F.contains(F.lower("text"), n))
+    return hits.withColumn("snippet", text.snippet(F.col("text"), [name])).orderBy(F.desc("date"), "url").limit(min(k, 25))

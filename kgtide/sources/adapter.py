@@ -54,7 +54,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 730).cast("int"))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"),
-        F.substring("text", 1, 600).alias("summary"), F.upper("source").alias("ticker"), date.cast("string").alias("date"), F.date_format(date, "yyyy-MM").alias("month"),
+        F.substring("text", 1, 600).alias("summary"), "text", F.upper("source").alias("ticker"), date.cast("string").alias("date"), F.date_format(date, "yyyy-MM").alias("month"),
     )
 
 

@@ -3,6 +3,8 @@
 from test_oracle import duck, rows  # noqa: F401  duck is a fixture
 
 from kgtide import catalog
+from kgtide.operators import search
+from kgtide.sources import adapter
 
 
 def agrees(spark, sf_dir, duck, name, cut, whole=""):  # noqa: F811
@@ -24,3 +26,14 @@ def test_links_hold_every_customer(spark, sf_dir, duck):  # noqa: F811
     customers = duck.execute("SELECT DISTINCT 'c' || c_custkey FROM customer").fetchall()
     assert sorted(n for n in ours["node"] if n[0] == "c") == sorted(c for (c,) in customers)
     agrees(spark, sf_dir, duck, "sector_vote", " WHERE c_custkey % 3 > 0")
+
+
+def test_news_is_searched_in_the_whole_text(spark, sf_dir, duck):  # noqa: F811
+    for name in ("news_search_tool", "news_entity"):
+        agrees(spark, sf_dir, duck, name, "substring(text, 1, 600) AS summary", "text AS summary")
+    news = [("u1", "a title", "x " * 400 + "Rare thing", "2020-01-01", "2020-01"), ("u2", "a title", "x", "2020-01-02", "2020-01")]
+    news = spark.createDataFrame(news, "url string, title string, text string, date string, month string").selectExpr("*", "substring(text, 1, 600) AS summary")
+    for hits in (search.search_tool(news, "rare"), search.entity_news(news, "Rare")):
+        assert [(r["url"], "Rare thing" in r["snippet"]) for r in hits.collect()] == [("u1", True)]
+    texts = dict(duck.execute("SELECT 'doc://' || doc_id, text FROM documents").fetchall())
+    assert {r["url"]: r["text"] for r in adapter.articles(spark, sf_dir).collect()} == texts
