@@ -372,6 +372,6 @@ def graph_pagerank(spark, d):
 
 @query()
 def graph_layout(spark, d):
-    return ml.spring_layout(edges(spark, d).filter("month >= '1998-06'"), 30)
+    return ml.spring_layout(edges(spark, d))
 
 

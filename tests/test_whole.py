@@ -3,7 +3,8 @@
 from test_oracle import duck, rows  # noqa: F401  duck is a fixture
 
 from kgtide import catalog
-from kgtide.operators import search
+from kgtide.operators import ml, search
+from kgtide.plans.graphs import edges
 from kgtide.sources import adapter
 
 
@@ -37,3 +38,12 @@ def test_news_is_searched_in_the_whole_text(spark, sf_dir, duck):  # noqa: F811
         assert [(r["url"], "Rare thing" in r["snippet"]) for r in hits.collect()] == [("u1", True)]
     texts = dict(duck.execute("SELECT 'doc://' || doc_id, text FROM documents").fetchall())
     assert {r["url"]: r["text"] for r in adapter.articles(spark, sf_dir).collect()} == texts
+
+
+def test_layout_places_every_month_in_120_steps(spark, sf_dir, duck):  # noqa: F811
+    ours = catalog.queries()["graph_layout"](spark, sf_dir).toPandas()
+    months = duck.execute("SELECT DISTINCT strftime(l_shipdate, '%Y-%m') FROM lineitem").fetchall()
+    assert set(ours["month"]) == {m for (m,) in months}
+    last = ours["month"].max()
+    steps = ml.spring_layout(edges(spark, sf_dir).filter(f"month = '{last}'"), 120).toPandas()
+    assert rows(ours[ours["month"] == last]) == rows(steps)
