@@ -211,7 +211,7 @@ def roll_train_test(spark, d):
 @query(f"""{W}, x AS (SELECT "day", sub AS entity FROM triplets UNION ALL SELECT "day", obj FROM triplets), b AS (SELECT entity FROM x GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 30)
 SELECT DISTINCT "day", entity, 1.0::DOUBLE AS value FROM x WHERE entity IN (SELECT entity FROM b)""")
 def cooccurrence_daily(spark, d):
-    return predict.cooccurrence(triplets(spark, d), 30)
+    return predict.cooccurrence(triplets(spark, d))
 
 
 @query(f"""{W}, n AS (SELECT sub AS node FROM triplets UNION SELECT obj FROM triplets) SELECT node, row_number() OVER (ORDER BY node) AS id FROM n""")

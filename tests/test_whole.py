@@ -47,3 +47,8 @@ def test_layout_places_every_month_in_120_steps(spark, sf_dir, duck):  # noqa: F
     last = ours["month"].max()
     steps = ml.spring_layout(edges(spark, sf_dir).filter(f"month = '{last}'"), 120).toPandas()
     assert rows(ours[ours["month"] == last]) == rows(steps)
+
+
+def test_cooccurrence_holds_200_entities(spark, sf_dir, duck):  # noqa: F811
+    ours = agrees(spark, sf_dir, duck, "cooccurrence_daily", "LIMIT 30", "LIMIT 200")
+    assert ours["entity"].nunique() > 30
