@@ -19,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_SPLIT, broadcast_if_small, cut, ws_words
+from .common import WS, broadcast_if_small, cut, ws_words
 
+#: Between a word's last white space and the next word: pieces keep the space after them.
+WORD_STARTS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 MOST = 3
 BLOCK = 16
 #: Least words and documents of a shard, about.  Shards grow as square roots of their
@@ -57,7 +59,8 @@ def _key(seed: int) -> Column:
 
 def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of
-    ``docs`` (doc_id, source, text), with _key, a hash of id and text.
+    ``docs`` (doc_id, source, text), with _key, a hash of id and text, and the
+    words taken: _passes times all, then from _from to _upto, and the first _head.
 
     A null source is one of its own; null and empty texts have size 0 and are
     never taken; null ids and repeated rows are kept, each on its own.  Equal
@@ -104,10 +107,12 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
 
     upto = F.sum("size").over(Window.partitionBy(*key, "shard").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("size")).join(parts, [*key, "shard"])
-    inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_end"), b) - F.greatest(F.col("_start"), a))
+    # A place in the shard as a number of the document's words; the run goes on at the shard's beginning.
+    word = lambda at: F.coalesce(F.least(F.greatest(at - F.col("_start"), F.lit(0)), F.col("size")), F.lit(0)).cast("long")
     last = F.col("first") + F.col("rest")
-    taken = F.col("passes") * F.col("size") + inside(F.col("first"), last) + inside(F.col("first") - F.col("shard_size"), last - F.col("shard_size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "_key")
+    placed = placed.withColumns({"_passes": F.coalesce("passes", F.lit(0)).cast("long"), "_upto": word(last), "_head": word(last - F.col("shard_size"))}).withColumn("_from", word(F.col("first")))
+    taken = F.col("_passes") * F.col("size") + F.col("_upto") - F.col("_from") + F.col("_head")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "_key", "_passes", "_from", "_upto", "_head")
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
@@ -115,24 +120,27 @@ def op7_mixing(docs: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` as the mix takes them: whole copies as they are, and for the rest
-    of ``taken`` a copy cut to its first words, joined by spaces.
+    """``docs`` as the mix takes them: whole copies as they are, and a row for
+    each run of words that begins or ends inside a document, cut from its text.
 
     Documents that the mix does not reach are left out.  n_chars is brought up
     to date where it is there.
     """
-    plan = mix(docs, seed).groupBy("_key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes"), F.count("*").alias("same")).filter("taken > 0")
+    run = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    zero = F.lit(0).cast("long")
+    runs = F.array(run(F.col("_from"), F.col("_upto")), run(zero, F.col("_head")))
+    words = lambda r: r["b"] - r["a"]
+    plan = mix(docs, seed).filter("taken > 0").withColumn("_runs", F.filter(runs, lambda r: words(r) > 0))
+    plan = plan.withColumn("_whole", F.col("_passes") + F.size(F.filter("_runs", lambda r: words(r) == F.col("size"))))
+    plan = plan.withColumn("_parts", F.filter("_runs", lambda r: words(r) < F.col("size")))
     # Repeated rows share a key: one of them takes what is taken of all.
+    plan = plan.groupBy("_key").agg(F.sum("_whole").cast("int").alias("_whole"), F.flatten(F.collect_list(F.when(F.size("_parts") > 0, F.col("_parts")))).alias("_parts"))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     whole = docs.select(F.struct("*").alias("_row"), _key(seed).alias("_key"))
     one = whole.join(plan, "_key").withColumn("_nth", nth).filter("_nth = 1")
-    size = (F.col("sizes") / F.col("same")).cast("long")
-    copies = one.withColumns({"_whole": F.floor(F.col("taken") / size).cast("int"), "_part": F.col("taken") % size})
-    whole_ones = F.array_repeat(F.lit(0).cast("long"), F.col("_whole"))
-    parts = F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>"))
-    each = copies.select("_row", F.explode(F.concat(whole_ones, parts)).alias("_n"))
-    trimmed = F.btrim(F.col("_row.text"), F.lit(WS))
-    shorter = F.array_join(F.slice(F.split(trimmed, WS_SPLIT), F.lit(1), F.col("_n").cast("int")), " ")
-    each = each.withColumn("_text", F.when(F.col("_n") > 0, shorter).otherwise(F.col("_row.text")))
+    each = one.select("_row", F.explode(F.concat(F.array_repeat(run(zero, zero), F.col("_whole")), F.col("_parts"))).alias("_run"))
+    pieces = F.split(F.btrim(F.col("_row.text"), F.lit(WS)), WORD_STARTS)
+    some = F.slice(pieces, (F.col("_run.a") + 1).cast("int"), words(F.col("_run")).cast("int"))
+    each = each.withColumn("_text", F.when(F.col("_run.b") > 0, F.btrim(F.array_join(some, ""), F.lit(WS))).otherwise(F.col("_row.text")))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return each.select(*(changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns))
