@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -61,16 +61,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def _text_key() -> Column:
+    return F.md5(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; null text: 0."""
+    """doc_id, fp (the 64 bits as a signed long) and a key of the text of every row; null text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), _text_key().alias("key"))
+    return rows.mapInArrow(run, "doc_id long, fp long, key string")
 
 
 def _near(fps: np.ndarray, one: np.uint64) -> np.ndarray:
@@ -186,6 +190,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """fp, root (a component's smallest fp) and the first row of each distinct fp of ``rows``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    distinct = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), first), "distinct")
+    roots = components(links(distinct))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row, read once.
 
@@ -193,9 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with a null id take part, and have null where no row has an id.
     """
     rows = cut(fingerprints(docs), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct))
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = _rooted(rows)
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     # A component may hold a third of all fingerprints and a fingerprint a third of all rows: AQE splits both sides' hot partitions.
     label = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
@@ -210,17 +220,11 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component of ``docs``, with its columns.
 
-    The row with the smallest doc_id stays; of repeated rows with that id one
-    stays, and of a component without ids the rows with null ids come down to
-    one for each fingerprint.
+    The row with the smallest doc_id stays, null last; of several texts with
+    that id the one with the smallest key, and of repeated rows one.
     """
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = found.filter("component_id is null").select("fp").distinct()
-    if not alone.limit(1).count():
-        return with_id
-    run = F.pandas_udf(lambda s: s.map(lambda t: np.uint64(fingerprint(t)).astype(np.int64)), "long")
-    without = docs.filter("doc_id is null").select(F.struct("*").alias("_row"), run("text").alias("fp"))
-    without = without.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("_row.*")
-    return with_id.select(docs.columns).unionByName(without)
+    kept = _rooted(cut(fingerprints(docs), "fingerprints")).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), _text_key().alias("_text"))
+    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key")), "left_semi")
+    return rows.dropDuplicates(["_doc", "_text"]).select("_row.*")

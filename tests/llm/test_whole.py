@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from kgtide.llm import mixing, pii
+from kgtide.llm import mixing, pii, simhash
 
 
 def test_iban_before_upper_case_words_and_numbers():
@@ -33,3 +33,15 @@ def test_mixed_rows_are_the_selected_words(spark):
     texts = {d: t for d, t, _ in rows}
     assert all(r["text"] in texts[r["doc_id"]] and r["text"] for r in got)
     assert any(re.search("\n", r["text"]) and r["text"] != texts[r["doc_id"]] for r in got)
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = lambda i, n=200: " ".join(f"t{i}w{k * (i + 3) % 101}" for k in range(n))
+    near = [text(9).replace(f"t9w{k}", "x", 1) for k in (0, 60)]
+    rows = [(1, text(1)), (1, text(2)), (2, text(2)), (None, near[0]), (None, near[1]), (None, near[1]), (5, text(3)), (5, text(3)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash.fingerprint(t) for t in near]
+    assert fps[0] != fps[1] and (fps[0] ^ fps[1]).bit_count() <= simhash.RADIUS
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    groups = [{(1, text(1))}, {(1, text(2))}, {(None, t) for t in near}, {(5, text(3))}, {(None, None)}]
+    assert len(got) == len(groups) and all(len(g & set(got)) == 1 for g in groups)
