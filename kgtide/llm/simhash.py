@@ -1,11 +1,11 @@
 """Near duplicates by SimHash and multi-index hashing.
 
-Fingerprints are cut into three segments (two for very many).  If two fingerprints differ in at
-most four bits, then they agree on the first segment, or differ in at most one
-bit of the second, or in at most one bit of the third (otherwise there were at
-least 1 + 2 + 2 differing bits).  So the first segment is looked up as it is
-and the other two with all words of their radius-1 balls; each match is
-verified on all 64 bits.
+Fingerprints are cut into two halves of 32 bits.  If two fingerprints differ in
+at most four bits, then they differ in at most two bits of the low half, or in
+at most one bit of the high one.  In the low half every fingerprint is stored
+under all words of its radius-1 ball, and two words at distance two meet at the
+words between them; in the high half the radius-1 ball is looked up among the
+words themselves.  Each match is verified on all 64 bits.
 
 Only distinct fingerprints take part.  Within one bucket of a table no list of
 all pairs is made: verified fingerprints are united, a pair that is united
@@ -17,8 +17,6 @@ and what it does not reach is compared with the bucket in blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,13 +28,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE, RADIUS = 4, 4
-#: (lowest bit, width, radius of the looked-up ball) of each segment.  Either plan
-#: finds all pairs: differing in one bit more than the radius in every segment
-#: takes five bits.  Wide segments suit more fingerprints, at more look-ups.
-THREE = ((0, 20, 0), (20, 22, 1), (42, 22, 1))
-TWO = ((0, 32, 2), (32, 32, 1))
-#: Distinct fingerprints from which the two wide segments are used.
-WIDE_FROM = 1 << 26
 #: Members that one task compares with each other.
 BLOCK = 2048
 
@@ -104,30 +95,24 @@ def unite(fps: np.ndarray, seen_by: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame, segments: tuple | None = None) -> DataFrame:
+def links(distinct: DataFrame) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that connect what lies within the
     radius.  ``distinct`` has fp and n (rows with it) and is a written table."""
-    segments = segments or (THREE if distinct.count() < WIDE_FROM else TWO)
-    mask = lambda lo, w: ((1 << w) - 1) << lo
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
-    tables = []
-    for k, (lo, w, r) in enumerate(segments):
-        flips = [sum(1 << (lo + i) for i in c) for n in range(r + 1) for c in combinations(range(w), n)]
-        home = F.col("fp").bitwiseAND(F.lit(signed(mask(lo, w))))
-        probes = F.explode(F.array(*(F.struct(home.bitwiseXOR(F.lit(signed(f))).alias("key"), F.lit(f == 0).alias("home")) for f in flips)))
-        tables.append(distinct.select(F.lit(k).alias("seg"), "fp", "n", probes.alias("p")).select("seg", "p.key", "fp", "n", "p.home"))
-    probed = reduce(DataFrame.unionByName, tables)
-
-    # Only keys that some fingerprint has itself can match, and only with a second member.
-    sizes = probed.groupBy("seg", "key").agg(F.count("*").alias("size"), F.max("home").alias("homes"), F.max(F.struct("n", "fp")).alias("top")).filter("homes and size > 1")
-    sizes = cut(sizes.select("seg", "key", "size", F.col("top.fp").alias("pivot")), "buckets")
-    crowded = sizes.filter(F.col("size") > BLOCK)
-    member = probed.join(sizes, ["seg", "key"])
-    plain = member.filter(F.col("size") <= BLOCK).groupBy("seg", "key").agg(
-        F.collect_list(F.when(F.col("home"), F.col("fp"))).alias("homes"), F.collect_list(F.when(~F.col("home"), F.col("fp"))).alias("guests")
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    tables = ((low, 0), (high, 1 << 32))  # bit 32 of a key tells the half
+    probe = lambda word, half, flip: F.struct(word.bitwiseXOR(F.lit(half | flip)).alias("key"), F.lit(not flip).alias("home"))
+    probes = F.array(*(probe(word, half, flip) for word, half in tables for flip in (0, *(1 << i for i in range(32)))))
+    probed = distinct.select("fp", "n", F.explode(probes).alias("p")).select("p.key", "fp", "n", "p.home")
+    any_meet = F.col("key") < (1 << 32)
+
+    # A bucket is of use if a member is at home there or, in the low half, if
+    # two words meet there; equal words meet at home.
+    sizes = probed.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("homes"), F.min(low).alias("least"), F.max(low).alias("most"))
+    sizes = cut(sizes.filter((F.col("size") > 1) & (F.col("homes") | (any_meet & (F.col("least") != F.col("most"))))).select("key", "size"), "buckets")
+    member = probed.join(sizes, "key")
+    starts = F.col("home") | any_meet
+    plain = member.filter(F.col("size") <= BLOCK).groupBy("key").agg(
+        F.collect_list(F.when(starts, F.col("fp"))).alias("homes"), F.collect_list(F.when(~starts, F.col("fp"))).alias("guests")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,21 +129,24 @@ def links(distinct: DataFrame, segments: tuple | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     out = plain.select("homes", "guests").mapInArrow(run, "a long, b long")
+    crowded = sizes.filter(F.col("size") > BLOCK)
     if not crowded.limit(1).count():
         return out
 
     # Crowded buckets: what lies near the pivot is linked to it and so united.
     # A pair can connect something new only if one of its members is not.
-    many = member.filter(F.col("size") > BLOCK).withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS)
-    many = cut(many.select("seg", "key", "fp", "near", "pivot"), "crowded")
+    many = member.filter(F.col("size") > BLOCK).select("key", "fp", "n")
+    pivots = many.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("pivot"))
+    many = many.join(pivots, "key").withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS)
+    many = cut(many.select("key", "fp", "near", "pivot"), "crowded")
     star = many.filter("near and fp != pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
     far = many.filter(~F.col("near"))
-    n_far = far.groupBy("seg", "key").agg(F.ceil(F.count("*") / BLOCK).alias("far_blocks"))
-    n_all = many.groupBy("seg", "key").agg(F.ceil(F.count("*") / BLOCK).alias("all_blocks"))
-    grid = cut(n_far.join(n_all, ["seg", "key"]), "grid")
-    block = lambda n: F.pmod(F.xxhash64("fp", "seg"), F.col(n))
-    rows = far.join(grid, ["seg", "key"]).select("seg", "key", "fp", F.lit(True).alias("far"), block("far_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"))
-    cols = many.join(grid, ["seg", "key"]).select("seg", "key", "fp", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("x"), block("all_blocks").alias("y"))
+    n_far = far.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("far_blocks"))
+    n_all = many.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("all_blocks"))
+    grid = cut(n_far.join(n_all, "key"), "grid")
+    block = lambda n: F.pmod(F.xxhash64("fp", "key"), F.col(n))
+    rows = far.join(grid, "key").select("key", "fp", F.lit(True).alias("far"), block("far_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"))
+    cols = many.join(grid, "key").select("key", "fp", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("x"), block("all_blocks").alias("y"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         one = np.unique(pdf.loc[pdf["far"], "fp"].to_numpy(np.int64))
@@ -166,7 +154,7 @@ def links(distinct: DataFrame, segments: tuple | None = None) -> DataFrame:
         found = unite(every.view(np.uint64), np.isin(every, one))
         return pd.DataFrame({"a": [every[i] for i, _ in found], "b": [every[j] for _, j in found]}, dtype="int64")
 
-    rest = rows.unionByName(cols).groupBy("seg", "key", "x", "y").applyInPandas(across, "a long, b long")
+    rest = rows.unionByName(cols).groupBy("key", "x", "y").applyInPandas(across, "a long, b long")
     return out.unionByName(star).unionByName(rest)
 
 

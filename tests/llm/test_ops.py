@@ -211,8 +211,8 @@ def test_simhash(docs, empty):
     assert simhash.op4_simhash(empty).count() == 0
 
 
-@pytest.mark.parametrize("segments,block", [(simhash.THREE, 2048), (simhash.THREE, 8), (simhash.TWO, 2048)])
-def test_links_lose_nothing(spark, monkeypatch, segments, block):
+@pytest.mark.parametrize("block", [2048, 8])
+def test_links_lose_nothing(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     centres = [R.getrandbits(64) for _ in range(3)]
     fps = {0} | {R.getrandbits(64) for _ in range(30)}
@@ -224,7 +224,7 @@ def test_links_lose_nothing(spark, monkeypatch, segments, block):
             fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     table = spark.createDataFrame([(signed(f), 1) for f in fps], "fp long, n long")
-    got = simhash.components(simhash.links(table, segments)).collect()
+    got = simhash.components(simhash.links(table)).collect()
     root = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in got}
     want = classes(fps)
     groups, found = defaultdict(set), defaultdict(set)
