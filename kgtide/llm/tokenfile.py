@@ -1,14 +1,19 @@
 """Token ids in ORC files.
 
-Documents are dealt by ranges of their id, encoded in order and written as ORC:
-the ids of a document are one list, stored as run-length encoded integers in
-stripes with row indexes and a Bloom filter on the id.  A reader takes stripes
-in parallel and skips those whose indexes exclude an id.
+Documents are encoded where they are read, dealt by ranges of their id and
+written in order as ORC: the ids of a document are one list, stored as
+run-length encoded integers in stripes with row indexes and a Bloom filter on
+the id.  A reader takes stripes in parallel and skips those whose indexes
+exclude an id.  The ranges come from a sample of the documents, so that no text
+is encoded twice; the text's hash and, for repeated rows, the row's place cut
+the ids that many rows share.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,29 +25,65 @@ from .common import cut, scratch
 from .tokens import coder, default_vocabulary
 
 
+#: Bytes of text of a file, about; rows of the sample at least, and one in so many of all.
+FILE_BYTES, SAMPLE, ONE_IN = 128 << 20, 20_000, 10_000
+
+Bound = tuple[bool, int, int, int]
+
+
+def range_bounds(rows: DataFrame) -> list[Bound]:
+    """Keys (has an id, id, tie, salt) that cut ``rows`` into ranges of alike size.
+
+    There are at least as many ranges as cores.  The driver holds the keys of a
+    sample: ``SAMPLE`` rows, or one in ``ONE_IN`` if these are more.
+    """
+    n = rows.count()
+    share = min(1.0, max(SAMPLE, n / ONE_IN) / max(n, 1))
+    some = rows if share == 1 else rows.sample(share, seed=11)
+    found = some.select("doc_id", "tie", "salt", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).toArrow().to_pydict()
+    keys = sorted(zip([d is not None for d in found["doc_id"]], [d or 0 for d in found["doc_id"]], found["tie"], found["salt"], strict=True))
+    n_files = max(2 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(found["bytes"]) / share / FILE_BYTES))
+    return [keys[i * len(keys) // n_files] for i in range(1, n_files)] if keys else []
+
+
+def range_of(ids: pa.Array, ties: np.ndarray, salts: np.ndarray, bounds: list[Bound], firsts: np.ndarray) -> np.ndarray:
+    """The range of each row; ``firsts`` are the bounds' ids, null as 0 in front."""
+    n_null = sum(not b[0] for b in bounds)
+    has, doc = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    lo, hi = n_null + np.searchsorted(firsts[n_null:], doc, "left"), n_null + np.searchsorted(firsts[n_null:], doc, "right")
+    lo, hi = np.where(has, lo, 0), np.where(has, hi, n_null)
+    for i in np.flatnonzero(lo != hi).tolist():  # the id of a bound
+        lo[i] = bisect_left(bounds, (bool(has[i]), int(doc[i]), int(ties[i]), int(salts[i])), lo[i], hi[i])
+    return lo
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1, vocabulary: str | None = None) -> None:
     """Writes doc_id, tie, ids as ORC below ``path``, ascending by (doc_id, tie).
 
     ``tie`` is a hash of the text and orders rows of one id.  A null text is
-    empty and holds the end id alone; null ids come first.
+    empty and holds the end id alone; null ids come first.  Repeated rows may
+    fall into several files.
     """
     vocab = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), F.col("text").cast("string").alias("text"))
+    bounds = range_bounds(rows)
+    firsts = np.array([b[1] for b in bounds], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(vocab)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [code.packed(t.as_py()) + end for t in part.column(2)]
+                ids = [code.packed(t.as_py()) + end for t in part.column(3)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "tie", "ids"])
+                dealt = range_of(part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy(), bounds, firsts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(dealt, pa.int32())], names=["doc_id", "tie", "ids", "range"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    coded = dealt.mapInArrow(encode, "doc_id long, tie long, ids array<int>")
-    coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("compression", "zstd").orc(path)
+    coded = rows.mapInArrow(encode, "doc_id long, tie long, ids array<int>, range int")
+    dealt = coded.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("doc_id", "tie").select("doc_id", "tie", "ids")
+    dealt.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("compression", "zstd").orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:

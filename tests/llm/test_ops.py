@@ -69,8 +69,8 @@ def test_cached_ids_are_those_of_the_library(tok):
 
 
 def test_caches_are_bounded(tok, monkeypatch):
-    monkeypatch.setattr(tokens, "WORDS", 20)
     monkeypatch.setattr(tokens, "PIECES", 20)
+    monkeypatch.setattr(tokens, "CHUNK", 50)
     code = tokens.Coder(tokens.default_vocabulary())
     for text in [r[1] for r in DOCS if r[1]][:40]:
         assert np.frombuffer(code.packed(text), "<u4").tolist() == ids_of(text, tok)
@@ -298,6 +298,22 @@ def test_token_files(spark, docs, empty, tok, tmp_path):
     assert {r["doc_id"]: list(r["ids"]) for r in some.collect()} == {d: ids_of(t, tok) + [1] for d, t, *_ in DOCS if d in (3, 203)}
 
 
+def test_token_ranges_split_hot_ids(spark, tmp_path):
+    rows = [(None, None)] * 400 + [(7, "same words")] * 400 + [(7, f"text {i}") for i in range(400)] + [(i, "x y") for i in range(-20, 40)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "hot")
+    tokenfile.write_token_files(hot, path)
+    files = defaultdict(list)
+    for r in tokenfile.read_token_files(spark, path).selectExpr("input_file_name() f", "doc_id is not null has", "coalesce(doc_id, 0) d", "tie").collect():
+        files[r["f"]].append((r["has"], r["d"], r["tie"]))
+    assert sum(map(len, files.values())) == len(rows) and max(map(len, files.values())) < len(rows) / 3
+    parts = [files[f] for f in sorted(files, key=lambda f: (min(files[f]), max(files[f])))]
+    assert all(max(a) <= min(b) for a, b in itertools.pairwise(parts))
+    assert all(p == sorted(p) for p in parts)
+    got = sorted(r["start"] for r in tokenfile.op6_token_files(hot).collect())
+    assert got[0] == 0 and len(set(got)) == len(rows)
+
+
 def reshare(sizes):
     """Targets by resharing the excess until none is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
