@@ -1,6 +1,7 @@
 """The cached coder against the tokenizers library itself."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from kgtide.llm.tokens import Coder, default_vocabulary
@@ -26,6 +27,25 @@ def test_ids_are_those_of_the_library(code):
 
 
 def test_runs_that_do_not_fit_fall_back(code):
-    # Two pre-tokens in one piece give more runs than pieces.
-    pieces = ["ab12", "cd", ""]
+    # An empty piece gives one run less than there are pieces.
+    pieces = ["ab", "cd", ""]
     assert code._encode(pieces) == [plain(code, p) for p in pieces]
+
+
+def test_odd_words_within_plain_text(code):
+    text = "Plain “quoted” text—with İx, a<|b <|endoftext|> x<|startoftext|>y and don''t, 12a3 <| |> ﬁn\x1cb " * 50
+    assert code.packed(text) == plain(code, text)
+
+
+def test_other_vocabularies_are_encoded_plainly():
+    other = Coder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_pieces
+    for text in TEXTS:
+        assert other.packed(text) == plain(other, text)
+
+
+def test_ids_of_the_documents(code, sf_dir):
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert code.packed(text) == plain(code, text)
