@@ -3,7 +3,8 @@
 Vectors are projected to a few dimensions by seeded Gaussian (2-stable) vectors:
 the squared projected distance over the squared distance then follows a
 chi-square law with as many degrees of freedom.  A kd-tree over projections of a
-bounded sample cuts space into cells; every vector is indexed in its cell, and
+bounded sample cuts space into cells, and further trees, over samples of their
+own, the cells that hold too many rows; every vector is indexed in its cell, and
 each task holds a kd-tree of one.  A query takes projected neighbours in
 ascending distance and verifies them on the original vectors, until for the
 next projected distance the chance that a nearer vector is still to come, by the
@@ -15,17 +16,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
-#: Projected dimensions (even), the test's confidence, rows of a leaf, a cell and the sample, queries of a block.
-DIMS, CONFIDENCE, LEAF, CELL, SAMPLE, QUERIES = 12, 0.97, 64, 25_000, 20_000, 2_000
+#: Projected dimensions (even), the test's confidence, rows of a leaf and of a cell, queries of a task.
+DIMS, CONFIDENCE, LEAF, CELL, QUERIES = 12, 0.97, 64, 25_000, 2_000
+#: Cells of the first tree at most and the rows that it is cut from; rows for each cell of a further tree.
+TOP, SAMPLE, EACH = 1024, 32_768, 32
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -89,6 +92,41 @@ def box_distance(point: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarra
     return np.einsum("ij,ij->i", gap, gap)
 
 
+class Cells:
+    """Cells of a first tree, each cut further by a tree of its own or not.
+
+    ``top`` and the values of ``below`` are heap-ordered splits: 16 bytes for a
+    cell, so the whole stays small beside the ``CELL`` vectors of each.
+    """
+
+    def __init__(self, top: list[tuple[int, float]], below: dict[int, list[tuple[int, float]]], dims: int):
+        self.top, self.below, self.dims = top, below, dims
+        self.first = np.concatenate([[0], np.cumsum([len(below.get(c, ())) + 1 for c in range(len(top) + 1)])])
+        self.lo, self.hi = cell_boxes(top, dims)
+        self.boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        at = cell_of(points, self.top)
+        out = self.first[at]
+        for c in np.unique(at).tolist():
+            if c in self.below:
+                own = at == c
+                out[own] += cell_of(points[own], self.below[c])
+        return out
+
+    def near(self, point: np.ndarray, gap: float) -> np.ndarray:
+        """Cells within the squared distance ``gap`` of a point."""
+        found = []
+        for c in np.flatnonzero(box_distance(point, self.lo, self.hi) <= gap).tolist():
+            if c in self.below:
+                if c not in self.boxes:
+                    self.boxes[c] = cell_boxes(self.below[c], self.dims)
+                found.append(self.first[c] + np.flatnonzero(box_distance(point, *self.boxes[c]) <= gap))
+            else:
+                found.append(self.first[c : c + 1])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 class Tree:
     """A kd-tree whose leaves hold runs of the reordered rows."""
 
@@ -113,12 +151,14 @@ class Tree:
         self.hi = np.array([self.points[a:b].max(0) for a, b in runs])
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, point: np.ndarray, query: np.ndarray, own: int, k: int, bound: float, limit: float) -> list[tuple[float, int]]:
-    """The k nearest found as (distance, id), ties to the smaller id.
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, point: np.ndarray, query: np.ndarray, own: int, k: int, bound: float, limit: float) -> list[tuple[float, int, int]]:
+    """The k nearest found as (distance, id, copies), ties to the smaller id.
 
-    ``vectors`` and ``ids`` are in the tree's order; ``bound`` is a squared k-th
-    distance known already.  Leaves come in ascending projected distance; the
-    search ends when the next one's is ``limit`` times the k-th so far, squared.
+    ``vectors``, ``ids`` and ``copies`` are in the tree's order; ``bound`` is a
+    squared k-th distance known already.  Of the query's own row, the one with
+    its id and vector, one copy is left out.  Leaves come in ascending projected
+    distance; the search ends when the next one's is ``limit`` times the k-th so
+    far, squared.
     """
     gaps = box_distance(point, tree.lo, tree.hi)
     best = np.zeros((0, 2))
@@ -127,111 +167,165 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, point: np.ndarray,
         rows = np.concatenate([np.arange(*tree.runs[x]) for x in order[at : at + step]])
         at, step = at + step, min(2 * step, 64)
         off = tree.points[rows] - point
-        rows = rows[(np.einsum("ij,ij->i", off, off) <= limit * bound) & (ids[rows] != own)]
+        rows = rows[np.einsum("ij,ij->i", off, off) <= limit * bound]
         diff = vectors[rows] - query
         d2 = np.einsum("ij,ij->i", diff, diff)
-        near = d2 <= bound
+        near = (d2 <= bound) & ((ids[rows] != own) | (d2 > 0) | (copies[rows] > 1))
         found = np.stack([d2[near], rows[near]], axis=1)
         best = np.concatenate([best, found])
         best = best[np.lexsort((ids[best[:, 1].astype(np.int64)], best[:, 0]))][:k]
         if len(best) == k:
             bound = min(bound, best[-1, 0])
-    return [(math.sqrt(d), int(ids[int(r)])) for d, r in best]
+    return [(math.sqrt(d), int(ids[r]), int(copies[r]) - int(d == 0 and ids[r] == own)) for d, r in ((d, int(r)) for d, r in best)]
 
 
 def usable(rows: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part.
 
-    Not null ids; embeddings that are not null, not all zero, without null or
-    non-finite components, and of the commonest length.
+    Not null ids; embeddings that are not null, not all zero, and without null
+    or non-finite components.
     """
     inf = float("inf")
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists("embedding", lambda x: x != 0)
-    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(ok)
-    return found
+    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return found.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(ok)
 
 
-def nearest(rows: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = 11) -> DataFrame:
-    """The k nearest found of each query: query_id, rank, vec_id, score.
+def matrix(col: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    whole = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates all
-    rows but the query's own.  Repeated rows count once.  Of equal vectors only
-    the k + 1 smallest ids can be among a query's nearest, so others are left
-    out of the index without loss.
+
+def fit_cells(index: DataFrame, total: int, base: np.ndarray) -> Cells:
+    """Cells of about ``CELL`` of the ``total`` rows of ``index`` (vec_id, embedding).
+
+    The first tree is cut from ``SAMPLE`` rows.  Where it would need more than
+    ``TOP`` cells, the rows of each are counted, and a further tree for each is
+    cut by a task, from a sample of ``EACH`` rows for each of its cells.
     """
-    spark = rows.sparkSession
-    ready = usable(rows)
-    common = ready.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, vec_id long, score double"
-    last = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
-    if common is None:
-        return ranked(spark.createDataFrame([], schema)).select("query_id", "rank", "vec_id", "score")
-    size, total = common["n"], common["count"]
-    ready = ready.filter(F.size("embedding") == size)
-    same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = ready.distinct().withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n")
+    size, dims = base.shape
+    points = ", ".join(f"p{i} double" for i in range(dims))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (matrix(batch.column(0), size) @ base).T], names=[f"p{i}" for i in range(dims)])
 
-    base = projection(size, dims, seed)
     cells = 1 << max(0, math.ceil(math.log2(max(1, total / CELL))))
-    sample = ready.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    splits = split_points(np.array([r[0] for r in sample], np.float64).reshape(-1, size) @ base, cells)
-    lo, hi = cell_boxes(splits, dims)
-    limit = chi_square_quantile(confidence, dims)
-    n_blocks = max(1, math.ceil(total / every / QUERIES))
+    some = index.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").mapInArrow(project, points).toArrow()
+    top = split_points(np.stack([c.to_numpy() for c in some.columns], axis=1), min(cells, TOP))
+    if cells <= TOP:
+        return Cells(top, {}, dims)
+    held = Cells(top, {}, dims)
 
-    def matrix(col: pa.Array) -> np.ndarray:
-        return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = matrix(batch.column(1), size) @ base
+                yield pa.RecordBatch.from_arrays([pa.array(held.of(found)), batch.column(0), *(pa.array(x) for x in found.T)], names=["cell", "chance", *(f"p{i}" for i in range(dims))])
+
+    dealt = index.select(F.rand(7).alias("chance"), "embedding").mapInArrow(deal, f"cell long, chance double, {points}")
+    counts = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most TOP rows
+    wanted = {c: 1 << math.ceil(math.log2(n / CELL)) for c, n in counts.items() if n > CELL}
+    if not wanted:
+        return held
+    share = index.sparkSession.createDataFrame([(c, w, EACH * w / counts[c]) for c, w in wanted.items()], "cell long, wanted long, share double")
+
+    def split(group: pa.Table) -> pa.Table:
+        own = np.stack([group.column(f"p{i}").to_numpy() for i in range(dims)], axis=1)
+        found = split_points(own, group.column("wanted")[0].as_py())
+        return pa.table({"cell": group.column("cell")[: 1], "at": [[d for d, _ in found]], "value": [[v for _, v in found]]}, schema=pa.schema([("cell", pa.int64()), ("at", pa.list_(pa.int64())), ("value", pa.list_(pa.float64()))]))
+
+    chosen = dealt.join(F.broadcast(share), "cell").filter("chance < share").drop("chance", "share")
+    below = chosen.groupBy("cell").applyInArrow(split, "cell long, at array<long>, value array<double>").collect()  # a number for each cell
+    return Cells(top, {r["cell"]: list(zip(r["at"], r["value"], strict=True)) for r in below}, dims)
+
+
+def _nearest(ready: DataFrame, size: int, total: int, k: int, every: int, dims: int, confidence: float, seed: int) -> DataFrame:
+    """query_id, qid, repeats, vec_id, score and copies among vectors of one size."""
+    ready = ready.filter(F.size("embedding") == size)
+    same = Window.partitionBy("embedding").orderBy("vec_id")
+    index = cut(ready.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).drop("_n"), "index")
+    base = projection(size, dims, seed)
+    cells, limit = fit_cells(index, total, base), chi_square_quantile(confidence, dims)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell = cell_of(matrix(batch.column(1)) @ base, splits)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["vec_id", "embedding", "cell"])
+                cell = cells.of(matrix(batch.column("embedding"), size) @ base)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=[*batch.schema.names, "cell"])
 
-    dealt = cut(index.mapInArrow(deal, "vec_id long, embedding array<double>, cell long"), "index")
-    queries = ready.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct().mapInArrow(deal, "vec_id long, embedding array<double>, cell long")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")
-    queries = cut(queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("tie"), F.col("embedding").alias("query"), "cell"), "queries").withColumn("block", block)
-    blocks = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    placed = "vec_id long, embedding array<double>, copies long, cell long"
+    dealt = cut(index.mapInArrow(deal, placed), "dealt")
+    queries = ready.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(deal, placed)
+    queries = cut(queries.select(F.monotonically_increasing_id().alias("qid"), F.col("vec_id").alias("query_id"), F.col("copies").alias("repeats"), F.col("embedding").alias("query"), "cell"), "queries")
+    found_schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("copies", pa.int64())])
 
-    def look(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def look(asked: pa.Table, data: pa.Table) -> pa.Table:
         out = []
-        if len(data) and len(asked):
-            vectors = np.array(data["embedding"].tolist(), np.float64)
+        if asked.num_rows and data.num_rows:
+            vectors = matrix(data.column("embedding"), size)
             tree = Tree(vectors @ base)
-            vectors, ids = vectors[tree.order], data["vec_id"].to_numpy(np.int64)[tree.order]
-            for own, tie, query, bound in zip(asked["query_id"], asked["tie"], asked["query"], asked["bound"], strict=True):
-                q = np.asarray(query, np.float64)
-                out += [(own, tie, x, d) for d, x in search(tree, vectors, ids, q @ base, q, own, k, bound, limit)]
-        return pd.DataFrame(out, columns=["query_id", "tie", "vec_id", "score"])
-
-    keys = ["cell", "block"]
-    found = "query_id long, tie long, vec_id long, score double"
-    first = queries.withColumn("bound", F.lit(float("inf"))).groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(lambda q, d: look(d, q), found)
-    first = cut(first, "first")
-    bounds = first.groupBy("query_id", "tie").agg(F.count("*").alias("n"), (F.max("score") * F.max("score")).alias("kth"))
-    asked = queries.join(bounds, ["query_id", "tie"], "left").withColumn("bound", F.when(F.col("n") == k, F.col("kth") * (1 + 1e-12)).otherwise(F.lit(float("inf"))))
+            vectors, ids, copies = vectors[tree.order], data.column("vec_id").to_numpy()[tree.order], data.column("copies").to_numpy()[tree.order]
+            points = matrix(asked.column("query"), size)
+            for qid, own, bound, q in zip(*(asked.column(c).to_pylist() for c in ("qid", "query_id", "bound")), points, strict=True):
+                out += [(qid, x, d, n) for d, x, n in search(tree, vectors, ids, copies, q @ base, q, own, k, bound, limit)]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, found_schema.types, strict=True)], schema=found_schema)
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """Cells with many queries are copied for blocks of these, others are held once."""
+        load = cut(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "load")
+        small = broadcast_if_small(load, 1_000_000)
+        q = asked.join(small, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks"))).select("qid", "query_id", "query", "bound", "cell", "block")
+        d = dealt.join(small, "cell").select("vec_id", "embedding", "copies", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return cut(q.groupBy("cell", "block").cogroup(d.groupBy("cell", "block")).applyInArrow(look, "qid long, vec_id long, score double, copies long"), "found")
+
+    first = searched(queries.withColumn("bound", F.lit(float("inf"))))
+    bounds = first.groupBy("qid").agg(F.count("*").alias("n"), (F.max("score") * F.max("score")).alias("kth"))
+    asked = queries.join(bounds, "qid", "left").withColumn("bound", F.when(F.col("n") == k, F.col("kth") * (1 + 1e-12)).otherwise(F.lit(float("inf"))))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows_, cells_ = [], []
-            points = matrix(batch.column(2)) @ base
-            for i, (point, home, bound) in enumerate(zip(points, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                near = np.flatnonzero(box_distance(point, lo, hi) <= limit * bound)
+            for i, (point, home, bound) in enumerate(zip(matrix(batch.column("query"), size) @ base, batch.column("cell").to_pylist(), batch.column("bound").to_pylist(), strict=True)):
+                near = cells.near(point, limit * bound)
                 near = near[near != home]
                 rows_ += [i] * len(near)
                 cells_ += near.tolist()
             taken = batch.take(pa.array(rows_, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(cells_, pa.int64()), taken.column(4), taken.column(5)], names=["query_id", "tie", "query", "cell", "block", "bound"])
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("qid", "query_id", "query", "bound")), pa.array(cells_, pa.int64())], names=["qid", "query_id", "query", "bound", "cell"])
 
-    more = asked.select("query_id", "tie", "query", "cell", "block", "bound").mapInArrow(others, "query_id long, tie long, query array<double>, cell long, block long, bound double")
-    second = more.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(lambda q, d: look(d, q), found)
-    every_found = first.unionByName(second).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return ranked(every_found).select("query_id", "rank", "vec_id", "score")
+    more = asked.select("qid", "query_id", "query", "bound", "cell").mapInArrow(others, "qid long, query_id long, query array<double>, bound double, cell long")
+    second = searched(cut(more, "more"))
+    return first.unionByName(second).join(queries.select("qid", "query_id", "repeats"), "qid")
+
+
+def nearest(rows: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = 11) -> DataFrame:
+    """The k nearest found of each query: query_id, rank, vec_id, score.
+
+    Queries are the rows whose vec_id is divisible by ``every``; candidates all
+    rows but the query's own.  Null ids, and vectors that are null, zero or hold
+    null or non-finite components, take no part.  A repeated row is a candidate,
+    and a query, as often as it stands there; rows of one id with different
+    vectors are candidates of each other.  Vectors of different lengths are never
+    near.  An empty table gives an empty result.
+
+    Of equal vectors only the k + 1 smallest ids can be among a query's nearest,
+    so others are left out of the index without loss.
+    """
+    spark = rows.sparkSession
+    ready = cut(usable(rows).groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")), "vectors")
+    sizes = ready.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()  # a row for each length of vectors
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, [_nearest(ready, r["size"], r["n"], k, every, dims, confidence, seed).withColumn("size", F.lit(r["size"])) for r in sizes])
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
+    rank = F.row_number().over(Window.partitionBy("size", "qid").orderBy("score", "vec_id"))
+    ranked = each.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.withColumn("_repeat", F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_neighbours(rows: DataFrame) -> DataFrame:
+    """The 10 nearest found of each query; see ``nearest``."""
     return nearest(rows)

@@ -46,10 +46,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hints a broadcast for a written table of at most ``rows`` rows; beyond
-    that the plain table, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int, size: int = 64 << 20) -> DataFrame:
+    """Hints a broadcast for a written table of at most ``rows`` rows and ``size``
+    bytes as JSON; beyond that the plain table, for a shuffled join."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["size"] <= size else df
 
 
 def lower_ascii(c: Column) -> Column:
