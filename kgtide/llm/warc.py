@@ -19,12 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import broadcast_if_small, cut, scratch
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
 #: Payloads shorter than this are never revisits.
 LEAST = 100
+#: Duplicated payloads up to which their table (a digest and an id each) is broadcast; archives that a task reads at most, where cores abound.
+DUPLICATES, READ = 500_000, 16
 #: Records from which a dictionary is trained, its bytes, and the plain bytes after which an archive ends.
 SAMPLE, DICT_BYTES, ARCHIVE_BYTES = 200, 32_768, 64 << 20
 
@@ -117,12 +119,18 @@ def _open(folder: str):
 def with_duplicates(pages: DataFrame) -> DataFrame:
     """Adds digest, size and refers_to.  Of rows with equal payloads of at least
     ``LEAST`` bytes, that with the smallest page_id is referred to by the others;
-    rows with a null id, and repeated rows with the smallest id, refer to none."""
+    rows with a null id, and repeated rows with the smallest id, refer to none.
+
+    Only digests and ids are grouped.  Up to ``DUPLICATES`` duplicated payloads
+    are looked up where the rows are read; beyond, rows are shuffled by digest,
+    and AQE splits the partition of a payload that very many rows have.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")})
-    groups = rows.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
-    # A payload may be that of a third of all rows: AQE splits its partition of the left side.
-    return rows.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("least"), F.col("least"))).drop("least")
+    groups = rows.filter(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    groups = cut(groups.filter("n > 1 and least is not null").select("digest", "least"), "duplicates")
+    found = rows.join(broadcast_if_small(groups, DUPLICATES), "digest", "left")
+    return found.withColumn("refers_to", F.when(F.col("page_id") != F.col("least"), F.col("least"))).drop("least")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -199,12 +207,19 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return archives.select("name", "n").repartition("name").mapInArrow(run, schema)
+    n, cores = archives.count(), archives.sparkSession.sparkContext.defaultParallelism
+    # An explicit number, which AQE leaves alone: the names are tiny, what they name is not.
+    parts = max(1, min(n, max(4 * cores, -(-n // READ))))
+    return archives.select("name", "n").repartition(parts).mapInArrow(run, schema)
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:
     """Writes all ``pages`` (page_id, url, html) to archives and reads them back.
-    A null html is an empty payload; every row has its record."""
+
+    A null html is an empty payload.  Every row has its record, repeated rows and
+    null ids too; of repeated rows with the smallest id of a payload all are
+    responses.  An empty table gives an empty result.
+    """
     folder = scratch(pages.sparkSession, "warc")
     archives = write_archives(with_duplicates(pages), folder)
     return read_archives(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -363,10 +363,12 @@ def test_apportionment_is_highest_quotients(spark):
         assert got == {i: want[i] for i in range(len(votes))}
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("duplicates", [500_000, 1])
+def test_warc(spark, tmp_path, monkeypatch, duplicates):
+    monkeypatch.setattr(warc, "DUPLICATES", duplicates)
     long, other = "<p>" + "x" * 200 + "é</p>", "y" * 100
     rows = [(i, f"http://a/{i}", R.choice([long, other, "short", f"<html>{i}" + "z" * R.randint(0, 5000)])) for i in range(500)]
-    rows += [(600, None, None), (601, "u v\n", ""), (None, "n", long), (None, "n", "q" * 150), (3, "again", long), (602, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)]
+    rows += [(600, None, None), (601, "u v\n", ""), (None, "n", long), (None, "n", "q" * 150), (3, "again", long), (602, "u", "a\r\n\r\nWARC/1.1\r\n" * 20), (603, "http://" + "u" * 100_000, "é" * 1_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).selectExpr("*", "1 as size", "'d' as digest")
     least = {}
     for p, _, h in rows:
@@ -386,6 +388,18 @@ def test_warc(spark, tmp_path):
     assert {(r["page_id"], r["html"]) for r in got.collect()} == {(p, h or "") for p, _, h in rows if not (len((h or "").encode()) >= 100 and copies[h] > 1 and p is not None and p != least[h])}
 
 
+def test_archives_end_at_their_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rows = [(i, f"u{i}", f"{i}" + "z" * 900) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = "file://" + str(tmp_path)
+    found = warc.write_archives(warc.with_duplicates(pages), folder)
+    assert found.count() > 10 and found.agg({"n": "sum"}).first()[0] == 300
+    got = warc.read_archives(found, folder, payloads=True)
+    assert got.rdd.getNumPartitions() > 1
+    assert {(r["page_id"], r["html"]) for r in got.collect()} == {(p, h) for p, _, h in rows}
+
+
 def test_warc_rejects_damage(tmp_path):
     rec = warc.record("response", 1, "u", hashlib.sha256(b"abc").hexdigest(), 3, None, b"abc")
     assert warc.parse(rec)[1] == b"abc"
