@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs,
-digits, URL schemes and cue words.  At each anchor a deterministic local parser
+digits, URL schemes, shapes of keys and cue words.  At each anchor a deterministic local parser
 expands to the boundaries of the entity and validates it.  Of one kind, spans
 never overlap: an anchor inside the last match of its kind is passed over,
 whether or not that match was valid.
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 #: Kinds in the order in which spans are listed: fixed ones, then the method's own.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "address", "credential")
+KINDS = (*BASE, "account", "address", "credential", "secret", "identity")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,10 +32,30 @@ _AFTER_CUE = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?))?[ ]?[:#]?[ ]?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[0-9](?:-?[0-9]){5,16}(?![0-9])")
 _BEFORE_STREET = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][A-Za-z'-]{0,30} ){1,4}$")
+_HOUSE = r"[0-9]{1,5}[A-Za-z]?(?![0-9A-Za-z])"
+_BEFORE_STRASSE = re.compile(r"(?<![^\W\d_])[A-ZÄÖÜ][A-Za-zäöüß-]{0,40}$")
+_AFTER_STRASSE = re.compile(rf" {_HOUSE}")
+_BEFORE_RUE = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}(?: bis| ter)?,? $")
+_AFTER_RUE = re.compile(r" (?:(?:de|du|des|la|le|les|d'|l') ?){0,2}[A-ZÀ-Ö][\w'-]{0,40}(?: [A-ZÀ-Ö][\w'-]{0,40}){0,3}")
+_AFTER_CALLE = re.compile(rf" (?:(?:de|del|la|los|las) ){{0,2}}[A-ZÀ-Ö][\w'-]{{0,40}}(?: [A-ZÀ-Ö][\w'-]{{0,40}}){{0,3}},? {_HOUSE}")
+_LINK = re.compile(r"""[A-Za-z_-]{0,20}["']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}["'`]?""")
+_VALUE = re.compile(r"[A-Za-z0-9+/_=.~-]{8,}+")
+_SHAPES = {
+    "akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "sk-": re.compile(r"sk-[0-9A-Za-z_-]{20,}+"),
+    "xox": re.compile(r"xox[abprs]-[0-9A-Za-z-]{10,}+"),
+    "eyj": re.compile(r"eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"),
+    "-----begin ": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+}
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9A-Za-z])")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}$")
 _USER = re.compile(r"[^\s/?#@:]{1,64}:[^\s/?#@]{1,128}@[A-Za-z0-9.-]+")
 
-ACCOUNT_CUES = ("iban", "account", "acct")
+ACCOUNT_CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta")
+IDENTITY_CUES = ("ssn", "social security number", "social security")
+#: Names whose value is secret, and the least characters of a value that counts.
+SECRET_CUES = {"password": 8, "passwd": 8, "pwd": 8, "token": 16, "secret": 16, "api_key": 16, "apikey": 16, "api key": 16, "access_key": 16, "access key": 16, "private_key": 16, "auth_key": 16}
 #: Characters of a country's IBANs; words that follow one pass mod 97 by chance.
 _LENGTHS = (
     "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
@@ -57,6 +77,17 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(cue, ("account", len(cue)))
     for cue in STREET_CUES:
         found.add_word(cue, ("street", len(cue)))
+    for cue in IDENTITY_CUES:
+        found.add_word(cue, ("identity", len(cue)))
+    for cue in SECRET_CUES:
+        found.add_word(cue, ("secret", len(cue)))
+    for shape in _SHAPES:
+        found.add_word(shape, ("shape", len(shape)))
+    for cue in ("straße", "strasse"):
+        found.add_word(cue, ("strasse", len(cue)))
+    found.add_word(" rue", ("rue", 4))
+    for cue in ("calle", "avenida"):
+        found.add_word(cue, ("calle", len(cue)))
     found.make_automaton()
     return found
 
@@ -90,6 +121,18 @@ def _iban(text: str, start: int) -> re.Match | None:
     return found
 
 
+def _secret(text: str, cue: str, last: int) -> tuple[int, int] | None:
+    """The value that a secret's name is given: long enough, of letters and digits."""
+    link = _LINK.match(text, last + 1)
+    m = link and _VALUE.match(text, link.end())
+    if not m:
+        return None
+    value = m[0].rstrip(".")
+    if len(value) < SECRET_CUES[cue] or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        return None
+    return m.start(), m.start() + len(value)
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by kind and start."""
     if not text:
@@ -98,7 +141,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if len(low) != len(text):
         low = text.translate(_LOWER)
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email = ip = card = phone = account = address = 0
+    email = ip = card = phone = account = address = secret = identity = 0
     for last, (kind, width) in _ANCHORS.iter(low):
         at = last - width + 1
         if kind == "digit":
@@ -137,6 +180,34 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if start >= account and (m := _iban(text, start) or _NUMBER.match(text, start)):
                 account = m.end()
                 out["account"].append(m.span())
+        elif kind == "secret":
+            if at >= secret and (span := _secret(text, low[at : last + 1], last)):
+                secret = span[1]
+                out["secret"].append(span)
+        elif kind == "shape":
+            if at >= secret and not (at and text[at - 1].isalnum()) and (m := _SHAPES[low[at : last + 1]].match(text, at)):
+                secret = m.end()
+                out["secret"].append(m.span())
+        elif kind == "identity":
+            start = _AFTER_CUE.match(text, last + 1).end()
+            if start >= identity and not (at and text[at - 1].isalnum()) and (m := _SSN.match(text, start)):
+                identity = m.end()
+                out["identity"].append(m.span())
+        elif kind == "strasse":
+            before, m = _BEFORE_STRASSE.search(text, max(address, at - 50), last + 1), _AFTER_STRASSE.match(text, last + 1)
+            if before and m:
+                address = m.end()
+                out["address"].append((before.start(), address))
+        elif kind == "rue":
+            before, m = _BEFORE_RUE.search(text, max(address, at - 12), at + 1), _AFTER_RUE.match(text, last + 1)
+            if before and m:
+                address = m.end()
+                out["address"].append((before.start(), address))
+        elif kind == "calle":
+            m = _AFTER_CALLE.match(text, last + 1)
+            if m and at >= address and text[at].isupper() and not (at and text[at - 1].isalnum()):
+                address = m.end()
+                out["address"].append((at, address))
         elif last + 1 == len(text) or not text[last + 1].isalnum():
             m = _BEFORE_STREET.search(text, max(address, at - 140), at)
             if m and text[at].isupper():
