@@ -103,7 +103,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     All rows are placed; bins have no gaps.  ``pieces`` is read twice: hand in
     a written table.  An empty table gives an empty result.  Repeated rows are
-    placed one by one.
+    placed one by one; a column that tells them apart lets tasks share them.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
@@ -145,4 +145,5 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def op1_packing(docs: DataFrame, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Packs every row of ``docs`` (doc_id, text); see ``token_pieces`` and ``pack``."""
-    return pack(cut(token_pieces(docs, capacity, end_id), "pieces"), capacity)
+    pieces = cut(token_pieces(docs, capacity, end_id).withColumn("_place", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, capacity).drop("_place")
