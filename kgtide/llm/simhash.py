@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE, RADIUS = 4, 4
-#: Members that one task compares with each other.
-BLOCK = 2048
+#: Members that one task compares with each other; fingerprints that one task spreads over the tables.
+BLOCK, SPREAD = 2048, 250_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -102,7 +102,9 @@ def links(distinct: DataFrame) -> DataFrame:
     tables = ((low, 0), (high, 1 << 32))  # bit 32 of a key tells the half
     probe = lambda word, half, flip: F.struct(word.bitwiseXOR(F.lit(half | flip)).alias("key"), F.lit(not flip).alias("home"))
     probes = F.array(*(probe(word, half, flip) for word, half in tables for flip in (0, *(1 << i for i in range(32)))))
-    probed = distinct.select("fp", "n", F.explode(probes).alias("p")).select("p.key", "fp", "n", "p.home")
+    # Each fingerprint becomes 66 rows, so more tasks than the small table's files.
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
+    probed = distinct.repartition(tasks, "fp").select("fp", "n", F.explode(probes).alias("p")).select("p.key", "fp", "n", "p.home")
     any_meet = F.col("key") < (1 << 32)
 
     # A bucket is of use if a member is at home there or, in the low half, if
