@@ -51,15 +51,16 @@ def _seeded(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def _key(seed: int) -> Column:
-    """A hash of a row's id and text, by which documents are dealt and ordered."""
+def _key(docs: DataFrame, seed: int) -> Column:
+    """A hash of a whole row, by which documents are dealt and ordered."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(text)))
+    rest = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(text), F.md5(rest)))
 
 
 def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of
-    ``docs`` (doc_id, source, text), with _key, a hash of id and text, and the
+    ``docs`` (doc_id, source, text), with _key, a hash of the row, and the
     words taken: _passes times all, then from _from to _upto, and the first _head.
 
     A null source is one of its own; null and empty texts have size 0 and are
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
         docs.select(
             "doc_id", "source", F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"),
             F.size(ws_words(text)).cast("long").alias("size"),
-            _key(seed).alias("_key"),
+            _key(docs, seed).alias("_key"),
         ),
         "sizes",
     )
@@ -116,6 +117,7 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row; see ``mix``."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -135,9 +137,8 @@ def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
     plan = plan.withColumn("_parts", F.filter("_runs", lambda r: words(r) < F.col("size")))
     # Repeated rows share a key: one of them takes what is taken of all.
     plan = plan.groupBy("_key").agg(F.sum("_whole").cast("int").alias("_whole"), F.flatten(F.collect_list(F.when(F.size("_parts") > 0, F.col("_parts")))).alias("_parts"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    whole = docs.select(F.struct("*").alias("_row"), _key(seed).alias("_key"))
-    one = whole.join(plan, "_key").withColumn("_nth", nth).filter("_nth = 1")
+    # Of repeated rows one is taken before the shuffle, so that many of them don't meet in a task.
+    one = docs.select(F.struct("*").alias("_row"), _key(docs, seed).alias("_key")).dropDuplicates(["_key"]).join(plan, "_key")
     each = one.select("_row", F.explode(F.concat(F.array_repeat(run(zero, zero), F.col("_whole")), F.col("_parts"))).alias("_run"))
     pieces = F.split(F.btrim(F.col("_row.text"), F.lit(WS)), WORD_STARTS)
     some = F.slice(pieces, (F.col("_run.a") + 1).cast("int"), words(F.col("_run")).cast("int"))
