@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 FACTORS = ("attention", "sentiment", "consensus", "novelty", "materiality")
 
 
@@ -61,7 +63,8 @@ def top_partners(t: DataFrame, k: int = 10) -> DataFrame:
 def standardise(f: DataFrame, columns: list[str], least_articles: int = 2, least_entities: int = 4) -> tuple[DataFrame, list[str]]:
     """Entities with enough mentions and their columns standardised by the
     population's deviation; columns without variance are dropped.  With too few
-    such entities all are kept."""
+    such entities all are kept.  ``f`` is written once, a row for each entity."""
+    f = cut(f)
     some = f.filter(F.col("attention") >= least_articles)
     if some.limit(least_entities).count() < least_entities:
         some = f

@@ -28,14 +28,16 @@ def month_edges(t: DataFrame) -> DataFrame:
 def enriched_edges(t: DataFrame) -> DataFrame:
     """Edges by (sub, rel, obj); the category of the last occurrence stands."""
     key = ["month", "sub", "rel", "obj"]
-    top = t.groupBy(*key, "event_type").agg(F.count("*").alias("n"), F.min(_order()).alias("first"))
-    top = top.groupBy(*key).agg(F.min_by("event_type", F.struct(-F.col("n"), "first")).alias("event_type"))
     usd = F.sum(F.when(F.col("materiality_usd") > 0, F.col("materiality_usd")))
-    agg = t.groupBy(*key).agg(
-        F.count("*").alias("weight"), F.avg("sentiment").alias("_s"), F.coalesce(usd, F.lit(0)).cast("double").alias("materiality_usd"), F.max_by("rel_category", _order()).alias("rel_category"),
+    each = t.groupBy(*key, "event_type").agg(
+        F.count("*").alias("n"), F.min(_order()).alias("first"), F.sum("sentiment").alias("s"), F.count("sentiment").alias("c"), usd.alias("usd"),
+        F.max(F.struct(_order().alias("at"), "rel_category")).alias("last"),
     )
-    agg = agg.withColumns({"sentiment": F.round("_s", 4), "materiality_log": F.round(F.log1p("materiality_usd"), 4), "polarity": text.sentiment_polarity(F.round("_s", 6))}).drop("_s")
-    return agg.join(top, key)
+    agg = each.groupBy(*key).agg(
+        F.sum("n").alias("weight"), (F.sum("s") / F.sum("c")).alias("_s"), F.coalesce(F.sum("usd"), F.lit(0)).cast("double").alias("materiality_usd"),
+        F.max("last")["rel_category"].alias("rel_category"), F.min_by("event_type", F.struct(-F.col("n"), "first")).alias("event_type"),
+    )
+    return agg.withColumns({"sentiment": F.round("_s", 4), "materiality_log": F.round(F.log1p("materiality_usd"), 4), "polarity": text.sentiment_polarity(F.round("_s", 6))}).drop("_s")
 
 
 def ends(e: DataFrame, *keep: str) -> DataFrame:

@@ -16,7 +16,7 @@ FIRST, LAST, NODE = "1995-01", "1996-06", "Brand#13"
 
 
 def edges(spark, d):
-    return graph.month_edges(triplets(spark, d))
+    return graph.month_edges(triplets(spark, d, False))
 
 
 def family_sql(variant: str, c: str = "lower(rel)") -> str:
@@ -51,7 +51,7 @@ def kg_degree_weighted(spark, d):
 @query(f"""{W}, p AS (SELECT DISTINCT "month", sub, obj FROM triplets)
 SELECT "month", node, count(*) AS degree FROM (SELECT "month", sub AS node FROM p UNION ALL SELECT "month", obj FROM p) GROUP BY ALL""")
 def kg_degree_distinct(spark, d):
-    return graph.distinct_degree(triplets(spark, d), "month")
+    return graph.distinct_degree(triplets(spark, d, False), "month")
 
 
 TYPED = "CASE regexp_replace(upper({0}), '[^A-Z]', '', 'g') WHEN 'STOCKTICKER' THEN 'STOCKTICKER' WHEN 'COMPANY' THEN 'COMPANY' WHEN 'PRODUCT' THEN 'PRODUCT' ELSE 'UNK' END"
@@ -62,23 +62,23 @@ OCC = f"""{W}, occ AS (
 
 @query(f"""{OCC} SELECT "month", node, arg_min(type, (type = 'UNK', url, seq, side)) AS type FROM occ GROUP BY ALL""")
 def kg_node_type_first_known(spark, d):
-    return graph.node_types(triplets(spark, d), "first_known", "month")
+    return graph.node_types(triplets(spark, d, False), "first_known", "month")
 
 
 @query(f"""{OCC} SELECT "month", node, arg_min(type, (url, seq, side)) AS type FROM occ GROUP BY ALL""")
 def kg_node_type_first(spark, d):
-    return graph.node_types(triplets(spark, d), "first", "month")
+    return graph.node_types(triplets(spark, d, False), "first", "month")
 
 
 @query(f"""{OCC} SELECT "month", node, arg_max(type, (url, seq, side)) AS type FROM occ GROUP BY ALL""")
 def kg_node_type_last(spark, d):
-    return graph.node_types(triplets(spark, d), "last", "month")
+    return graph.node_types(triplets(spark, d, False), "last", "month")
 
 
 @query(f"""{OCC}, c AS (SELECT node, type, count(*) AS n, min((url, seq, side)) AS first FROM occ GROUP BY ALL)
 SELECT node, type FROM c QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, first) = 1""")
 def kg_node_type_majority(spark, d):
-    return graph.node_types(triplets(spark, d), "majority")
+    return graph.node_types(triplets(spark, d, False), "majority")
 
 
 @query(f"""{W}, r AS (SELECT rel, count(*) AS n FROM triplets GROUP BY rel)
@@ -87,7 +87,7 @@ SELECT rel, n, {family_sql("historical")} AS historical, {family_sql("live")} AS
   CASE WHEN {hit_sql(vocab.LIVE_NEGATIVE)} THEN 'negative' WHEN {hit_sql(vocab.LIVE_POSITIVE)} THEN 'positive' ELSE 'neutral' END AS live_polarity
 FROM r""")
 def kg_causal_families(spark, d):
-    r = triplets(spark, d).groupBy("rel").agg(F.count("*").alias("n"))
+    r = triplets(spark, d, False).groupBy("rel").agg(F.count("*").alias("n"))
     rel = F.col("rel")
     return r.select("rel", "n", *(text.causal_family(rel, v).alias(v) for v in vocab.FAMILIES), text.polarity(rel).alias("polarity"), text.polarity(rel, "live").alias("live_polarity"))
 
@@ -131,7 +131,7 @@ def kg_pair_merge(spark, d):
 
 @query(f"""{EDGES} SELECT * FROM edges""")
 def kg_corpus_upsert(spark, d):
-    t = triplets(spark, d)
+    t = triplets(spark, d, False)
     return graph.corpus_upsert(graph.month_edges(t.filter("seq % 2 = 0")), t.filter("seq % 2 = 1"))
 
 
@@ -174,7 +174,7 @@ lim AS (SELECT min(degree) AS least FROM (SELECT degree FROM deg ORDER BY degree
 o AS (SELECT count(*) FILTER (degree >= least) AS over, any_value(least) AS least, count(*) AS n, max(degree) AS top FROM deg, lim)
 SELECT n, CASE WHEN n <= 200 THEN 5 ELSE greatest(1, least(20, ceil(100.0 * (least + CASE WHEN over > 450 THEN 1 ELSE 0 END) / top)))::BIGINT END AS percent FROM o""")
 def kg_auto_threshold(spark, d):
-    e = triplets(spark, d).filter("month = '1996-01'").select("sub", F.col("url").alias("obj"), F.lit(1).alias("weight"))
+    e = triplets(spark, d, False).filter("month = '1996-01'").select("sub", F.col("url").alias("obj"), F.lit(1).alias("weight"))
     return graph.auto_threshold(graph.weighted_degree(e))
 
 

@@ -10,9 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triplets(spark: SparkSession, sf_dir: str, events: bool = True) -> DataFrame:
     """Edge occurrences: an order is an article, a line item one of its triplets.
 
+    Without ``events`` there is no event type, and orders are not joined for it.
     ``seq`` is the place in the article and carries all order-sensitive rules.
     """
     line = table(spark, sf_dir, "lineitem")
@@ -24,7 +25,10 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = F.when(flag == "AF", "Acquires").when(flag == "AO", "Supplies").when(flag == "NF", "Reports").when(flag == "NO", "Competes With").when(flag == "RF", "Sues").otherwise("Impacts")
     category = F.when(F.col("l_returnflag") == "A", "SSI").when(F.col("l_returnflag") == "N", "GMM").otherwise("GFMK")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
-    rows = line.withColumn("seq", seq).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = line.withColumn("seq", seq)
+    if events:
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.concat(F.lit("order://"), F.col("l_orderkey").cast("string")).alias("url"), "seq",
         F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.to_date("l_shipdate").alias("day"),
@@ -33,7 +37,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("obj"), F.when(F.col("l_tax") < 0.02, "UNK").otherwise("PRODUCT").alias("obj_type"),
         F.round((F.col("l_discount") - 0.05) * 20, 2).alias("sentiment"),
         F.when(F.col("l_tax") > 0, F.col("l_extendedprice").cast("decimal(18,2)")).alias("materiality_usd"),
-        F.col("o_orderpriority").alias("event_type"), F.col("s_nationkey").alias("nation"),
+        *([F.col("o_orderpriority").alias("event_type")] if events else []), F.col("s_nationkey").alias("nation"),
     )
 
 
@@ -60,7 +64,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARTICLES_SQL = """
 articles AS (
-  SELECT 'doc://' || doc_id AS url, substring(text, 1, 60) AS title, substring(text, 1, 600) AS summary, upper(source) AS ticker,
+  SELECT 'doc://' || doc_id AS url, substring(text, 1, 60) AS title, substring(text, 1, 600) AS summary, text, upper(source) AS ticker,
     (DATE '2020-01-01' + (doc_id % 730)::INT)::VARCHAR AS date, strftime(DATE '2020-01-01' + (doc_id % 730)::INT, '%Y-%m') AS "month"
   FROM documents)"""
 

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -19,7 +20,9 @@ def duck(sf_dir):
 
 
 def plain(value):
-    if value is None or value is pd.NaT:
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return [plain(v) for v in value]
+    if value is None or value is pd.NaT or value is pd.NA or value != value:
         return None
     if hasattr(value, "isoformat"):
         return pd.Timestamp(value).isoformat()
