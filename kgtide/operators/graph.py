@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .lineage import cut
 
 
 def _order() -> Column:
@@ -81,16 +82,65 @@ def range_merge(e: DataFrame, first: str, last: str) -> DataFrame:
     return some.groupBy("sub", "obj", "rel", "rel_category").agg(F.sum("weight").alias("weight"), F.min("month").alias("first_month"), F.count_distinct("month").alias("n_months"))
 
 
-def with_ids(e: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Ids in the order given, by position within range partitions.
+def positions(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds ``pos``, the place from 0 in the order given.
 
-    Partitions are counted first and their offsets joined back, so no task
-    orders the whole table.
+    Rows are sorted by range and written; partitions are then counted and their
+    offsets joined back, so no task orders the whole table.
     """
-    sorted_ = e.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", place))
     counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")  # a row for each partition
-    return sorted_.join(before, "_p").withColumn("id", F.concat(F.lit(prefix), (F.col("_before") + F.col("_i")).cast("string"))).drop("_p", "_i", "_before")
+    return sorted_.join(before, "_p").withColumn("pos", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+
+
+def with_ids(e: DataFrame, prefix: str, *order: str) -> DataFrame:
+    """Ids in the order given."""
+    return positions(e, *order).withColumn("id", F.concat(F.lit(prefix), F.col("pos").cast("string"))).drop("pos")
+
+
+def first_seen_ids(t: DataFrame) -> DataFrame:
+    """A month's edges with ids in the order in which they are first seen."""
+    e = t.groupBy("month", "sub", "obj", "rel", "rel_category").agg(F.count("*").alias("weight"), F.min(_order()).alias("_first"))
+    placed = positions(e, "month", "_first")
+    begin = placed.groupBy("month").agg(F.min("pos").alias("_begin"))
+    return placed.join(begin, "month").withColumn("id", F.concat(F.lit("e"), (F.col("pos") - F.col("_begin")).cast("string"))).drop("pos", "_begin", "_first")
+
+
+def merge_full(e: DataFrame) -> DataFrame:
+    """Monthly edges as one graph: weights add, the strongest score stands, news
+    anywhere makes it news, and other attributes are those of the first month."""
+    at = F.struct("month")
+    return e.groupBy("sub", "obj", "rel", "rel_category").agg(
+        F.sum("weight").alias("weight"), F.max("score").alias("score"),
+        F.when(F.max((F.coalesce("origin", F.lit("news")) == "news").cast("int")) == 1, F.lit("news")).otherwise(F.min_by("origin", at)).alias("origin"),
+        F.min_by("polarity", at).alias("polarity"), F.coalesce(F.min_by("causal_type", at), F.lit("OTHER")).alias("causal_type"),
+    )
+
+
+def graph_stats(e: DataFrame) -> DataFrame:
+    """Nodes, edges and edges with a score of one graph."""
+    nodes = e.select(F.explode(F.array("sub", "obj")).alias("node")).agg(F.count_distinct("node").alias("nodes"))  # one row
+    return e.agg(F.count("*").alias("edges"), F.count("score").alias("scored_edges")).crossJoin(F.broadcast(nodes))
+
+
+def node_merge(prior: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Nodes of a month with fresh ones: those there before stay as they are."""
+    return insert_if_absent(prior, fresh, "node")
+
+
+def visible_nodes(n: DataFrame, types: list[str], least: int, sectors: list[str] | None = None) -> DataFrame:
+    """Nodes of the types and sectors with at least the degree."""
+    out = n.filter(F.col("type").isin(types) & (F.col("degree") >= least))
+    return out.filter(F.col("sector").isin(sectors)) if sectors is not None else out
+
+
+def with_end_types(e: DataFrame, types: DataFrame) -> DataFrame:
+    """Edges with the types of their ends, UNK where there is none."""
+    for end in ("sub", "obj"):
+        e = e.join(types.select(F.col("node").alias(end), F.col("type").alias(f"_{end}")), end, "left").withColumn(f"{end}_type", F.coalesce(f"_{end}", F.lit("UNK"))).drop(f"_{end}")
+    return e
 
 
 def pair_merge(prior: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -197,10 +247,14 @@ def clean_merge(e: DataFrame) -> DataFrame:
     return kept.groupBy("month", "sub", "rel", "obj").agg(F.sum(weight).alias("weight"))
 
 
-def label_budget(d: DataFrame, component: Column, least: int = 80, share: float = 0.4) -> DataFrame:
-    """Nodes that get a label: the top by degree, and the top of each component."""
-    whole = Window.partitionBy("_all").orderBy(F.desc("degree"), "node")
-    own = Window.partitionBy("_component").orderBy(F.desc("degree"), "node")
-    x = d.withColumns({"_all": F.lit(1), "_component": component})
-    x = x.withColumns({"_rn": F.row_number().over(whole), "_own": F.row_number().over(own), "_n": F.count("*").over(Window.partitionBy("_all"))})
-    return x.filter((F.col("_rn") <= F.greatest(F.lit(least), F.ceil(share * F.col("_n")))) | (F.col("_own") == 1)).select(d.columns)
+def label_budget(d: DataFrame, component: Column, least: int = 80, share: float = 0.4, all_up_to: int = 220, all_from: int = 8) -> DataFrame:
+    """Nodes that get a label: the top by degree, and the top of each component.
+
+    A graph of few nodes, or of many components, labels all.
+    """
+    x = positions(d.withColumn("_component", component), F.desc("degree"), "node")
+    tops = x.groupBy("_component").agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("_top"))
+    whole = x.agg(F.count("*").alias("_n"), F.count_distinct("_component").alias("_parts"))  # one row
+    every = (F.col("_n") <= all_up_to) | (F.col("_parts") >= all_from)
+    budget = F.greatest(F.lit(least), F.floor(share * F.col("_n") + 0.5))
+    return x.join(tops, "pos", "left").crossJoin(F.broadcast(whole)).filter(every | (F.col("pos") < budget) | F.col("_top")).select(d.columns)

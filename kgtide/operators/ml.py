@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .factors import FACTORS, standardise
+from .graph import positions
 from .lineage import cut
 
 
@@ -157,5 +158,5 @@ def causal_features(matrix: DataFrame, entities: list[str]) -> DataFrame:
 
 
 def dictionary(nodes: DataFrame) -> DataFrame:
-    """Dense ids from 1 by name; a dictionary of entities, ordered in one task."""
-    return nodes.select("node").distinct().withColumn("id", F.row_number().over(Window.orderBy("node")).cast("long"))
+    """Dense ids from 1 by name."""
+    return positions(nodes.select("node").distinct(), "node").select("node", (F.col("pos") + 1).alias("id"))

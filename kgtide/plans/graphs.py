@@ -216,10 +216,10 @@ def kg_anchor_month(spark, d):
 
 @query(f"""{EDGES}, snap AS (SELECT * FROM edges WHERE "month" BETWEEN '{FIRST}' AND '{LAST}'), {DEG},
 r AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS rn, row_number() OVER (PARTITION BY substring(node, 1, 1) ORDER BY degree DESC, node) AS own, count(*) OVER () AS n FROM deg)
-SELECT node, degree FROM r WHERE rn <= greatest(20, ceil(0.4 * n)) OR own = 1""")
+SELECT node, degree FROM r WHERE rn <= greatest(20, floor(0.4 * n + 0.5)) OR own = 1""")
 def kg_label_budget(spark, d):
     g = graph.weighted_degree(graph.range_merge(edges(spark, d), FIRST, LAST))
-    return graph.label_budget(g, F.substring("node", 1, 1), 20)
+    return graph.label_budget(g, F.substring("node", 1, 1), 20, all_up_to=0)
 
 
 @query(f"""{W} SELECT strftime("day", '%Y') AS "year", event_type, count(*) AS n, count(DISTINCT url) AS n_articles FROM triplets GROUP BY ALL""")

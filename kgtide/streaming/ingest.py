@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.graph import node_merge, pair_merge, positions
 
 
 def fresh_only(a: DataFrame, today: Column, days: int = 120, date: str = "date") -> DataFrame:
@@ -25,11 +26,10 @@ def first_wins(a: DataFrame, *order: str) -> DataFrame:
 
 
 def take_slice(names: DataFrame, n: int, m: int, order: str) -> DataFrame:
-    """The n-th (from 1) of m contiguous slices, each as large as the rounded-up
-    share; a watchlist, ordered in one task."""
-    total = names.agg(F.ceil(F.count("*") / m).alias("_size"))
-    ranked = names.withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(total))
-    return ranked.filter(F.floor(F.col("_rn") / F.col("_size")) == n - 1).drop("_rn", "_size")
+    """The n-th (from 1) of m contiguous slices, each as large as the rounded-up share."""
+    total = names.agg(F.ceil(F.count("*") / m).alias("_size"))  # one row
+    placed = positions(names, order).crossJoin(F.broadcast(total))
+    return placed.filter(F.floor(F.col("pos") / F.col("_size")) == n - 1).drop("pos", "_size")
 
 
 def staleness(a: DataFrame, today: Column, days: int = 3) -> DataFrame:
