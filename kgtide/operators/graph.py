@@ -125,9 +125,9 @@ def graph_stats(e: DataFrame) -> DataFrame:
     return e.agg(F.count("*").alias("edges"), F.count("score").alias("scored_edges")).crossJoin(F.broadcast(nodes))
 
 
-def node_merge(prior: DataFrame, fresh: DataFrame) -> DataFrame:
+def node_merge(prior: DataFrame, fresh: DataFrame, *by: str) -> DataFrame:
     """Nodes of a month with fresh ones: those there before stay as they are."""
-    return insert_if_absent(prior, fresh, "node")
+    return insert_if_absent(prior, fresh, *by, "node")
 
 
 def visible_nodes(n: DataFrame, types: list[str], least: int, sectors: list[str] | None = None) -> DataFrame:
@@ -143,10 +143,10 @@ def with_end_types(e: DataFrame, types: DataFrame) -> DataFrame:
     return e
 
 
-def pair_merge(prior: DataFrame, fresh: DataFrame) -> DataFrame:
+def pair_merge(prior: DataFrame, fresh: DataFrame, *by: str) -> DataFrame:
     """A month's graph with a fresh one merged in: weights add, sentiments are
     averaged pairwise, the larger materiality stands."""
-    key = ["sub", "rel", "obj"]
+    key = [*by, "sub", "rel", "obj"]
     f = fresh.select(*key, F.col("weight").alias("w2"), F.col("sentiment").alias("s2"), F.col("materiality_usd").alias("m2"))
     j = prior.select(*key, "weight", "sentiment", "materiality_usd").join(f, key, "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -163,8 +163,9 @@ def corpus_upsert(prior: DataFrame, fresh: DataFrame) -> DataFrame:
     return prior.unionByName(month_edges(fresh)).groupBy(*key).agg(F.sum("weight").alias("weight"))
 
 
-def insert_if_absent(store: DataFrame, fresh: DataFrame, key: str = "url") -> DataFrame:
-    return store.unionByName(fresh.dropDuplicates([key]).join(store, key, "left_anti"), allowMissingColumns=True)
+def insert_if_absent(store: DataFrame, fresh: DataFrame, *key: str) -> DataFrame:
+    """``store`` with the rows of ``fresh`` whose key it lacks, each key once."""
+    return store.unionByName(fresh.dropDuplicates([*key]).join(store, [*key], "left_anti"), allowMissingColumns=True)
 
 
 def snapshot_stats(e: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.graph import node_merge, pair_merge, positions
+from ..sources import readers
 
 
 def fresh_only(a: DataFrame, today: Column, days: int = 120, date: str = "date") -> DataFrame:
@@ -52,9 +53,7 @@ class MonthStore:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        if not readers.exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -65,6 +64,9 @@ class MonthStore:
     def articles(self) -> DataFrame:
         return self._read("articles", "url string, date string, h string, month string, batch long")
 
+    def count(self) -> int:
+        return self.ledger().count()
+
     def commit(self, rows: DataFrame, batch: int) -> None:
         new = unseen(rows, self.ledger(batch)).withColumns({"month": F.substring("date", 1, 7), "batch": F.lit(batch).cast("long")})
         new = new.select("url", "date", "h", "month", "batch").persist()
@@ -73,6 +75,43 @@ class MonthStore:
         new.unpersist()
 
 
+class GraphStore:
+    """A running graph by month, as what each batch leaves of the months it touches.
+
+    A batch folder is replaced when its batch is run again, and is merged with
+    what earlier batches left, so a crash doubles nothing.
+    """
+
+    EDGES = "month string, sub string, rel string, obj string, weight long, sentiment double, materiality_usd double, batch long"
+    NODES = "month string, node string, type string, batch long"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _read(self, name: str, schema: str, before: int | None) -> DataFrame:
+        if not readers.exists(self.spark, f"{self.root}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        last = rows.groupBy("month").agg(F.max("batch").alias("batch"))  # a row for each month
+        return rows.join(F.broadcast(last), ["month", "batch"], "left_semi")
+
+    def edges(self, before: int | None = None) -> DataFrame:
+        return self._read("edges", self.EDGES, before).drop("batch")
+
+    def nodes(self, before: int | None = None) -> DataFrame:
+        return self._read("nodes", self.NODES, before).drop("batch")
+
+    def commit(self, edges: DataFrame, nodes: DataFrame, batch: int) -> None:
+        """Merges a batch's edges and nodes into the months that they touch."""
+        months = F.broadcast(edges.select("month").distinct())
+        prior = self.edges(batch).join(months, "month", "left_semi")
+        old = self.nodes(batch).join(months, "month", "left_semi")
+        merged = {"edges": pair_merge(prior, edges, "month"), "nodes": node_merge(old, nodes, "month")}
+        for name, rows in merged.items():
+            rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Tumbling or sliding counts by type; on a stream, late rows up to the bound."""
     if events.isStreaming:
