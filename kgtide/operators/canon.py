@@ -25,13 +25,6 @@ def rename(t: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     return t
 
 
-def relation_case_map(t: DataFrame) -> DataFrame:
-    """Relations that differ by case only take the commonest spelling."""
-    freq = t.groupBy("rel").agg(F.count("*").alias("freq"))
-    best = freq.groupBy(F.lower("rel").alias("key")).agg(F.min_by("rel", F.struct(-F.col("freq"), "rel")).alias("canonical"))
-    return freq.join(best, F.lower("rel") == F.col("key")).select(F.col("rel").alias("name"), "canonical")
-
-
 def lcs_ratio(a: str, b: str) -> int:
     """100 * 2 * LCS / (len a + len b), rounded."""
     row = [0] * (len(b) + 1)
@@ -42,22 +35,6 @@ def lcs_ratio(a: str, b: str) -> int:
     return round(200 * row[-1] / (len(a) + len(b))) if a or b else 100
 
 
-def absorb_relations(freq: list[tuple[str, int]], least: int = 92) -> dict[str, str]:
-    """Greedy: from the commonest label on, each takes the later ones that are
-    alike; what is taken neither takes nor is taken again.  A vocabulary of
-    relation labels, on the driver."""
-    labels = [x for x, _ in sorted(freq, key=lambda r: (-r[1], r[0]))]
-    out: dict[str, str] = {}
-    for i, a in enumerate(labels):
-        if a in out:
-            continue
-        for b in labels[i + 1 :]:
-            short, long = sorted((len(a), len(b)))
-            if b not in out and 400 * short >= (2 * least - 1) * (short + long) and lcs_ratio(a, b) >= least:
-                out[b] = a
-    return out
-
-
 def char_grams(name: str = "name") -> Column:
     """Character 2- to 4-grams of the lower-cased words, each padded by a space; a
     padded word no longer than n gives its whole text once and no longer grams."""

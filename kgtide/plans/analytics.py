@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..operators import canon, factors, graph, ml, predict, search
+from ..operators import canon, factors, graph, ml, naming, predict, search
 from ..sources import adapter
 from ..sources.adapter import ARTICLES_SQL, EMBEDDINGS_SQL, NAMES_SQL, TRIPLETS_SQL, articles, dirty_names, node_embeddings, triplets
 from ..streaming import ingest
@@ -261,17 +261,19 @@ def canon_min_freq(spark, d):
     return canon.min_frequency(triplets(spark, d, False), 650).select("url", "seq", "sub", "obj")
 
 
-@query(f"""{W} SELECT url, seq, sub FROM triplets QUALIFY row_number() OVER (PARTITION BY url, nation ORDER BY seq) = 1""")
+@query(f"""{W}, t AS (SELECT url, seq, sub, rel, obj FROM triplets UNION ALL SELECT url, seq + 100, sub, rel, obj FROM triplets)
+SELECT url, seq, sub, rel, obj FROM t QUALIFY row_number() OVER (PARTITION BY url, sub, rel, obj ORDER BY seq) = 1""")
 def canon_dedupe_triplets(spark, d):
-    t = triplets(spark, d).withColumn("name", F.col("sub")).withColumns({"sub": F.col("nation").cast("string"), "rel": F.lit("r"), "obj": F.lit("o")})
-    return canon.dedupe_triplets(t).select("url", "seq", F.col("name").alias("sub"))
+    """The first of equal triplets of an article, each of which stands there twice."""
+    t = triplets(spark, d, False).select("url", "seq", "sub", "rel", "obj")
+    return canon.dedupe_triplets(t.unionByName(t.withColumn("seq", F.col("seq") + 100)))
 
 
-@query(f"""{W}, t AS (SELECT CASE WHEN seq % 3 = 0 THEN upper(rel) ELSE rel END AS rel FROM triplets), f AS (SELECT rel, count(*) AS n FROM t GROUP BY rel)
-SELECT rel AS name, first_value(rel) OVER (PARTITION BY lower(rel) ORDER BY n DESC, rel) AS canonical FROM f""")
+@query(f"""{W}, t AS (SELECT CASE WHEN seq % 3 = 0 THEN upper(rel) ELSE rel END AS rel FROM triplets), f AS (SELECT rel, count(*) AS n FROM t GROUP BY rel), c AS (SELECT rel AS name, first_value(rel) OVER (PARTITION BY lower(rel) ORDER BY n DESC, rel) AS canonical FROM f)
+SELECT * FROM c WHERE name <> canonical""")
 def canon_relation_case(spark, d):
     t = triplets(spark, d).withColumn("rel", F.when(F.col("seq") % 3 == 0, F.upper("rel")).otherwise(F.col("rel")))
-    return canon.relation_case_map(t)
+    return naming.relation_merge(t.groupBy("rel").agg(F.count("*").alias("n")))
 
 
 GRAMS = """w AS (SELECT name, ' ' || unnest(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM names),

@@ -112,23 +112,20 @@ def gated(revised: Column, first: Column, strict: bool = False) -> Column:
 
 
 def _enriched(raw: str | None) -> list[dict]:
+    """Items with five texts; numbers that are none give neutral values."""
     m = re.search(r"(?s)\[.*\]", raw or "")
     try:
         found = json.loads(m[0]) if m else []
     except ValueError:
         return []
+    number = lambda x: float(x) if isinstance(x, (int, float)) else None
+    some = lambda x, other: x if isinstance(x, str) and x.strip() else other
     out = []
-    need = ("sub", "sub_type", "rel", "obj", "obj_type")
-
-    def number(x):
-        try:
-            return float(x)
-        except (TypeError, ValueError):
-            return None
-
     for x in found:
-        if isinstance(x, dict) and all(isinstance(x.get(k), str) and x[k].strip() for k in need):
-            out.append({k: x[k].strip() for k in need} | {"rel_category": x.get("rel_category") or "UNK", "sentiment": min(1.0, max(-1.0, number(x.get("sentiment")) or 0.0)), "materiality_usd": number(x.get("materiality_usd")), "event_type": x.get("event_type") or "OTHER"})
+        if isinstance(x, dict) and all(isinstance(x.get(k), str) for k in ("sub", "sub_type", "rel", "obj", "obj_type")):
+            usd = number(x.get("materiality_usd"))
+            own = {"rel_category": some(x.get("rel_category"), "UNK"), "sentiment": number(x.get("sentiment")) or 0.0, "materiality_usd": usd if usd and usd > 0 else None, "event_type": some(x.get("event_type"), "OTHER")}
+            out.append({k: x[k] for k in ("sub", "sub_type", "rel", "obj", "obj_type")} | own)
     return out
 
 
