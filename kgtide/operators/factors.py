@@ -49,13 +49,24 @@ def snapshot_factors(e: DataFrame) -> DataFrame:
     return agg.join(novelty(e), "sub")
 
 
-def event_mix(e: DataFrame, k: int = 5) -> DataFrame:
-    """The k commonest events of each entity, ties by name."""
-    counted = e.groupBy("sub", "event_type").agg(F.sum("weight").alias("n"))
-    rn = F.row_number().over(Window.partitionBy("sub").orderBy(F.desc("n"), "event_type"))
+def event_mix(e: DataFrame, k: int = 5, order: str | None = None) -> DataFrame:
+    """The k commonest events of each entity, ties by name, or by first sight in ``order``."""
+    tie = F.min(order) if order else F.first("event_type")
+    counted = e.groupBy("sub", "event_type").agg(F.sum(F.col("weight").cast("long")).alias("n"), tie.alias("_tie"))
+    rn = F.row_number().over(Window.partitionBy("sub").orderBy(F.desc("n"), "_tie"))
     return counted.withColumn("rn", rn).filter(F.col("rn") <= k).select("sub", "event_type", "n", F.col("rn").cast("long").alias("rn"))
 
 
+def preview_factors(t: DataFrame) -> DataFrame:
+    """First-pass factors from triplets alone: sentiment over all triplets, consensus
+    over each article's last sentiment, momentum 0, and how many event types there are."""
+    last = t.groupBy("sub", "url").agg(F.max_by("sentiment", "seq").alias("s"))
+    per = last.groupBy("sub").agg(F.count("*").alias("attention"), F.when(F.count("s") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.stddev_pop("s"))).alias("consensus"))
+    usd = F.coalesce(F.sum(F.when(F.col("materiality_usd") > 0, F.col("materiality_usd"))), F.lit(0)).cast("double")
+    whole = t.groupBy("sub").agg(F.lit(0.0).alias("momentum"), F.coalesce(F.avg("sentiment"), F.lit(0.0)).alias("sentiment"), F.log1p(usd).alias("materiality"), F.count_distinct("event_type").alias("event_diversity"))
+    return per.join(whole, "sub").join(novelty(t), "sub")
+
+
 def top_partners(t: DataFrame, k: int = 10) -> DataFrame:
     return t.groupBy("sub").agg(F.concat_ws("|", F.slice(F.array_sort(F.collect_set("obj")), 1, k)).alias("partners"))
 

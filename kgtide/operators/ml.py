@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from . import canon
 from .factors import FACTORS, standardise
 from .graph import positions
 from .lineage import cut
@@ -67,17 +69,40 @@ def spring_layout(e: DataFrame, iterations: int = 120, scale: float = 1000.0, se
     return e.select("month", "sub", "obj").groupBy("month").applyInPandas(place, "month string, node string, x double, y double")
 
 
-def place_unplaced(e: DataFrame, placed: DataFrame, rounds: int = 6) -> DataFrame:
-    """Nodes without coordinates take the centroid of placed neighbours, round by
-    round; what stays apart goes on a golden-angle ring by name."""
-    links = e.select(F.col("sub").alias("a"), F.col("obj").alias("b")).union(e.select("obj", "sub")).filter("a <> b").distinct()
-    nodes = links.select(F.col("a").alias("node")).distinct()
-    now = nodes.join(placed, "node", "left").select("node", "x", "y")
-    for _ in range(rounds):
-        near = links.join(now.filter("x is not null").withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
-        now = now.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("x", "nx").alias("x"), F.coalesce("y", "ny").alias("y"))
-    turn = F.pmod(F.xxhash64("node"), F.lit(100_003)) * 2.399963229728653
-    return now.select("node", F.coalesce("x", 500 + 620 * F.cos(turn)).alias("x"), F.coalesce("y", 500 + 620 * F.sin(turn)).alias("y"))
+def place_near(e: DataFrame, nodes: DataFrame, passes: int = 6) -> DataFrame:
+    """Nodes (node, x, y) without coordinates take the centroid of their placed
+    neighbours, each edge counting, with an offset by name; all of a pass at once."""
+    links = e.select(F.col("sub").alias("a"), F.col("obj").alias("b")).unionAll(e.select("obj", "sub"))
+    dx, dy = text.jitter(F.col("node"))
+    near2 = lambda c: F.floor(c * 100 + 0.5) / 100
+    for _ in range(passes):
+        open_ = nodes.filter("x is null").select(F.col("node").alias("a"))
+        near = links.join(open_, "a", "left_semi").join(nodes.filter("x is not null").withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
+        near = near.select("node", near2(F.col("nx") + dx).alias("nx"), near2(F.col("ny") + dy).alias("ny"))
+        nodes = cut(nodes.join(near, "node", "left").select("node", F.coalesce("x", "nx").alias("x"), F.coalesce("y", "ny").alias("y")))
+    return nodes
+
+
+def place_detached(e: DataFrame, nodes: DataFrame, inner: float = 640.0, outer: float = 1600.0, turn: float = 2.399963, spacing: float = 26.0) -> DataFrame:
+    """Components without any coordinates go on a ring, the largest inmost, and
+    their members on a small disc; nothing moves where nothing is placed yet."""
+    if not nodes.filter("x is not null").limit(1).count():
+        return nodes
+    lost = nodes.filter("x is null").select("node")
+    links = e.select(F.col("sub").alias("a"), F.col("obj").alias("b")).filter("a <> b").join(lost.withColumnRenamed("node", "a"), "a", "left_semi").join(lost.withColumnRenamed("node", "b"), "b", "left_semi")
+    links = cut(links)
+    found = canon.components(links) if links.limit(1).count() else nodes.sparkSession.createDataFrame([], "node string, root string")
+    member = cut(lost.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    rings = positions(member.groupBy("root").agg((-F.count("*")).alias("size")), "size", "root").withColumnRenamed("pos", "i")
+    total = rings.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("m"))  # one row
+    inside = positions(member, "root", "node")
+    begin = inside.groupBy("root").agg(F.min("pos").alias("begin"))
+    at = inside.join(begin, "root").join(rings, "root").crossJoin(F.broadcast(total)).withColumn("j", F.col("pos") - F.col("begin"))
+    radius = F.sqrt(inner**2 + (outer**2 - inner**2) * F.col("i") / F.col("m"))
+    round2 = lambda c: F.floor(c * 100 + 0.5) / 100
+    place = lambda f: round2(f(F.col("i") * turn) * radius + f(F.col("j") * turn) * spacing * F.sqrt("j"))
+    ring = at.select("node", place(F.cos).alias("x"), place(F.sin).alias("y"))
+    return nodes.filter("x is not null").unionByName(ring)
 
 
 def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
@@ -96,16 +121,33 @@ def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame
     return ranks
 
 
+def layer_norm(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
+
+
+def sage(e: DataFrame, emb: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Mean-aggregating layers over edges (sub, obj): before each, vectors (node, h)
+    are normalised, before all but the first also passed through elu."""
+    for at, (own, other) in enumerate(weights):
+
+        @F.pandas_udf("array<double>")
+        def before(h: pd.Series, later: bool = at > 0) -> pd.Series:
+            x = layer_norm(np.array(h.tolist()))
+            return pd.Series(np.where(x > 0, x, np.expm1(x)).tolist() if later else x.tolist())
+
+        emb = cut(emb.select("node", before("h").alias("h")))
+        emb = sage_layer(e, emb, own, other)
+    return emb
+
+
 def sage_layer(e: DataFrame, emb: DataFrame, own: np.ndarray, other: np.ndarray) -> DataFrame:
-    """One mean-aggregating layer: elu(norm(h·own + mean(neighbours)·other))."""
+    """own·h + other·mean of the in-neighbours, each edge counting; none gives zeros."""
     dims = own.shape[0]
     means = e.join(emb, F.col("sub") == F.col("node")).groupBy(F.col("obj").alias("to")).agg(F.array(*(F.avg(F.col("h")[i]) for i in range(dims))).alias("m"))
 
     @F.pandas_udf("array<double>")
     def step(h: pd.Series, m: pd.Series) -> pd.Series:
-        x = np.array(h.tolist()) @ own + np.array([np.zeros(dims) if v is None else v for v in m]) @ other
-        x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
-        return pd.Series(np.where(x > 0, x, np.expm1(x)).tolist())
+        return pd.Series((np.array(h.tolist()) @ own + np.array([np.zeros(dims) if v is None else v for v in m]) @ other).tolist())
 
     return emb.join(means, F.col("node") == F.col("to"), "left").select("node", step("h", "m").alias("h"))
 
@@ -139,22 +181,51 @@ def notears(x: np.ndarray, threshold: float = 0.1, l1: float = 0.01, rounds: int
     return w
 
 
-def causal_features(matrix: DataFrame, entities: list[str]) -> DataFrame:
-    """In and out degree and weight of each entity in the learned graph of a
-    window (a column ``window``, and day, entity, value); zeros where none is found."""
+def rank_nodes(links: np.ndarray, damping: float = 0.85, rounds: int = 200) -> np.ndarray:
+    """PageRank by weight of a small dense graph; the rank of sinks is spread evenly."""
+    n = len(links)
+    out = links.sum(1)
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        given = np.where(out > 0, rank / np.where(out > 0, out, 1), 0) @ links + rank[out == 0].sum() / n
+        new = (1 - damping) / n + damping * given
+        if np.abs(new - rank).sum() < n * 1e-10:
+            return new
+        rank = new
+    return rank
+
+
+def dag_features(w: np.ndarray) -> np.ndarray:
+    """Out and in degree by the largest of both, out and in weight and rank by
+    their largest, for each node with an edge; zeros for others."""
+    a = np.abs(w)
+    some = (a > 0).any(0) | (a > 0).any(1)
+    out = np.zeros((len(w), 5))
+    if some.any():
+        own = a[np.ix_(some, some)]
+        top = lambda v: v / v.max() if v.max() > 0 else v
+        outs, ins = (own > 0).sum(1), (own > 0).sum(0)
+        most = max(outs.max(), ins.max(), 1)
+        out[some] = np.stack([outs / most, ins / most, top(own.sum(1)), top(own.sum(0)), top(rank_nodes(own))], axis=1)
+    return out
+
+
+def causal_features(matrix: DataFrame, entities: DataFrame) -> DataFrame:
+    """Five features of each of ``entities`` in the graph learned from a window's
+    daily presence (window, day, entity, value); zeros where none is learned."""
+    names = ("out_degree", "in_degree", "out_weight", "in_weight", "rank")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="day", columns="entity", values="value", fill_value=0.0)
         try:
-            w = notears((wide - wide.mean()).to_numpy()) if len(wide) > 2 else np.zeros((wide.shape[1],) * 2)
-        except np.linalg.LinAlgError:
+            w = notears((wide - wide.mean()).to_numpy()) if min(wide.shape) > 1 else np.zeros((wide.shape[1],) * 2)
+        except (np.linalg.LinAlgError, FloatingPointError):
             w = np.zeros((wide.shape[1],) * 2)
-        a = np.abs(w)
-        top = lambda v: v / v.max() if v.max() > 0 else v
-        return pd.DataFrame({"window": pdf["window"].iloc[0], "entity": wide.columns, "in_degree": top((a > 0).sum(0).astype(float)), "out_degree": top((a > 0).sum(1).astype(float)), "in_weight": top(a.sum(0)), "out_weight": top(a.sum(1))})
+        return pd.DataFrame({"window": pdf["window"].iloc[0], "entity": wide.columns} | dict(zip(names, dag_features(np.nan_to_num(w)).T, strict=True)))
 
-    schema = "window string, entity string, in_degree double, out_degree double, in_weight double, out_weight double"
-    return matrix.filter(F.col("entity").isin(entities)).groupBy("window").applyInPandas(learn, schema)
+    found = matrix.groupBy("window").applyInPandas(learn, "window string, entity string, " + ", ".join(f"{c} double" for c in names))
+    every = matrix.select("window").distinct().crossJoin(F.broadcast(entities))  # windows by the listed entities
+    return every.join(found, ["window", "entity"], "left").na.fill(0.0, list(names))
 
 
 def dictionary(nodes: DataFrame) -> DataFrame:

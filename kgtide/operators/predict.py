@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text, vocab
+from .lineage import cut
+
 
 def activity(t: DataFrame) -> DataFrame:
     """Rows by entity and period; a row with the entity at both ends counts once."""
@@ -16,21 +19,26 @@ def periods(t: DataFrame) -> DataFrame:
     return t.select("month").distinct().withColumn("p", F.row_number().over(Window.orderBy("month")).cast("long"))
 
 
-def novelty_z(t: DataFrame, month: str) -> DataFrame:
-    """Count of the last three periods less the mean of those before, standardised."""
-    p = periods(t).cache()
+def raw_novelty(t: DataFrame, month: str) -> DataFrame:
+    """Count of the last three periods, and it less the mean of those before."""
+    p = cut(periods(t))
     at = p.filter(F.col("month") == month).select(F.col("p").alias("at"))
-    a = activity(t).join(F.broadcast(p), "month").crossJoin(F.broadcast(at)).filter("p <= at")
+    a = activity(t).join(F.broadcast(p), "month").crossJoin(F.broadcast(at)).filter("p <= at")  # rows for months, one row
     recent = F.sum(F.when(F.col("p") > F.col("at") - 3, F.col("n")).otherwise(0))
     before = F.sum(F.when(F.col("p") <= F.col("at") - 3, F.col("n")).otherwise(0))
-    raw = a.groupBy("entity").agg(recent.alias("recent"), (recent - F.coalesce(before / F.when(F.max("at") > 3, F.max("at") - 3), F.lit(0.0))).alias("raw"))
+    return a.groupBy("entity").agg(recent.alias("recent"), (recent - F.coalesce(before / F.when(F.max("at") > 3, F.max("at") - 3), F.lit(0.0))).alias("raw"))
+
+
+def novelty_z(t: DataFrame, month: str) -> DataFrame:
+    """Novelty of every entity, standardised among all."""
+    raw = cut(raw_novelty(t, month))
     stats = raw.agg(F.avg("raw").alias("m"), F.stddev_pop("raw").alias("s"))
     return raw.crossJoin(F.broadcast(stats)).select("entity", "recent", F.when(F.col("s") < 1e-6, 0.0).otherwise((F.col("raw") - F.col("m")) / F.col("s")).alias("z"))
 
 
 def trend(t: DataFrame, month: str) -> DataFrame:
     """Counts of the last three periods, padded with zeros on the left."""
-    p = periods(t).cache()
+    p = cut(periods(t))
     at = p.filter(F.col("month") == month).select(F.col("p").alias("at"))
     a = activity(t).join(F.broadcast(p), "month").crossJoin(F.broadcast(at)).filter("p between at - 2 and at")
     return a.groupBy("entity").agg(*(F.sum(F.when(F.col("p") == F.col("at") - k, F.col("n")).otherwise(0)).alias(f"t{2 - k}") for k in (2, 1, 0)))
@@ -80,7 +88,36 @@ def rolling_windows(t: DataFrame, width: int = 3) -> DataFrame:
 
 
 def cooccurrence(t: DataFrame, top: int = 200) -> DataFrame:
-    """Presence of the busiest entities by day, divided by the day's largest value."""
+    """Presence of the busiest entities by day: triplets' rows that name them are
+    one each, divided by the day's largest."""
     each = t.select("day", F.explode(F.array("sub", "obj")).alias("entity"))
     busy = each.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(top).select("entity")
-    return each.join(F.broadcast(busy), "entity", "left_semi").distinct().withColumn("value", F.lit(1.0))
+    there = each.join(F.broadcast(busy), "entity", "left_semi").distinct().withColumn("_v", F.lit(1.0))  # top rows
+    return there.withColumn("value", F.col("_v") / F.max("_v").over(Window.partitionBy("day"))).drop("_v")  # at most top rows a day
+
+
+def listed_novelty(t: DataFrame, month: str, listed: DataFrame) -> DataFrame:
+    """Novelty of the listed entities, standardised among them; 0 where it does not vary."""
+    raw = raw_novelty(t, month)
+    x = listed.select("entity").join(raw, "entity", "left").select("entity", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    stats = x.agg(F.avg("raw").alias("m"), F.stddev_pop("raw").alias("s"))  # one row
+    return x.crossJoin(F.broadcast(stats)).select("entity", F.when(F.col("s") < 1e-6, 0.0).otherwise((F.col("raw") - F.col("m")) / F.col("s")).alias("novelty_z"))
+
+
+def period_predictions(nodes: DataFrame, t: DataFrame, month: str, dims: int, entities: int = 40, targets: int = 5) -> DataFrame:
+    """One period's leaderboard: rank, entity, type, novelty_z, trend and targets.
+
+    ``nodes`` has the period's entity, entity_type and vector e.  Ranked types and
+    names that are no junk are ranked by importance, one for each alias; targets
+    are the best scored others of any known type, one for each alias.
+    """
+    alias = text.alias_key(F.col("entity"))
+    named = importance(nodes.withColumn("period", F.lit(month)), dims).withColumn("alias", alias).filter(~text.is_ranked_junk(F.col("entity")) & (F.col("alias") != ""))
+    named = cut(named.withColumn("kind", F.upper("entity_type")))
+    board = cut(leaderboard(named.withColumn("entity_type", F.col("kind")), list(vocab.RANKED_TYPES), entities))
+    goals = comovers(named.filter(F.col("kind").isin(*vocab.TARGET_TYPES)).select("period", "entity", "alias", "e"), board.select("period", "entity", "alias", "e"), targets)
+    listed = goals.groupBy(F.col("source").alias("entity")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("targets"))
+    novelty, recent = listed_novelty(t, month, board), trend(t, month)
+    out = board.select("rank", "entity", "entity_type").join(novelty, "entity").join(recent, "entity", "left").join(listed, "entity", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("rank", "entity", "entity_type", F.round("novelty_z", 3).alias("novelty_z"), F.array(zero("t0"), zero("t1"), zero("t2")).alias("trend"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))

@@ -367,7 +367,18 @@ def gat_input(spark, d):
     return rows.select("month", F.array_join(F.transform("x", lambda r: F.concat(r["sub"], F.lit(">"), r["obj"], F.lit(":"), r["w"].cast("string"))), ",").alias("packed"))
 
 
-@query()
+def _pagerank_sql(rounds: int = 30) -> str:
+    """A table for each round."""
+    step = """r{k} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM nodes
+  LEFT JOIN (SELECT b AS node, sum(rank / n_out) AS got FROM r{j} JOIN outs USING (node) JOIN links ON a = node GROUP BY b) USING (node), total,
+  (SELECT coalesce(sum(rank), 0) AS loose FROM r{j} WHERE node NOT IN (SELECT node FROM outs)))"""
+    steps = ",\n".join(step.format(k=k, j=k - 1) for k in range(1, rounds + 1))
+    return f"""{W}, links AS (SELECT DISTINCT sub AS a, obj AS b FROM triplets), nodes AS (SELECT a AS node FROM links UNION SELECT b FROM links), outs AS (SELECT a AS node, count(*) AS n_out FROM links GROUP BY a),
+total AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, 1 / n AS rank FROM nodes, total),
+{steps} SELECT node, round(rank, 8) AS rank FROM r{rounds}"""
+
+
+@query(_pagerank_sql())
 def graph_pagerank(spark, d):
     return ml.pagerank(edges(spark, d)).select("node", F.round("rank", 8).alias("rank"))
 
