@@ -128,15 +128,19 @@ def layer_norm(x: np.ndarray) -> np.ndarray:
 def sage(e: DataFrame, emb: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Mean-aggregating layers over edges (sub, obj): before each, vectors (node, h)
     are normalised, before all but the first also passed through elu."""
-    for at, (own, other) in enumerate(weights):
 
-        @F.pandas_udf("array<double>")
-        def before(h: pd.Series, later: bool = at > 0) -> pd.Series:
-            x = layer_norm(np.array(h.tolist()))
-            return pd.Series(np.where(x > 0, x, np.expm1(x)).tolist() if later else x.tolist())
+    @F.pandas_udf("array<double>")
+    def normed(h: pd.Series) -> pd.Series:
+        return pd.Series(layer_norm(np.array(h.tolist())).tolist())
 
-        emb = cut(emb.select("node", before("h").alias("h")))
-        emb = sage_layer(e, emb, own, other)
+    @F.pandas_udf("array<double>")
+    def passed(h: pd.Series) -> pd.Series:
+        x = layer_norm(np.array(h.tolist()))
+        return pd.Series(np.where(x > 0, x, np.expm1(x)).tolist())
+
+    for at, (own, other) in enumerate(weights):
+        before = passed if at else normed
+        emb = sage_layer(e, cut(emb.select("node", before("h").alias("h"))), own, other)
     return emb
 
 

@@ -115,12 +115,12 @@ class GraphStore:
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Tumbling or sliding counts by type; on a stream, late rows up to the bound."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("v")).select(F.col("w.start").alias("start"), "event_type", "n", F.col("v").cast("double").alias("v"))
 
 
 def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     if events.isStreaming:
-        events = events.withWatermark("ts", gap)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", gap)
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
