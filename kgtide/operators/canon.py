@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .lineage import cut
+from .lineage import broadcast_if_small, cut
 
 
 def suffix_map(names: DataFrame) -> DataFrame:
@@ -110,14 +110,21 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def sector_of(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The first sector, in order, of which a keyword stands in the name as whole words."""
-    padded = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower("node"), "[^a-z0-9&]+"), lambda x: x != ""), " "), F.lit(" "))
-    hit = F.col("padded").contains(F.concat(F.lit(" "), F.col("keyword"), F.lit(" ")))
-    return nodes.withColumn("padded", padded).join(F.broadcast(keywords), hit).groupBy("node").agg(F.min_by("sector", "ord").alias("sector"))
+    """The first sector, in order, of which a keyword stands in the name as whole words.
+
+    Names are spread into runs of as many words as keywords have and joined by equality.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9&]+"), lambda x: x != "")
+    rows = cut(keywords.select("sector", "ord", F.array_join(split("keyword"), " ").alias("run"), F.size(split("keyword")).alias("size")).filter("size > 0"))
+    sizes = [r["size"] for r in rows.select("size").distinct().collect()]  # the few lengths of keywords
+    w = nodes.select("node", split("node").alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    spread = w.select("node", F.explode(F.array_distinct(F.flatten(F.array(*(runs(n) for n in sizes))))).alias("run")) if sizes else w.select("node", F.lit("").alias("run"))
+    return spread.join(broadcast_if_small(rows, 100_000), "run").groupBy("node").agg(F.min_by("sector", "ord").alias("sector"))
 
 
 def sector_vote(members: DataFrame, sectors: DataFrame, order: DataFrame) -> DataFrame:
     """Each component's commonest sector, ties by the configured order."""
-    votes = members.join(sectors, "node").groupBy("root", "sector").agg(F.count("*").alias("n")).join(F.broadcast(order), "sector")
+    votes = members.join(sectors, "node").groupBy("root", "sector").agg(F.count("*").alias("n")).join(order, "sector")
     best = votes.groupBy("root").agg(F.min_by("sector", F.struct(-F.col("n"), "ord")).alias("sector"))
     return members.join(best, "root", "left").select("node", "root", F.coalesce("sector", F.lit("Other")).alias("sector"))

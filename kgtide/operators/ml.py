@@ -52,9 +52,11 @@ def spring_layout(e: DataFrame, iterations: int = 120, scale: float = 1000.0, se
         a, b = pdf["sub"].map(at).to_numpy(), pdf["obj"].map(at).to_numpy()
         k, t = 1 / np.sqrt(n), 0.1
         for _ in range(iterations):
-            delta = pos[:, None] - pos[None]
-            dist = np.maximum(np.sqrt((delta**2).sum(-1)), 0.01)
-            push = (delta * (k * k / dist**2)[..., None]).sum(1)
+            push = np.empty_like(pos)
+            for at_ in range(0, n, 512):  # memory grows with the nodes, not with their square
+                delta = pos[at_ : at_ + 512, None] - pos[None]
+                dist2 = np.maximum((delta**2).sum(-1), 1e-4)
+                push[at_ : at_ + 512] = (delta * (k * k / dist2)[..., None]).sum(1)
             pull = pos[a] - pos[b]
             force = pull * (np.sqrt((pull**2).sum(-1)) / k)[:, None]
             np.add.at(push, a, -force)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from .lineage import cut
+from .lineage import broadcast_if_small, cut
 
 
 def activity(t: DataFrame) -> DataFrame:
@@ -67,10 +67,10 @@ def leaderboard(scored: DataFrame, kinds: list[str], k: int = 40) -> DataFrame:
 
 def comovers(nodes: DataFrame, sources: DataFrame, k: int = 5) -> DataFrame:
     """For each source of a period, the k targets of highest score, one for each
-    alias and none with its own; sources are a bounded leaderboard."""
-    s = sources.select("period", F.col("entity").alias("source"), F.col("alias").alias("own"), F.col("e").alias("q"))
+    alias and none with its own; sources are a bounded leaderboard of each period."""
+    s = broadcast_if_small(cut(sources.select("period", F.col("entity").alias("source"), F.col("alias").alias("own"), F.col("e").alias("q"))), 100_000)
     dot = F.aggregate(F.zip_with("e", "q", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = nodes.join(F.broadcast(s), "period").filter("alias <> own").select("period", "source", "entity", "alias", dot.alias("score"))
+    pairs = nodes.join(s, "period").filter("alias <> own").select("period", "source", "entity", "alias", dot.alias("score"))
     one = Window.partitionBy("period", "source", "alias").orderBy(F.desc("score"), "entity")
     rank = Window.partitionBy("period", "source").orderBy(F.desc("score"), "entity")
     return pairs.withColumn("_a", F.row_number().over(one)).filter("_a = 1").withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= k).drop("_a", "alias")
