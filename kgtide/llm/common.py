@@ -29,9 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths that this process has handed out and not removed.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/kgtide/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kgtide/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> list[str]:
+    """Paths handed out and not removed, in turn."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, keep: list[str] | None = None) -> list[str]:
+    """Removes what ``scratch`` has handed out but for ``keep``, and returns what is left.
+
+    Results read these files: sweep once they are written elsewhere.
+    """
+    for path in [x for x in _made if x not in (keep or [])]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+    return list(_made)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from kgtide.llm import ann, licenses, mixing, packing, pii, quality, simhash, tokenfile, tokens, urlrules, warc
+from kgtide.llm import ann, common, licenses, mixing, packing, pii, quality, simhash, tokenfile, tokens, urlrules, warc
 
 R = random.Random(5)
 VOCAB = ["the", "of", "réseau", "Straße", "don't", "x86", "MIT", "data", "ñandú", "--", "it's", "a.b", "İx", "e\u0301t", "日本語", "U.S.", "naïve,", "<|endoftext|>", "ok!!"] + [f"w{i}" for i in range(60)]
@@ -568,6 +568,16 @@ def test_cutoffs_are_certified(spark):
     assert got.get("en") is not None
 
 
+def test_sweep_removes_all_but_what_is_kept(spark):
+    held = common.made()
+    kept, gone = common.cut(spark.range(3), "kept"), common.cut(spark.range(4), "gone")
+    path = common.made()[-2]
+    assert common.sweep(spark, [*held, path]) == [*held, path]
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="gone"):
+        gone.count()
+
+
 def test_stages(spark, sf_dir):
     import corpus_pipeline as cp
 
@@ -587,6 +597,19 @@ def test_stages(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     found = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert found <= set(least.values()) and len(found) > 0.2 * len(least)
+    pieces = out.collect()
+    end = defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == end[r["sequence_id"]]
+        end[r["sequence_id"]] += r["length"]
+    assert max(end.values()) <= 2048
+    path = tokens.default_vocabulary()
+    code = tokens.coder(path)
+    want = Counter()
+    for r in at.collect():
+        ids = code.packed(r["text"]) + (0).to_bytes(4, "little")
+        want.update((r["doc_id"], k, len(ids[a : a + 8192]) // 4, zlib.crc32(ids[a : a + 8192])) for k, a in enumerate(range(0, len(ids), 8192)))
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in pieces) == want
     two = cp.near_dedup(spark, cp.quality_rules(spark, docs, sf_dir), sf_dir)
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(least.values())
     three = cp.redact_pii(spark, two, sf_dir)
