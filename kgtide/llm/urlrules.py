@@ -1,7 +1,9 @@
 """URL filters by association rules.
 
 Fixed rules judge a url by host and path.  The urls they judge are labels, from
-which FP-growth mines combinations of url tokens that imply a verdict.  Rules
+which FP-growth mines combinations of url tokens that imply a verdict.  Tokens
+that stand in the same labelled urls are mined as one, any of which will do:
+else k of them would give 2^k combinations.  Rules
 below the support or confidence wanted are pruned, and so is a rule that a more
 general one makes needless.  A url is matched through an inverted index: each
 rule stands under its rarest token, is fetched by the urls that have it, and
@@ -10,6 +12,8 @@ verified on all its tokens.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,34 +57,48 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(F.concat(labels, parts)))
 
 
+def alike_tokens(baskets: DataFrame, least: int) -> DataFrame:
+    """rep, group and freq of tokens that stand in exactly the same of ``baskets``
+    (distinct tokens and verdict, n rows), where at least ``least`` rows have them."""
+    h = F.xxhash64("tokens", "verdict")
+    each = baskets.select(F.explode("tokens").alias("token"), "n", h.alias("h"))
+    sums = each.groupBy("token").agg(F.sum("n").alias("freq"), F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor("h").alias("xor"), F.count("*").alias("baskets"))
+    # At most 1 / support times the tokens of a url come so far.
+    return sums.filter(F.col("freq") >= least).groupBy("freq", "sum", "xor", "baskets").agg(F.min("token").alias("rep"), F.array_sort(F.collect_list("token")).alias("group")).select("rep", "group", "freq")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules from rows with ``tokens`` and ``verdict``: antecedent, verdict,
-    confidence, and anchor, the antecedent's rarest token.  No rows, no rules."""
+    confidence, and anchor.  A url fits if it has a token of each group of the
+    antecedent; the anchor is the rarest of these.  No rows, no rules."""
     spark = labelled.sparkSession
-    schema = "antecedent array<string>, verdict string, confidence double, anchor string"
-    if not labelled.limit(1).count():
-        return spark.createDataFrame([], schema)
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), "freq")
+    n = labelled.count()
+    if not n:
+        return spark.createDataFrame([], "antecedent array<array<string>>, verdict string, confidence double, anchor array<string>")
+    baskets = cut(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "baskets")
+    groups = cut(alike_tokens(baskets, math.ceil(support * n)), "groups")
+    known = broadcast_if_small(groups, 100_000)
+    member = known.select("rep", F.explode("group").alias("token"))
+    named = baskets.withColumn("token", F.explode("tokens")).join(member, "token").groupBy("tokens", "verdict").agg(F.collect_set("rep").alias("reps"))
+    items = F.concat(F.coalesce("reps", F.array().cast("array<string>")), F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.join(named, ["tokens", "verdict"], "left").select(items))
     rules = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].startswith(_VERDICT))
-    rules = rules.select("antecedent", F.substring(F.col("consequent")[0], len(_VERDICT) + 1, 100).alias("verdict"), "confidence")
-    rarest = F.min_by("anchor", F.struct("freq", "anchor"))
-    exploded = rules.withColumn("anchor", F.explode("antecedent")).join(single, "anchor")
-    rules = cut(exploded.groupBy("antecedent", "verdict", "confidence").agg(rarest.alias("anchor")), "rules")
+    rules = rules.select(F.array_sort("antecedent").alias("reps"), F.substring(F.col("consequent")[0], len(_VERDICT) + 1, 100).alias("verdict"), "confidence")
+    own = rules.withColumn("rep", F.explode("reps")).join(known, "rep").groupBy("reps", "verdict", "confidence")
+    rules = cut(own.agg(F.collect_list("group").alias("antecedent"), F.min_by("group", F.struct("freq", "rep")).alias("anchor"), F.min_by("rep", F.struct("freq", "rep")).alias("_a")), "rules")
     # A rule is needless if one with a part of its tokens says the same with no less confidence.
-    general = rules.select(F.col("antecedent").alias("part"), F.col("verdict").alias("_v"), F.col("confidence").alias("_c"), F.col("anchor").alias("_a"))
-    mine_ = rules.withColumn("_a", F.explode("antecedent"))
-    covered = (F.size(F.array_except("part", "antecedent")) == 0) & (F.size("part") < F.size("antecedent")) & (F.col("_v") == F.col("verdict")) & (F.col("_c") >= F.col("confidence"))
-    needless = mine_.join(general, "_a").filter(covered).select("antecedent", "verdict").distinct()
-    return rules.join(needless, ["antecedent", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "anchor")
+    general = rules.select(F.col("reps").alias("part"), F.col("verdict").alias("_v"), F.col("confidence").alias("_c"), "_a")
+    covered = (F.size(F.array_except("part", "reps")) == 0) & (F.size("part") < F.size("reps")) & (F.col("_v") == F.col("verdict")) & (F.col("_c") >= F.col("confidence"))
+    needless = rules.withColumn("_a", F.explode("reps")).join(general, "_a").filter(covered).select("reps", "verdict").distinct()
+    return rules.join(needless, ["reps", "verdict"], "left_anti").select("antecedent", "verdict", "confidence", "anchor")
 
 
 def match(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     """The verdict for each row of ``baskets`` (tokens, distinct): of the most
     confident rule that fits; block before allow at equal confidence."""
-    found = baskets.withColumn("anchor", F.explode("tokens")).join(broadcast_if_small(rules, 20_000), "anchor")
-    fits = found.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    index = broadcast_if_small(rules, 20_000).withColumn("token", F.explode("anchor"))
+    found = baskets.withColumn("token", F.explode("tokens")).join(index, "token")
+    fits = found.filter(F.forall("antecedent", lambda group: F.arrays_overlap(group, F.col("tokens"))))
     return fits.groupBy("tokens").agg(F.max_by("verdict", F.struct("confidence", F.col("verdict") == "block")).alias("mined"))
 
 

@@ -307,20 +307,35 @@ def test_url_rules(spark):
 
 
 def test_mined_rules_match_brute_force(spark):
-    rows = [(sorted(R.sample(["a", "b", "c", "d", "e"], R.randint(1, 4))),) for _ in range(200)]
-    rows = [(t, "block" if "a" in t and "b" in t else "allow") for (t,) in rows]
+    rows = [set(R.sample(["a", "b", "c", "d", "e"], R.randint(1, 4))) for _ in range(200)]
+    # Thirty tokens that always come with c are mined as one with it.
+    rows = [(sorted(t | ({f"c{i}" for i in range(30)} if "c" in t else set())), "block" if "a" in t and "b" in t else "allow") for t in rows]
     table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
     rules = urlrules.mine(table, 0.02, 0.95)
-    mined = [(frozenset(r["antecedent"]), r["verdict"], r["confidence"]) for r in rules.collect()]
+    mined = [(frozenset(map(frozenset, r["antecedent"])), r["verdict"], r["confidence"]) for r in rules.collect()]
+    fits = lambda part, tokens: all(group & set(tokens) for group in part)
     for part, verdict, confidence in mined:
-        held = [v for t, v in rows if part <= set(t)]
+        held = [v for t, v in rows if fits(part, t)]
         assert confidence == pytest.approx(held.count(verdict) / len(held)) and confidence >= 0.95 and held.count(verdict) >= 0.02 * len(rows)
-    assert (frozenset("ab"), "block", 1.0) in mined and not any(p > frozenset("ab") and v == "block" for p, v, _ in mined)
-    asked = table.select("tokens").distinct()
+        assert all(len(g) in (1, 31) for g in part)
+    ab = frozenset(map(frozenset, ("a", "b")))
+    assert (ab, "block", 1.0) in mined and not any(p > ab and v == "block" for p, v, _ in mined)
+    assert any(len(g) == 31 for p, _, _ in mined for g in p)
+    asked = table.select("tokens").distinct().unionByName(spark.createDataFrame([(["c7", "d"],), (["zz"],)], "tokens array<string>"))
     got = {tuple(r["tokens"]): r["mined"] for r in urlrules.match(asked, rules).collect()}
-    for t in {tuple(t) for t, _ in rows}:
-        fits = [(c, v == "block", v) for p, v, c in mined if p <= set(t)]
-        assert got.get(t) == (max(fits)[2] if fits else None)
+    for t in {tuple(t) for t, _ in rows} | {("c7", "d"), ("zz",)}:
+        found = [(c, v == "block", v) for p, v, c in mined if fits(p, t)]
+        assert got.get(t) == (max(found)[2] if found else None)
+
+
+def test_verdicts_of_pages(spark):
+    """Pages without a fixed rule take the verdict of the mined rules, or are allowed."""
+    rows = [(i, f"http://shop{i % 7}.com/{'de' if i % 2 else 'fr'}/{'ads' if i % 2 else 'news'}/{i}") for i in range(300)]
+    rows += [(1000 + i, f"http://other.net/x/{'ads' if i % 2 else 'news'}") for i in range(20)] + [(2000, "http://other.net/y"), (2001, None), (2002, "http://other.net/" + "ads/" * 30_000)]
+    got = {r["page_id"]: r["verdict"] for r in urlrules.op5_url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(300))
+    assert all(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(20))
+    assert got[2000] == got[2001] == "allow" and got[2002] == "block"
 
 
 def test_token_files(spark, docs, empty, tok, tmp_path):
