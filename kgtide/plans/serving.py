@@ -307,11 +307,13 @@ def txt_sparkline(spark, d):
     return series.select("user_id", text.sparkline(F.col("v")).alias("points"), label.alias("label"))
 
 
-@query("""WITH k(sector, keyword, ord) AS (VALUES ('Metals', 'steel', 0), ('Metals', 'copper', 0), ('Goods', 'large brass', 1), ('Goods', 'economy', 1)),
-e AS (SELECT DISTINCT p_name || ' ' || p_type AS node, p_brand AS root FROM part), p AS (SELECT node, root, ' ' || trim(regexp_replace(lower(node), '[^a-z0-9&]+', ' ', 'g')) || ' ' AS padded FROM e),
-n AS (SELECT DISTINCT node FROM e UNION SELECT root FROM e), m AS (SELECT node, arg_min(sector, ord) AS sector, min(ord) AS ord FROM p JOIN k ON contains(padded, ' ' || keyword || ' ') GROUP BY node),
-v AS (SELECT sector, min(ord) AS ord, count(*) AS n FROM m GROUP BY sector)
-SELECT node, coalesce((SELECT sector FROM v ORDER BY n DESC, ord LIMIT 1), 'Other') AS sector FROM n""")
+@query("""WITH RECURSIVE k(sector, keyword, ord) AS (VALUES ('Metals', 'steel', 0), ('Metals', 'copper', 0), ('Goods', 'large brass', 1), ('Goods', 'economy', 1)),
+e AS (SELECT DISTINCT p_name || ' ' || p_type AS node, p_brand AS root FROM part), b AS (SELECT DISTINCT x.root AS a, y.root AS b FROM e x JOIN e y USING (node)),
+reach AS (SELECT a, b FROM b UNION SELECT reach.a, b.b FROM reach JOIN b ON reach.b = b.a), c AS (SELECT a AS root, min(b) AS comp FROM reach GROUP BY a),
+n AS (SELECT DISTINCT node, comp FROM e JOIN c USING (root) UNION SELECT root, comp FROM c), p AS (SELECT node, ' ' || trim(regexp_replace(lower(node), '[^a-z0-9&]+', ' ', 'g')) || ' ' AS padded FROM n),
+m AS (SELECT node, arg_min(sector, ord) AS sector, min(ord) AS ord FROM p JOIN k ON contains(padded, ' ' || keyword || ' ') GROUP BY node),
+v AS (SELECT comp, sector, min(ord) AS ord, count(*) AS n FROM m JOIN n USING (node) GROUP BY ALL), w AS (SELECT comp, sector FROM v QUALIFY row_number() OVER (PARTITION BY comp ORDER BY n DESC, ord) = 1)
+SELECT node, coalesce(sector, 'Other') AS sector FROM n LEFT JOIN w USING (comp)""")
 def sector_infer(spark, d):
     """Every node's sector: that of most matched members of its component."""
     e = table(spark, d, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("a"), F.col("p_brand").alias("b")).distinct()
