@@ -30,6 +30,11 @@ def entity_type(c: Column) -> Column:
     return F.when(key.isin(*vocab.ENTITY_TYPES), key).otherwise(F.lit("UNK"))
 
 
+def raw_type(c: Column) -> Column:
+    """A type as it is, in upper case."""
+    return F.upper(norm(c))
+
+
 def causal_family(rel: Column, variant: str = "historical") -> Column:
     low = F.lower(F.coalesce(rel, F.lit("")))
     out = F.lit("OTHER")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +60,16 @@ def distinct_degree(e: DataFrame, *by: str) -> DataFrame:
     return pairs.select(*by, F.explode(F.array("sub", "obj")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("degree"))
 
 
-def occurrences(t: DataFrame, *keep: str) -> DataFrame:
+def occurrences(t: DataFrame, *keep: str, kind: Callable[[Column], Column] = text.entity_type) -> DataFrame:
     """Typed ends in reading order, the subject of a triplet first."""
-    one = lambda name, kind, side: F.struct(F.col(name).alias("node"), text.entity_type(F.col(kind)).alias("type"), F.lit(side).alias("side"))
+    one = lambda name, raw, side: F.struct(F.col(name).alias("node"), kind(F.col(raw)).alias("type"), F.lit(side).alias("side"))
     return t.select(*keep, "url", "seq", F.explode(F.array(one("sub", "sub_type", 0), one("obj", "obj_type", 1))).alias("x")).select(*keep, "url", "seq", "x.*")
 
 
-def node_types(t: DataFrame, variant: str, *by: str) -> DataFrame:
+def node_types(t: DataFrame, variant: str, *by: str, kind: Callable[[Column], Column] = text.entity_type) -> DataFrame:
     """first_known, first, last or majority type of each node."""
     at = F.struct("url", "seq", "side")
-    o = occurrences(t, *by)
+    o = occurrences(t, *by, kind=kind)
     if variant == "majority":
         counted = o.groupBy(*by, "node", "type").agg(F.count("*").alias("n"), F.min(at).alias("first"))
         return counted.groupBy(*by, "node").agg(F.min_by("type", F.struct(-F.col("n"), "first")).alias("type"))
@@ -241,11 +243,12 @@ def anchor_month(nodes: DataFrame) -> DataFrame:
     return counts.agg(F.max_by("month", F.struct("n", "month")).alias("anchor"))
 
 
-def clean_merge(e: DataFrame) -> DataFrame:
-    """Edges after renaming: junk ends and self-loops go, equal ones add up."""
+def clean_merge(e: DataFrame, order: str | None = None, *keep: str) -> DataFrame:
+    """Edges after renaming: junk ends and self-loops go, equal ones add up; of the
+    columns to keep, those of the first by ``order`` stand."""
     kept = e.filter(~text.is_junk(F.col("sub")) & ~text.is_junk(F.col("obj")) & (F.col("sub") != F.col("obj")))
     weight = F.when(F.coalesce("weight", F.lit(0)) == 0, 1).otherwise(F.col("weight"))
-    return kept.groupBy("month", "sub", "rel", "obj").agg(F.sum(weight).alias("weight"))
+    return kept.groupBy("month", "sub", "rel", "obj").agg(F.sum(weight).alias("weight"), *(F.min_by(c, order).alias(c) for c in keep))
 
 
 def label_budget(d: DataFrame, component: Column, least: int = 80, share: float = 0.4, all_up_to: int = 220, all_from: int = 8) -> DataFrame:

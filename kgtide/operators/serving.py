@@ -84,6 +84,23 @@ def type_state(known: list[str], visible: list[str], seen: DataFrame, hidden: tu
     return one.select(F.array_sort(F.array_union(old, new)).alias("known"), F.array_sort(shown).alias("visible"))
 
 
+def preview(members: Column, size: int = 8) -> Column:
+    """The first members, and how many more there are."""
+    more = F.size(members) - size
+    return F.concat(F.array_join(F.slice(members, 1, size), "|"), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def end_notes(catalog: DataFrame, months: DataFrame) -> DataFrame:
+    """Sources with whether the month of their end note is in the index."""
+    there = months.select(F.col("month").alias("end_note_month"), F.lit(True).alias("_there")).distinct()
+    return catalog.join(there, "end_note_month", "left").withColumn("noted", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def missing(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """What is wanted and not held."""
+    return wanted.join(held.select(key).distinct(), key, "left_anti")
+
+
 def signature(loadings: Column, top: int = 3) -> Column:
     """The strongest of (factor, loading), then in the canonical order of factors."""
     place = lambda x: F.array_position(F.array(*(F.lit(f) for f in FACTORS)), x["factor"])

@@ -118,7 +118,7 @@ def _feeds(spark: SparkSession, d: str) -> DataFrame:
     return feeds.select("feed", whole.alias("xml"))
 
 
-ITEMS = f"""i AS (SELECT doc_id, {FEED} AS feed, row_number() OVER (PARTITION BY {FEED} ORDER BY doc_id) - 1 AS ord, lang FROM documents WHERE doc_id IS NOT NULL),
+ITEMS = f"""i AS (SELECT doc_id, {FEED} AS feed, (row_number() OVER (PARTITION BY {FEED} ORDER BY doc_id) - 1)::INT AS ord, lang FROM documents WHERE doc_id IS NOT NULL),
 f AS (SELECT feed, ord, CASE WHEN doc_id % 3 = 0 THEN 'Doc <' || doc_id || '>' ELSE 'Doc & ' || doc_id END AS title, 'http://x/' || doc_id AS url,
   CASE WHEN doc_id % 2 = 0 THEN 'google_news:' || lang ELSE 'google_news' END AS source, CASE WHEN doc_id % 4 = 0 THEN DATE '{TODAY}' ELSE DATE '2021-03-01' + (doc_id % 200)::INT + 1 END AS date,
   doc_id % 5 = 0 AS described FROM i WHERE ord < 25 AND feed % 9 <> 4)"""
@@ -250,8 +250,8 @@ def snk_predictions_json(spark, d):
 
 
 @query("""WITH v AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS rn, n_name FROM nation)
-SELECT n_name AS id, CASE WHEN n_name = 'NATION_3' THEN 0.75 ELSE 0.25 END AS mrr, (CASE WHEN n_name = 'NATION_3' THEN 0 WHEN n_name < 'NATION_3' AND rn < 4 THEN rn ELSE rn - 1 END)::BIGINT AS ord FROM v
-UNION ALL SELECT 'new', 0.5, count(*) FROM v""")
+SELECT n_name AS id, CASE WHEN n_name = 'NATION_3' THEN 0.75 ELSE 0.25 END::DOUBLE AS mrr, (CASE WHEN n_name = 'NATION_3' THEN 0 WHEN n_name < 'NATION_3' AND rn < 4 THEN rn ELSE rn - 1 END)::BIGINT AS ord FROM v
+UNION ALL SELECT 'new', 0.5::DOUBLE, count(*) FROM v""")
 def snk_variants(spark, d):
     """An index of variants: one is added, and one replaced and moved to the front."""
     n = table(spark, d, "nation")

@@ -107,6 +107,39 @@ def kg_graph_stats(spark, d):
     return graph.graph_stats(graph.merge_full(_scored(spark, d)))
 
 
+@query(f"""{W}, o AS (SELECT "month", url, seq, 0 AS side, sub AS node, upper(trim(sub_type)) AS type FROM triplets WHERE sub <> 'UNK' AND obj <> 'UNK' UNION ALL SELECT "month", url, seq, 1, obj, upper(trim(obj_type)) FROM triplets WHERE sub <> 'UNK' AND obj <> 'UNK')
+SELECT "month", node, arg_min(type, (url, seq, side)) AS type FROM o GROUP BY ALL""")
+def kg_live_types(spark, d):
+    """Types of the live writer: upper case as they are, the first wins, unknown entities go."""
+    return graph.node_types(graph.clean(triplets(spark, d, False), drop_unknown=True), "first", "month", kind=text.raw_type)
+
+
+@query(f"""{W}, e AS (SELECT "month", sub, rel, substring(obj, 1, 7) AS obj, rel_category, min((url, seq)) AS seen, count(*) AS weight FROM triplets GROUP BY "month", sub, rel, rel_category, obj)
+SELECT "month", sub, rel, obj, sum(weight)::BIGINT AS weight, arg_min(rel_category, seen) AS rel_category FROM e GROUP BY "month", sub, rel, substring(obj, 1, 7), obj""")
+def canon_merge_first(spark, d):
+    """Edges merged after renaming, with the attributes of the first."""
+    t = triplets(spark, d, False)
+    e = t.groupBy("month", "sub", "rel", "obj", "rel_category").agg(F.min(F.struct("url", "seq")).alias("at"), F.count("*").alias("weight"))
+    return graph.clean_merge(e.withColumn("obj", F.substring("obj", 1, 7)), "at", "rel_category")
+
+
+@query(f"""{EDGES}, m AS (SELECT DISTINCT "month" FROM edges) SELECT source, count(*)::INT AS n, array_to_string(list_sort(list(DISTINCT lang))[1:2], '|') || CASE WHEN count(DISTINCT lang) > 2 THEN ' +' || (count(DISTINCT lang) - 2) || ' more' ELSE '' END AS preview,
+  '199' || (substring(source, 4)::INT % 10) || '-05' IN (SELECT "month" FROM m) AS noted FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def ap_source_notes(spark, d):
+    """Sources with a preview of their languages, and whether their end note's month is there."""
+    s = table(spark, d, "documents").filter("source is not null").groupBy("source").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_set("lang")).alias("langs"))
+    s = s.withColumn("end_note_month", F.concat(F.lit("199"), (F.substring("source", 4, 9).cast("int") % 10).cast("string"), F.lit("-05")))
+    noted = serving.end_notes(s, edges(spark, d).select("month").distinct())
+    return noted.select("source", "n", serving.preview(F.col("langs"), 2).alias("preview"), "noted")
+
+
+@query(f"""{EDGES}, m AS (SELECT DISTINCT "month" FROM edges WHERE rel_category = '{SOURCE}' AND weight > 2) SELECT DISTINCT "month" FROM edges WHERE "month" NOT IN (SELECT "month" FROM m)""")
+def kg_missing_months(spark, d):
+    """Months of the index that a client does not hold yet."""
+    e = edges(spark, d)
+    return serving.missing(e.select("month").distinct(), e.filter((F.col("rel_category") == SOURCE) & (F.col("weight") > 2)).select("month"), "month")
+
+
 FAM = family_sql("historical")
 
 
@@ -156,7 +189,7 @@ def kg_presets(spark, d):
 
 
 @query(f"""{EDGES}, deg AS (SELECT node, sum(weight)::BIGINT AS degree FROM (SELECT sub AS node, weight FROM edges UNION ALL SELECT obj, weight FROM edges) GROUP BY node)
-SELECT node, degree, round(50 * sqrt(degree / (SELECT max(degree) FROM deg)), 6) AS size, round(12 + (least(greatest(degree, 1), 15) - 1) * 2.0, 6) AS width FROM deg ORDER BY degree DESC, node LIMIT 500""")
+SELECT node, degree, round(50 * sqrt(degree / (SELECT max(degree) FROM deg)), 6) AS size, round(12 + (least(greatest(degree, 1), 15) - 1) * 2.0, 6)::DOUBLE AS width FROM deg ORDER BY degree DESC, node LIMIT 500""")
 def kg_palette(spark, d):
     """The busiest nodes of all, with the size and width that they are drawn in."""
     top = serving.size_scale(graph.weighted_degree(edges(spark, d))).orderBy(F.desc("degree"), "node").limit(500)

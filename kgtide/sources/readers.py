@@ -224,6 +224,11 @@ def _tag(c: Column, tag: str) -> Column:
     return _plain(F.regexp_extract(c, rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>", 1))
 
 
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Feed documents as they were fetched, a file each: path, xml."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("xml"))
+
+
 def is_feed(xml: Column) -> Column:
     """Whether a document is a whole feed: closed, and as many items begun as ended."""
     count = lambda mark: F.regexp_count(xml, F.lit(mark))

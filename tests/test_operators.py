@@ -138,6 +138,16 @@ def test_missing_columns_and_months(spark, tmp_path):
     assert readers.read_month(spark, str(tmp_path / "none"), "2020-01", "url string, month string").count() == 0
 
 
+def test_feeds_are_read_and_a_broken_one_hinders_none(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rss><channel><title>T &amp; U</title>\n<item><title>x</title><link>l</link><pubDate>Tue, 02 Jan 2024 23:00:00 -0200</pubDate></item><item><title>y</title><link>m</link></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel><item><title>z")
+    (tmp_path / "c.xml").write_text("<rss><channel><title></title></channel></rss>")
+    raw = readers.read_feeds(spark, str(tmp_path))
+    got = readers.rss_items(raw, F.lit("2024-05-05").cast("date")).select("ord", "title", "url", "source", F.col("date").cast("string"), "text").collect()
+    assert sorted(map(tuple, got)) == [(0, "x", "l", "T & U", "2024-01-03", "x"), (1, "y", "m", "T & U", "2024-05-05", "y")]
+    assert [r["path"][-5:] for r in readers.broken_feeds(raw).collect()] == ["b.xml"]
+
+
 def test_a_killed_batch_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
     store = ingest.MonthStore(spark, str(tmp_path))
     rows = spark.createDataFrame([("u1", "2020-01-05"), ("u2", "2020-02-05"), ("u1", "2020-01-05")], "url string, date string")
