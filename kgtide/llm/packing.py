@@ -27,7 +27,7 @@ from .tokens import coder, default_vocabulary
 
 #: Least pieces of one length that are numbered in one task.  Groups grow as the
 #: square root of a length's pieces, so that the list of its groups stays short too.
-GROUP = 1_000
+GROUP = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
