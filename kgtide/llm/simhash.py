@@ -203,7 +203,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    """doc_id, fingerprint (16 hex digits), component_id of every row.
+
+    Null and empty texts have fingerprint zero and link as any other.  Repeated
+    rows have a row each; null ids take part, and a component of these alone has a
+    null id.  An empty table gives an empty result.
+    """
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -28,7 +28,7 @@ def odd_docs():
     rows = [(i, prose(R.randint(1, 400)), R.choice(["en", "fr", None]), f"s{R.randint(0, 4)}") for i in range(60)]
     rows += [(100 + i, " ".join(w if k != 7 * i else "changed" for k, w in enumerate(near.split(" "))), "en", "s1") for i in range(25)]
     rows += [(200, None, None, None), (201, "", "en", "s1"), (202, " \t\n ", "en", ""), (None, prose(50), "en", "s2"), (None, None, "en", "s2")]
-    rows += [(203, prose(6000), "en", "s3"), (204, "one", "fr", "zz"), (205, "two words", "fr", "zz")]
+    rows += [(203, prose(25_000), "en", "s3"), (204, "one", "fr", "zz"), (205, "two words", "fr", "zz")]
     rows += [(206, "same text " * 40, "en", "s0")] * 3 + [(207, "line\nline\n \nother\nline\r\n" * 20, "en", "s0")]
     rows += [(300 + i, "Mail a.b@c.de or +49 30 1234 5678, under the MIT License; card 4111 1111 1111 1111, 10.0.0.300 1.2.3.4.5.6.7.8", "en", "s0") for i in range(5)]
     return rows
