@@ -145,3 +145,43 @@ def mixed_rows(docs: DataFrame, seed: int = 7) -> DataFrame:
     each = each.withColumn("_text", F.when(F.col("_run.b") > 0, F.btrim(F.array_join(some, ""), F.lit(WS))).otherwise(F.col("_row.text")))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return each.select(*(changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def _apportion_sql(parties: str, group: str, votes: str, seats: str, order: str) -> str:
+    """``parties`` with quota, by the same candidates as ``apportion``."""
+    return f"""(WITH a AS (SELECT *, sum({votes}) OVER (PARTITION BY {group}) AS _total, count(*) OVER (PARTITION BY {group}) / 2.0 AS _n FROM {parties}),
+  b AS (SELECT *, CASE WHEN _total > 0 THEN greatest(0, floor({votes}::DOUBLE / _total * ({seats} - _n) - 0.5) - 1) ELSE 0 END::BIGINT AS _sure,
+    CASE WHEN _total > 0 THEN floor({votes}::DOUBLE / _total * ({seats} + _n) + 0.5) + 1 ELSE 0 END::BIGINT AS _most FROM a),
+  c AS (SELECT *, {seats} - sum(_sure) OVER (PARTITION BY {group}) AS _open FROM b),
+  d AS (SELECT *, unnest(range(_sure, _most + 1)) AS _k FROM c WHERE {votes} > 0),
+  e AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {votes}::DOUBLE / (2 * _k + 1) DESC, {order}, _k) AS _rank FROM d),
+  f AS (SELECT {group}, {order}, count(*) AS _won FROM e WHERE _rank <= _open GROUP BY {group}, {order})
+  SELECT c.* EXCLUDE (_total, _n, _sure, _most, _open), (_sure + coalesce(_won, 0))::BIGINT AS quota FROM c LEFT JOIN f USING ({group}, {order}))"""
+
+
+def op7_sql(seed: int = 7, most: int = MOST, block: int = BLOCK) -> str:
+    """For ``documents`` with lang, source and n_chars beside doc_id and text."""
+    seeded = lambda text: f"('0x' || substring(md5({text}), 1, 8))::BIGINT"
+    field = lambda c, mark: f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":{mark}' || {c} || '{mark}' END"""
+    word = lambda at: f"coalesce(least(greatest({at} - begin, 0), size), 0)"
+    rest = "'{' || concat_ws(',', " + ", ".join((field("lang", '"'), field("source", '"'), field("n_chars", ""))) + ") || '}'"
+    return rf"""
+WITH sizes AS (
+  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
+    md5(concat_ws(':', '{seed}', doc_id::VARCHAR, md5(coalesce(text, '')), md5({rest}))) AS key FROM documents),
+s0 AS (SELECT none, name, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sizes GROUP BY ALL),
+s1 AS (SELECT *, 1 + (row_number() OVER (ORDER BY none, name) - 1) % 3 AS weight, sum(source_size) OVER () AS whole, {most} * source_size AS cap FROM s0),
+s2 AS (SELECT *, row_number() OVER w AS nth, (whole - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s1 WINDOW w AS (ORDER BY cap::DOUBLE / weight, none, name)),
+s3 AS (SELECT *, (SELECT arg_min(level, nth) FROM s2 WHERE level * weight <= cap) AS rest FROM s2),
+s4 AS (SELECT none, name, source_size, n_docs, 1 AS every, round(whole / {block}.0)::BIGINT AS seats, least(cap::DOUBLE, coalesce(rest * weight, cap::DOUBLE)) AS target FROM s3),
+s5 AS (SELECT *, greatest(ceil(source_size / greatest({float(SHARD_WORDS)}, {SHARD_WORDS / SHARD_DOCS} * sqrt(source_size))), ceil(n_docs / greatest({float(SHARD_DOCS)}, sqrt(n_docs))))::BIGINT AS n_shards
+  FROM {_apportion_sql("s4", "every", "target", "seats", "none, name")}),
+dealt AS (SELECT sizes.*, source_size, target, quota AS source_quota, {seeded("'shard:' || key")} % n_shards AS shard FROM sizes JOIN s5 USING (none, name)),
+p0 AS (SELECT none, name, shard, sum(size)::BIGINT AS shard_size, any_value(source_quota) AS source_quota FROM dealt GROUP BY ALL),
+p1 AS (SELECT *, least(quota * {block}, {most} * shard_size) AS words, nullif(shard_size, 0) AS room, {seeded(f"'{seed}:' || name || ':' || none || ':' || shard")} AS run
+  FROM {_apportion_sql("p0", "none, name", "shard_size", "source_quota", "shard")}),
+p2 AS (SELECT none, name, shard, shard_size, words // room AS passes, words % room AS left_, run % room - run % room % {block} AS first FROM p1),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY none, name, shard ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS begin FROM dealt JOIN p2 USING (none, name, shard))
+SELECT doc_id, size, source_size, target, (coalesce(passes, 0) * size + {word("first + left_")} - {word("first")} + {word("first + left_ - shard_size")})::BIGINT AS taken FROM placed"""

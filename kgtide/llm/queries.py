@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; tests hold the others against brute force."""
-    return {"op2_license_scan": licenses.op2_sql(), "op8_warc": warc.op8_sql(), "op10_quality": quality.op10_sql()}
+    return {"op2_license_scan": licenses.op2_sql(), "op7_mixing": mixing.op7_sql(), "op8_warc": warc.op8_sql(), "op10_quality": quality.op10_sql()}
