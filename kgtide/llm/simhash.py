@@ -12,11 +12,17 @@ all pairs is made: verified fingerprints are united, a pair that is united
 already is not looked at again, and a bucket yields at most one link for each
 member.  Crowded buckets are first thinned by their most frequent fingerprint,
 and what it does not reach is compared with the bucket in blocks.
+
+``keep_one`` takes shingles of five words and fingerprints of 128 bits, of which
+all four segments of 32 bits meet so, and a distance that SimHash expects of a
+similarity of 0.8.  Fingerprints within it are found if they differ in at most
+two bits of some segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,31 +31,48 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 SHINGLE, RADIUS = 4, 4
+#: For 128 bits.  A similarity of 0.8 is a cosine of 0.89, or 19.4 differing bits on average.
+WIDE_SHINGLE, WIDE_RADIUS = 5, 19
 #: Members that one task compares with each other; fingerprints that one task spreads over the tables.
 BLOCK, SPREAD = 2048, 250_000
+#: Buckets of use up to which their list (a key and a mark) is broadcast; beyond, members are shuffled to it.
+LISTED = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash over word shingles, repeats included."""
+def _hashes(text: str | None, shingle: int, digest: Callable[[bytes], bytes]) -> bytes:
+    """Digests of all word shingles in turn, repeats included; of fewer words, of these."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return b""
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-shingle].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], np.uint64)
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
+        return digest(line)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-shingle].tolist()]
+    return b"".join([digest(line[a:b]) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+
+
+def _majority(hashes: bytes, size: int) -> bytes:
+    """The bits, lowest first, that are set in over half of the digests of ``size`` bytes."""
+    counts, n = np.zeros(8 * size, np.int64), len(hashes) // size
+    for at in range(0, n, 65_536):
+        part = np.frombuffer(hashes, np.uint8, min(n - at, 65_536) * size, at * size).reshape(-1, size)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash over word shingles, repeats included."""
+    digest = lambda x: xxhash.xxh64_intdigest(x, seed).to_bytes(8, "little")
+    return int.from_bytes(_majority(_hashes(text, shingle, digest), 8), "little")
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, seed: int = 42) -> bytes:
+    """128-bit SimHash over word shingles, repeats included."""
+    return _majority(_hashes(text, shingle, lambda x: xxhash.xxh3_128_digest(x, seed)), 16)
 
 
 def _text_key() -> Column:
@@ -68,17 +91,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long, key string")
 
 
-def _near(fps: np.ndarray, one: np.uint64) -> np.ndarray:
-    return np.bitwise_count(fps ^ one) <= RADIUS
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, the 128 bits as longs fp and fp2, and a key of the text of every row; null text: 0."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.frombuffer(b"".join([wide_fingerprint(t.as_py()) for t in batch.column(1)]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits[:, 0]), pa.array(bits[:, 1]), batch.column(2)], names=["doc_id", "fp", "fp2", "key"])
 
-def unite(fps: np.ndarray, seen_by: np.ndarray) -> list[tuple[int, int]]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), _text_key().alias("key"))
+    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long, key string")
+
+
+def unite(fps: np.ndarray, seen_by: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that hold the members together as all pairs within the radius would.
 
-    From each member not yet reached, a search goes through the members left
-    and takes what lies within the radius of a reached one.  ``seen_by`` marks
-    members that may start or extend a link; a pair of unmarked members is not
-    looked at.
+    ``fps`` has a row of words for each member.  From each member not yet
+    reached, a search goes through the members left and takes what lies within
+    the radius of a reached one.  ``seen_by`` marks members that may start or
+    extend a link; a pair of unmarked members is not looked at.
     """
     left = np.arange(len(fps))
     links = []
@@ -87,7 +118,7 @@ def unite(fps: np.ndarray, seen_by: np.ndarray) -> list[tuple[int, int]]:
         while todo and len(left):
             one = todo.pop()
             there = left if seen_by[one] else left[seen_by[left]]
-            near = there[_near(fps[there], fps[one])]
+            near = there[np.bitwise_count(fps[there] ^ fps[one]).sum(1) <= radius]
             if len(near):
                 links += [(int(one), int(x)) for x in near]
                 todo += near.tolist()
@@ -95,68 +126,81 @@ def unite(fps: np.ndarray, seen_by: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints that connect what lies within the
-    radius.  ``distinct`` has fp and n (rows with it) and is a written table."""
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    tables = ((low, 0), (high, 1 << 32))  # bit 32 of a key tells the half
-    probe = lambda word, half, flip: F.struct(word.bitwiseXOR(F.lit(half | flip)).alias("key"), F.lit(not flip).alias("home"))
-    probes = F.array(*(probe(word, half, flip) for word, half in tables for flip in (0, *(1 << i for i in range(32)))))
-    # Each fingerprint becomes 66 rows, so more tasks than the small table's files.
+def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp", meet: tuple[bool, ...] = (True, False), radius: int = RADIUS) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints that connect what lies within the radius.
+
+    ``distinct`` is a written table with the words of a fingerprint in ``parts``,
+    the ``node`` that names it, and n (rows with it).  ``meet`` tells for each half
+    of a part, low and then high, whether stored balls meet there.
+    """
+    cols = list(dict.fromkeys((node, *parts)))
+    halves = [half for p in parts for half in (F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(p, 32))]
+    probe = lambda word, at, flip: F.struct(word.bitwiseXOR(F.lit(at << 32 | (1 << flip) >> 1).cast("long")).alias("key"), F.lit(flip).cast("byte").alias("flip"))
+    probes = F.array(*(probe(word, at, flip) for at, word in enumerate(halves) for flip in range(33)))
+    # Each fingerprint becomes many rows, so more tasks than the small table's files.
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
-    probed = distinct.repartition(tasks, "fp").select("fp", "n", F.explode(probes).alias("p")).select("p.key", "fp", "n", "p.home")
-    any_meet = F.col("key") < (1 << 32)
-
-    # A bucket is of use if a member is at home there or, in the low half, if
-    # two words meet there; equal words meet at home.
-    sizes = probed.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("homes"), F.min(low).alias("least"), F.max(low).alias("most"))
-    sizes = cut(sizes.filter((F.col("size") > 1) & (F.col("homes") | (any_meet & (F.col("least") != F.col("most"))))).select("key", "size"), "buckets")
-    member = probed.join(sizes, "key")
-    starts = F.col("home") | any_meet
-    plain = member.filter(F.col("size") <= BLOCK).groupBy("key").agg(
-        F.collect_list(F.when(starts, F.col("fp"))).alias("homes"), F.collect_list(F.when(~starts, F.col("fp"))).alias("guests")
-    )
+    probed = distinct.repartition(tasks, node).select(*cols, "n", F.explode(probes).alias("p")).select("p.key", *cols, "n", "p.flip")
+    any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet) if m])
+
+    # A bucket is of use if a member is at home there (no bit flipped) or, where
+    # balls meet, if two words do; equal words meet at home.
+    sizes = probed.groupBy("key").agg(F.count("*").alias("size"), F.min("flip").alias("least"), F.max("flip").alias("most"))
+    sizes = cut(sizes.filter((F.col("size") > 1) & ((F.col("least") == 0) | (any_meet & (F.col("least") != F.col("most"))))).select("key", (F.col("size") > BLOCK).alias("many")), "buckets")
+    member = probed.join(broadcast_if_small(sizes, LISTED, 128 << 20), "key")
+    starts = (F.col("flip") == 0) | any_meet
+    listed = [F.collect_list(F.when(c, F.col(x))).alias(f"{side}{i}") for side, c in (("h", starts), ("g", ~starts)) for i, x in enumerate(cols)]
+    plain = member.filter(~F.col("many")).groupBy("key").agg(*listed).drop("key")
+    words_at, width = [cols.index(p) for p in parts], len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for homes, guests in zip(batch.column(0), batch.column(1), strict=True):
-                homes, guests = homes.as_py(), guests.as_py()
-                if len(homes) * (len(homes) + len(guests)) <= 64:
-                    for i, x in enumerate(homes):
-                        found += [(x, y) for y in (*homes[i + 1 :], *guests) if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= RADIUS]
+            for row in zip(*batch.columns, strict=True):
+                lists = [x.as_py() for x in row]
+                first = len(lists[0])
+                every = [lists[i] + lists[width + i] for i in range(width)]
+                names, words = every[0], [every[i] for i in words_at]
+                if first * len(names) <= 64:
+                    for i in range(first):
+                        own = [w[i] for w in words]
+                        for j in range(i + 1, len(names)):
+                            if sum([((x ^ w[j]) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, w in zip(own, words, strict=True)]) <= radius:
+                                found.append((names[i], names[j]))
                 else:
-                    fps = np.array(homes + guests, np.int64)
-                    found += [(fps[i], fps[j]) for i, j in unite(fps.view(np.uint64), np.arange(len(fps)) < len(homes))]
+                    fps = np.array(words, np.int64).T.copy().view(np.uint64)
+                    found += [(names[i], names[j]) for i, j in unite(fps, np.arange(len(names)) < first, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    out = plain.select("homes", "guests").mapInArrow(run, "a long, b long")
-    crowded = sizes.filter(F.col("size") > BLOCK)
+    out = plain.mapInArrow(run, "a long, b long")
+    crowded = sizes.filter("many")
     if not crowded.limit(1).count():
         return out
 
     # Crowded buckets: what lies near the pivot is linked to it and so united.
     # A pair can connect something new only if one of its members is not.
-    many = member.filter(F.col("size") > BLOCK).select("key", "fp", "n")
-    pivots = many.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("pivot"))
-    many = many.join(pivots, "key").withColumn("near", F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS)
-    many = cut(many.select("key", "fp", "near", "pivot"), "crowded")
-    star = many.filter("near and fp != pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
+    many = member.filter("many").select("key", *cols, "n")
+    pivots = many.groupBy("key").agg(F.max(F.struct("n", *cols)).alias("pivot"))
+    distance = reduce(Column.__add__, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"pivot.{p}"))) for p in parts])
+    many = many.join(pivots, "key").withColumn("near", distance <= radius)
+    many = cut(many.select("key", *cols, "near", F.col(f"pivot.{node}").alias("pivot")), "crowded")
+    star = many.filter(F.col("near") & (F.col(node) != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col(node).alias("b"))
     far = many.filter(~F.col("near"))
     n_far = far.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("far_blocks"))
     n_all = many.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("all_blocks"))
     grid = cut(n_far.join(n_all, "key"), "grid")
-    block = lambda n: F.pmod(F.xxhash64("fp", "key"), F.col(n))
-    rows = far.join(grid, "key").select("key", "fp", F.lit(True).alias("far"), block("far_blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("y"))
-    cols = many.join(grid, "key").select("key", "fp", F.lit(False).alias("far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("x"), block("all_blocks").alias("y"))
+    block = lambda n: F.pmod(F.xxhash64(node, "key"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = far.join(grid, "key").select("key", *cols, F.lit(True).alias("far"), block("far_blocks").alias("x"), each("all_blocks").alias("y"))
+    against = many.join(grid, "key").select("key", *cols, F.lit(False).alias("far"), each("far_blocks").alias("x"), block("all_blocks").alias("y"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = np.unique(pdf.loc[pdf["far"], "fp"].to_numpy(np.int64))
-        every = np.unique(pdf["fp"].to_numpy(np.int64))
-        found = unite(every.view(np.uint64), np.isin(every, one))
-        return pd.DataFrame({"a": [every[i] for i, _ in found], "b": [every[j] for _, j in found]}, dtype="int64")
+        every = pdf.sort_values("far", ascending=False).drop_duplicates(node)
+        fps = np.ascontiguousarray(every[list(parts)].to_numpy(np.int64)).view(np.uint64)
+        names = every[node].to_numpy(np.int64)
+        found = unite(fps, every["far"].to_numpy(bool), radius)
+        return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype="int64")
 
-    rest = rows.unionByName(cols).groupBy("key", "x", "y").applyInPandas(across, "a long, b long")
+    rest = rows.unionByName(against).groupBy("key", "x", "y").applyInPandas(across, "a long, b long")
     return out.unionByName(star).unionByName(rest)
 
 
@@ -180,12 +224,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _rooted(rows: DataFrame) -> DataFrame:
-    """fp, root (a component's smallest fp) and the first row of each distinct fp of ``rows``."""
+def _rooted(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """Each distinct fingerprint of ``rows`` with n, its least id and first row, and
+    root, the smallest node of its component."""
+    parts = ("fp", "fp2") if wide else ("fp",)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    distinct = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), first), "distinct")
-    roots = components(links(distinct))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = rows.groupBy(*parts).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), first)
+    node = F.monotonically_increasing_id() if wide else F.col("fp")
+    distinct = cut(distinct.withColumn("node", node), "distinct")
+    found = links(distinct, parts, "node", (True,) * 4, WIDE_RADIUS) if wide else links(distinct)
+    return distinct.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,11 +263,13 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component of ``docs``, with its columns.
 
-    The row with the smallest doc_id stays, null last; of several texts with
-    that id the one with the smallest key, and of repeated rows one.
+    Near duplicates are those of ``wide_fingerprints`` within ``WIDE_RADIUS``.  The
+    row with the smallest doc_id stays, null last; of several texts with that id
+    the one with the smallest key, and of repeated rows one.
     """
-    kept = _rooted(cut(fingerprints(docs), "fingerprints")).groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), _text_key().alias("_text"))
-    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["_doc", "_text"]).select("_row.*")
+    kept = _rooted(cut(wide_fingerprints(docs), "fingerprints"), True).groupBy("root").agg(F.min("first").alias("first"))
+    name = lambda doc, text: F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).alias("_name")
+    kept = kept.select(name(F.col("first.doc_id"), F.col("first.key")))
+    # Repeated rows come down to one before the shuffle, whose partitioning the join takes over.
+    rows = docs.select(F.struct("*").alias("_row"), name(F.col("doc_id").cast("long"), _text_key())).dropDuplicates(["_name"])
+    return rows.join(kept, "_name", "left_semi").select("_row.*")

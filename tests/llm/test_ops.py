@@ -275,12 +275,63 @@ def test_links_lose_nothing(spark, monkeypatch, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def wide_classes(texts):
+    """text -> the class of its 128 bits: all pairs within the radius that differ in
+    at most two bits of some 32."""
+    fps = {t: int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts}
+    name = {f: f for f in fps.values()}
+
+    def root(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    for a, b in itertools.combinations(name, 2):
+        d = a ^ b
+        if d.bit_count() <= simhash.WIDE_RADIUS and min((d >> 32 * i & 0xFFFFFFFF).bit_count() for i in range(4)) <= 2:
+            name[root(a)] = root(b)
+    return {t: root(f) for t, f in fps.items()}
+
+
+def slow_kept(rows):
+    """The (id, text) that stays of each class."""
+    by = wide_classes({t for _, t in rows})
+    best = {}
+    for d, t in rows:
+        own = (d is None, d if d is not None else 0, t is not None, hashlib.md5((t or "").encode()).hexdigest() if t is not None else "")
+        best[by[t]] = min(best.get(by[t], (own, d, t)), (own, d, t), key=lambda x: x[0])
+    return Counter((d, t) for _, d, t in best.values())
+
+
 def test_keep_one(docs):
-    found = simhash.near_duplicates(docs).collect()
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in found if r["component_id"] is not None})
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == slow_kept([r[:2] for r in DOCS])
+
+
+def test_wide_fingerprint():
+    for text in [r[1] for r in DOCS if r[1]][:30] + [None, "", "a b", "É x Y z q r"]:
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        hashes = [int.from_bytes(xxhash.xxh3_128_digest(g.encode(), 42), "little") for g in grams]
+        want = sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+        assert int.from_bytes(simhash.wide_fingerprint(text), "little") == want
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_near_copies_go(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows, rng = [], random.Random(11)
+    for g in range(6):
+        base = [f"g{g}w{rng.randint(0, 400)}" for _ in range(300)]
+        for c in range(8):
+            rows.append((100 * g + c, " ".join(w if rng.random() > 0.006 * (c > 0) else "edit" for w in base)))
+    rows += [(900 + i, " ".join(f"u{i}x{rng.randint(0, 300)}" for _ in range(120))) for i in range(40)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == slow_kept(rows)
+    ids = {d for d, _ in got}
+    assert ids >= {900 + i for i in range(40)} and len(ids) <= 40 + 12
 
 
 def test_url_rules(spark):
@@ -604,11 +655,10 @@ def test_stages(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     kept = {r["doc_id"] for r in quality.op10_quality(docs, labels).filter("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
-    by = classes({slow_fingerprint(t) for t in texts.values()})
+    by = wide_classes(set(texts.values()))
     least = {}
     for d, t in texts.items():
-        f = by[slow_fingerprint(t)]
-        least[f] = min(d, least.get(f, d))
+        least[by[t]] = min(d, least.get(by[t], d))
     out = cp.run(spark, sf_dir)
     found = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert found <= set(least.values()) and len(found) > 0.2 * len(least)
