@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, licenses, packing, pii, quality, mixing, simhash, tokenfile, urlrules, warc
+from . import align, ann, counts, infill, licenses, packing, pii, quality, mixing, simhash, tokenfile, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": _on("pages", warc.op8_warc),
         "op9_neighbours": _on("embeddings", ann.op9_neighbours),
         "op10_quality": lambda spark, sf_dir: quality.op10_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+        "op11_infill": _on("documents", infill.op11_infill),
+        "op12_alignment": _on("documents", align.op12_alignment),
+        "op13_token_counts": _on("documents", counts.op13_token_counts),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; tests hold the others against brute force."""
-    return {"op2_license_scan": licenses.op2_sql(), "op7_mixing": mixing.op7_sql(), "op8_warc": warc.op8_sql(), "op10_quality": quality.op10_sql()}
+    return {"op2_license_scan": licenses.op2_sql(), "op7_mixing": mixing.op7_sql(), "op8_warc": warc.op8_sql(), "op10_quality": quality.op10_sql(), "op11_infill": infill.op11_sql()}
