@@ -13,14 +13,19 @@ already is not looked at again, and a bucket yields at most one link for each
 member.  Crowded buckets are first thinned by their most frequent fingerprint,
 and what it does not reach is compared with the bucket in blocks.
 
-``keep_one`` takes shingles of five words and fingerprints of 128 bits, of which
-all four segments of 32 bits meet so, and a distance that SimHash expects of a
-similarity of 0.8.  Fingerprints within it are found if they differ in at most
-two bits of some segment.
+``keep_one`` takes shingles of five words, fingerprints of 128 bits, and a distance
+that SimHash expects of a similarity of 0.8, which is 19 bits.  Balls that find all
+pairs at that distance hold 2,116 words for each fingerprint (radius 2 in each of
+four segments); ``exact`` asks for them.  Otherwise segments are drawn instead of
+cut: ``TABLES`` times ``WIDTH`` of the 128 bits, whose words meet where they are
+equal.  A pair at distance d is found with probability 1 - (1 - p) ** TABLES, with
+p = C(128 - d, WIDTH) / C(128, WIDTH): 0.999 at 14 and less, 0.89 at 19.
 """
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -36,6 +41,8 @@ from .common import broadcast_if_small, cut
 SHINGLE, RADIUS = 4, 4
 #: For 128 bits.  A similarity of 0.8 is a cosine of 0.89, or 19.4 differing bits on average.
 WIDE_SHINGLE, WIDE_RADIUS = 5, 19
+#: Drawn segments of a wide fingerprint, and their bits.
+TABLES, WIDTH = 160, 24
 #: Members that one task compares with each other; fingerprints that one task spreads over the tables.
 BLOCK, SPREAD = 2048, 250_000
 #: Buckets of use up to which their list (a key and a mark) is broadcast; beyond, members are shuffled to it.
@@ -126,21 +133,48 @@ def unite(fps: np.ndarray, seen_by: np.ndarray, radius: int = RADIUS) -> list[tu
     return links
 
 
-def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp", meet: tuple[bool, ...] = (True, False), radius: int = RADIUS) -> DataFrame:
+def _words(words: list[int]) -> list[int]:
+    """Unsigned 64-bit words as signed ones."""
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def ball_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...], ball: int = 1) -> DataFrame:
+    """key, cols, n, flip: for each half of a part all words that differ in at most
+    ``ball`` bits; flip numbers the bits that differ, 0 for none."""
+    halves = [half for p in parts for half in (F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(p, 32))]
+    flips = [sum(1 << b for b in some) for k in range(ball + 1) for some in itertools.combinations(range(32), k)]
+    masks = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("flip"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(flips)))).alias("m")
+    word = F.posexplode(F.array(*halves)).alias("at", "word")
+    spread = rows.select(*cols, "n", word).select(*cols, "n", "at", "word", masks)
+    return spread.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("word").bitwiseXOR(F.col("m.mask"))).alias("key"), *cols, "n", "m.flip")
+
+
+def drawn_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...], tables: int = TABLES, width: int = WIDTH, seed: int = 7) -> DataFrame:
+    """key, cols, n, flip (always 0): a hash of each drawn segment's bits."""
+    draw = random.Random(seed)
+    masks = []
+    for _ in range(tables):
+        mask = sum(1 << b for b in draw.sample(range(64 * len(parts)), width))
+        masks.append(_words([mask >> 64 * i & 0xFFFFFFFFFFFFFFFF for i in range(len(parts))]))
+    drawn = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), *(F.lit(w).cast("long").alias(p) for p, w in zip(parts, m, strict=True))) for t, m in enumerate(masks)))).alias("m")
+    key = F.xxhash64("m.t", *(F.col(p).bitwiseAND(F.col(f"m.{p}")) for p in parts))
+    return rows.select(*cols, "n", drawn).select(key.alias("key"), *cols, "n", F.lit(0).cast("short").alias("flip"))
+
+
+def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp", meet: tuple[bool, ...] = (True, False), radius: int = RADIUS, ball: int = 1) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that connect what lies within the radius.
 
     ``distinct`` is a written table with the words of a fingerprint in ``parts``,
     the ``node`` that names it, and n (rows with it).  ``meet`` tells for each half
-    of a part, low and then high, whether stored balls meet there.
+    of a part, low and then high, whether stored balls meet there.  With no ``ball``
+    the segments are drawn, see ``drawn_keys``.
     """
     cols = list(dict.fromkeys((node, *parts)))
-    halves = [half for p in parts for half in (F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(p, 32))]
-    probe = lambda word, at, flip: F.struct(word.bitwiseXOR(F.lit(at << 32 | (1 << flip) >> 1).cast("long")).alias("key"), F.lit(flip).cast("byte").alias("flip"))
-    probes = F.array(*(probe(word, at, flip) for at, word in enumerate(halves) for flip in range(33)))
     # Each fingerprint becomes many rows, so more tasks than the small table's files.
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
-    probed = distinct.repartition(tasks, node).select(*cols, "n", F.explode(probes).alias("p")).select("p.key", *cols, "n", "p.flip")
-    any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet) if m])
+    spread = distinct.repartition(tasks, node)
+    probed = ball_keys(spread, cols, parts, ball) if ball else drawn_keys(spread, cols, parts)
+    any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet) if m]) if ball else F.lit(False)
 
     # A bucket is of use if a member is at home there (no bit flipped) or, where
     # balls meet, if two words do; equal words meet at home.
@@ -224,7 +258,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _rooted(rows: DataFrame, wide: bool = False) -> DataFrame:
+def _rooted(rows: DataFrame, wide: bool = False, exact: bool = True) -> DataFrame:
     """Each distinct fingerprint of ``rows`` with n, its least id and first row, and
     root, the smallest node of its component."""
     parts = ("fp", "fp2") if wide else ("fp",)
@@ -232,7 +266,7 @@ def _rooted(rows: DataFrame, wide: bool = False) -> DataFrame:
     distinct = rows.groupBy(*parts).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), first)
     node = F.monotonically_increasing_id() if wide else F.col("fp")
     distinct = cut(distinct.withColumn("node", node), "distinct")
-    found = links(distinct, parts, "node", (True,) * 4, WIDE_RADIUS) if wide else links(distinct)
+    found = links(distinct, parts, "node", (True,) * 4, WIDE_RADIUS, 2 if exact else 0) if wide else links(distinct)
     return distinct.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -260,14 +294,16 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One row of each near-duplicate component of ``docs``, with its columns.
 
-    Near duplicates are those of ``wide_fingerprints`` within ``WIDE_RADIUS``.  The
-    row with the smallest doc_id stays, null last; of several texts with that id
+    Near duplicates are those of ``wide_fingerprints`` within ``WIDE_RADIUS``; with
+    ``exact`` all of them, otherwise what drawn segments find (see above).  Null and
+    empty texts are alike; very long texts are read whole; other columns stay as
+    they are, whatever their names.  The row with the smallest doc_id stays, null last; of several texts with that id
     the one with the smallest key, and of repeated rows one.
     """
-    kept = _rooted(cut(wide_fingerprints(docs), "fingerprints"), True).groupBy("root").agg(F.min("first").alias("first"))
+    kept = _rooted(cut(wide_fingerprints(docs), "fingerprints"), True, exact).groupBy("root").agg(F.min("first").alias("first"))
     name = lambda doc, text: F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).alias("_name")
     kept = kept.select(name(F.col("first.doc_id"), F.col("first.key")))
     # Repeated rows come down to one before the shuffle, whose partitioning the join takes over.

@@ -275,9 +275,17 @@ def test_links_lose_nothing(spark, monkeypatch, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def wide_pairs(fps):
+    """All pairs of distinct fingerprints within the radius."""
+    fps = sorted(set(fps))
+    words = np.array([[f & (1 << 64) - 1, f >> 64] for f in fps], np.uint64)
+    for i in range(len(fps) - 1):
+        for j in np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1) <= simhash.WIDE_RADIUS).tolist():
+            yield fps[i], fps[i + 1 + j]
+
+
 def wide_classes(texts):
-    """text -> the class of its 128 bits: all pairs within the radius that differ in
-    at most two bits of some 32."""
+    """text -> the class of its 128 bits by all pairs within the radius."""
     fps = {t: int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts}
     name = {f: f for f in fps.values()}
 
@@ -286,10 +294,8 @@ def wide_classes(texts):
             x = name[x]
         return x
 
-    for a, b in itertools.combinations(name, 2):
-        d = a ^ b
-        if d.bit_count() <= simhash.WIDE_RADIUS and min((d >> 32 * i & 0xFFFFFFFF).bit_count() for i in range(4)) <= 2:
-            name[root(a)] = root(b)
+    for a, b in wide_pairs(name):
+        name[root(a)] = root(b)
     return {t: root(f) for t, f in fps.items()}
 
 
@@ -304,9 +310,44 @@ def slow_kept(rows):
 
 
 def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == slow_kept([r[:2] for r in DOCS])
+    for exact in (True, False):
+        kept = simhash.keep_one(docs, exact)
+        assert kept.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == slow_kept([r[:2] for r in DOCS])
+
+
+def wide_table(spark, fps):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, signed(f & (1 << 64) - 1), signed(f >> 64), 1) for i, f in enumerate(fps)]
+    return spark.createDataFrame(rows, "node long, fp long, fp2 long, n long")
+
+
+def found_by(spark, fps, ball):
+    """Which pairs within the radius stand in one component."""
+    got = simhash.components(simhash.links(wide_table(spark, fps), ("fp", "fp2"), "node", (True,) * 4, simhash.WIDE_RADIUS, ball))
+    root = {f: i for i, f in enumerate(fps)} | {fps[r["node"]]: r["root"] for r in got.collect()}
+    return [root[a] == root[b] for a, b in wide_pairs(fps)]
+
+
+def test_pairs_at_any_distance_are_found(spark):
+    """Lone pairs, so that no third fingerprint links them: balls of radius 2 find
+    all, drawn segments nine in ten of those at the radius itself."""
+    rng = random.Random(3)
+    pairs = lambda d, n: [x for f in (rng.getrandbits(128) for _ in range(n)) for x in (f, f ^ sum(1 << b for b in rng.sample(range(128), d)))]
+    at_radius, near = pairs(simhash.WIDE_RADIUS, 300), pairs(14, 100)
+    some = at_radius[:40] + near[:20] + [1, 1 | sum(1 << 32 * (b % 4) + b for b in range(19))]
+    assert all(found_by(spark, some, 2)) and len(found_by(spark, some, 2)) >= 31
+    found = found_by(spark, at_radius, 0)
+    assert len(found) >= 300 and sum(found) >= 0.83 * len(found)
+    assert sum(found_by(spark, near, 0)) >= 99
+
+
+def test_drawn_segments_find_the_near_copies_of_the_large_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = simhash.wide_fingerprints(docs).select("fp", "fp2").distinct().collect()
+    fps = sorted({(r["fp"] & (1 << 64) - 1) | (r["fp2"] & (1 << 64) - 1) << 64 for r in rows})
+    found = found_by(spark, fps, 0)
+    assert len(found) > 100 and sum(found) >= 0.9 * len(found)
 
 
 def test_wide_fingerprint():
