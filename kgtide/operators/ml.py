@@ -107,20 +107,25 @@ def place_detached(e: DataFrame, nodes: DataFrame, inner: float = 640.0, outer:
     return nodes.filter("x is not null").unionByName(ring)
 
 
-def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
-    """Ranks by joins; the rank of nodes without out-links is spread evenly."""
-    links = e.select("sub", "obj").distinct()
+def pagerank(e: DataFrame, damping: float = 0.85, rounds: int = 200) -> DataFrame:
+    """Ranks by joins; the rank of nodes without out-links is spread evenly.  Ends
+    when the ranks change by less than 1e-10 a node, or after ``rounds``."""
+    links = cut(e.select("sub", "obj").distinct())
     degree = links.groupBy("sub").agg(F.count("*").alias("out"))
-    nodes = links.select(F.explode(F.array("sub", "obj")).alias("node")).distinct().cache()
+    nodes = cut(links.select(F.explode(F.array("sub", "obj")).alias("node")).distinct().join(degree, F.col("node") == F.col("sub"), "left").select("node", "out"))
     n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
-        given = ranks.join(degree, F.col("node") == F.col("sub"), "left")
-        loose = given.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        got = links.join(given.filter("out is not null").select("sub", (F.col("rank") / F.col("out")).alias("share")), "sub").groupBy(F.col("obj").alias("node")).agg(F.sum("share").alias("got"))
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        ranks = cut(ranks)  # a round reads the last one twice
-    return ranks
+        loose = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+        got = links.join(ranks.filter("out is not null").select(F.col("node").alias("sub"), (F.col("rank") / F.col("out")).alias("share")), "sub").groupBy(F.col("obj").alias("node")).agg(F.sum("share").alias("got"))
+        new = ranks.join(got, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"), F.col("rank").alias("old"))
+        new = cut(new)  # a round reads the last one twice
+        ranks = new.drop("old")
+        if new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * 1e-10:
+            break
+    return ranks.select("node", "rank")
 
 
 def layer_norm(x: np.ndarray) -> np.ndarray:
@@ -160,7 +165,8 @@ def sage_layer(e: DataFrame, emb: DataFrame, own: np.ndarray, other: np.ndarray)
 
 def notears(x: np.ndarray, threshold: float = 0.1, l1: float = 0.01, rounds: int = 20, steps: int = 200) -> np.ndarray:
     """Weights of a directed acyclic graph for the columns of ``x`` by an augmented
-    Lagrangian with proximal gradient steps; small weights are dropped."""
+    Lagrangian with proximal gradient steps; small weights are dropped.  The steps
+    of a round end when no weight moves by 1e-7."""
     n, d = x.shape
     w, rho, alpha, h_old = np.zeros((d, d)), 1.0, 0.0, np.inf
     gram = x.T @ x / n
@@ -174,9 +180,12 @@ def notears(x: np.ndarray, threshold: float = 0.1, l1: float = 0.01, rounds: int
         rate = 1 / (np.linalg.norm(gram, 2) + rho)
         for _ in range(steps):
             h, slope = acyclic(w)
-            w = w - rate * (gram @ w - gram + (alpha + rho * h) * slope)
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-            np.fill_diagonal(w, 0)
+            new = w - rate * (gram @ w - gram + (alpha + rho * h) * slope)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
+            np.fill_diagonal(new, 0)
+            moved, w = np.abs(new - w).max(), new
+            if moved < 1e-7:
+                break
         h, _ = acyclic(w)
         if h < 1e-8:
             break

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..operators import graph
-from ..sources.adapter import TRIPLETS_SQL, triplets
+from ..operators import canon, graph
+from ..operators.lineage import cut
+from ..sources.adapter import TRIPLETS_SQL, table, triplets
 from .registry import query
 
 W = f"WITH {TRIPLETS_SQL}"
@@ -214,12 +215,21 @@ def kg_anchor_month(spark, d):
     return graph.anchor_month(graph.ends(e, "month").select("month", "node").distinct())
 
 
-@query(f"""{EDGES}, snap AS (SELECT * FROM edges WHERE "month" BETWEEN '{FIRST}' AND '{LAST}'), {DEG},
-r AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS rn, row_number() OVER (PARTITION BY substring(node, 1, 1) ORDER BY degree DESC, node) AS own, count(*) OVER () AS n FROM deg)
-SELECT node, degree FROM r WHERE rn <= greatest(20, floor(0.4 * n + 0.5)) OR own = 1""")
+@query("""WITH RECURSIVE l AS (SELECT s_name AS s, 'part ' || l_partkey AS p, count(*) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '1995-01' AND '1995-03' GROUP BY ALL),
+near AS (SELECT DISTINCT x.s AS a, y.s AS b FROM l x JOIN l y USING (p)), reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+c AS (SELECT a AS s, min(b) AS root FROM reach GROUP BY a), part_of AS (SELECT s AS node, root FROM c UNION ALL SELECT DISTINCT p, root FROM l JOIN c USING (s)),
+deg AS (SELECT node, sum(w)::BIGINT AS degree FROM (SELECT s AS node, w FROM l UNION ALL SELECT p, w FROM l) GROUP BY node),
+t AS (SELECT *, count(*) OVER () AS n, (SELECT count(DISTINCT root) FROM c) AS parts FROM deg JOIN part_of USING (node)),
+r AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS rn, row_number() OVER (PARTITION BY root ORDER BY degree DESC, node) AS own FROM t)
+SELECT node, degree FROM r WHERE n <= 220 OR parts >= 8 OR rn <= greatest(80, floor(0.4 * n + 0.5)) OR own = 1""")
 def kg_label_budget(spark, d):
-    g = graph.weighted_degree(graph.range_merge(edges(spark, d), FIRST, LAST))
-    return graph.label_budget(g, F.substring("node", 1, 1), 20, all_up_to=0)
+    """Labelled nodes of a quarter's graph of suppliers and parts, among them the top
+    of each of its components."""
+    line = table(spark, d, "lineitem").filter(F.date_format("l_shipdate", "yyyy-MM").between("1995-01", "1995-03"))
+    e = line.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_name").alias("sub"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("obj")).agg(F.count("*").alias("weight"))
+    e = cut(e)
+    parts = canon.components(e.select(F.col("sub").alias("a"), F.col("obj").alias("b")))
+    return graph.label_budget(graph.weighted_degree(e).join(parts, "node"), F.col("root")).select("node", "degree")
 
 
 @query(f"""{W} SELECT strftime("day", '%Y') AS "year", event_type, count(*) AS n, count(DISTINCT url) AS n_articles FROM triplets GROUP BY ALL""")

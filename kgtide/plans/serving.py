@@ -370,5 +370,5 @@ def kg_merged_layout(spark, d):
 def causal_features(spark, d):
     """Features of the busiest entities in the graph learned from each year's days."""
     t = triplets(spark, d, False)
-    c = predict.cooccurrence(t, 12).withColumn("window", F.date_format("day", "yyyy"))
+    c = predict.cooccurrence(t).withColumn("window", F.date_format("day", "yyyy"))
     return ml.causal_features(c, c.select("entity").distinct())
