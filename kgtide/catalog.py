@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, files, graphs, names, serving  # noqa: F401  they register their queries
+from .plans import analytics, files, graphs, ingests, names, serving  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.graph import node_merge, pair_merge, positions
 from ..sources import readers
+from .ledger import Ledger
 
 
 def fresh_only(a: DataFrame, today: Column, days: int = 120, date: str = "date") -> DataFrame:
@@ -45,34 +46,36 @@ def run_available(source: DataFrame, checkpoint: str, batch: Callable[[DataFrame
 
 
 class MonthStore:
-    """Articles and the ledger as tables of batches: each batch is a folder that a
-    repeated run replaces, so a crash between the writes loses and doubles nothing."""
+    """Articles as a table of batches, and the ledger of their urls: each batch is a
+    folder that a repeated run replaces, so a crash between the writes loses and
+    doubles nothing."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        if not readers.exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def __init__(self, spark: SparkSession, root: str, *extra: str):
+        """``extra``: further columns of articles, texts all."""
+        self.spark, self.root, self.extra = spark, root, extra
+        self.seen = Ledger(spark, f"{root}/ledger")
 
     def ledger(self, before: int | None = None) -> DataFrame:
-        seen = self._read("ledger", "h string, batch long")
-        return seen if before is None else seen.filter(F.col("batch") < before)
+        return self.seen.rows(before).select("h", "batch")
 
-    def articles(self) -> DataFrame:
-        return self._read("articles", "url string, date string, h string, month string, batch long")
+    def articles(self, batch: int | None = None) -> DataFrame:
+        """All articles, or those that a batch brought."""
+        schema = ", ".join(["url string, date string, h string, month string", *(f"{c} string" for c in self.extra), "batch long"])
+        if not readers.exists(self.spark, f"{self.root}/articles"):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/articles")
+        return rows if batch is None else rows.filter(F.col("batch") == batch)
 
     def count(self) -> int:
         return self.ledger().count()
 
     def commit(self, rows: DataFrame, batch: int) -> None:
-        new = unseen(rows, self.ledger(batch)).withColumns({"month": F.substring("date", 1, 7), "batch": F.lit(batch).cast("long")})
-        new = new.select("url", "date", "h", "month", "batch").persist()
-        for name, cols in (("articles", new.columns), ("ledger", ["h", "batch"])):
-            new.select(cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
-        new.unpersist()
+        """Appends the articles (url, date and extra columns) whose url is new."""
+        keyed = rows.withColumn("h", text.url_hash(F.col("url")))
+        new = self.seen.unseen(keyed, batch).withColumns({"month": F.substring("date", 1, 7), "batch": F.lit(batch).cast("long")})
+        # The ledger takes what is written, so both hold the same articles.
+        new.select("url", "date", "h", "month", *self.extra, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/articles")
+        self.seen.add(self.articles(batch).select("h"), batch)
 
 
 class GraphStore:
