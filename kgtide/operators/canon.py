@@ -49,36 +49,61 @@ def char_grams(name: str = "name") -> Column:
 
 
 def tfidf(names: DataFrame) -> DataFrame:
-    """name, gram, weight: raw counts times ln((1 + n) / (1 + df)) + 1, to length 1."""
+    """name, gram, df, weight: raw counts times ln((1 + n) / (1 + df)) + 1, to length 1."""
     counts = names.select("name", F.explode(char_grams()).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("tf"))
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))
     total = names.agg(F.count("*").alias("n"))
     w = counts.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return w.join(length, "name").select("name", "gram", (F.col("w") / F.col("length")).alias("weight"))
+    return w.join(length, "name").select("name", "gram", "df", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def similar_pairs(names: DataFrame, least: float = 0.8) -> DataFrame:
+def _may_reach(least: float) -> Column:
+    """Whether a pair whose first common gram this is may have the cosine: the product
+    of its weights, and of what follows at most the lengths' product, and at most
+    the one's sum times the other's largest weight."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    after = F.least(a("rest") * b("rest"), a("sum") * b("most"), b("sum") * a("most"))
+    return a("weight") * b("weight") + after >= least - 1e-9
+
+
+def similar_pairs(names: DataFrame, least: float = 0.8, block: int = 2000) -> DataFrame:
     """Pairs of names with a cosine of at least ``least``, that share a word of
     over two letters where both have one, and have the same digits.
 
-    An exact inverted-index join with a prefix bound: a name's grams are ordered
-    by document frequency, and only those are indexed whose omission could leave
-    a pair below the bound.
+    Exact.  A name's grams are ordered by document frequency.  Indexed are those
+    before which a name's weights leave enough for the bound, so frequent grams
+    seldom are.  A gram's index is dealt over blocks of about ``block`` names, and
+    pairs of blocks are tasks' keys, so a gram that many names share is no
+    straggler.  Pairs that meet are dropped where no cosine of that size can follow;
+    for the others each name's vector comes along as one row.
     """
-    v = tfidf(names)
-    rare = Window.partitionBy("name").orderBy("df", "gram")
-    df = v.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = v.join(df, "gram")
-    # What stands after a gram, as a vector, is no longer than sqrt(1 - prefix): below the bound it can't reach it alone.
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    index = ranked.withColumn("rest", rest).filter(F.col("rest") >= least - 1e-9).select("name", "gram")
-    pairs = index.alias("a").join(index.withColumnRenamed("name", "other").alias("b"), "gram").filter("name < other").select("name", "other").distinct()
-    dot = pairs.join(v, "name").join(v.select(F.col("name").alias("other"), "gram", F.col("weight").alias("w2")), ["other", "gram"]).groupBy("name", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("cosine"))
+    v = cut(tfidf(names))
+    ordered = Window.partitionBy("name").orderBy("df", "gram")
+    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+    left = lambda w: F.sqrt(F.greatest(F.lit(0.0), w))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    square = F.col("weight") * F.col("weight")
+    index = v.withColumns({
+        "open": left(1 - none(F.sum(square).over(before))), "rest": left(none(F.sum(square).over(after))),
+        "sum": none(F.sum("weight").over(after)), "most": none(F.max("weight").over(after)),
+    }).filter(F.col("open") >= least - 1e-9).select("name", "gram", "weight", "rest", "sum", "most")
+    index = cut(index)
+    hot = cut(index.groupBy("gram").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"))
+    dealt = index.join(broadcast_if_small(hot, 1_000_000), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, last = F.pmod(F.xxhash64("name"), F.col("blocks")), F.col("blocks") - 1
+    zero = F.lit(0).cast("long")
+    rows = dealt.withColumn("x", own).withColumn("y", F.explode(F.sequence("x", last)))
+    others = dealt.withColumn("y", own).withColumn("x", F.explode(F.sequence(zero, F.col("y"))))
+    met = rows.alias("a").join(others.alias("b"), ["gram", "x", "y"]).filter((F.col("x") < F.col("y")) | (F.col("a.name") < F.col("b.name"))).filter(_may_reach(least))
+    pairs = met.select(F.least("a.name", "b.name").alias("name"), F.greatest("a.name", "b.name").alias("other")).distinct()
+    vectors = v.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
+    both = pairs.join(vectors, "name").join(vectors.select(F.col("name").alias("other"), F.col("v").alias("w")), "other")
+    dot = F.aggregate(F.map_entries("v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("w", e["key"]), F.lit(0.0)))
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)
     digits = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"))
     share = (F.size(words("name")) == 0) | (F.size(words("other")) == 0) | F.arrays_overlap(words("name"), words("other"))
-    return dot.filter((F.col("cosine") >= least) & share & (digits("name") == digits("other")))
+    return both.filter(share & (digits("name") == digits("other"))).select("name", "other", dot.alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def dedupe_triplets(t: DataFrame) -> DataFrame:

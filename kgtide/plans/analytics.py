@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..operators import canon, factors, graph, ml, naming, predict, search
+from ..operators import canon, factors, graph, ml, naming, predict, search, textindex
+from ..operators.lineage import scratch
 from ..sources import adapter
 from ..sources.adapter import ARTICLES_SQL, EMBEDDINGS_SQL, NAMES_SQL, TRIPLETS_SQL, articles, dirty_names, node_embeddings, triplets
 from ..streaming import ingest
@@ -88,6 +89,29 @@ def news_entity(spark, d):
     return search.entity_news(articles(spark, d), "tion", 25).select("url", "date")
 
 
+def _news_index(spark, d):
+    """Articles in two segments, of which one is written twice."""
+    index = textindex.TextIndex(spark, scratch(spark, "index"), "title", "text")
+    a = articles(spark, d)
+    for segment, some in ((0, "month < '2020-09'"), (1, "month < '2020-12'"), (1, "month >= '2020-09'")):
+        index.add(a.filter(some), segment, "date", "url", part_rows=256)
+    return index
+
+
+@query(f"""WITH {ARTICLES_SQL}, s AS (SELECT url, date, text, (3 * contains(lower(title), 'heit')::INT + contains(lower(text), 'heit')::INT + 3 * contains(lower(title), 'schaft')::INT + contains(lower(text), 'schaft')::INT)::BIGINT AS score,
+  greatest(1, coalesce(least(nullif(instr(lower(text), 'heit'), 0), nullif(instr(lower(text), 'schaft'), 0)), 1) - 80) AS pos FROM articles)
+SELECT url, date, score, CASE WHEN pos > 1 THEN '…' ELSE '' END || substring(text, pos, 400) || CASE WHEN pos + 399 < length(text) THEN '…' ELSE '' END AS snippet FROM s WHERE score > 0 ORDER BY score DESC, date DESC, url LIMIT 10""")
+def news_tool_indexed(spark, d):
+    """The tool's search over the trigram index of two segments."""
+    return search.search_tool(_news_index(spark, d).matching(["heit", "schaft"]), "heit schaft").select("url", "date", "score", "snippet")
+
+
+@query(f"""WITH {ARTICLES_SQL} SELECT url, date FROM articles WHERE contains(lower(title), 'ering') OR contains(lower(text), 'ering') ORDER BY date DESC, url LIMIT 25""")
+def news_entity_indexed(spark, d):
+    """An entity's news over that index."""
+    return search.entity_news(_news_index(spark, d).matching(["ering"]), "ering", 25).select("url", "date")
+
+
 @query(f"""WITH {ARTICLES_SQL} SELECT url, date FROM articles WHERE ticker = 'SRC1' ORDER BY date DESC, url LIMIT 8""")
 def news_latest(spark, d):
     return search.search(articles(spark, d), "", "SRC1").select("url", "date")
