@@ -29,6 +29,8 @@ from .common import broadcast_if_small, cut
 DIMS, CONFIDENCE, LEAF, CELL, QUERIES = 12, 0.97, 64, 25_000, 2_000
 #: Cells of the first tree at most and the rows that it is cut from; rows for each cell of a further tree.
 TOP, SAMPLE, EACH = 1024, 32_768, 32
+#: Vectors of one length up to which they are compared with each other, unless it is among so many of the most frequent lengths.
+FEW, SIZES = 2_000, 4
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -199,7 +201,7 @@ def matrix(col: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 def fit_cells(index: DataFrame, total: int, base: np.ndarray) -> Cells:
     """Cells of about ``CELL`` of the ``total`` rows of ``index`` (vec_id, embedding).
 
-    The first tree is cut from ``SAMPLE`` rows.  Where it would need more than
+    The first tree is cut from about ``SAMPLE`` rows.  Where it would need more than
     ``TOP`` cells, the rows of each are counted, and a further tree for each is
     cut by a task, from a sample of ``EACH`` rows for each of its cells.
     """
@@ -211,7 +213,9 @@ def fit_cells(index: DataFrame, total: int, base: np.ndarray) -> Cells:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (matrix(batch.column(0), size) @ base).T], names=[f"p{i}" for i in range(dims)])
 
     cells = 1 << max(0, math.ceil(math.log2(max(1, total / CELL))))
-    some = index.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").mapInArrow(project, points).toArrow()
+    # By chance of the hash, so each task gives its share and none merges the others'.
+    chance = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 40)) / float(1 << 40)
+    some = index.filter(chance < SAMPLE / max(1, total)).select("embedding").mapInArrow(project, points).toArrow()
     top = split_points(np.stack([c.to_numpy() for c in some.columns], axis=1), min(cells, TOP))
     if cells <= TOP:
         return Cells(top, {}, dims)
@@ -301,6 +305,26 @@ def _nearest(ready: DataFrame, size: int, total: int, k: int, every: int, dims:
     return first.unionByName(second).join(queries.select("qid", "query_id", "repeats"), "qid")
 
 
+def _of_rare_sizes(ready: DataFrame, common: list[int], k: int, every: int) -> DataFrame:
+    """What ``_nearest`` gives, for vectors of all other sizes: at most ``FEW`` of
+    each, so a task compares those of a size with each other."""
+    given = pa.schema([("query_id", pa.int64()), ("qid", pa.int64()), ("repeats", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("copies", pa.int64()), ("size", pa.int32())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        size = group.column("size")[0].as_py()
+        ids, copies, vectors = group.column("vec_id").to_numpy(), group.column("copies").to_numpy(), matrix(group.column("embedding"), size)
+        out = []
+        for i in np.flatnonzero(ids % every == 0).tolist():
+            d = np.sqrt(np.square(vectors - vectors[i]).sum(1))
+            left = copies - (np.arange(len(ids)) == i)
+            for j in [j for j in np.lexsort((ids, d)).tolist() if left[j] > 0][:k]:
+                out.append((int(ids[i]), i, int(copies[i]), int(ids[j]), float(d[j]), int(left[j]), size))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, given.types, strict=True)], schema=given)
+
+    rest = ready.withColumn("size", F.size("embedding")).filter(~F.col("size").isin(common))
+    return rest.groupBy("size").applyInArrow(compare, "query_id long, qid long, repeats long, vec_id long, score double, copies long, size int")
+
+
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, confidence: float = CONFIDENCE, seed: int = 11) -> DataFrame:
     """The k nearest found of each query: query_id, rank, vec_id, score.
 
@@ -309,17 +333,23 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, dims: int = DIMS, co
     null or non-finite components, take no part.  A repeated row is a candidate,
     and a query, as often as it stands there; rows of one id with different
     vectors are candidates of each other.  Vectors of different lengths are never
-    near.  An empty table gives an empty result.
+    near; the ``SIZES`` most frequent lengths, and others of over ``FEW`` vectors, have
+    an index, vectors of rare lengths are compared with each other.  An empty table
+    gives an empty result; columns besides vec_id and embedding are not looked at,
+    and very long vectors are taken whole.
 
     Of equal vectors only the k + 1 smallest ids can be among a query's nearest,
     so others are left out of the index without loss.
     """
     spark = rows.sparkSession
     ready = cut(usable(rows).groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")), "vectors")
-    sizes = ready.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()  # a row for each length of vectors
-    if not sizes:
+    sizes = cut(ready.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")), "sizes")
+    large = {r["size"]: r["n"] for some in (sizes.filter(F.col("n") > FEW), sizes.orderBy(F.desc("n"), "size").limit(SIZES)) for r in some.collect()}  # one in FEW rows at most, and a few
+    if not large:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = reduce(DataFrame.unionByName, [_nearest(ready, r["size"], r["n"], k, every, dims, confidence, seed).withColumn("size", F.lit(r["size"])) for r in sizes])
+    found = reduce(DataFrame.unionByName, [_nearest(ready, size, n, k, every, dims, confidence, seed).withColumn("size", F.lit(size)) for size, n in sorted(large.items())])
+    if sizes.count() > len(large):
+        found = found.unionByName(_of_rare_sizes(ready, sorted(large), k, every))
     each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
     rank = F.row_number().over(Window.partitionBy("size", "qid").orderBy("score", "vec_id"))
     ranked = each.withColumn("rank", rank).filter(F.col("rank") <= k)

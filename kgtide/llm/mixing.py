@@ -30,22 +30,53 @@ BLOCK = 16
 SHARD_WORDS, SHARD_DOCS = 400_000, 2_000
 
 
+def ranked(rows: DataFrame, order: list[Column | str], **sums: Column) -> DataFrame:
+    """Adds ``_rank``, the place from 1 in the order given, and for each of ``sums``
+    the sum up to the row.
+
+    Rows are dealt by ranges of the order and written; each range is then ranked
+    by itself and moved on by what stands before it, so no task has all rows.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    per = dealt.groupBy("_range").agg(F.count("*").alias("_before"), *(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = per.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_before", *(f"_{n}" for n in sums))))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    moved = dealt.join(F.broadcast(offsets), "_range").withColumn("_rank", F.col("_before") + F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return moved.withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).drop("_range", "_before", *(f"_{n}" for n in sums))
+
+
+def _candidates(sized: DataFrame, votes: str, seats: str) -> DataFrame:
+    """Adds the seats that a party surely has and, one for each row of ``_k``, those it may have."""
+    n, t = F.col("_parties") / 2, F.col(votes) / F.col("_total")
+    some = F.col("_total") > 0
+    sure = F.when(some, F.greatest(F.lit(0), F.floor(t * (F.col(seats) - n) - 0.5) - 1)).otherwise(0).cast("long")
+    return sized.withColumns({"_sure": sure, "_most": F.when(some, F.floor(t * (F.col(seats) + n) + 0.5) + 1).otherwise(0).cast("long")})
+
+
 def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, order: list[str]) -> DataFrame:
     """Adds ``quota``: ``seats`` (of the group) apportioned by highest quotients
     votes / (2k + 1); ties go by ``order``, which is unique within the group."""
     whole = Window.partitionBy(*group)
-    n, t = F.col("_parties") / 2, F.col(votes) / F.col("_total")
-    some = F.col("_total") > 0
     sized = parties.withColumns({"_total": F.sum(votes).over(whole), "_parties": F.count("*").over(whole)})
-    sized = sized.withColumn("_sure", F.when(some, F.greatest(F.lit(0), F.floor(t * (F.col(seats) - n) - 0.5) - 1)).otherwise(0).cast("long"))
-    sized = sized.withColumn("_most", F.when(some, F.floor(t * (F.col(seats) + n) + 0.5) + 1).otherwise(0).cast("long"))
-    sized = sized.withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
+    sized = _candidates(sized, votes, seats).withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
     each = sized.filter(F.col(votes) > 0).withColumn("_k", F.explode(F.sequence("_sure", "_most")))
     rank = F.row_number().over(whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), *order, "_k"))
     won = each.withColumn("_rank", rank).filter("_rank <= _open").groupBy(*group, *order).agg(F.count("*").alias("_won"))
     return sized.join(won, [*group, *order], "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_total", "_parties", "_sure", "_most", "_open", "_won")
 
 
+def apportion_all(parties: DataFrame, votes: str, seats: str, order: list[str]) -> DataFrame:
+    """As ``apportion`` for one group of all ``parties`` (a written table), in many tasks."""
+    one = parties.agg(F.sum(votes).alias("_total"), F.count("*").alias("_parties"))  # one row
+    sized = cut(_candidates(parties.crossJoin(F.broadcast(one)), votes, seats), "parties")
+    taken = sized.agg(F.sum("_sure").alias("_given"))  # one row
+    each = sized.filter(F.col(votes) > 0).select(*order, seats, votes, F.explode(F.sequence("_sure", "_most")).alias("_k"))
+    placed = ranked(each.withColumn("_quotient", F.col(votes) / (2 * F.col("_k") + 1)), [F.desc("_quotient"), *order, "_k"])
+    won = placed.crossJoin(F.broadcast(taken)).filter(F.col("_rank") <= F.col(seats) - F.col("_given")).groupBy(*order).agg(F.count("*").alias("_won"))
+    return sized.join(won, order, "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_total", "_parties", "_sure", "_most", "_won")
+
+
 def _seeded(*parts: Column | str) -> Column:
     """A number from 0 to 2^32 - 1 by hash."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
@@ -78,19 +109,19 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
     )
     key = ["_none", "_name"]
     sources = sizes.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    ordered = Window.orderBy(*key)  # a row for each source
-    every = Window.partitionBy(F.lit(1))
-    sources = sources.withColumn("weight", 1 + (F.row_number().over(ordered) - 1) % 3).withColumn("_sum", F.sum("source_size").over(every))
+    # There may be as many sources as hosts, so they are ranked and summed up in ranges.
+    sources = ranked(sources, key).withColumn("weight", 1 + (F.col("_rank") - 1) % 3).drop("_rank")
     cap = most * F.col("source_size")
-    fill = Window.orderBy(cap / F.col("weight"), *key)
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("_sum") - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(after)
-    sources = sources.withColumn("_level", level).withColumn("_at", F.row_number().over(fill))
+    filled = cut(ranked(sources.withColumn("_fill", cap / F.col("weight")), ["_fill", *key], caps=cap, weights=F.col("weight")), "filled")
+    every = F.broadcast(filled.agg(F.sum("source_size").alias("_sum"), F.sum("weight").alias("_weights")))  # one row
+    level = (F.col("_sum") - (F.col("caps") - cap)) / (F.col("_weights") - F.col("weights") + F.col("weight"))
+    filled = filled.crossJoin(every).withColumn("_level", level)
     # The first source, by cap, that its level does not fill sets the level of all the rest.
-    sources = sources.withColumn("_rest", F.min(F.when(F.col("_level") * F.col("weight") <= cap, F.struct("_at", "_level"))).over(every)["_level"])
-    sources = sources.withColumn("target", F.least(cap.cast("double"), F.coalesce(F.col("_rest") * F.col("weight"), cap.cast("double"))))
-    sources = sources.withColumns({"_all": F.lit(1), "_seats": F.round(F.col("_sum") / block).cast("long")})
-    sources = apportion(sources, ["_all"], "target", "_seats", key)
+    rest = filled.filter(F.col("_level") * F.col("weight") <= cap).agg(F.min(F.struct("_rank", "_level"))["_level"].alias("_rest"))  # one row
+    target = F.least(cap.cast("double"), F.coalesce(F.col("_rest") * F.col("weight"), cap.cast("double")))
+    seats = F.round(F.col("_sum") / block).cast("long")
+    sources = filled.crossJoin(F.broadcast(rest)).select(*key, "source_size", "n_docs", target.alias("target"), seats.alias("_seats"))
+    sources = apportion_all(cut(sources, "targets"), "target", "_seats", key)
     words_each = F.greatest(F.lit(float(SHARD_WORDS)), SHARD_WORDS / SHARD_DOCS * F.sqrt("source_size"))
     docs_each = F.greatest(F.lit(float(SHARD_DOCS)), F.sqrt("n_docs"))
     shards = F.greatest(F.ceil(F.col("source_size") / words_each), F.ceil(F.col("n_docs") / docs_each))

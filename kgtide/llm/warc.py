@@ -8,7 +8,9 @@ other attempt uses; only the names that a successful attempt returns are read.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -110,10 +112,24 @@ def parse(rec: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+#: Hadoop's names of stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(folder: str):
     if "://" not in folder and not folder.startswith("file:"):
         return pafs.LocalFileSystem(), folder
-    return pafs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
+    scheme, _, rest = (folder if "://" in folder else folder.replace("file:", "file://", 1)).partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def _known(folder: str) -> bool:
+    """Whether Arrow has the folder's file system."""
+    try:
+        _open(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
 
 
 def with_duplicates(pages: DataFrame) -> DataFrame:
@@ -135,10 +151,12 @@ def with_duplicates(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes records for rows of ``with_duplicates`` and returns the archives'
-    names and record counts, as a written table."""
+    names and record counts, as a written table.  Where only Spark knows the
+    folder's file system, the archives' bytes stand in that table."""
+    known = _known(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = _open(folder) if known else (None, folder)
 
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -160,9 +178,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 done = True
             if not first:
                 break
-            fs.create_dir(root, recursive=True)
-            name = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(name) as out:
+            name, kept = f"{root}/{uuid.uuid4().hex}.warc.zst", io.BytesIO()
+            if fs:
+                fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(name) if fs else contextlib.nullcontext(kept) as out:
                 archive, n = Writer(out, first), len(first)
                 for rec in first:
                     archive.write(rec)
@@ -173,9 +192,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     else:
                         archive.write(rec)
                         n, held = n + 1, held + len(rec)
-            yield pa.RecordBatch.from_pydict({"name": [name.rsplit("/", 1)[1]], "n": [n]}, schema=pa.schema([("name", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"name": [name.rsplit("/", 1)[1]], "n": [n], "content": [None if fs else kept.getvalue()]}, schema=pa.schema([("name", pa.string()), ("n", pa.int64()), ("content", pa.binary())]))
 
-    return cut(pages.mapInArrow(run, "name string, n long"), "archives")
+    return cut(pages.mapInArrow(run, "name string, n long, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -188,12 +207,14 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("html", pa.string())] * payloads)
     number = lambda s: int(s[len("<urn:page:") : -1]) if s and len(s) > len("<urn:page:>") else None
 
+    known = _known(folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = _open(folder) if known else (None, folder)
         for batch in batches:
-            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, seen = [], 0
-                with fs.open_input_stream(f"{root}/{name}") as file:
+            for name, n, content in zip(*batch.columns, strict=True):
+                name, n, rows, seen = name.as_py(), n.as_py(), [], 0
+                with fs.open_input_stream(f"{root}/{name}") if fs else io.BytesIO(content.as_py()) as file:
                     for rec in read_frames(file):
                         f, block = parse(rec)
                         row = (number(f["WARC-Record-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], number(f.get("WARC-Refers-To")))
@@ -210,7 +231,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     n, cores = archives.count(), archives.sparkSession.sparkContext.defaultParallelism
     # An explicit number, which AQE leaves alone: the names are tiny, what they name is not.
     parts = max(1, min(n, max(4 * cores, -(-n // READ))))
-    return archives.select("name", "n").repartition(parts).mapInArrow(run, schema)
+    return archives.select("name", "n", "content").repartition(parts).mapInArrow(run, schema)
 
 
 def op8_warc(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kgtide.llm import ann, common, licenses, mixing, packing, pii, quality, simhash, tokenfile, tokens, urlrules, warc
 
@@ -536,6 +537,16 @@ def test_warc(spark, tmp_path, monkeypatch, duplicates):
     assert {(r["page_id"], r["html"]) for r in got.collect()} == {(p, h or "") for p, _, h in rows if not (len((h or "").encode()) >= 100 and copies[h] > 1 and p is not None and p != least[h])}
 
 
+def test_archives_where_only_spark_knows_the_store(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"{i % 40}" + "z" * 900) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    want = Counter(map(tuple, warc.op8_warc(pages).collect()))
+    assert not warc._known("viewfs://store/x") and warc._known("file:/tmp/x") and warc._known("/tmp/x")
+    found = warc.write_archives(warc.with_duplicates(pages), "viewfs://store/x")
+    got = warc.read_archives(found, "viewfs://store/x").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_archives_end_at_their_bound(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
     rows = [(i, f"u{i}", f"{i}" + "z" * 900) for i in range(300)]
@@ -611,9 +622,54 @@ def test_neighbours(spark, monkeypatch):
     assert [tuple(r) for r in ann.op9_neighbours(few).collect()] == [(0, 1, 5, pytest.approx(math.sqrt(2)))]
 
 
+def test_many_lengths_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SIZES", 2)
+    g = np.random.default_rng(4)
+    rows = [(100 * i + j, [float(x) for x in g.integers(-2, 3, 1 + i % 9)]) for i in range(60) for j in (0, 1)]
+    rows += rows[:9] + [(100, [5.0] * 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got, want = Counter(map(tuple, ann.op9_neighbours(table).collect())), Counter()
+    use = [(i, np.array(v)) for i, v in rows if any(v)]
+    for at, (q, v) in enumerate(use):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for k, (i, x) in enumerate(use) if k != at and len(x) == len(v))[:10]
+            want.update((q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(near, 1))
+    assert Counter((q, r, i, round(d, 9)) for (q, r, i, d), n in got.items() for _ in range(n)) == want
+
+
+def test_the_sample_is_no_task_for_all(spark):
+    """64 partitions each give their share of the sample; nothing merges whole lists."""
+    table = spark.range(0, 40_000, 1, 64).select(F.col("id").alias("vec_id"), F.array(*(F.rand(i) for i in range(8))).alias("embedding"))
+    index = common.cut(table, "vectors")
+    sizes = []
+    real = ann.split_points
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(ann, "SAMPLE", 1000)
+    monkey.setattr(ann, "split_points", lambda points, n: sizes.append(len(points)) or real(points, n))
+    plans = ann.fit_cells(index, 40_000, ann.projection(8, 4, 1))
+    monkey.undo()
+    assert plans is not None and 800 < sizes[0] < 1200
+
+
+def test_sources_are_ranked_in_ranges(spark):
+    rng = random.Random(6)
+    rows = [(f"s{rng.randint(0, 10**6)}", rng.randint(0, 50), rng.random()) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "name string, n long, x double")
+    got = mixing.ranked(frame, [F.desc("n"), "name", "x"], total=F.col("n")).collect()
+    total = 0
+    for i, ((name, n, x), r) in enumerate(zip(sorted(rows, key=lambda r: (-r[1], r[0], r[2])), sorted(got, key=lambda r: r["_rank"]), strict=True), 1):
+        total += n
+        assert (r["_rank"], r["name"], r["total"]) == (i, name, total)
+    parties = common.cut(frame.groupBy("name").agg(F.sum("n").alias("votes")).withColumns({"seats": F.lit(700).cast("long"), "every": F.lit(1)}), "parties")
+    one = {r["name"]: r["quota"] for r in mixing.apportion(parties, ["every"], "votes", "seats", ["name"]).collect()}
+    assert {r["name"]: r["quota"] for r in mixing.apportion_all(parties, "votes", "seats", ["name"]).collect()} == one and sum(one.values()) == 700
+
+
 def test_recall_on_the_embeddings(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     check_neighbours(table, [(r["vec_id"], r["embedding"]) for r in table.collect()], 0.9, 64)
+    large = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    check_neighbours(large, [(r["vec_id"], r["embedding"]) for r in large.collect()], 0.9, 64)
 
 
 def test_chi_square():
