@@ -191,15 +191,19 @@ def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp
             found: list[tuple[int, int]] = []
             for row in zip(*batch.columns, strict=True):
                 lists = [x.as_py() for x in row]
-                first = len(lists[0])
-                every = [lists[i] + lists[width + i] for i in range(width)]
+                # By name, so that buckets with the same members give the same links.
+                members = sorted(zip(*lists[:width], strict=True)), sorted(zip(*lists[width:], strict=True))
+                first = len(members[0])
+                every = list(zip(*members[0], *members[1], strict=True))
                 names, words = every[0], [every[i] for i in words_at]
                 if first * len(names) <= 64:
+                    part = list(range(len(names)))  # members that are linked already
                     for i in range(first):
                         own = [w[i] for w in words]
                         for j in range(i + 1, len(names)):
-                            if sum([((x ^ w[j]) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, w in zip(own, words, strict=True)]) <= radius:
+                            if part[i] != part[j] and sum([((x ^ w[j]) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, w in zip(own, words, strict=True)]) <= radius:
                                 found.append((names[i], names[j]))
+                                part = [part[i] if x == part[j] else x for x in part]
                 else:
                     fps = np.array(words, np.int64).T.copy().view(np.uint64)
                     found += [(names[i], names[j]) for i, j in unite(fps, np.arange(len(names)) < first, radius)]
@@ -238,11 +242,34 @@ def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp
     return out.unionByName(star).unionByName(rest)
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's links (a, b) those that join what was apart, by union-find."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        kept = []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node -> root (smallest node of its component) for every node of ``edges``
-    (a, b), by alternating large-star and small-star rounds, each written to the
-    shared folder, until nothing changes."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    (a, b) but the roots, by alternating large-star and small-star rounds, each written to the
+    shared folder, until nothing changes.  Tasks first thin the links out, at most
+    ``SPREAD`` each, as many say the same."""
+    raw = cut(edges.select("a", "b").filter("a != b"), "links")
+    thin = raw.coalesce(max(2, -(-raw.count() // SPREAD))).mapInArrow(forest, "a long, b long")
+    now = cut(thin.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
