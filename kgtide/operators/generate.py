@@ -97,6 +97,34 @@ def extract(a: DataFrame, template: str, generate: Generator, literal: bool = Fa
     return a.withColumn("_raw", raw).withColumn("triplets", parse(F.col("_raw"))).drop("_raw")
 
 
+def extract_table(generate: Generator, template: str, literal: bool = False, pause: float = 30.0) -> type:
+    """A table function (title, text) for SQL: the triplets of a reply as rows, or a
+    row with the error where the generator fails.
+
+        spark.udtf.register("extract", extract_table(generate, template))
+        SELECT d.id, t.* FROM documents d, LATERAL extract(d.title, d.text) t
+    """
+    ask = with_retry(generate, pause, on=RateLimited if literal else Exception)
+
+    @F.udtf(returnType="seq int, sub string, sub_type string, rel string, rel_category string, obj string, obj_type string, sentiment double, materiality_usd double, event_type string, error string", useArrow=True)
+    class Extract:
+        def eval(self, title: str | None, text: str | None) -> Iterator[tuple]:
+            body = text or title or ""
+            try:
+                raw = ask(template.replace("{input_text_}", f"{title}\n\n{body}" if title and title not in body else body))
+            except Exception as problem:  # noqa: BLE001  an article's failure is its own
+                yield (*[None] * 10, f"{type(problem).__name__}: {problem}")
+                return
+            if literal:
+                items = [dict(zip(("sub", "sub_type", "rel", "rel_category", "obj", "obj_type"), x, strict=True)) for x in readers.literal_items(raw)]
+            else:
+                items = readers.enriched_items(raw)
+            for seq, x in enumerate(items):
+                yield (seq, *(x.get(c) for c in ("sub", "sub_type", "rel", "rel_category", "obj", "obj_type", "sentiment", "materiality_usd", "event_type")), None)
+
+    return Extract
+
+
 def refine(a: DataFrame, template: str, generate: Generator) -> DataFrame:
     """Articles with their triplets judged once more.  A failed call keeps them;
     an answer without triplets is a verdict; without triplets none is asked."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import graph
 from ..operators.lineage import cut, scratch
-from ..sources import readers, writers
+from ..sources import bundles, readers, writers
 from ..sources.adapter import ARTICLES_SQL, TRIPLETS_SQL, articles, table, triplets
 from ..streaming import ingest
 from .analytics import KINDS, LEAD, important
@@ -178,6 +178,46 @@ def snk_watchlist_lines(spark, d):
     return readers.watchlist_lines(_constituents(spark, d))
 
 
+def _bundle_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, clusters and heads of each year's bundle: a subject's clusters go by its number of articles."""
+    t = triplets(spark, d).withColumn("date", F.concat(F.date_format("day", "yyyy"), F.lit("-12-31")))
+    mix = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("event_type").alias("event"), "n")))
+    mixes = t.groupBy("date", "sub", "event_type").agg(F.count("*").alias("n")).groupBy("date", "sub").agg(F.transform(mix, lambda x: F.struct(x["event"].alias("event"), x["n"].alias("n"))).alias("event_mix"))
+    f = t.groupBy("date", F.col("sub").alias("name")).agg(F.count_distinct("url").alias("n_articles"), F.round(F.sum(F.col("sentiment").cast("decimal(18,4)")).cast("double") / F.count("sentiment"), 4).alias("s"), F.slice(F.array_sort(F.collect_set("obj")), 1, 3).alias("top_partners"))
+    null = F.lit(None).cast("double")
+    values = {"attention": F.col("n_articles").cast("double"), "sentiment": F.col("s"), "consensus": F.lit(1.0), "novelty": null, "materiality": F.lit(0.5)}
+    rows = f.join(mixes.withColumnRenamed("sub", "name"), ["date", "name"]).select(
+        "date", "name", F.lit('COMP "X"').alias("type"), (F.col("n_articles") % 3).cast("int").alias("cluster"), F.col("s").alias("pc1"), null.alias("pc2"), null.alias("pc3"),
+        F.struct(*(values[c].alias(c) for c in values)).alias("factors"), "n_articles", "event_mix", "top_partners",
+    )
+    loading = F.array(F.struct(F.lit("sentiment").alias("factor"), F.round(F.avg("s"), 3).alias("loading")))
+    clustered = rows.withColumn("s", F.col("factors.sentiment")).groupBy("date", "cluster").agg(F.count("*").cast("int").alias("size"), loading.alias("signature"), F.array_sort(F.collect_list("name")).alias("members"))
+    head = rows.select("date").distinct().unionByName(spark.createDataFrame([("1900-12-31",)], "date string")).select(
+        F.lit("c").alias("corpus"), "date", F.lit(None).cast("string").alias("generated_at"), F.lit(2).alias("min_articles"), F.array(F.lit("sentiment")).alias("kept_factors"), F.when(F.col("date") < "1950", "Only 0 entities.").alias("note"),
+        F.array(F.substring("date", 1, 7)).alias("window_months"), F.array(F.lit(0.5)).alias("explained_variance"), F.array(F.array(F.lit(1.0), F.lit(-0.25))).alias("components"), F.lit(3).alias("k"), F.array(F.array(F.lit(0.0))).alias("centroids"),
+    )
+    return rows, clustered, head
+
+
+@query(f"""{W}, t AS (SELECT strftime("day", '%Y') || '-12-31' AS date, sub AS name, url, obj, event_type, sentiment FROM triplets),
+m AS (SELECT date, name, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS mix FROM (SELECT date, name, event_type, count(*) AS n FROM t GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT date, name, count(DISTINCT url) AS n_articles, round(sum(sentiment::DECIMAL(18,4))::DOUBLE / count(sentiment), 4) AS s, array_to_string(list_sort(list(DISTINCT obj))[1:3], ',') AS partners FROM t GROUP BY ALL),
+e AS (SELECT *, (n_articles % 3)::INT AS cluster, count(*) OVER (PARTITION BY date, n_articles % 3)::INT AS size FROM f JOIN m USING (date, name))
+SELECT 'c' AS corpus, date, name, 'COMP "X"' AS type, cluster, size, s AS pc1, s AS sentiment, NULL::DOUBLE AS novelty, n_articles, mix, partners, 'sentiment' AS kept, NULL AS note, -0.25::DOUBLE AS component FROM e
+UNION ALL SELECT 'c', '1900-12-31', NULL, NULL, -1, -1, NULL, NULL, NULL, -1, NULL, NULL, 'sentiment', 'Only 0 entities.', -0.25""")
+def snk_bundle_documents(spark, d):
+    """Bundles written as documents with pairs of a name and a number, and read again
+    by VARIANT; one has no entities."""
+    path = scratch(spark, "bundles")
+    bundles.write_documents(bundles.documents(*_bundle_parts(spark, d)), path)
+    docs = cut(bundles.read_documents(spark, path))
+    mix = F.array_join(F.transform("event_mix", lambda x: F.concat(x["event"], F.lit(":"), x["n"].cast("string"))), ",").alias("mix")
+    rows = bundles.entities(docs).select("date", "name", "type", "cluster", "pc1", F.col("factors.sentiment").alias("sentiment"), F.col("factors.novelty").alias("novelty"), "n_articles", mix, F.array_join("top_partners", ",").alias("partners"))
+    sizes = bundles.clusters(docs).select("date", "cluster", "size", F.explode("members").alias("name"))
+    head = bundles.heads(docs).select("corpus", "date", F.array_join("kept_factors", ",").alias("kept"), "note", F.col("components")[0][1].alias("component"))
+    return head.join(rows.join(sizes, ["date", "cluster", "name"]), "date", "left").na.fill(-1, ["cluster", "size", "n_articles"])
+
+
 TYPED = "CASE WHEN s_nationkey % 7 = 0 THEN NULL ELSE 'COMPANY' END"
 
 

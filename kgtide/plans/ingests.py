@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import scratch
 from ..sources import feeds, readers
 from ..sources.adapter import ARTICLES_SQL, TRIPLETS_SQL, articles, table
-from ..streaming import daily, ingest, ledger, state
+from ..streaming import daily, ingest, late, ledger, state
 from .files import BATCH, FEED, MERGED, _feeds, _graph_batches
 from .registry import query
 
@@ -112,3 +112,27 @@ def ingest_bucketed_ledger(spark, d):
         if batch == 1:
             book.compact(1)
     return book.rows().select("h", "batch")
+
+
+def _files(spark: SparkSession, path: str, parts: list[DataFrame]) -> None:
+    """Each part as files of its own, in turn."""
+    for rows in parts:
+        rows.coalesce(1).write.mode("append").parquet(path)
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS k FROM events)
+SELECT event_id, k FROM e JOIN events USING (event_id) WHERE ts >= TIMESTAMP '2024-01-09' OR event_id % 5 > 0""")
+def stream_late_rows(spark, d):
+    """Events in three files, some twice, a fifth of the first days' rows as late as
+    the third: what the watermark lets through, each once."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    k = F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
+    e = e.withColumn("k", k)
+    path, root = scratch(spark, "late"), scratch(spark, "once")
+    again = F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)))
+    lost = (F.col("ts") < "2024-01-09") & (F.col("event_id") % 5 == 0)
+    _files(spark, path, [e.filter((F.col("k") == n) & ~lost | (lost if n == 2 else F.lit(False))).withColumn("_again", again).drop("_again") for n in range(3)])
+    source = spark.readStream.schema("event_id long, ts timestamp, k int").option("maxFilesPerTrigger", 1).parquet(path)
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+    ingest.run_available(late.once(source, "event_id", "ts", "1 day"), f"{root}/checkpoint", put)
+    return spark.read.schema("event_id long, ts timestamp, k int").option("recursiveFileLookup", True).parquet(f"{root}/rows").select("event_id", "k")

@@ -172,6 +172,16 @@ def ud_extract(spark, d):
     return readers.explode_triplets(found.select("doc_id", "triplets")).select("doc_id", "sub", "obj")
 
 
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^\s*(\S+)', 1) AS w FROM documents)
+SELECT doc_id, 0 AS seq, substring(w, 1, 1) AS sub, 'Says' AS rel, ((length(text) + 3) % 7)::VARCHAR AS obj, 0.0::DOUBLE AS sentiment, NULL AS error FROM d WHERE regexp_full_match(w, '[A-Za-z0-9]+') AND NOT starts_with(w, 'a') AND NOT starts_with(w, 'e')
+UNION ALL SELECT doc_id, -1, NULL, NULL, NULL, NULL, 'RuntimeError: no reply' FROM d WHERE starts_with(w, 'a') OR starts_with(w, 'e')""")
+def ud_extract_lateral(spark, d):
+    """The same by a table function in SQL, with failures as rows."""
+    spark.udtf.register("extract_triplets", generate.extract_table(_stub, "do {input_text_}", pause=0))
+    table(spark, d, "documents").createOrReplaceTempView("documents_to_extract")
+    return spark.sql("SELECT doc_id, coalesce(seq, -1) AS seq, sub, rel, obj, sentiment, error FROM documents_to_extract, LATERAL extract_triplets(CAST(NULL AS STRING), text)")
+
+
 @query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^\s*(\S+)', 1) AS w FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN NULL WHEN starts_with(w, 'a') OR starts_with(w, 'e') THEN 'kept' WHEN regexp_full_match(w, '[A-Za-z0-9]+') THEN substring(w, 1, 1) END AS sub FROM d""")
 def ud_refine(spark, d):

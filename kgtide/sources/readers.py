@@ -111,7 +111,7 @@ def gated(revised: Column, first: Column, strict: bool = False) -> Column:
     return F.when(F.size(r) > 0, r).otherwise(other)
 
 
-def _enriched(raw: str | None) -> list[dict]:
+def enriched_items(raw: str | None) -> list[dict]:
     """Items with five texts; numbers that are none give neutral values."""
     m = re.search(r"(?s)\[.*\]", raw or "")
     try:
@@ -132,7 +132,7 @@ def _enriched(raw: str | None) -> list[dict]:
 def parse_enriched(raw: Column) -> Column:
     """JSON between the first and last bracket of a reply, items without the
     five required strings dropped and numbers coerced."""
-    return _by_cell(_enriched, f"array<{ENRICHED}>")(raw)
+    return _by_cell(enriched_items, f"array<{ENRICHED}>")(raw)
 
 
 def explode_triplets(df: DataFrame, column: str = "triplets") -> DataFrame:
