@@ -24,7 +24,7 @@ def pca_kmeans(f: DataFrame, restarts: int = 10, seed: int = 42) -> dict:
     with a note.  The sign of a component makes its largest loading positive.
     """
     z, kept = standardise(f, list(FACTORS))
-    z = z.cache()
+    z = cut(z)  # ten fits and the components read it
     n = z.count()
     if n < 4 or not kept:
         return {"entities": None, "kept": kept, "note": "too few entities" if n < 4 else "no factor varies", "k": 0}

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import factors, graph
 from .factors import FACTORS
 from .lineage import cut
@@ -16,6 +17,20 @@ def timeline(e: DataFrame) -> DataFrame:
     return e.groupBy("source").agg(F.array_sort(F.collect_set("month")).alias("months"), F.max("month").alias("latest"))
 
 
+def dated_timeline(e: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The timeline with the dates of each source's factor bundles (source, date) that
+    have entities; none for sources without."""
+    dates = bundles.groupBy("source").agg(F.array_sort(F.collect_set("date")).alias("factor_dates"))
+    return timeline(e).join(dates, "source", "left").withColumn("factor_dates", F.coalesce("factor_dates", F.array().cast("array<string>")))
+
+
+def corpora_manifest(months: DataFrame) -> DataFrame:
+    """Corpora (id, month, updated) that have a month: their months, the latest, and
+    when they were last changed."""
+    there = months.filter(F.col("month").isNotNull() & (F.col("month") != ""))
+    return there.groupBy("id").agg(F.array_sort(F.collect_set("month")).alias("months"), F.max("month").alias("latest"), F.max("updated").alias("last_updated"))
+
+
 def get_graph(e: DataFrame, source: str, month: str, top_n: int = 40) -> DataFrame:
     """The heaviest edges among the busiest nodes (at most 120) of a source's month,
     with the totals of the whole month."""
@@ -192,6 +207,45 @@ def uniqueness(pairs: DataFrame, items: DataFrame, bound: float) -> DataFrame:
     return n.join(alike, "url", "left").select("url", (1 - F.coalesce(share, F.lit(0.0))).alias("uniqueness"))
 
 
+def cosine_pairs(items: DataFrame) -> DataFrame:
+    """url and likeness, the cosine of the vectors ``v``, of each two of an article's
+    items (url, seq, v).  An article has few."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = items.select("url", "seq", "v", F.sqrt(dot("v", "v")).alias("len"))
+    other = one.select("url", F.col("seq").alias("seq2"), F.col("v").alias("w"), F.col("len").alias("len2"))
+    size = F.col("len") * F.col("len2")
+    return one.join(other, "url").filter("seq < seq2").select("url", F.when(size > 0, dot("v", "w") / size).otherwise(0.0).alias("likeness"))
+
+
+def coverage(units: DataFrame, items: DataFrame) -> DataFrame:
+    """The share of an article's salient units (url, unit) that one of its triplets names
+    at an end, by name in any case; 1 for an article without units."""
+    named = items.select("url", F.explode(F.array(F.lower("sub"), F.lower("obj"))).alias("unit")).distinct().withColumn("_hit", F.lit(1))
+    wanted = units.filter("unit is not null").select("url", F.lower("unit").alias("unit")).distinct()
+    got = wanted.join(named, ["url", "unit"], "left").groupBy("url").agg((F.count("_hit") / F.count("*")).alias("coverage"))
+    return units.select("url").distinct().join(got, "url", "left").select("url", F.coalesce("coverage", F.lit(1.0)).alias("coverage"))
+
+
+def validity(items: DataFrame) -> DataFrame:
+    """The share of an article's triplets whose ends differ, have known types, and whose relation is not blank."""
+    known = (text.entity_type(F.col("sub_type")) != "UNK") & (text.entity_type(F.col("obj_type")) != "UNK")
+    good = known & (F.col("sub") != F.col("obj")) & (F.trim("rel") != "")
+    return items.groupBy("url").agg(F.avg(F.coalesce(good, F.lit(False)).cast("double")).alias("validity"))
+
+
+def consistency(items: DataFrame) -> DataFrame:
+    """1 less the share of an article's pairs of triplets that contradict each other:
+    the same ends, and sentiments of opposite polarity.
+
+    Pairs are counted by ends and polarity, not listed.
+    """
+    signed = items.withColumn("_p", text.sentiment_polarity(F.round("sentiment", 6)))
+    count = lambda p: F.count(F.when(F.col("_p") == p, 1))
+    each = signed.groupBy("url", "sub", "obj").agg((count("positive") * count("negative")).alias("_bad"), F.count("*").alias("_n"))
+    total = each.groupBy("url").agg(F.sum("_bad").alias("bad"), F.sum("_n").alias("n"))
+    return total.select("url", (1 - F.coalesce(2 * F.col("bad") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1)), F.lit(0.0))).alias("consistency"))
+
+
 def log_metrics(logs: DataFrame, column: str = "log") -> DataFrame:
     """MRR and hits from the first JSON object of a log that names them, to 3 digits; else 0."""
     keys = ("MRR", "Hits@1", "Hits@3", "Hits@10")

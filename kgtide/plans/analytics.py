@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..operators import canon, factors, graph, ml, naming, predict, search, textindex
+from ..operators import canon, factors, graph, ml, naming, predict, search, serving, textindex
 from ..operators.lineage import scratch
 from ..sources import adapter
 from ..sources.adapter import ARTICLES_SQL, EMBEDDINGS_SQL, NAMES_SQL, TRIPLETS_SQL, articles, dirty_names, node_embeddings, triplets
@@ -355,9 +355,11 @@ def ticker_suffix(spark, d):
     return c.select(F.col("n_name").alias("country"), F.col("c_custkey").alias("ticker"), text.yahoo_ticker(F.col("c_custkey").cast("string"), F.initcap(F.lower("n_name"))).alias("yahoo"))
 
 
-@query("""SELECT source, array_to_string(list_sort(list(DISTINCT lang)), '|') AS langs, max(lang) AS latest FROM documents GROUP BY source""")
+@query(f"""WITH {ARTICLES_SQL} SELECT ticker AS id, array_to_string(list_sort(list(DISTINCT "month")), '|') AS months, max("month") AS latest, max(date) AS last_updated FROM articles WHERE ticker IS NOT NULL GROUP BY ticker""")
 def corpora_manifest(spark, d):
-    return adapter.table(spark, d, "documents").groupBy("source").agg(F.concat_ws("|", F.array_sort(F.collect_set("lang"))).alias("langs"), F.max("lang").alias("latest"))
+    """Each corpus' months, the latest, and its last article; a ticker is a corpus."""
+    a = articles(spark, d).filter("ticker is not null").select(F.col("ticker").alias("id"), "month", F.col("date").alias("updated"))
+    return serving.corpora_manifest(a).withColumn("months", F.array_join("months", "|"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS v FROM events GROUP BY ALL")

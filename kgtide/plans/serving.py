@@ -288,6 +288,43 @@ def judge_uniqueness(spark, d):
     return serving.uniqueness(pairs, t, 0.5).select("url", F.round("uniqueness", 6).alias("uniqueness"))
 
 
+@query(f"""{W}, v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT url, seq, (ascii(substring(sub, length(sub), 1)) - 48) % 4 * 10 + length(obj) AS vec_id FROM triplets), t AS (SELECT url, seq, v FROM k JOIN v USING (vec_id)),
+p AS (SELECT a.url, count(*) FILTER (list_cosine_similarity(a.v, b.v) > 0.9) AS alike FROM t a JOIN t b ON a.url = b.url AND a.seq < b.seq GROUP BY a.url), n AS (SELECT url, count(*) AS n FROM t GROUP BY url)
+SELECT url, round(1 - coalesce(2.0 * alike / nullif(n * (n - 1), 0), 0), 6) AS uniqueness FROM n LEFT JOIN p USING (url)""")
+def judge_cosine_uniqueness(spark, d):
+    """An article's share of pairs of triplets whose vectors are not alike."""
+    vec = (F.ascii(F.expr("right(sub, 1)")) - 48) % 4 * 10 + F.length("obj")
+    t = triplets(spark, d, False).select("url", "seq", vec.cast("long").alias("vec_id"))
+    items = t.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
+    return serving.uniqueness(serving.cosine_pairs(items), items, 0.9).select("url", F.round("uniqueness", 6).alias("uniqueness"))
+
+
+@query(f"""{W}, u AS (SELECT DISTINCT 'order://' || l_orderkey AS url, 'brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1) AS unit FROM lineitem), hit AS (SELECT DISTINCT url, lower(obj) AS unit, 1 AS hit FROM triplets),
+c AS (SELECT url, round(count(hit)::DOUBLE / count(*), 6) AS coverage FROM u LEFT JOIN hit USING (url, unit) GROUP BY url),
+v AS (SELECT url, round(avg((sub_type <> 'UNK' AND obj_type <> 'UNK')::INT), 6) AS validity FROM triplets GROUP BY url),
+e AS (SELECT url, count(*) FILTER (round(sentiment, 6) > 0.15) * count(*) FILTER (round(sentiment, 6) < -0.15) AS bad, count(*) AS n FROM triplets GROUP BY url, sub, obj),
+k AS (SELECT url, round(1 - coalesce(2.0 * sum(bad) / nullif(sum(n) * (sum(n) - 1), 0), 0), 6)::DOUBLE AS consistency FROM e GROUP BY url)
+SELECT url, coverage, validity, consistency FROM c JOIN v USING (url) JOIN k USING (url)""")
+def judge_metrics(spark, d):
+    """Coverage of an article's units, validity and consistency of its triplets."""
+    t = triplets(spark, d, False)
+    unit = F.format_string("Brand#%d%d", F.col("l_partkey") % 5 + 1, F.col("l_suppkey") % 5 + 1)
+    units = table(spark, d, "lineitem").select(F.concat(F.lit("order://"), F.col("l_orderkey").cast("string")).alias("url"), unit.alias("unit"))
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return serving.coverage(units, t).join(serving.validity(t), "url").join(serving.consistency(t), "url").select("url", r6("coverage"), r6("validity"), r6("consistency"))
+
+
+@query(f"""{EDGES}, m AS (SELECT rel_category AS source, array_to_string(list_sort(list(DISTINCT "month")), '|') AS months, max("month") AS latest FROM edges GROUP BY rel_category),
+f AS (SELECT rel_category AS source, array_to_string(list_sort(list(DISTINCT "month" || '-28')), '|') AS dates FROM edges WHERE rel_category <> 'SSI' AND "month" >= '1997-01' GROUP BY rel_category)
+SELECT source, months, latest, coalesce(dates, '') AS factor_dates FROM m LEFT JOIN f USING (source)""")
+def ap_dated_timeline(spark, d):
+    """Months of each source, and the dates of its factor bundles; one has none."""
+    e = edges(spark, d).withColumnRenamed("rel_category", "source")
+    bundles = e.filter("source <> 'SSI' and month >= '1997-01'").groupBy("source", F.concat("month", F.lit("-28")).alias("date")).agg(F.count("*").alias("entities"))
+    out = serving.dated_timeline(e, bundles)
+    return out.select("source", F.array_join("months", "|").alias("months"), "latest", F.array_join("factor_dates", "|").alias("factor_dates"))
+
+
 @query("""WITH v AS (SELECT c_custkey AS id, c_custkey % 3 > 0 AS ok, (c_custkey % 1000) / 1000.0 AS m FROM customer)
 SELECT id, CASE WHEN ok THEN round(m, 3) ELSE 0 END::DOUBLE AS mrr, CASE WHEN ok THEN 0.5 ELSE 0 END::DOUBLE AS hits1, 0.0::DOUBLE AS hits3 FROM v""")
 def log_metrics(spark, d):
