@@ -121,3 +121,37 @@ def period_predictions(nodes: DataFrame, t: DataFrame, month: str, dims: int, en
     out = board.select("rank", "entity", "entity_type").join(novelty, "entity").join(recent, "entity", "left").join(listed, "entity", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select("rank", "entity", "entity_type", F.round("novelty_z", 3).alias("novelty_z"), F.array(zero("t0"), zero("t1"), zero("t2")).alias("trend"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+
+
+def all_predictions(nodes: DataFrame, t: DataFrame, dims: int, entities: int = 40, targets: int = 5) -> DataFrame:
+    """The leaderboards of all periods at once: period, total_entities, and what
+    ``period_predictions`` gives for each.
+
+    ``nodes`` has period, entity, entity_type and vector e; a period is one of the
+    triplets' months, and others are left out.  Activity is joined with the listed
+    entities of each period only, so it is not spread over all later periods.
+    """
+    p = cut(periods(t))
+    there = nodes.join(F.broadcast(p.select(F.col("month").alias("period"))), "period", "left_semi")  # rows for months
+    totals = there.groupBy("period").agg(F.count("*").alias("total_entities"))
+    named = importance(there, dims).withColumn("alias", text.alias_key(F.col("entity"))).filter(~text.is_ranked_junk(F.col("entity")) & (F.col("alias") != ""))
+    named = cut(named.withColumn("kind", F.upper("entity_type")))
+    board = cut(leaderboard(named.withColumn("entity_type", F.col("kind")), list(vocab.RANKED_TYPES), entities))
+    goals = comovers(named.filter(F.col("kind").isin(*vocab.TARGET_TYPES)).select("period", "entity", "alias", "e"), board.select("period", "entity", "alias", "e"), targets)
+    listed = goals.groupBy("period", F.col("source").alias("entity")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity"))), lambda x: x["entity"]).alias("targets"))
+
+    at = board.select("period", "entity").join(F.broadcast(p.select(F.col("month").alias("period"), F.col("p").alias("at"))), "period")
+    back = F.col("at") - F.col("p")
+    acts = at.join(activity(t).join(F.broadcast(p), "month"), "entity").filter(back >= 0)
+    some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    recent, before = some(back < 3), some(back >= 3)
+    raw = (recent - F.coalesce(before / F.when(F.max("at") > 3, F.max("at") - 3), F.lit(0.0))).alias("raw")
+    counted = acts.groupBy("period", "entity").agg(raw, *(some(back == k).alias(f"t{2 - k}") for k in (2, 1, 0)))
+    x = at.join(counted, ["period", "entity"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    whole = Window.partitionBy("period")  # a leaderboard
+    x = x.withColumns({"_m": F.avg("raw").over(whole), "_s": F.stddev_pop("raw").over(whole)})
+    z = F.when(F.col("_s") < 1e-6, 0.0).otherwise((F.col("raw") - F.col("_m")) / F.col("_s"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    x = x.select("period", "entity", F.round(z, 3).alias("novelty_z"), F.array(zero("t0"), zero("t1"), zero("t2")).alias("trend"))
+    out = board.select("period", "rank", "entity", "entity_type").join(x, ["period", "entity"]).join(listed, ["period", "entity"], "left").join(totals, "period")
+    return out.select("period", "total_entities", "rank", "entity", "entity_type", "novelty_z", "trend", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))

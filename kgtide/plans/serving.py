@@ -82,6 +82,37 @@ def ap_get_predictions(spark, d):
     return p.select("rank", "entity", "entity_type", "novelty_z", F.array_join(F.transform("trend", lambda x: x.cast("string")), ",").alias("trend"), F.array_join("targets", "|").alias("targets"))
 
 
+PREDICTED_ALL = f"""{W}, {PERIODS}, {ACT},
+nodes AS (SELECT CASE vec_id % 4 WHEN 0 THEN '1996-06' WHEN 1 THEN '1992-03' WHEN 2 THEN '1998-01' ELSE '2030-01' END AS period, coalesce(s_name, 'node ' || vec_id // 12) || CASE WHEN vec_id % 3 = 1 THEN ' Inc' ELSE '' END AS entity,
+  CASE label % 4 WHEN 0 THEN 'COMPANY' WHEN 1 THEN 'STOCKTICKER' WHEN 2 THEN 'CONCEPT' ELSE 'UNK' END AS kind, embedding::DOUBLE[] AS e, vec_id FROM embeddings LEFT JOIN supplier ON vec_id // 4 = s_suppkey),
+imp AS (SELECT a.period, a.entity, a.kind, a.e, a.vec_id, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_inner_product(a.e, b.e) END) / count(*) AS importance, count(*) AS total FROM nodes a JOIN nodes b USING (period) GROUP BY ALL),
+good AS (SELECT imp.*, regexp_replace(regexp_replace(lower(entity), ' inc$', ''), '[^a-z0-9]', '', 'g') AS alias, p AS latest FROM imp JOIN p ON "month" = period),
+one AS (SELECT * FROM good WHERE kind IN ('COMPANY', 'STOCKTICKER') QUALIFY row_number() OVER (PARTITION BY period, alias ORDER BY importance DESC, entity) = 1),
+lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY importance DESC, entity) AS rank FROM one) WHERE rank <= 15),
+pr AS (SELECT l.period, l.entity AS source, g.entity, g.alias, list_inner_product(g.e, l.e) AS score FROM good g JOIN lead l ON g.period = l.period AND g.alias <> l.alias WHERE g.kind <> 'UNK'),
+o AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY period, source, alias ORDER BY score DESC, entity) = 1),
+co AS (SELECT period, source, string_agg(entity, '|' ORDER BY rank) AS targets FROM (SELECT *, row_number() OVER (PARTITION BY period, source ORDER BY score DESC, entity) AS rank FROM o) WHERE rank <= 3 GROUP BY ALL),
+r AS (SELECT lead.period, lead.entity, coalesce(sum(n) FILTER (p > latest - 3 AND p <= latest), 0) - coalesce(coalesce(sum(n) FILTER (p <= latest - 3), 0)::DOUBLE / nullif(greatest(any_value(latest) - 3, 0), 0), 0) AS raw,
+  [coalesce(sum(n) FILTER (p = latest - 2), 0), coalesce(sum(n) FILTER (p = latest - 1), 0), coalesce(sum(n) FILTER (p = latest), 0)] AS tr FROM lead LEFT JOIN (SELECT * FROM act JOIN p USING ("month")) USING (entity) GROUP BY ALL),
+s AS (SELECT *, stddev_pop(raw) OVER (PARTITION BY period) AS dev, avg(raw) OVER (PARTITION BY period) AS mean FROM r)
+SELECT lead.period, total AS total_entities, rank, entity, kind AS entity_type, round(CASE WHEN dev < 1e-6 THEN 0 ELSE (raw - mean) / dev END, 3) AS novelty_z, array_to_string(tr, ',') AS trend, coalesce(targets, '') AS targets
+FROM lead JOIN s USING (period, entity) LEFT JOIN co ON co.period = lead.period AND source = lead.entity"""
+
+
+@query(PREDICTED_ALL)
+def pred_all_periods(spark, d):
+    """The leaderboards of three months at once; a fourth period has no triplets."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("_key"), "s_name")
+    v = table(spark, d, "embeddings").withColumn("_key", F.floor(F.col("vec_id") / 4)).join(s, "_key", "left")
+    k = F.col("vec_id") % 4
+    period = F.when(k == 0, "1996-06").when(k == 1, "1992-03").when(k == 2, "1998-01").otherwise("2030-01")
+    name = F.concat(F.coalesce("s_name", F.concat(F.lit("node "), F.floor(F.col("vec_id") / 12).cast("string"))), F.when(F.col("vec_id") % 3 == 1, " Inc").otherwise(""))
+    kind = F.when(F.col("label") % 4 == 0, "Company").when(F.col("label") % 4 == 1, "STOCKTICKER").when(F.col("label") % 4 == 2, "CONCEPT").otherwise("UNK")
+    nodes = v.select(period.alias("period"), name.alias("entity"), kind.alias("entity_type"), F.col("embedding").cast("array<double>").alias("e"))
+    p = predict.all_predictions(nodes, triplets(spark, d, False), DIMS, 15, 3)
+    return p.withColumns({"trend": F.array_join(F.transform("trend", lambda x: x.cast("string")), ","), "targets": F.array_join("targets", "|")})
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     score = F.when(F.col("weight") > 1, F.col("weight") / 10).when(F.substring("month", 7, 1) == "3", 0.25)
