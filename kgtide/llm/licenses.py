@@ -132,7 +132,8 @@ def scan(docs: DataFrame, templates: list[tuple] | None = None) -> DataFrame:
 def op2_license_scan(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text), repeated and null ids too.
 
-    A null text is empty; an empty table gives an empty result.  ``score`` is the
+    A null text is empty; very long texts are scanned whole; other columns are not
+    looked at; an empty table gives an empty result.  ``score`` is the
     largest share of a template's k-grams that a span holds.
     """
     base = F.col("base") & F.col("template").isNotNull()

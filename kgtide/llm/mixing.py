@@ -148,7 +148,10 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST, block: int = BLOCK) ->
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row; see ``mix``."""
+    """doc_id, size, source_size, target and taken of every row; see ``mix``.
+
+    Very long texts are counted whole; columns besides doc_id, source and text only
+    tell repeated rows apart."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

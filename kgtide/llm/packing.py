@@ -129,21 +129,25 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         inside = want - firsts[at]
         return pd.DataFrame({"sequence_id": base[at] + inside // copies[at], "offset": offset[at] + (inside % copies[at]) * want_len})
 
-    salts = spark.createDataFrame([(k, -(-n // max(GROUP, math.isqrt(n)))) for k, n in histogram.items()], "length long, n_salts long")
+    # Names that a caller's columns don't have.
+    salts = spark.createDataFrame([(k, -(-n // max(GROUP, math.isqrt(n)))) for k, n in histogram.items()], "length long, __salts long")
     ids = [c for c in pieces.columns if c != "length"]
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*ids), F.col("n_salts")))
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(*ids), F.col("__salts")))
     before = (
-        salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
+        salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
+        .withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("length", "__salt", F.coalesce("__before", F.lit(0)).alias("__before"))
     )
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*ids)) - 1
-    ranked = salted.withColumn("local", local).join(before, ["length", "salt"])
-    placed = ranked.withColumn("place", place("length", F.col("before") + F.col("local")))
-    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
+    local = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*ids)) - 1
+    ranked = salted.withColumn("__local", local).join(before, ["length", "__salt"])
+    placed = ranked.withColumn("__place", place("length", F.col("__before") + F.col("__local")))
+    return placed.select(*pieces.columns, "__place.sequence_id", "__place.offset")
 
 
 def op1_packing(docs: DataFrame, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Packs every row of ``docs`` (doc_id, text); see ``token_pieces`` and ``pack``."""
+    """Packs every row of ``docs`` (doc_id, text); see ``token_pieces`` and ``pack``.
+
+    Very long texts are encoded and cut whole; other columns are not looked at; an
+    empty table gives an empty result."""
     pieces = cut(token_pieces(docs, capacity, end_id).withColumn("_place", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, capacity).drop("_place")

@@ -256,7 +256,8 @@ def redact_table(docs: DataFrame, text: str = "text", length: str | None = "n_ch
 def op3_pii(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): counts of the fixed kinds,
     their digest and all spans.  A null text is empty; repeated rows and null ids
-    have a row each; an empty table gives an empty result."""
+    have a row each; very long texts are searched whole; other columns are not
+    looked at; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,7 +128,8 @@ def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A verdict for each row of ``docs`` (doc_id, text, lang), read once.
 
     Null and empty texts have no words and fail; a null lang is a stratum of its
-    own; repeated rows and null ids have a row each.  An empty table gives an empty
+    own; repeated rows and null ids have a row each; very long texts are judged
+    whole; other columns are not looked at.  An empty table gives an empty
     result, and without labels only the base rules judge.
     """
     rows = cut(features(docs, ["doc_id", "lang"]), "features")

@@ -314,7 +314,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op4_simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
-    Null and empty texts have fingerprint zero and link as any other.  Repeated
+    Null and empty texts have fingerprint zero and link as any other; very long
+    texts are read whole; other columns are not looked at.  Repeated
     rows have a row each; null ids take part, and a component of these alone has a
     null id.  An empty table gives an empty result.
     """

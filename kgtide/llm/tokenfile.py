@@ -111,7 +111,8 @@ def op6_token_files(docs: DataFrame, end_id: int = 1) -> DataFrame:
     """Writes all ``docs``, reads the files back: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all rows before, by id (null first) and then by
-    text hash; repeated rows follow each other.  A null text holds the end id
+    text hash; repeated rows follow each other; very long texts are encoded whole,
+    and other columns are not looked at.  A null text holds the end id
     alone; an empty table gives an empty result.  Files hold ranges of ids, so the starts
     are sums within a file plus the sum of the files before it.
     """

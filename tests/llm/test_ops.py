@@ -77,6 +77,15 @@ def test_caches_are_bounded(tok, monkeypatch):
         assert np.frombuffer(code.packed(text), "<u4").tolist() == ids_of(text, tok)
 
 
+def test_packing_keeps_a_callers_columns(spark):
+    names = ("salt", "before", "local", "place", "n", "n_salts")
+    rows = [(i, 1 + i % 7) for i in range(50)]
+    pieces = common.cut(spark.createDataFrame(rows, "doc_id long, length long").withColumns({c: F.lit(f"own {c}") for c in names}), "pieces")
+    got = packing.pack(pieces, 16)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in names)
+
+
 def test_packing(docs, empty, tok):
     got = packing.op1_packing(docs, 256).collect()
     want = Counter()
