@@ -45,6 +45,8 @@ WIDE_SHINGLE, WIDE_RADIUS = 5, 19
 TABLES, WIDTH = 160, 24
 #: Members that one task compares with each other; fingerprints that one task spreads over the tables.
 BLOCK, SPREAD = 2048, 250_000
+#: Fingerprints that one task spreads over the drawn tables: two million rows, which it counts in memory.
+DRAWN = 12_500
 #: Buckets of use up to which their list (a key and a mark) is broadcast; beyond, members are shuffled to it.
 LISTED = 2_000_000
 
@@ -171,7 +173,7 @@ def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp
     """
     cols = list(dict.fromkeys((node, *parts)))
     # Each fingerprint becomes many rows, so more tasks than the small table's files.
-    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // SPREAD))
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // (SPREAD if ball else DRAWN)))
     spread = distinct.repartition(tasks, node)
     probed = ball_keys(spread, cols, parts, ball) if ball else drawn_keys(spread, cols, parts)
     any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet) if m]) if ball else F.lit(False)
