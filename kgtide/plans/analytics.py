@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
@@ -300,6 +301,30 @@ def canon_relation_case(spark, d):
     return naming.relation_merge(t.groupBy("rel").agg(F.count("*").alias("n")))
 
 
+@query("""WITH RECURSIVE t AS (SELECT p_name || ' ' || lower(p_type) AS base, p_partkey % 5 AS k FROM part),
+freq AS (SELECT CASE k WHEN 0 THEN base WHEN 1 THEN upper(base) WHEN 2 THEN base || 's' WHEN 3 THEN substring(base, 1, 2) || substring(base, 4) ELSE substring(base, 1, 2) || substring(base, 2) END AS rel, count(*) AS n FROM t GROUP BY rel),
+c AS (SELECT rel AS name, n, first_value(rel) OVER (PARTITION BY lower(rel) ORDER BY n DESC, rel) AS label FROM freq),
+best AS MATERIALIZED (SELECT label, lower(label) AS low, row_number() OVER (ORDER BY n DESC, label) AS i FROM c WHERE name = label),
+near AS (SELECT a.i, b.i AS j, a.low AS x, b.low AS y FROM best a JOIN best b ON a.i < b.i AND levenshtein(a.low, b.low) <= 0.085 * (length(a.low) + length(b.low))),
+lcs AS (SELECT i, j, x, y, 0 AS k, list_transform(range(length(y) + 1), lambda z: 0::BIGINT) AS done FROM near
+  UNION ALL SELECT i, j, x, y, k + 1, [0::BIGINT] || list_transform(range(1, length(y) + 1), lambda p: list_max(best[1:p])) FROM
+    (SELECT *, list_transform(range(1, length(y) + 1), lambda p: greatest(done[p + 1], CASE WHEN substring(x, k + 1, 1) = substring(y, p, 1) THEN done[p] + 1 ELSE 0 END)) AS best FROM lcs WHERE k < length(x))),
+adj AS MATERIALIZED (SELECT i, list(j ORDER BY j) AS near FROM lcs WHERE k = length(x) AND round(200.0 * done[-1] / (length(x) + length(y))) >= 92 GROUP BY i),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, []::BIGINT[] AS taker
+  UNION ALL SELECT i + 1, taken || new, taker || list_transform(new, lambda z: i + 1) FROM
+    (SELECT g.i, taken, taker, CASE WHEN adj.i IS NULL OR list_contains(taken, g.i + 1) THEN []::BIGINT[] ELSE list_filter(near, lambda z: NOT list_contains(taken, z)) END AS new
+     FROM g LEFT JOIN adj ON adj.i = g.i + 1 WHERE g.i < (SELECT count(*) FROM best))),
+m AS (SELECT unnest(taken) AS i, unnest(taker) AS j FROM g WHERE i = (SELECT count(*) FROM best))
+SELECT name, label AS canonical FROM c WHERE name <> label UNION ALL SELECT a.label, b.label FROM m JOIN best a ON a.i = m.i JOIN best b ON b.i = m.j""")
+def canon_relation_fuzzy(spark, d):
+    """Labels with a character more, doubled or dropped, taken by commoner ones like them."""
+    base = F.concat("p_name", F.lit(" "), F.lower("p_type"))
+    k = F.col("p_partkey") % 5
+    from_ = lambda at: F.substring(base, at, 1 << 30)
+    rel = F.when(k == 0, base).when(k == 1, F.upper(base)).when(k == 2, F.concat(base, F.lit("s"))).when(k == 3, F.concat(F.substring(base, 1, 2), from_(4))).otherwise(F.concat(F.substring(base, 1, 2), from_(2)))
+    return naming.relation_merge(adapter.table(spark, d, "part").groupBy(rel.alias("rel")).agg(F.count("*").alias("n")))
+
+
 GRAMS = """w AS (SELECT name, ' ' || unnest(list_filter(string_split_regex(lower(name), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM names),
 g AS (SELECT name, substring(w, i, n) AS gram FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT *, unnest([2, 3, 4]) AS n FROM w) WHERE length(w) >= n)),
 c AS (SELECT name, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM c GROUP BY gram),
@@ -409,6 +434,34 @@ def graph_pagerank(spark, d):
     return ml.pagerank(edges(spark, d)).select("node", F.round("rank", 8).alias("rank"))
 
 
+def _sage_layer_sql(at: int, wide: int) -> str:
+    """A layer over long tables: normalised (node, i, v), in-neighbours' means, and both times their weights."""
+    act = "CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END" if at else "x"
+    return f"""n{at} AS (SELECT node, i, {act} AS v FROM (SELECT node, i, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS x FROM h{at} WINDOW w AS (PARTITION BY node))),
+m{at} AS (SELECT b AS node, i, avg(v) AS v FROM links JOIN n{at} ON a = node GROUP BY ALL),
+h{at + 1} AS (SELECT node, j AS i, sum(x.v * sin(3 * i + 7 * j + {at}) + coalesce(m.v, 0) * cos(3 * i + 7 * j + {at})) AS v FROM n{at} x LEFT JOIN m{at} m USING (node, i), range({wide}) t(j) GROUP BY ALL)"""
+
+
+@query(f"""{W}, links AS (SELECT DISTINCT sub AS a, obj AS b FROM triplets UNION SELECT obj, sub FROM triplets),
+ids AS (SELECT s_name AS node, s_suppkey AS id FROM supplier UNION SELECT p_brand, substring(p_brand, 7)::BIGINT FROM part),
+h0 AS (SELECT node, unnest(range(len(e))) AS i, unnest(e) AS v FROM (SELECT node, embedding::DOUBLE[] AS e FROM ids JOIN embeddings ON vec_id = id)),
+{_sage_layer_sql(0, 16)}, {_sage_layer_sql(1, 8)}
+SELECT node, i::INT AS dim, round(v, 4) AS value FROM h2""")
+def sage_encode(spark, d):
+    """Two mean-aggregating layers over the graph of suppliers and brands, with vectors
+    of the embeddings table and weights by a rule."""
+    e = triplets(spark, d, False).select("sub", "obj").distinct()
+    both = e.unionByName(e.select(F.col("obj").alias("sub"), F.col("sub").alias("obj"))).distinct()
+    suppliers = adapter.table(spark, d, "supplier").select(F.col("s_name").alias("node"), F.col("s_suppkey").cast("long").alias("vec_id"))
+    brands = adapter.table(spark, d, "part").select(F.col("p_brand").alias("node"), F.substring("p_brand", 7, 9).cast("long").alias("vec_id")).distinct()
+    h = suppliers.unionByName(brands).join(adapter.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("h")), "vec_id").select("node", "h")
+    weights = []
+    for at, shape in enumerate(((64, 16), (16, 8))):
+        angle = 3 * np.arange(shape[0])[:, None] + 7 * np.arange(shape[1]) + at
+        weights.append((np.sin(angle), np.cos(angle)))
+    return ml.sage(both, h, weights).select("node", F.posexplode("h").alias("dim", "value")).withColumn("value", F.round("value", 4))
+
+
 @query()
 def graph_layout(spark, d):
     return ml.spring_layout(edges(spark, d))

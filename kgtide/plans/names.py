@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +41,23 @@ def canon_ranked_junk(spark, d):
 SYMBOL = """CASE s_suppkey % 6 WHEN 0 THEN 'LSE:T' || s_suppkey WHEN 1 THEN 'T' || s_suppkey || '.L' WHEN 2 THEN 'T' || s_suppkey WHEN 3 THEN 'T' || s_suppkey || ':NASDAQ' WHEN 4 THEN 'T ' || s_suppkey ELSE 't' || s_suppkey END"""
 
 
+def _symbol(k: Column) -> Column:
+    """A supplier's symbol with one of the decorations."""
+    t = F.concat(F.lit("T"), k.cast("string"))
+    return F.when(k % 6 == 0, F.concat(F.lit("LSE:"), t)).when(k % 6 == 1, F.concat(t, F.lit(".L"))).when(k % 6 == 2, t).when(k % 6 == 3, F.concat(t, F.lit(":NASDAQ"))).when(k % 6 == 4, F.concat(F.lit("T "), k.cast("string"))).otherwise(F.lower(t))
+
+
+def _companies(s: DataFrame) -> DataFrame:
+    return s.select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string"), F.lit(".L")).alias("ticker"), F.col("s_name").alias("company"))
+
+
 @query(f"""SELECT {SYMBOL} AS name, s_name AS canonical FROM supplier
 WHERE s_suppkey % 6 < 5 AND (s_suppkey % 6 = 1 OR length('T' || s_suppkey) >= 3 OR s_nationkey % 2 = 0)""")
 def canon_ticker_aliases(spark, d):
     """Decorated symbols to their companies."""
-    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
-    t = F.concat(F.lit("T"), k.cast("string"))
-    name = F.when(k % 6 == 0, F.concat(F.lit("LSE:"), t)).when(k % 6 == 1, F.concat(t, F.lit(".L"))).when(k % 6 == 2, t).when(k % 6 == 3, F.concat(t, F.lit(":NASDAQ"))).when(k % 6 == 4, F.concat(F.lit("T "), k.cast("string"))).otherwise(F.lower(t))
-    names = s.select(name.alias("name"), F.when(F.col("s_nationkey") % 2 == 0, "STOCK_TICKER").otherwise("COMPANY").alias("type"))
-    return naming.ticker_aliases(names, s.select(k.alias("ord"), F.concat(t, F.lit(".L")).alias("ticker"), F.col("s_name").alias("company")))
+    s = table(spark, d, "supplier")
+    names = s.select(_symbol(F.col("s_suppkey")).alias("name"), F.when(F.col("s_nationkey") % 2 == 0, "STOCK_TICKER").otherwise("COMPANY").alias("type"))
+    return naming.ticker_aliases(names, _companies(s))
 
 
 SUFFIXED = f"""k AS (SELECT *, {_key_sql("name")} AS key FROM typed),
@@ -88,6 +98,43 @@ def canon_entity_map(spark, d):
     return naming.likeness_merge(_names(spark, d))
 
 
+_JUNK = f"length(n) < 2 OR n IN ({', '.join(f"'{x}'" for x in vocab.JUNK_NAMES)}) OR {' OR '.join(f"regexp_matches(n, '{p}')" for p in vocab.JUNK_PATTERNS)}"
+_LIKE_LATER = LIKE.replace("FROM names", "FROM third").replace("FROM typed", "FROM third").replace("JOIN typed", "JOIN third").replace("0.8", "0.9")
+
+
+@query(f"""WITH RECURSIVE {TYPED_NAMES},
+firms AS (SELECT s_suppkey AS k, s_name AS firm, {SYMBOL} AS symbol, s_nationkey % 2 = 0 AS listed FROM supplier),
+every AS (SELECT * FROM typed UNION ALL SELECT symbol, k % 7 + 1, CASE WHEN listed THEN 'STOCK_TICKER' ELSE 'COMPANY' END FROM firms
+  UNION ALL SELECT firm || CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN ' Inc.' WHEN 2 THEN ' Shares' ELSE ' stock' END, k % 5 + 1, 'COMPANY' FROM firms UNION ALL SELECT upper(firm), 1, 'COMPANY' FROM firms WHERE k % 3 = 0),
+kept AS (SELECT name, freq, type FROM (SELECT *, lower(trim(name)) AS n FROM every) WHERE NOT ({_JUNK})),
+tickers AS (SELECT symbol AS name, firm AS canonical FROM firms WHERE k % 6 < 5 AND (k % 6 = 1 OR length('T' || k) >= 3 OR listed)),
+moved AS (SELECT coalesce(canonical, name) AS name, sum(freq) AS freq FROM kept LEFT JOIN tickers USING (name) GROUP BY 1),
+second AS (SELECT name, moved.freq, coalesce(type, 'UNK') AS type FROM moved LEFT JOIN kept USING (name)),
+{SUFFIXED.replace("FROM typed", "FROM second")},
+bases AS (SELECT name, lower(regexp_extract(trim(name), '^(.+?)\\s+(shares?|stock)$', 1, 'i')) AS base FROM second ANTI JOIN suffixed USING (name)),
+known AS (SELECT lower(trim(name)) AS base, max(name) AS onto FROM second GROUP BY 1),
+steps AS (SELECT name, canonical FROM suffixed UNION ALL SELECT bases.name, coalesce(s.canonical, onto) FROM bases JOIN known USING (base) LEFT JOIN suffixed s ON s.name = onto WHERE base <> '' AND bases.name <> onto),
+again AS (SELECT coalesce(canonical, name) AS name, sum(freq) AS freq FROM second LEFT JOIN steps USING (name) GROUP BY 1),
+third AS (SELECT name, again.freq, coalesce(type, 'UNK') AS type FROM again LEFT JOIN second USING (name)), {_LIKE_LATER},
+alike_to AS (SELECT name, canonical FROM parts JOIN best USING (root) WHERE name <> canonical),
+one AS (SELECT kept.name, coalesce(t.canonical, kept.name) AS a FROM kept LEFT JOIN tickers t USING (name)),
+two AS (SELECT one.name, coalesce(s.canonical, a) AS a FROM one LEFT JOIN steps s ON s.name = a),
+three AS (SELECT two.name, coalesce(l.canonical, a) AS a FROM two LEFT JOIN alike_to l ON l.name = a)
+SELECT name, a AS canonical FROM three WHERE name <> a""")
+def canon_clean_map(spark, d):
+    """Symbols, legal endings, shares and likeness in turn, frequencies counted again between."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    symbol, company = _symbol(k), F.lit("COMPANY")
+    ending = F.when(k % 4 == 0, "").when(k % 4 == 1, " Inc.").when(k % 4 == 2, " Shares").otherwise(" stock")
+    every = (
+        _names(spark, d).select("name", "freq", "type")
+        .unionByName(s.select(symbol.alias("name"), (k % 7 + 1).alias("freq"), F.when(F.col("s_nationkey") % 2 == 0, "STOCK_TICKER").otherwise("COMPANY").alias("type")))
+        .unionByName(s.select(F.concat("s_name", ending).alias("name"), (k % 5 + 1).alias("freq"), company.alias("type")))
+        .unionByName(s.filter(k % 3 == 0).select(F.upper("s_name").alias("name"), F.lit(1).alias("freq"), company.alias("type")))
+    )
+    return naming.clean_map(every, _companies(s))
+
+
 @query(f"""{EDGES}, m AS (SELECT "month", sub, upper(rel) AS rel, CASE WHEN obj = 'Brand#55' THEN 'Revenue' ELSE substring(obj, 1, 7) END AS obj, weight FROM edges),
 x AS (SELECT "month", CASE WHEN sub LIKE '%1' THEN 'Brand#1' ELSE sub END AS sub, rel, obj, weight FROM m)
 SELECT "month", sub, rel, obj, sum(weight)::BIGINT AS weight FROM x WHERE obj <> 'Revenue' AND sub <> obj GROUP BY ALL""")
@@ -123,6 +170,21 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(key.alias("id"), first.alias("first"), revised.alias("revised"))
 
 
+@query("""SELECT o_orderkey AS id, 0::INT AS seq, CASE WHEN o_orderkey % 7 = 0 THEN ' C' ELSE 'C' END || o_custkey AS sub, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority ELSE 'it''s ' || o_orderpriority END AS obj, NULL::VARCHAR AS obj_type FROM orders WHERE o_orderkey % 5 < 3
+UNION ALL SELECT o_orderkey, 1, '7', 'b', 'None' FROM orders WHERE o_orderkey % 5 = 2""")
+def pf_sanitised(spark, d):
+    """Lists of 6-tuples out of replies with fences; other items and malformed lists go."""
+    key = F.col("o_orderkey")
+    sub = F.concat(F.when(key % 7 == 0, " C").otherwise("C"), F.col("o_custkey").cast("string"))
+    obj = F.when(key % 2 == 1, F.concat(F.lit("'"), "o_orderpriority", F.lit("'"))).otherwise(F.concat(F.lit('"it\'s '), "o_orderpriority", F.lit('"')))
+    six = F.concat(F.lit("('"), sub, F.lit("', 'COMPANY', 'r', '', "), obj, F.lit(", None)"))
+    whole = F.concat(F.lit("[('a', 'b'), 3, "), six, F.lit("]"))
+    raw = F.when(key % 5 == 0, whole).when(key % 5 == 1, F.concat(F.lit("```python\n"), whole, F.lit("\n```")))
+    raw = raw.when(key % 5 == 2, F.concat(F.lit(" ```\n["), six, F.lit(", [7, 'x', 'r', 0.5, 'b', 'None']]```"))).when(key % 5 == 3, F.concat(F.lit("Here: "), whole))
+    rows = table(spark, d, "orders").select(key.alias("id"), readers.parse_triplets(raw).alias("triplets"))
+    return readers.explode_triplets(rows).select("id", "seq", "sub", "obj", "obj_type")
+
+
 @query("""SELECT o_orderkey AS id, 'C' || o_custkey AS sub, 'Related To' AS rel, 'UNK' AS rel_category, o_orderpriority AS obj, 'UNK' AS obj_type, 0.0::DOUBLE AS sentiment, 'OTHER' AS event_type FROM orders WHERE o_orderkey % 6 > 1""")
 def pf_published(spark, d):
     """6-tuples with neutral defaults, without empty ends and self-loops."""
@@ -219,3 +281,18 @@ def ud_chat_prompt(spark, d):
     """The prompt of a chat with its articles, and its sources."""
     hits = table(spark, d, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_name").alias("title"), F.lit("2020-01-01").alias("date"), F.lit("T").alias("ticker"), F.lit("s").alias("summary"), F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"))
     return generate.chat_prompt(hits, "Why?", "2020-01", "2020-03", "X").select("prompt", F.array_join("sources", "|").alias("sources"))
+
+
+def _slow_stub(prompt: str) -> str:
+    """A generator for a query: it is late for prompts of some lengths."""
+    if len(prompt) % 499 == 0:
+        time.sleep(60)
+    return f'[{{"sub": "late", "sub_type": "X", "rel": "r", "obj": "{len(prompt)}", "obj_type": "X"}}]'
+
+
+@query("""SELECT doc_id, length(coalesce(text, ''))::VARCHAR AS obj FROM documents WHERE length(coalesce(text, '')) % 499 <> 0""")
+def ud_timeout(spark, d):
+    """Replies that take over two seconds count as empty lists."""
+    a = table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    found = generate.extract(a, "{input_text_}", generate.with_timeout(_slow_stub, 2.0), pause=0)
+    return readers.explode_triplets(found.select("doc_id", "triplets")).select("doc_id", "obj")
