@@ -424,6 +424,40 @@ def sector_infer(spark, d):
     return canon.sector_vote(members, canon.sector_of(members.select("node"), keywords), order).select("node", "sector")
 
 
+_ROUND2 = "floor(({}) * 100 + 0.5) / 100"
+_NEAR = "".join(
+    f"""p{i + 1} AS MATERIALIZED (SELECT node, coalesce(p.x, q.x) AS x, coalesce(p.y, q.y) AS y FROM p{i} p LEFT JOIN (
+  SELECT a AS node, {_ROUND2.format("avg(o.x) + any_value(h.dx)")} AS x, {_ROUND2.format("avg(o.y) + any_value(h.dy)")} AS y
+  FROM links JOIN p{i} o ON o.node = b JOIN h ON h.node = a WHERE o.x IS NOT NULL GROUP BY a) q USING (node)),
+"""
+    for i in range(6)
+)
+_RING = lambda f: _ROUND2.format(f"{f}(i * 2.399963) * sqrt(409600.0 + 2150400.0 * i / m) + {f}(j * 2.399963) * 26.0 * sqrt(j)")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 200 * 200 AS g, c_custkey % 200 AS l FROM customer),
+e AS (SELECT 'c' || k AS sub, 'c' || (g + l // 2) AS obj FROM c), links AS MATERIALIZED (SELECT sub AS a, obj AS b FROM e UNION ALL SELECT obj, sub FROM e),
+f AS (SELECT node, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(node, ''), lambda c: unicode(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS f FROM (SELECT DISTINCT a AS node FROM links)),
+h AS MATERIALIZED (SELECT node, cos(f % 3600 / 3600.0 * 2 * pi()) * (18 + (f >> 12) % 60) AS dx, sin(f % 3600 / 3600.0 * 2 * pi()) * (18 + (f >> 12) % 60) AS dy FROM f),
+p0 AS (SELECT node, x, y FROM (SELECT DISTINCT a AS node FROM links) LEFT JOIN (SELECT 'c' || k AS node, k * 1.5::DOUBLE AS x, k / -4.0::DOUBLE AS y FROM c WHERE l = 0 AND k % 600 = 0) USING (node)),
+{_NEAR}lost AS MATERIALIZED (SELECT node FROM p6 WHERE x IS NULL),
+inner_links AS MATERIALIZED (SELECT DISTINCT a, b FROM links WHERE a <> b AND a IN (SELECT node FROM lost) AND b IN (SELECT node FROM lost)),
+reach AS (SELECT node AS a, node AS b FROM lost UNION SELECT reach.a, inner_links.b FROM reach JOIN inner_links ON reach.b = inner_links.a),
+parts AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+rings AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS i, greatest(1, count(*) OVER () - 1) AS m FROM parts GROUP BY root),
+r AS (SELECT node, i, m, row_number() OVER (PARTITION BY root ORDER BY node) - 1 AS j FROM parts JOIN rings USING (root))
+SELECT node, x, y FROM p6 WHERE x IS NOT NULL UNION ALL SELECT node, {_RING("cos")}, {_RING("sin")} FROM r""")
+def kg_placed(spark, d):
+    """Trees of customers, every third with a placed root: six passes of neighbours'
+    centroids, and what they do not reach on the ring."""
+    k = F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("c"), n.cast("long").cast("string"))
+    c = table(spark, d, "customer")
+    e = c.select(name(k).alias("sub"), name(k - k % 200 + F.floor(k % 200 / 2)).alias("obj"))
+    anchor = c.filter(k % 600 == 0).select(name(k).alias("node"), (k * 1.5).cast("double").alias("x"), (k / -4.0).cast("double").alias("y"))
+    return serving.placed_graph(e, e.select(F.explode(F.array("sub", "obj")).alias("node")).distinct(), anchor)
+
+
 @query()
 def kg_merged_layout(spark, d):
     """All months' nodes placed around those of the busiest month."""
