@@ -128,7 +128,7 @@ def test_enriched_replies():
         f'[{good}, "sentiment": 3, "materiality_usd": 2, "event_type": "E", "rel_category": "C"}}]': [(" a ", 3.0, 2.0, "E", "C")], f'[{good}, "sub": 5}}]': [],
     }
     for raw, want in cases.items():
-        assert [(x["sub"], x["sentiment"], x["materiality_usd"], x["event_type"], x["rel_category"]) for x in readers._enriched(raw)] == want
+        assert [(x["sub"], x["sentiment"], x["materiality_usd"], x["event_type"], x["rel_category"]) for x in readers.enriched_items(raw)] == want
 
 
 def test_missing_columns_and_months(spark, tmp_path):
