@@ -230,7 +230,7 @@ def snk_training_rows(spark, d):
     path = scratch(spark, "training")
     writers.training_rows(graph.with_end_types(e, types).withColumnRenamed("weight", "w")).write.option("header", True).option("escape", '"').csv(path)
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    return readers.explode_triplets(rows.select("date", readers.parse_weighted(F.col("output_triplets")).alias("triplets"))).drop("seq")
+    return readers.weighted_triplets(rows.select("date", "output_triplets"))
 
 
 @query(f"""WITH {ARTICLES_SQL} SELECT url, "month", date FROM articles""")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import text
 from ..operators import graph
@@ -79,8 +81,23 @@ def _weighted(raw: str | None) -> list[dict]:
     return out
 
 
-def parse_weighted(raw: Column) -> Column:
-    return _by_cell(_weighted, f"array<{TRIPLET[:-1]},w:double>>")(raw)
+def weighted_triplets(df: DataFrame, column: str = "output_triplets") -> DataFrame:
+    """A row for each weighted triplet of a cell beside the other columns, cell by
+    cell, so that a task holds the triplets of one cell."""
+    keep = [c for c in df.columns if c != column]
+    rows = df.select(*keep, column)
+    out = StructType([*rows.schema[:-1], *(StructField(k, StringType()) for k in NAMES), StructField("w", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(len(keep))):
+                found = _weighted(raw.as_py())
+                if found:
+                    own = [batch.column(j).take(pa.array([i] * len(found))) for j in range(len(keep))]
+                    texts = [pa.array([x[k] for x in found], pa.string()) for k in NAMES]
+                    yield pa.RecordBatch.from_arrays([*own, *texts, pa.array([x["w"] for x in found], pa.float64())], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def literal(c: Column) -> Column:
