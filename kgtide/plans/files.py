@@ -209,12 +209,13 @@ def snk_bundle_documents(spark, d):
     """Bundles written as documents with pairs of a name and a number, and read again
     by VARIANT; one has no entities."""
     path = scratch(spark, "bundles")
-    bundles.write_documents(bundles.documents(*_bundle_parts(spark, d)), path)
-    docs = cut(bundles.read_documents(spark, path))
+    bundles.write_lines(bundles.document_lines(*_bundle_parts(spark, d)), path)
+    docs = cut(bundles.read_lines(spark, path))
+    kind = lambda k: docs.filter(F.col("kind") == k)
     mix = F.array_join(F.transform("event_mix", lambda x: F.concat(x["event"], F.lit(":"), x["n"].cast("string"))), ",").alias("mix")
-    rows = bundles.entities(docs).select("date", "name", "type", "cluster", "pc1", F.col("factors.sentiment").alias("sentiment"), F.col("factors.novelty").alias("novelty"), "n_articles", mix, F.array_join("top_partners", ",").alias("partners"))
-    sizes = bundles.clusters(docs).select("date", "cluster", "size", F.explode("members").alias("name"))
-    head = bundles.heads(docs).select("corpus", "date", F.array_join("kept_factors", ",").alias("kept"), "note", F.col("components")[0][1].alias("component"))
+    rows = bundles.entities(kind("entity")).select("date", "name", "type", "cluster", "pc1", F.col("factors.sentiment").alias("sentiment"), F.col("factors.novelty").alias("novelty"), "n_articles", mix, F.array_join("top_partners", ",").alias("partners"))
+    sizes = bundles.clusters(kind("cluster")).select("date", "cluster", "size", F.explode("members").alias("name"))
+    head = bundles.heads(kind("head")).select("corpus", "date", F.array_join("kept_factors", ",").alias("kept"), "note", F.col("components")[0][1].alias("component"))
     return head.join(rows.join(sizes, ["date", "cluster", "name"]), "date", "left").na.fill(-1, ["cluster", "size", "n_articles"])
 
 

@@ -1,10 +1,14 @@
 """Work that is divided as it grows: cells, documents, layouts."""
 
-from kgtide.sources import readers, writers
+import json
+
+from pyspark.sql import functions as F
+
+from kgtide.sources import bundles, readers, writers
 
 
 def test_a_large_month_is_several_training_rows(spark):
-    e = [("2020-01", f"s{i}", "COMPANY", "it's", "SSI", f"o{i % 3}", "UNK", float(i)) for i in range(50)] + [("2020-02", "a", "UNK", "r", "GMM", "b", "UNK", 2.0)]
+    e = [("2020-01", f"s{i}", "COMPANY", "it's", "SSI", f"o{i % 3}", "UNK", 1.0 + i) for i in range(50)] + [("2020-02", "a", "UNK", "r", "GMM", "b", "UNK", 2.0)]
     e = spark.createDataFrame(e, "month string, sub string, sub_type string, rel string, rel_category string, obj string, obj_type string, w double")
     rows = writers.training_rows(e, 10).collect()
     january = [r for r in rows if r["date"] == "2020-01-15"]
@@ -14,3 +18,25 @@ def test_a_large_month_is_several_training_rows(spark):
     back = readers.weighted_triplets(cells)
     want = e.selectExpr("month || '-15' AS date", "sub", "sub_type", "rel", "rel_category", "obj", "obj_type", "w")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bundles_by_lines_are_those_in_one_cell(spark, tmp_path):
+    mix = "array(struct('M \"A\"' AS event, 3L AS n), struct('b' AS event, 1L AS n))"
+    rows = spark.range(40).selectExpr(
+        "if(id % 2 = 0, '2020-12-31', '2021-12-31') AS date", "concat('e\"', id) AS name", "'T' AS type", "cast(id % 3 AS int) AS cluster", "id / 8 AS pc1", "cast(null AS double) AS pc2", "1D AS pc3",
+        "struct(1D AS attention, 2D AS sentiment, 3D AS consensus, cast(null AS double) AS novelty, 5D AS materiality) AS factors", "id AS n_articles", f"{mix} AS event_mix", "array('x,', 'y') AS top_partners",
+    )
+    clustered = rows.groupBy("date", "cluster").agg(F.count("*").cast("int").alias("size"), F.array(F.struct(F.lit("f").alias("factor"), F.lit(0.5).alias("loading"))).alias("signature"), F.array_sort(F.collect_list("name")).alias("members"))
+    head = spark.createDataFrame(
+        [("c", d, None, 2, ["f"], "n", ["2020-01"], [0.5], [[1.0]], 3, [[0.0]]) for d in ("2020-12-31", "2021-12-31", "1900-12-31")],
+        "corpus string, date string, generated_at string, min_articles int, kept_factors array<string>, note string, window_months array<string>, explained_variance array<double>, components array<array<double>>, k int, centroids array<array<double>>",
+    )
+    bundles.write_lines(bundles.document_lines(rows, clustered, head), str(tmp_path))
+    texts = {r["date"]: json.loads(r["value"]) for r in bundles.documents(rows, clustered, head).collect()}
+    files = {p.parent.name.removeprefix("date="): p for p in tmp_path.glob("date=*/*.txt")}
+    assert {d: json.loads(p.read_text()) for d, p in files.items()} == texts and len(files) == 3
+    assert len(files["2020-12-31"].read_text().splitlines()) == 20 + 3 + 3
+    whole, lines = bundles.read_documents(spark, str(tmp_path)), bundles.read_lines(spark, str(tmp_path))
+    for kind, read in (("head", bundles.heads), ("entity", bundles.entities), ("cluster", bundles.clusters)):
+        both = [sorted(map(repr, read(docs).collect())) for docs in (whole, lines.filter(F.col("kind") == kind))]
+        assert both[0] == both[1] and both[0]
