@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +17,7 @@ from ..functions import text
 from . import canon
 from .factors import FACTORS, standardise
 from .graph import positions
-from .lineage import cut
+from .lineage import cut, scratch
 
 
 def pca_kmeans(f: DataFrame, restarts: int = 10, seed: int = 42) -> dict:
@@ -41,36 +44,132 @@ def pca_kmeans(f: DataFrame, restarts: int = 10, seed: int = 42) -> dict:
     return {"entities": out.select("sub", "attention", "cluster", *pcs), "kept": kept, "k": k, "explained": model.explainedVariance.toArray().tolist(), "components": (loadings * signs).T.tolist(), "centroids": [c.tolist() for c in centres], "signatures": signatures, "note": None}
 
 
+def _pushed(pos: np.ndarray, first: int, last: int, k: float) -> np.ndarray:
+    """How all nodes push those from ``first`` up to ``last``.  Rows are taken by a few,
+    so that what is worked on stays in the processor's cache."""
+    x, y = np.ascontiguousarray(pos[:, 0]), np.ascontiguousarray(pos[:, 1])
+    rows = max(1, min(16, 65_536 // max(len(x), 1)))
+    dx, dy, pull, square = np.empty((4, rows, len(x)))
+    out = np.empty((last - first, 2))
+    for at in range(first, last, rows):
+        m = min(rows, last - at)
+        u, v, w, z = dx[:m], dy[:m], pull[:m], square[:m]
+        np.subtract(x[at : at + m, None], x, out=u)
+        np.subtract(y[at : at + m, None], y, out=v)
+        np.multiply(u, u, out=w)
+        np.multiply(v, v, out=z)
+        np.add(w, z, out=w)
+        np.maximum(w, 1e-4, out=w)
+        np.divide(k * k, w, out=w)
+        out[at - first : at - first + m, 0] = np.einsum("ij,ij->i", u, w)
+        out[at - first : at - first + m, 1] = np.einsum("ij,ij->i", v, w)
+    return out
+
+
+def _step(pos: np.ndarray, first: int, last: int, subs: np.ndarray, objs: np.ndarray, t: float) -> np.ndarray:
+    """Nodes from ``first`` up to ``last`` after a step of at most ``t``; ``subs`` and ``objs``
+    are the edges (a, b) in order whose subject or object is among them."""
+    k = 1 / np.sqrt(len(pos))
+    push = _pushed(pos, first, last, k)
+    for pairs, own, sign in ((subs, 0, -1), (objs, 1, 1)):
+        pull = pos[pairs[:, 0]] - pos[pairs[:, 1]]
+        np.add.at(push, pairs[:, own] - first, sign * pull * (np.sqrt((pull**2).sum(-1)) / k)[:, None])
+    size = np.maximum(np.sqrt((push**2).sum(-1)), 0.01)
+    return pos[first:last] + push / size[:, None] * np.minimum(size, t)[:, None]
+
+
+def _scaled(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, scale: float) -> np.ndarray:
+    return np.round((pos - lo) / np.maximum(hi - lo, 1e-9) * scale, 2)
+
+
 def spring_layout(e: DataFrame, iterations: int = 120, scale: float = 1000.0, seed: int = 7) -> DataFrame:
-    """Fruchterman-Reingold coordinates by month within a square canvas."""
+    """Fruchterman-Reingold coordinates by month within a square canvas.  A task places
+    a month; see ``spread_layout`` for a large one."""
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["sub"]) | set(pdf["obj"]))
         at = {x: i for i, x in enumerate(names)}
         n = len(names)
         pos = np.random.default_rng(seed).random((n, 2))
-        a, b = pdf["sub"].map(at).to_numpy(), pdf["obj"].map(at).to_numpy()
-        k, t = 1 / np.sqrt(n), 0.1
+        edges = np.stack([pdf["sub"].map(at).to_numpy(), pdf["obj"].map(at).to_numpy()], axis=1)
+        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]  # sums don't depend on the order of rows
+        t = 0.1
         for _ in range(iterations):
-            push = np.empty_like(pos)
-            for at_ in range(0, n, 512):  # memory grows with the nodes, not with their square
-                delta = pos[at_ : at_ + 512, None] - pos[None]
-                dist2 = np.maximum((delta**2).sum(-1), 1e-4)
-                push[at_ : at_ + 512] = (delta * (k * k / dist2)[..., None]).sum(1)
-            pull = pos[a] - pos[b]
-            force = pull * (np.sqrt((pull**2).sum(-1)) / k)[:, None]
-            np.add.at(push, a, -force)
-            np.add.at(push, b, force)
-            size = np.maximum(np.sqrt((push**2).sum(-1)), 0.01)
-            pos += push / size[:, None] * np.minimum(size, t)[:, None]
+            pos = _step(pos, 0, n, edges, edges, t)
             t -= 0.1 / (iterations + 1)
-        lo, hi = pos.min(0), pos.max(0)
-        pos = np.round((pos - lo) / np.maximum(hi - lo, 1e-9) * scale, 2)
+        pos = _scaled(pos, pos.min(0), pos.max(0), scale)
         return pd.DataFrame({"month": pdf["month"].iloc[0], "node": names, "x": pos[:, 0], "y": pos[:, 1]})
 
     return e.select("month", "sub", "obj").groupBy("month").applyInPandas(place, "month string, node string, x double, y double")
 
 
+def spread_layout(e: DataFrame, iterations: int = 120, scale: float = 1000.0, seed: int = 7, least: int = 4096) -> DataFrame:
+    """node, x, y: what ``spring_layout`` gives for the edges (sub, obj) of one graph.
+
+    From ``least`` nodes on, each step is a job in which a task moves a block of nodes;
+    it holds all coordinates (16 bytes a node) and its own nodes' edges.
+    """
+    spark = e.sparkSession
+    names = cut(dictionary(e.select(F.explode(F.array("sub", "obj")).alias("node")))).select("node", (F.col("id") - 1).alias("id"))
+    n = names.count()
+    if n < least:
+        return spring_layout(e.select(F.lit("").alias("month"), "sub", "obj"), iterations, scale, seed).select("node", "x", "y")
+    blocks = min(-(-n // 512), max(1, 2 * spark.sparkContext.defaultParallelism))
+    size = -(-n // blocks)
+    blocks = -(-n // size)
+    ends = e.join(names.select(F.col("node").alias("sub"), F.col("id").alias("a")), "sub").join(names.select(F.col("node").alias("obj"), F.col("id").alias("b")), "obj")
+    side = lambda i, c: F.struct(F.floor(F.col(c) / size).cast("int").alias("block"), F.lit(i).alias("side"))
+    edges = cut(ends.select("a", "b", F.explode(F.array(side(0, "a"), side(1, "b"))).alias("s")).select("s.block", "s.side", "a", "b"))
+    schema = "block int, x array<double>, y array<double>"
+
+    def row(block: int, pos: np.ndarray) -> pa.Table:
+        return pa.table({"block": pa.array([block], pa.int32()), "x": pa.array([pos[:, 0]], pa.list_(pa.float64())), "y": pa.array([pos[:, 1]], pa.list_(pa.float64()))})
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                draw = np.random.default_rng(seed)
+                draw.bit_generator.advance(2 * size * block)
+                yield from row(block, draw.random((min(size, n - size * block), 2))).to_batches()
+
+    def whole(table: pa.Table) -> np.ndarray:
+        table = table.sort_by("block")
+        return np.stack([table[c].combine_chunks().flatten().to_numpy() for c in ("x", "y")], axis=1)
+
+    def step(t: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            block, pos = key[0].as_py(), whole(left)
+            own = np.stack([right[c].to_numpy() for c in ("side", "a", "b")], axis=1).astype(np.int64)
+            own = own[np.lexsort((own[:, 2], own[:, 1], own[:, 0]))]
+            first = size * block
+            return row(block, _step(pos, first, min(first + size, n), own[own[:, 0] == 0, 1:], own[own[:, 0] == 1, 1:], t))
+
+        return run
+
+    state, t = _kept(spark.range(blocks).mapInArrow(begin, schema), schema), 0.1
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to")
+    for _ in range(iterations):
+        seen = state.select(every, "block", "x", "y").repartition(blocks, "to")
+        state = _kept(seen.groupBy("to").cogroup(edges.groupBy("block")).applyInArrow(step(t), schema), schema)
+        t -= 0.1 / (iterations + 1)
+    bounds = state.agg(*(f(F.expr(f"array_{f.__name__}({c})")).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy"))  # one row
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                pos = _scaled(np.stack([r["x"], r["y"]], axis=1), np.array([r["min_x"], r["min_y"]]), np.array([r["max_x"], r["max_y"]]), scale)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pos)) + size * r["block"]), pa.array(pos[:, 0]), pa.array(pos[:, 1])], names=["id", "x", "y"])
+
+    return state.crossJoin(F.broadcast(bounds)).mapInArrow(finish, "id long, x double, y double").join(names, "id").select("node", "x", "y")
+
+
+def _kept(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` as written to the shared folder, once."""
+    path = scratch(df.sparkSession, "layout")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def place_near(e: DataFrame, nodes: DataFrame, passes: int = 6) -> DataFrame:
     """Nodes (node, x, y) without coordinates take the centroid of their placed
     neighbours, each edge counting, with an offset by name; all of a pass at once."""

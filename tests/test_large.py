@@ -2,8 +2,10 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from kgtide.operators import ml
 from kgtide.sources import bundles, readers, writers
 
 
@@ -40,3 +42,19 @@ def test_bundles_by_lines_are_those_in_one_cell(spark, tmp_path):
     for kind, read in (("head", bundles.heads), ("entity", bundles.entities), ("cluster", bundles.clusters)):
         both = [sorted(map(repr, read(docs).collect())) for docs in (whole, lines.filter(F.col("kind") == kind))]
         assert both[0] == both[1] and both[0]
+
+
+def test_a_spread_layout_is_that_of_one_task(spark):
+    g = np.random.default_rng(5)
+    e = [(f"n{a}", f"n{b}") for a, b in g.integers(0, 1100, (2000, 2)).tolist()] + [("é", "n1"), ("n2", "n2")]
+    e = spark.createDataFrame(e, "sub string, obj string").repartition(3)
+    one = ml.spring_layout(e.withColumn("month", F.lit("m")), 6).select("node", "x", "y")
+    spread = ml.spread_layout(e, 6, least=10)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, spread.collect()))
+
+
+def test_nodes_push_each_other_as_in_the_plain_formula():
+    pos = np.random.default_rng(3).random((700, 2))
+    delta = pos[:, None] - pos[None]
+    want = (delta * (0.04 / np.maximum((delta**2).sum(-1), 1e-4))[..., None]).sum(1)
+    assert np.allclose(ml._pushed(pos, 0, 700, 0.2), want, rtol=1e-9) and np.array_equal(ml._pushed(pos, 5, 300, 0.2), ml._pushed(pos, 0, 700, 0.2)[5:300])
