@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import canon, factors, generate, graph, ml, predict, serving
+from ..operators.lineage import cut
 from ..sources.adapter import ARTICLES_SQL, TRIPLETS_SQL, articles, table, triplets
 from .analytics import ACT, AT, DIMS, KEYWORDS, PERIODS, SNAP
 from .graphs import EDGES, edges, family_sql
@@ -463,7 +464,7 @@ def kg_merged_layout(spark, d):
     """All months' nodes placed around those of the busiest month."""
     e = edges(spark, d).select("month", "sub", "obj").distinct()
     month = graph.anchor_month(graph.ends(e.withColumn("weight", F.lit(1)), "month").select("month", "node").distinct()).withColumnRenamed("anchor", "month")
-    anchor = ml.spring_layout(e.join(F.broadcast(month), "month", "left_semi")).select("node", "x", "y")  # one row
+    anchor = ml.spread_layout(cut(e.join(F.broadcast(month), "month", "left_semi")))  # one row
     nodes = e.select(F.explode(F.array("sub", "obj")).alias("node")).distinct()
     return serving.placed_graph(e.select("sub", "obj").distinct(), nodes, anchor)
 
