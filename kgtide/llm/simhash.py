@@ -14,18 +14,17 @@ member.  Crowded buckets are first thinned by their most frequent fingerprint,
 and what it does not reach is compared with the bucket in blocks.
 
 ``keep_one`` takes shingles of five words, fingerprints of 128 bits, and a distance
-that SimHash expects of a similarity of 0.8, which is 19 bits.  Balls that find all
-pairs at that distance hold 2,116 words for each fingerprint (radius 2 in each of
-four segments); ``exact`` asks for them.  Otherwise segments are drawn instead of
-cut: ``TABLES`` times ``WIDTH`` of the 128 bits, whose words meet where they are
-equal.  A pair at distance d is found with probability 1 - (1 - p) ** TABLES, with
-p = C(128 - d, WIDTH) / C(128, WIDTH): 0.999 at 14 and less, 0.89 at 19.
+that SimHash expects of a similarity of 0.8, which is 19 bits.  The 128 bits are cut
+into seven segments of 18 or 19.  Of two fingerprints within 19 bits, one of the first
+six segments differs in at most two bits, or the last in at most one, as 6 * 3 + 2 is
+20.  So all pairs meet in radius-1 balls, which are 135 words for each fingerprint;
+chance lets 1 in 370 of all pairs meet.  With ``quarters`` they meet in radius-2 balls
+of four segments: the same links from 2,116 words, where 1 in 25,000 meets.
 """
 
 from __future__ import annotations
 
 import itertools
-import random
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -41,12 +40,14 @@ from .common import broadcast_if_small, cut
 SHINGLE, RADIUS = 4, 4
 #: For 128 bits.  A similarity of 0.8 is a cosine of 0.89, or 19.4 differing bits on average.
 WIDE_SHINGLE, WIDE_RADIUS = 5, 19
-#: Drawn segments of a wide fingerprint, and their bits.
-TABLES, WIDTH = 160, 24
+#: Bits of the segments of a wide fingerprint, and whether stored balls meet there.
+SEGMENTS, SEGMENTS_MEET = (18, 18, 18, 18, 19, 19, 18), (True,) * 6 + (False,)
+#: Members of a bucket up to which all pairs are compared at once.
+FEW = 64
 #: Members that one task compares with each other; fingerprints that one task spreads over the tables.
 BLOCK, SPREAD = 2048, 250_000
-#: Fingerprints that one task spreads over the drawn tables: two million rows, which it counts in memory.
-DRAWN = 12_500
+#: Fingerprints that one task spreads over the segments: two million rows, which it counts in memory.
+DRAWN = 15_000
 #: Buckets of use up to which their list (a key and a mark) is broadcast; beyond, members are shuffled to it.
 LISTED = 2_000_000
 
@@ -135,11 +136,6 @@ def unite(fps: np.ndarray, seen_by: np.ndarray, radius: int = RADIUS) -> list[tu
     return links
 
 
-def _words(words: list[int]) -> list[int]:
-    """Unsigned 64-bit words as signed ones."""
-    return [w - (1 << 64) if w >> 63 else w for w in words]
-
-
 def ball_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...], ball: int = 1) -> DataFrame:
     """key, cols, n, flip: for each half of a part all words that differ in at most
     ``ball`` bits; flip numbers the bits that differ, 0 for none."""
@@ -151,16 +147,60 @@ def ball_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...], ball: in
     return spread.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("word").bitwiseXOR(F.col("m.mask"))).alias("key"), *cols, "n", "m.flip")
 
 
-def drawn_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...], tables: int = TABLES, width: int = WIDTH, seed: int = 7) -> DataFrame:
-    """key, cols, n, flip (always 0): a hash of each drawn segment's bits."""
-    draw = random.Random(seed)
-    masks = []
-    for _ in range(tables):
-        mask = sum(1 << b for b in draw.sample(range(64 * len(parts)), width))
-        masks.append(_words([mask >> 64 * i & 0xFFFFFFFFFFFFFFFF for i in range(len(parts))]))
-    drawn = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), *(F.lit(w).cast("long").alias(p) for p, w in zip(parts, m, strict=True))) for t, m in enumerate(masks)))).alias("m")
-    key = F.xxhash64("m.t", *(F.col(p).bitwiseAND(F.col(f"m.{p}")) for p in parts))
-    return rows.select(*cols, "n", drawn).select(key.alias("key"), *cols, "n", F.lit(0).cast("short").alias("flip"))
+def segment_keys(rows: DataFrame, cols: list[str], parts: tuple[str, ...]) -> DataFrame:
+    """key, cols, n, flip: for each of ``SEGMENTS`` all words that differ in at most one
+    bit; flip numbers the bit that differs, 0 for none."""
+    low, high = parts
+    words, lo = [], 0
+    for width in SEGMENTS:
+        word = F.shiftrightunsigned(high, lo - 64) if lo >= 64 else F.shiftrightunsigned(low, lo)
+        if lo < 64 < lo + width:
+            word = word.bitwiseOR(F.shiftleft(high, 64 - lo))
+        words.append(word.bitwiseAND(F.lit((1 << width) - 1)))
+        lo += width
+    masks = [(at, flip, 1 << flip >> 1) for at, width in enumerate(SEGMENTS) for flip in range(width + 1)]
+    each = F.explode(F.array(*(F.struct(F.lit(at).alias("at"), F.lit(flip).cast("short").alias("flip"), F.lit(m).cast("long").alias("mask")) for at, flip, m in masks))).alias("m")
+    spread = rows.select(*cols, "n", F.array(*words).alias("words"), each)
+    key = F.shiftleft(F.col("m.at").cast("long"), 32).bitwiseOR(F.col("words")[F.col("m.at")].bitwiseXOR(F.col("m.mask")))
+    return spread.select(key.alias("key"), *cols, "n", "m.flip")
+
+
+def paired(batches: Iterator[pa.RecordBatch], words: list[int], node: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links within the radius of rows (key, columns, start) sorted by key: in buckets of
+    at most ``FEW`` members each pair of which one may start, in others what ``unite``
+    finds.  ``words`` and ``node`` are places of columns."""
+
+    def found(key: np.ndarray, cols: list[np.ndarray], start: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[begin, len(key)])
+        last = np.repeat(begin + sizes, sizes)
+        fps = np.stack([cols[w].view(np.uint64) for w in words], axis=1)
+        names, pairs = cols[node], []
+        at, by = np.flatnonzero(np.repeat(sizes <= FEW, sizes)), 1
+        while len(at := at[at + by < last[at]]):
+            near = (start[at] | start[at + by]) & (np.bitwise_count(fps[at] ^ fps[at + by]).sum(1) <= radius)
+            pairs.append(np.stack([names[at[near]], names[at[near] + by]]))
+            by += 1
+        for i in np.flatnonzero(sizes > FEW):
+            own = np.arange(begin[i], begin[i] + sizes[i])
+            own = own[np.argsort(names[own])]
+            links_ = np.array(unite(fps[own], start[own], radius), np.int64).reshape(-1, 2)
+            pairs.append(names[own][links_].T)
+        a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1) if pairs else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        whole = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
+        rest = [c[whole:] for c in now]
+        if whole:
+            yield found(now[0][:whole], [c[:whole] for c in now[1:-1]], now[-1][:whole])
+    if rest is not None:
+        yield found(rest[0], rest[1:-1], rest[-1])
 
 
 def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp", meet: tuple[bool, ...] = (True, False), radius: int = RADIUS, ball: int = 1) -> DataFrame:
@@ -169,24 +209,31 @@ def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp
     ``distinct`` is a written table with the words of a fingerprint in ``parts``,
     the ``node`` that names it, and n (rows with it).  ``meet`` tells for each half
     of a part, low and then high, whether stored balls meet there.  With no ``ball``
-    the segments are drawn, see ``drawn_keys``.
+    the segments are ``SEGMENTS``.
     """
     cols = list(dict.fromkeys((node, *parts)))
     # Each fingerprint becomes many rows, so more tasks than the small table's files.
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // (SPREAD if ball else DRAWN)))
     spread = distinct.repartition(tasks, node)
-    probed = ball_keys(spread, cols, parts, ball) if ball else drawn_keys(spread, cols, parts)
-    any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet) if m]) if ball else F.lit(False)
+    probed = ball_keys(spread, cols, parts, ball) if ball else segment_keys(spread, cols, parts)
+    any_meet = F.shiftright("key", 32).isin([at for at, m in enumerate(meet if ball else SEGMENTS_MEET) if m])
+    starts = (F.col("flip") == 0) | any_meet
+    words_at, width = [cols.index(p) for p in parts], len(cols)
+    if not ball:
+        # Short segments leave few words alone, so only crowded buckets are told apart.
+        sizes = cut(probed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("key", F.lit(True).alias("many")), "buckets")
+        listed = broadcast_if_small(sizes, LISTED, 128 << 20)
+        plain = probed.join(listed, "key", "left_anti").select("key", *cols, starts.alias("start")).repartition("key").sortWithinPartitions("key")
+        out = plain.mapInArrow(lambda batches: forest(paired(batches, words_at, cols.index(node), radius)), "a long, b long")
+        return _crowded(out, sizes, probed.join(listed, "key"), cols, parts, node, radius)
 
     # A bucket is of use if a member is at home there (no bit flipped) or, where
     # balls meet, if two words do; equal words meet at home.
     sizes = probed.groupBy("key").agg(F.count("*").alias("size"), F.min("flip").alias("least"), F.max("flip").alias("most"))
     sizes = cut(sizes.filter((F.col("size") > 1) & ((F.col("least") == 0) | (any_meet & (F.col("least") != F.col("most"))))).select("key", (F.col("size") > BLOCK).alias("many")), "buckets")
     member = probed.join(broadcast_if_small(sizes, LISTED, 128 << 20), "key")
-    starts = (F.col("flip") == 0) | any_meet
     listed = [F.collect_list(F.when(c, F.col(x))).alias(f"{side}{i}") for side, c in (("h", starts), ("g", ~starts)) for i, x in enumerate(cols)]
     plain = member.filter(~F.col("many")).groupBy("key").agg(*listed).drop("key")
-    words_at, width = [cols.index(p) for p in parts], len(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +258,17 @@ def links(distinct: DataFrame, parts: tuple[str, ...] = ("fp",), node: str = "fp
                     found += [(names[i], names[j]) for i, j in unite(fps, np.arange(len(names)) < first, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    out = plain.mapInArrow(run, "a long, b long")
-    crowded = sizes.filter("many")
-    if not crowded.limit(1).count():
-        return out
+    return _crowded(plain.mapInArrow(run, "a long, b long"), sizes, member, cols, parts, node, radius)
+
 
-    # Crowded buckets: what lies near the pivot is linked to it and so united.
-    # A pair can connect something new only if one of its members is not.
+def _crowded(out: DataFrame, sizes: DataFrame, member: DataFrame, cols: list[str], parts: tuple[str, ...], node: str, radius: int) -> DataFrame:
+    """``out`` with the links of crowded buckets.
+
+    What lies near the pivot is linked to it and so united.  A pair can connect
+    something new only if one of its members is not.
+    """
+    if not sizes.filter("many").limit(1).count():
+        return out
     many = member.filter("many").select("key", *cols, "n")
     pivots = many.groupBy("key").agg(F.max(F.struct("n", *cols)).alias("pivot"))
     distance = reduce(Column.__add__, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"pivot.{p}"))) for p in parts])
@@ -287,7 +338,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _rooted(rows: DataFrame, wide: bool = False, exact: bool = True) -> DataFrame:
+def _rooted(rows: DataFrame, wide: bool = False, quarters: bool = False) -> DataFrame:
     """Each distinct fingerprint of ``rows`` with n, its least id and first row, and
     root, the smallest node of its component."""
     parts = ("fp", "fp2") if wide else ("fp",)
@@ -295,7 +346,7 @@ def _rooted(rows: DataFrame, wide: bool = False, exact: bool = True) -> DataFram
     distinct = rows.groupBy(*parts).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), first)
     node = F.monotonically_increasing_id() if wide else F.col("fp")
     distinct = cut(distinct.withColumn("node", node), "distinct")
-    found = links(distinct, parts, "node", (True,) * 4, WIDE_RADIUS, 2 if exact else 0) if wide else links(distinct)
+    found = links(distinct, parts, "node", (True,) * 4, WIDE_RADIUS, 2 if quarters else 0) if wide else links(distinct)
     return distinct.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -324,16 +375,16 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, quarters: bool = False) -> DataFrame:
     """One row of each near-duplicate component of ``docs``, with its columns.
 
-    Near duplicates are those of ``wide_fingerprints`` within ``WIDE_RADIUS``; with
-    ``exact`` all of them, otherwise what drawn segments find (see above).  Null and
+    Near duplicates are all of ``wide_fingerprints`` within ``WIDE_RADIUS``; for
+    ``quarters`` see above.  Null and
     empty texts are alike; very long texts are read whole; other columns stay as
     they are, whatever their names.  The row with the smallest doc_id stays, null last; of several texts with that id
     the one with the smallest key, and of repeated rows one.
     """
-    kept = _rooted(cut(wide_fingerprints(docs), "fingerprints"), True, exact).groupBy("root").agg(F.min("first").alias("first"))
+    kept = _rooted(cut(wide_fingerprints(docs), "fingerprints"), True, quarters).groupBy("root").agg(F.min("first").alias("first"))
     name = lambda doc, text: F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).alias("_name")
     kept = kept.select(name(F.col("first.doc_id"), F.col("first.key")))
     # Repeated rows come down to one before the shuffle, whose partitioning the join takes over.

@@ -785,3 +785,13 @@ def test_stages(spark, sf_dir):
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(least.values())
     three = cp.redact_pii(spark, two, sf_dir)
     assert {r["doc_id"]: r["text"] for r in three.collect()} == {d: pii.redact(texts[d]) for d in least.values()}
+
+
+def test_every_wide_pair_within_the_radius_is_found_by_default(spark):
+    """Lone pairs at the radius, spread over segments as evenly as may be and at random."""
+    rng = random.Random(8)
+    lows = [sum(simhash.SEGMENTS[:i]) for i in range(7)]
+    even = [lo + b for lo, n in zip(lows, (3, 3, 3, 3, 3, 2, 2), strict=True) for b in rng.sample(range(18), n)]
+    fps = [x for bits in [even, *(rng.sample(range(128), 19) for _ in range(300))] for f in [rng.getrandbits(128)] for x in (f, f ^ sum(1 << b for b in bits))]
+    found = found_by(spark, fps, 0)
+    assert len(found) >= 301 and all(found)
