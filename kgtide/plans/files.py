@@ -17,6 +17,8 @@ from .registry import query
 
 W = f"WITH {TRIPLETS_SQL}"
 TODAY = "2022-01-31"
+#: Articles in one CSV file.
+ARTICLES_A_FILE = 50_000
 
 
 def _article_csv(spark: SparkSession, d: str) -> str:
@@ -31,7 +33,8 @@ def _article_csv(spark: SparkSession, d: str) -> str:
         date.alias("date"), title.alias("title"), F.lit("").alias("ticker"), F.concat(F.lit("order://"), key).alias("url"), F.repeat(cust, 200).alias("text"), F.lit(None).cast("string").alias("summary"), cell.alias("output_triplets"),
     )
     path = scratch(spark, "articles")
-    rows.write.option("header", True).option("escape", '"').csv(path)
+    # A file with quoted line breaks is read by one task, so files are bounded; texts compress well.
+    rows.write.option("header", True).option("escape", '"').option("compression", "gzip").option("maxRecordsPerFile", ARTICLES_A_FILE).csv(path)
     return path
 
 
@@ -335,7 +338,7 @@ def stream_month_store(spark, d):
 
 def _graph_batches(spark: SparkSession, d: str) -> list[DataFrame]:
     """A third of each month's triplets at a time, as enriched edges."""
-    t = triplets(spark, d)
+    t = triplets(spark, d).select("month", "url", "seq", "sub", "rel", "obj", "rel_category", "event_type", "sentiment", "materiality_usd")
     return [graph.enriched_edges(t.filter(f"seq % 3 = {k}")).select("month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd") for k in range(3)]
 
 
