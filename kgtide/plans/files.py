@@ -339,7 +339,8 @@ def stream_month_store(spark, d):
 def _graph_batches(spark: SparkSession, d: str) -> list[DataFrame]:
     """A third of each month's triplets at a time, as enriched edges."""
     t = triplets(spark, d).select("month", "url", "seq", "sub", "rel", "obj", "rel_category", "event_type", "sentiment", "materiality_usd")
-    return [graph.enriched_edges(t.filter(f"seq % 3 = {k}")).select("month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd") for k in range(3)]
+    # Written, as a batch's edges are read for its months, edges and nodes, and by each run.
+    return [cut(graph.enriched_edges(t.filter(f"seq % 3 = {k}")).select("month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd")) for k in range(3)]
 
 
 def running_graph(spark: SparkSession, d: str) -> ingest.GraphStore:

@@ -1,11 +1,13 @@
 """Work that is divided as it grows: cells, documents, layouts."""
 
+import glob
 import json
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from kgtide.operators import ml
+from kgtide.plans import files
 from kgtide.sources import bundles, readers, writers
 
 
@@ -35,9 +37,9 @@ def test_bundles_by_lines_are_those_in_one_cell(spark, tmp_path):
     )
     bundles.write_lines(bundles.document_lines(rows, clustered, head), str(tmp_path))
     texts = {r["date"]: json.loads(r["value"]) for r in bundles.documents(rows, clustered, head).collect()}
-    files = {p.parent.name.removeprefix("date="): p for p in tmp_path.glob("date=*/*.txt")}
-    assert {d: json.loads(p.read_text()) for d, p in files.items()} == texts and len(files) == 3
-    assert len(files["2020-12-31"].read_text().splitlines()) == 20 + 3 + 3
+    found = {p.parent.name.removeprefix("date="): p for p in tmp_path.glob("date=*/*.txt")}
+    assert {d: json.loads(p.read_text()) for d, p in found.items()} == texts and len(found) == 3
+    assert len(found["2020-12-31"].read_text().splitlines()) == 20 + 3 + 3
     whole, lines = bundles.read_documents(spark, str(tmp_path)), bundles.read_lines(spark, str(tmp_path))
     for kind, read in (("head", bundles.heads), ("entity", bundles.entities), ("cluster", bundles.clusters)):
         both = [sorted(map(repr, read(docs).collect())) for docs in (whole, lines.filter(F.col("kind") == kind))]
@@ -58,3 +60,13 @@ def test_nodes_push_each_other_as_in_the_plain_formula():
     delta = pos[:, None] - pos[None]
     want = (delta * (0.04 / np.maximum((delta**2).sum(-1), 1e-4))[..., None]).sum(1)
     assert np.allclose(ml._pushed(pos, 0, 700, 0.2), want, rtol=1e-9) and np.array_equal(ml._pushed(pos, 5, 300, 0.2), ml._pushed(pos, 0, 700, 0.2)[5:300])
+
+
+def test_article_files_are_bounded_and_packed(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(files, "ARTICLES_A_FILE", 100)
+    names = glob.glob(files._article_csv(spark, sf_dir).removeprefix("file:") + "/part-*")
+    assert len(names) > 5 and all(n.endswith(".csv.gz") for n in names)
+
+
+def test_batches_of_the_running_graph_are_written_once(spark, sf_dir):
+    assert all("Scan ExistingRDD" in e._jdf.queryExecution().executedPlan().toString() for e in files._graph_batches(spark, sf_dir))
