@@ -18,7 +18,7 @@ that SimHash expects of a similarity of 0.8, which is 19 bits.  The 128 bits are
 into seven segments of 18 or 19.  Of two fingerprints within 19 bits, one of the first
 six segments differs in at most two bits, or the last in at most one, as 6 * 3 + 2 is
 20.  So all pairs meet in radius-1 balls, which are 135 words for each fingerprint;
-chance lets 1 in 370 of all pairs meet.  With ``quarters`` they meet in radius-2 balls
+chance lets 1 in 290 of all pairs meet.  With ``quarters`` they meet in radius-2 balls
 of four segments: the same links from 2,116 words, where 1 in 25,000 meets.
 """
 
