@@ -16,9 +16,14 @@ def any_of(words: tuple[str, ...]) -> str:
     return "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in words)
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at its ends.  Optimizers repeat this for each use, so it is no pattern."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def norm(c: Column, default: str = "UNK") -> Column:
     """Trimmed text; the default for null, blank, ``none`` and ``nan``."""
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    t = strip(c)
     return F.when(t.isNull() | (t == "") | F.lower(t).isin("none", "nan"), F.lit(default)).otherwise(t)
 
 
@@ -58,7 +63,7 @@ def sentiment_polarity(c: Column) -> Column:
 
 
 def is_junk(name: Column) -> Column:
-    n = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""))
+    n = F.lower(strip(F.coalesce(name, F.lit(""))))
     return (F.length(n) < 2) | n.isin(*vocab.JUNK_NAMES) | n.rlike("|".join(f"(?:{p})" for p in vocab.JUNK_PATTERNS))
 
 
@@ -72,7 +77,7 @@ def alias_key(name: Column) -> Column:
 def is_ranked_junk(name: Column) -> Column:
     """Names that are not ranked; the list is looked up before trimming."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    n = F.regexp_replace(low, r"^\s+|\s+$", "")
+    n = strip(low)
     return (n == "") | low.isin(*vocab.RANKED_JUNK_NAMES) | n.rlike("|".join(f"(?:{p})" for p in vocab.RANKED_JUNK_PATTERNS))
 
 
