@@ -13,12 +13,14 @@ from .files import BATCH, FEED, MERGED, _feeds, _graph_batches
 from .registry import query
 
 TODAY = "2021-07-01"
+SERVER_TASKS = 200
 
 
 def _server(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """A folder of feed documents, and the fetches of them; every seventh is not there."""
     root = scratch(spark, "server")
-    _feeds(spark, d).write.partitionBy("feed").text(root)
+    # A file for each feed: small rows, which would all be written by one task.
+    _feeds(spark, d).repartition(SERVER_TASKS).write.partitionBy("feed").text(root)
     base = root if "://" in root else "file://" + root.removeprefix("file:")
     feed = F.floor(F.col("doc_id") / 40).cast("string")
     plan = table(spark, d, "documents").filter("doc_id is not null").select(feed.alias("item")).distinct()

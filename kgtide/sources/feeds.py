@@ -13,6 +13,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -20,6 +21,9 @@ from pyspark.sql.types import StructType
 
 Fetch = Callable[[str, float], str]
 
+#: Fetches that a task waits for at once.
+AT_ONCE = 64
+
 #: What a fetch gives: the planned item, and either the body or an error.
 SCHEMA = "batch long, source string, item string, url string, body string, error string"
 
@@ -82,21 +86,26 @@ class _Plans:
             fetches += [json.loads(x) | {"batch": k} for x in lines if x.strip()]
         return [Planned(fetches[at : at + self.each]) for at in range(0, len(fetches), self.each)]
 
+    def row(self, x: dict) -> tuple:
+        planned = (x["batch"], x.get("source"), x.get("item"), x.get("url"))
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                if not x.get("url"):
+                    raise LookupError("no address is planned")
+                row = (*planned, self.fetch(x["url"], self.timeout), None)
+            except Exception as problem:  # noqa: BLE001  a fetch's failure is its own
+                row = (*planned, None, f"{type(problem).__name__}: {problem}")
+                if left and x.get("url"):
+                    time.sleep(self.pause)
+                    continue
+            break
+        return row
+
     def rows(self, part: Planned) -> Iterator[tuple]:
-        for x in part.fetches:
-            planned = (x["batch"], x.get("source"), x.get("item"), x.get("url"))
-            for left in range(self.tries - 1, -1, -1):
-                try:
-                    if not x.get("url"):
-                        raise LookupError("no address is planned")
-                    row = (*planned, self.fetch(x["url"], self.timeout), None)
-                except Exception as problem:  # noqa: BLE001  a fetch's failure is its own
-                    row = (*planned, None, f"{type(problem).__name__}: {problem}")
-                    if left and x.get("url"):
-                        time.sleep(self.pause)
-                        continue
-                break
-            yield row
+        """In the plan's order; waits for answers and pauses overlap."""
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for at in range(0, len(part.fetches), AT_ONCE):
+                yield from pool.map(self.row, part.fetches[at : at + AT_ONCE])
 
 
 class FeedReader(DataSourceReader):

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.lineage import cut
 from ..sources import feeds, readers
 from . import ingest
 
 Extract = Callable[[DataFrame], DataFrame]
+#: Fetches of one task, whose bodies are one file.
+EACH = 64
 
 
 class DailyRun:
@@ -37,7 +40,7 @@ class DailyRun:
     def _batch(self, rows: DataFrame, batch: int, today: Column, days: int, news: bool) -> None:
         rows.withColumn("run", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{self.root}/raw")
         items = readers.rss_items(self.raw(batch).filter("error is null").select("item", "body"), today, xml="body", news=news)
-        fresh = ingest.first_wins(ingest.fresh_only(items, today, days), "item", "ord").withColumn("date", F.col("date").cast("string"))
+        fresh = cut(ingest.first_wins(ingest.fresh_only(items, today, days), "item", "ord").withColumn("date", F.col("date").cast("string")))  # parsed once
         self.articles.commit(fresh.select("url", "date", "title", "source", "text"), batch)
         triplets = self.extract(self.articles.articles(batch))
         edges = graph.enriched_edges(graph.clean(triplets, drop_loops=True)).select("month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd")
@@ -46,5 +49,5 @@ class DailyRun:
 
     def run(self, today: Column, days: int = 120, news: bool = True) -> None:
         """All batches of the plan that are new."""
-        source = self.spark.readStream.format(self.source).load(self.plans)
+        source = self.spark.readStream.format(self.source).option("each", EACH).load(self.plans)
         ingest.run_available(source, f"{self.root}/checkpoint", lambda rows, batch: self._batch(rows, batch, today, days, news))

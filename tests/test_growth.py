@@ -1,9 +1,14 @@
 """Steps whose cost must not outgrow their input."""
 
+import threading
+import time
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from kgtide.functions import text
+from kgtide.sources import feeds
+from kgtide.streaming import daily
 
 
 def plan(df):
@@ -17,3 +22,34 @@ def test_names_are_trimmed_without_patterns(spark, sf_dir):
     assert [r[2] for r in rows] == ["-", "-", "a b", "a", "\u00a0a\u00a0", "-", "-", "a \n b", "-"]
     renamed = plan(e.queries()["ud_canonicalise"](spark, sf_dir))
     assert "regexp_replace" not in renamed and "SortMergeJoin [sub" not in renamed
+
+
+def test_fetches_of_a_task_wait_together_and_keep_their_order():
+    alive, most, lock = [0], [0], threading.Lock()
+
+    def fetch(url, seconds):
+        with lock:
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+        time.sleep(0.05)
+        with lock:
+            alive[0] -= 1
+        if url.endswith("3"):
+            raise FileNotFoundError(url)
+        return url
+
+    plans = feeds._Plans({"path": "p", "pause": "0.1"}, fetch)
+    rows = list(plans.rows(feeds.Planned([{"batch": 0, "item": str(i), "url": f"u{i}"} for i in range(150)])))
+    assert [r[2] for r in rows] == [str(i) for i in range(150)] and 8 < most[0] <= feeds.AT_ONCE
+    assert [r[4] for r in rows] == [None if i % 10 == 3 else f"u{i}" for i in range(150)]
+
+
+def test_a_daily_run_fetches_many_in_a_task(spark, tmp_path):
+    name = feeds.register(spark, lambda url, seconds: "<rss><channel><title>t</title></channel></rss>", "many_feeds")
+    rows = spark.range(daily.EACH * 2).selectExpr("'s' AS source", "cast(id AS string) AS item", "concat('u', id) AS url")
+    feeds.append_plan(rows, str(tmp_path / "plan"), 0)
+    run = daily.DailyRun(spark, str(tmp_path / "plan"), str(tmp_path / "out"), lambda news: news, name)
+    run._batch = lambda rows, batch, *rest: rows.write.parquet(str(tmp_path / "raw"))
+    run.run(F.lit("2021-03-09").cast("date"))
+    assert len(list((tmp_path / "raw").glob("part-*"))) == 2
+    assert spark.read.parquet(str(tmp_path / "raw")).count() == daily.EACH * 2
