@@ -1,8 +1,9 @@
 """A trigram index for searches of substrings.
 
 ``add`` writes a segment: its articles, dealt over parts of so many rows, and a
-row for each trigram and article, sorted by trigram in Parquet's delta encodings,
-so that a look-up reads the pages of its trigrams.  Of each term the rarest
+row for each trigram and 64 articles in turn, with a bit for each that has it, sorted
+by trigram in Parquet's delta encodings, so that a look-up reads the pages of its
+trigrams.  Bits are set before rows are shuffled, which is a fraction of the places.  Of each term the rarest
 trigrams are looked up; articles that have all of them are candidates, and only
 their parts are read.  What is read is searched as the plain table is, so results
 are those of a scan.
@@ -22,6 +23,8 @@ from .lineage import broadcast_if_small, cut
 
 #: Rows of a part; trigrams of a term that are looked up; candidates up to which their list is broadcast.
 PART_ROWS, LOOKED_UP, LISTED = 4096, 3, 1_000_000
+#: Articles of one row of a trigram's, as bits of a long.
+BITS, POSTINGS = 64, "gram string, _word long, docs long"
 
 
 def trigrams(c: Column) -> Column:
@@ -41,10 +44,12 @@ class TextIndex:
         rows.write.mode("overwrite").partitionBy("_part").parquet(f"{at}/articles")
         rows = self.spark.read.schema(rows.schema).parquet(f"{at}/articles")
         every = F.explode(F.array_distinct(F.flatten(F.array(*(trigrams(F.col(f)) for f in self.fields))))).alias("gram")
-        postings = rows.select(every, "_doc").repartitionByRange("gram", "_doc").sortWithinPartitions("gram", "_doc")
+        bit = F.expr(f"shiftleft(1L, cast(_doc % {BITS} AS int))").alias("bit")
+        marked = rows.select(every, F.floor(F.col("_doc") / BITS).alias("_word"), bit).groupBy("gram", "_word").agg(F.bit_or("bit").alias("docs"))
+        postings = marked.repartitionByRange("gram", "_word").sortWithinPartitions("gram", "_word")
         postings.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(f"{at}/postings")
-        held = self.spark.read.schema("gram string, _doc long").parquet(f"{at}/postings")
-        held.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{at}/grams")
+        held = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
+        held.groupBy("gram").agg(F.sum(F.bit_count("docs")).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{at}/grams")
         self.spark.range(1).select(F.lit(part_rows).cast("long").alias("part_rows"), F.lit(rows.schema.json()).alias("schema")).write.mode("overwrite").parquet(f"{at}/about")
 
     def segments(self) -> list[str]:
@@ -63,13 +68,15 @@ class TextIndex:
         known = {r["gram"]: r["n"] for r in self.spark.read.schema("gram string, n long").parquet(f"{at}/grams").filter(F.col("gram").isin(every)).collect()}  # those of the query
         rarest = [sorted(some, key=lambda g: (known[g], g))[:LOOKED_UP] for some in wanted if all(g in known for g in some)]
         rows = F.explode(F.array(*(F.struct(F.lit(k).alias("term"), F.lit(len(some)).alias("size"), F.lit(g).alias("gram")) for k, some in enumerate(rarest) for g in some))).alias("x") if rarest else None
-        held = self.spark.read.schema("gram string, _doc long").parquet(f"{at}/postings")
+        held = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
         if rows is None:
-            return held.filter("false").select("_doc")
+            return held.filter("false").select(F.col("_word").alias("_doc"))
         held = held.filter(F.col("gram").isin(sorted({g for some in rarest for g in some})))
         looked_up = F.broadcast(self.spark.range(1).select(rows).select("x.*"))  # a few for each term
-        hits = held.join(looked_up, "gram").groupBy("term", "size", "_doc").agg(F.count("*").alias("n")).filter("n = size")
-        return hits.select("_doc").distinct()
+        hits = held.join(looked_up, "gram").groupBy("term", "size", "_word").agg(F.count("*").alias("n"), F.bit_and("docs").alias("docs")).filter("n = size and docs <> 0")
+        some = hits.groupBy("_word").agg(F.bit_or("docs").alias("docs"))
+        at_bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("docs", i) == 1))
+        return some.select("_word", at_bit.alias("_bit")).select((F.col("_word") * BITS + F.col("_bit")).alias("_doc"))
 
     def matching(self, terms: list[str]) -> DataFrame:
         """The articles of all segments that may hold one of the terms; without terms

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from kgtide.functions import text
+from kgtide.operators.textindex import TextIndex
 from kgtide.sources import feeds
 from kgtide.streaming import daily
 
@@ -53,3 +54,14 @@ def test_a_daily_run_fetches_many_in_a_task(spark, tmp_path):
     run.run(F.lit("2021-03-09").cast("date"))
     assert len(list((tmp_path / "raw").glob("part-*"))) == 2
     assert spark.read.parquet(str(tmp_path / "raw")).count() == daily.EACH * 2
+
+
+def test_an_index_holds_a_trigram_once_for_64_articles(spark, tmp_path):
+    a = spark.range(300).selectExpr("'abcd' AS title", "if(id % 7 = 0, 'xyz', null) AS text", "format_string('%04d', id) AS url")
+    index = TextIndex(spark, str(tmp_path), "title", "text")
+    index.add(a, 0, "url", part_rows=50)
+    at = index.segments()[0]
+    assert spark.read.parquet(f"{at}/postings").filter("gram = 'abc'").count() == 5
+    assert {r["gram"]: r["n"] for r in spark.read.parquet(f"{at}/grams").collect()} == {"abc": 300, "bcd": 300, "xyz": 43}
+    assert sorted(r["_doc"] for r in index.candidates(at, ["xyz"]).collect()) == list(range(0, 300, 7))
+    assert index.candidates(at, ["abcd", "xyz"]).count() == 300 and index.candidates(at, ["none"]).count() == 0
