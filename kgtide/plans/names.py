@@ -294,5 +294,5 @@ def _slow_stub(prompt: str) -> str:
 def ud_timeout(spark, d):
     """Replies that take over two seconds count as empty lists."""
     a = table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    found = generate.extract(a, "{input_text_}", generate.with_timeout(_slow_stub, 2.0), pause=0)
+    found = generate.extract(a, "{input_text_}", generate.with_timeout(_slow_stub, 2.0), pause=0, at_once=16)
     return readers.explode_triplets(found.select("doc_id", "triplets")).select("doc_id", "obj")
