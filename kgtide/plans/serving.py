@@ -44,7 +44,7 @@ def ap_get_graph(spark, d):
        + " SELECT sub, attention, round(sentiment, 5) + 0.0 AS sentiment, round(consensus, 5) AS consensus, round(materiality, 5) AS materiality, round(novelty, 5) AS novelty FROM sf")
 def ap_get_factors(spark, d):
     """Factors over the last two months that exist."""
-    f = serving.window_factors(graph.enriched_edges(triplets(spark, d)))
+    f = serving.window_factors(graph.enriched_edges(serving.last_months(triplets(spark, d))))
     return f.select("sub", "attention", *(F.round(c, 5).alias(c) for c in factors.FACTORS[1:]))
 
 
@@ -327,8 +327,9 @@ def judge_cosine_uniqueness(spark, d):
     """An article's share of pairs of triplets whose vectors are not alike."""
     vec = (F.ascii(F.expr("right(sub, 1)")) - 48) % 4 * 10 + F.length("obj")
     t = triplets(spark, d, False).select("url", "seq", vec.cast("long").alias("vec_id"))
-    items = t.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
-    return serving.uniqueness(serving.cosine_pairs(items), items, 0.9).select("url", F.round("uniqueness", 6).alias("uniqueness"))
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    items = t.join(vectors.select("vec_id"), "vec_id")
+    return serving.uniqueness(serving.cosine_pairs(items, vectors), items, 0.9).select("url", F.round("uniqueness", 6).alias("uniqueness"))
 
 
 @query(f"""{W}, u AS (SELECT DISTINCT 'order://' || l_orderkey AS url, 'brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1) AS unit FROM lineitem), hit AS (SELECT DISTINCT url, lower(obj) AS unit, 1 AS hit FROM triplets),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from kgtide.functions import text
+from kgtide.operators import generate, serving
 from kgtide.operators.textindex import TextIndex
 from kgtide.sources import feeds
 from kgtide.streaming import daily
@@ -65,3 +66,34 @@ def test_an_index_holds_a_trigram_once_for_64_articles(spark, tmp_path):
     assert {r["gram"]: r["n"] for r in spark.read.parquet(f"{at}/grams").collect()} == {"abc": 300, "bcd": 300, "xyz": 43}
     assert sorted(r["_doc"] for r in index.candidates(at, ["xyz"]).collect()) == list(range(0, 300, 7))
     assert index.candidates(at, ["abcd", "xyz"]).count() == 300 and index.candidates(at, ["none"]).count() == 0
+
+
+def test_late_replies_are_waited_for_together(spark):
+    def slow(prompt):
+        time.sleep(0.5)
+        return prompt + "!"
+
+    rows = spark.range(16, numPartitions=1).select("id", generate.reply(slow, F.col("id").cast("string"), 16).alias("r"))
+    rows.limit(1).collect()
+    begin = time.time()
+    assert [r["r"] for r in rows.orderBy("id").collect()] == [f"{i}!" for i in range(16)]
+    assert time.time() - begin < 5
+
+
+def test_vectors_that_meet_are_compared_once_and_do_not_go_with_items(spark):
+    v = {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [0.0, 0.0]}
+    vectors = spark.createDataFrame(list(v.items()), "vec_id long, v array<double>")
+    items = spark.createDataFrame([("a", 0, 2), ("a", 1, 1), ("a", 2, 1), ("b", 0, 3), ("b", 1, 1), ("c", 0, 1)], "url string, seq int, vec_id long")
+    pairs = serving.cosine_pairs(items, vectors)
+    assert sorted((r["url"], round(r["likeness"], 9)) for r in pairs.collect()) == [("a", 0.6), ("a", 0.6), ("a", 1.0), ("b", 0.0)]
+    assert "zip_with" not in plan(pairs)
+
+
+def test_factors_join_only_the_last_months(spark, sf_dir):
+    t = spark.createDataFrame([("2020-01", 1), ("2020-03", 2), ("2020-04", 3), ("2020-04", 4)], "month string, n int")
+    assert sorted(r["n"] for r in serving.last_months(t).collect()) == [2, 3, 4]
+    assert "1998-1" in plan(e.queries()["ap_get_factors"](spark, sf_dir))
+
+
+def test_ranks_of_partners_do_not_read_orders(spark, sf_dir):
+    assert "o_orderkey" not in plan(e.queries()["pred_mrr_hits"](spark, sf_dir))
