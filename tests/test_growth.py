@@ -1,5 +1,6 @@
 """Steps whose cost must not outgrow their input."""
 
+import re
 import threading
 import time
 
@@ -92,7 +93,7 @@ def test_vectors_that_meet_are_compared_once_and_do_not_go_with_items(spark):
 def test_factors_join_only_the_last_months(spark, sf_dir):
     t = spark.createDataFrame([("2020-01", 1), ("2020-03", 2), ("2020-04", 3), ("2020-04", 4)], "month string, n int")
     assert sorted(r["n"] for r in serving.last_months(t).collect()) == [2, 3, 4]
-    assert "1998-1" in plan(e.queries()["ap_get_factors"](spark, sf_dir))
+    assert re.search(r"yyyy-MM[^\n]{0,30}\) IN \(\d{4}-", plan(e.queries()["ap_get_factors"](spark, sf_dir)))
 
 
 def test_ranks_of_partners_do_not_read_orders(spark, sf_dir):
