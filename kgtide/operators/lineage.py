@@ -35,6 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one task where rows are dealt by keys, and partitions up to which a task
+#: writes them without holding its rows; beyond these, tasks may hold four times as many.
+TASK_ROWS, DIRECT = 500_000, 200
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by its keys over so many tasks that what
+    one holds does not grow with the table.
+
+    For groupings by keys that seldom repeat: combining rows before the shuffle would
+    hold a whole part of the input, and parts joined by their compressed size millions
+    of rows.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(DIRECT, -(-rows // TASK_ROWS)), -(-rows // (4 * TASK_ROWS)))
+    return df.repartition(tasks, *keys)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, size: int = 64 << 20) -> DataFrame:
     """Hints a broadcast for a written table of at most ``rows`` rows and ``size``
     bytes as JSON; beyond that the plain table, for a shuffled join."""

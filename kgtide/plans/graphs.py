@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import canon, graph
-from ..operators.lineage import cut
+from ..operators.lineage import cut, dealt
 from ..sources.adapter import TRIPLETS_SQL, table, triplets
 from .registry import query
 
@@ -17,7 +17,8 @@ FIRST, LAST, NODE = "1995-01", "1996-06", "Brand#13"
 
 
 def edges(spark, d):
-    return graph.month_edges(triplets(spark, d, False))
+    """Monthly edges; those of two ends are in one task, so further groupings by ends need no shuffle."""
+    return graph.month_edges(dealt(triplets(spark, d, False), table(spark, d, "lineitem").count(), "sub", "obj"))
 
 
 def family_sql(variant: str, c: str = "lower(rel)") -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from kgtide.functions import text
-from kgtide.operators import generate, serving
+from kgtide.operators import generate, graph, lineage, serving
 from kgtide.operators.textindex import TextIndex
 from kgtide.sources import feeds, readers, writers
 from kgtide.streaming import daily
@@ -117,3 +117,16 @@ def test_written_lists_are_read_without_the_parser(spark, tmp_path, monkeypatch)
     assert [readers.literal_items(x) for x in loose] == [[tuple("abcdef")], [("ab", "b", "c", "d", "e", "A")], [], [], [], []]
     monkeypatch.setattr(ast, "literal_eval", lambda x: [])
     assert [readers.literal_items(cells[f"u{n}"]) for n in range(1, 12)] == ours[1:]
+
+
+def test_edges_are_combined_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_ROWS", 500)
+    rows = e.queries()["kg_month_edges"](spark, sf_dir)
+    assert rows.rdd.getNumPartitions() == 12  # 6,000 line items
+    merged = plan(e.queries()["kg_merge_full"](spark, sf_dir))
+    assert len(re.findall(r"Exchange hashpartitioning", merged)) == 1, merged
+    odd = spark.createDataFrame([("2020-01", "a", "b", "r", "c")] * 3 + [("2020-01", "a", None, "r", "c"), ("2020-02", "a", "b", "r", "c")], "month string, sub string, obj string, rel string, rel_category string")
+    for n in (0, 5, 10_000, 1_000_000):
+        got = graph.month_edges(lineage.dealt(odd, n, "sub", "obj")).collect()
+        assert sorted((r["month"], r["obj"] or "", r["weight"]) for r in got) == [("2020-01", "", 1), ("2020-01", "b", 3), ("2020-02", "b", 1)]
+    assert [lineage.dealt(odd, n, "sub").rdd.getNumPartitions() for n in (500 * 150, 500 * 400, 500 * 4000)] == [150, 200, 1000]
