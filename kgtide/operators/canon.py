@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .lineage import broadcast_if_small, cut
+from .lineage import broadcast_if_small, cut, dealt
 
 
 def suffix_map(names: DataFrame) -> DataFrame:
@@ -48,12 +48,19 @@ def char_grams(name: str = "name") -> Column:
     return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), grams))
 
 
+#: Grams of a name, about; a task spreads so many fewer names.
+GRAMS_A_NAME = 50
+
+
 def tfidf(names: DataFrame) -> DataFrame:
     """name, gram, df, weight: raw counts times ln((1 + n) / (1 + df)) + 1, to length 1."""
-    counts = names.select("name", F.explode(char_grams()).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("gram").agg(F.count("*").alias("df"))
-    total = names.agg(F.count("*").alias("n"))
-    w = counts.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    names = cut(names.select("name"))
+    n = names.count()
+    # Names are small beside their grams, so they are dealt before they are spread.
+    spread = dealt(names, n * GRAMS_A_NAME, "name").select("name", F.explode(char_grams()).alias("gram"))
+    counts = cut(spread.groupBy("name", "gram").agg(F.count("*").alias("tf")))
+    df = cut(counts.groupBy("gram").agg(F.count("*").alias("df")))
+    w = counts.join(broadcast_if_small(df, 1_000_000), "gram").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     length = w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return w.join(length, "name").select("name", "gram", "df", (F.col("w") / F.col("length")).alias("weight"))
 
@@ -73,10 +80,10 @@ def similar_pairs(names: DataFrame, least: float = 0.8, block: int = 2000) -> Da
 
     Exact.  A name's grams are ordered by document frequency.  Indexed are those
     before which a name's weights leave enough for the bound, so frequent grams
-    seldom are.  A gram's index is dealt over blocks of about ``block`` names, and
-    pairs of blocks are tasks' keys, so a gram that many names share is no
-    straggler.  Pairs that meet are dropped where no cosine of that size can follow;
-    for the others each name's vector comes along as one row.
+    seldom are.  Names meet by a gram and their digits, and an index of both is dealt
+    over blocks of about ``block`` names, whose pairs are tasks' keys, so a gram that
+    many names share is no straggler.  Pairs that meet are dropped where no cosine of
+    that size can follow; for the others each name's vector comes along as one row.
     """
     v = cut(tfidf(names))
     ordered = Window.partitionBy("name").orderBy("df", "gram")
@@ -88,22 +95,21 @@ def similar_pairs(names: DataFrame, least: float = 0.8, block: int = 2000) -> Da
         "open": left(1 - none(F.sum(square).over(before))), "rest": left(none(F.sum(square).over(after))),
         "sum": none(F.sum("weight").over(after)), "most": none(F.max("weight").over(after)),
     }).filter(F.col("open") >= least - 1e-9).select("name", "gram", "weight", "rest", "sum", "most")
-    index = cut(index)
-    hot = cut(index.groupBy("gram").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"))
-    dealt = index.join(broadcast_if_small(hot, 1_000_000), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    index = cut(index.withColumn("digits", F.array_join(F.regexp_extract_all("name", F.lit(r"(\d+)")), ",")))
+    hot = cut(index.groupBy("gram", "digits").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"))
+    blocked = index.join(broadcast_if_small(hot, 1_000_000), ["gram", "digits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, last = F.pmod(F.xxhash64("name"), F.col("blocks")), F.col("blocks") - 1
     zero = F.lit(0).cast("long")
-    rows = dealt.withColumn("x", own).withColumn("y", F.explode(F.sequence("x", last)))
-    others = dealt.withColumn("y", own).withColumn("x", F.explode(F.sequence(zero, F.col("y"))))
-    met = rows.alias("a").join(others.alias("b"), ["gram", "x", "y"]).filter((F.col("x") < F.col("y")) | (F.col("a.name") < F.col("b.name"))).filter(_may_reach(least))
+    rows = blocked.withColumn("x", own).withColumn("y", F.explode(F.sequence("x", last)))
+    others = blocked.withColumn("y", own).withColumn("x", F.explode(F.sequence(zero, F.col("y"))))
+    met = rows.alias("a").join(others.alias("b"), ["gram", "digits", "x", "y"]).filter((F.col("x") < F.col("y")) | (F.col("a.name") < F.col("b.name"))).filter(_may_reach(least))
     pairs = met.select(F.least("a.name", "b.name").alias("name"), F.greatest("a.name", "b.name").alias("other")).distinct()
     vectors = v.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
     both = pairs.join(vectors, "name").join(vectors.select(F.col("name").alias("other"), F.col("v").alias("w")), "other")
     dot = F.aggregate(F.map_entries("v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("w", e["key"]), F.lit(0.0)))
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)
-    digits = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"))
     share = (F.size(words("name")) == 0) | (F.size(words("other")) == 0) | F.arrays_overlap(words("name"), words("other"))
-    return both.filter(share & (digits("name") == digits("other"))).select("name", "other", dot.alias("cosine")).filter(F.col("cosine") >= least)
+    return both.filter(share).select("name", "other", dot.alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def dedupe_triplets(t: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from kgtide.functions import text
-from kgtide.operators import generate, graph, lineage, serving
+from kgtide.operators import canon, generate, graph, lineage, serving
 from kgtide.operators.textindex import TextIndex
 from kgtide.sources import feeds, readers, writers
 from kgtide.streaming import daily
@@ -130,3 +130,21 @@ def test_edges_are_combined_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch)
         got = graph.month_edges(lineage.dealt(odd, n, "sub", "obj")).collect()
         assert sorted((r["month"], r["obj"] or "", r["weight"]) for r in got) == [("2020-01", "", 1), ("2020-01", "b", 3), ("2020-02", "b", 1)]
     assert [lineage.dealt(odd, n, "sub").rdd.getNumPartitions() for n in (500 * 150, 500 * 400, 500 * 4000)] == [150, 200, 1000]
+
+
+def test_names_are_dealt_before_they_are_spread_and_meet_by_digits(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_ROWS", 1_000)
+    parts = []
+
+    def dealt(df, rows, *keys):
+        out = lineage.dealt(df, rows, *keys)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(canon, "dealt", dealt, raising=False)
+    names = spark.range(200).selectExpr("concat('Supplier#', lpad(id, 9, '0')) AS name")
+    pairs = canon.similar_pairs(names)
+    assert pairs.count() == 0 and parts == [10]
+    assert re.search(r"Join \[gram#\d+, digits#", plan(pairs))
+    twice = names.limit(3).unionByName(names.limit(3).selectExpr("concat(name, ' Inc') AS name"))
+    assert canon.similar_pairs(twice, 0.7).count() == 3
