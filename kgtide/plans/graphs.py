@@ -16,9 +16,14 @@ EDGES = f'{W}, edges AS (SELECT "month", sub, obj, rel, rel_category, count(*) A
 FIRST, LAST, NODE = "1995-01", "1996-06", "Brand#13"
 
 
+def dealt_triplets(spark, d, *keys):
+    """Triplets without event types, dealt by keys over tasks of bounded rows."""
+    return dealt(triplets(spark, d, False), table(spark, d, "lineitem").count(), *keys)
+
+
 def edges(spark, d):
     """Monthly edges; those of two ends are in one task, so further groupings by ends need no shuffle."""
-    return graph.month_edges(dealt(triplets(spark, d, False), table(spark, d, "lineitem").count(), "sub", "obj"))
+    return graph.month_edges(dealt_triplets(spark, d, "sub", "obj"))
 
 
 def family_sql(variant: str, c: str = "lower(rel)") -> str:

@@ -148,3 +148,9 @@ def test_names_are_dealt_before_they_are_spread_and_meet_by_digits(spark, monkey
     assert re.search(r"Join \[gram#\d+, digits#", plan(pairs))
     twice = names.limit(3).unionByName(names.limit(3).selectExpr("concat(name, ' Inc') AS name"))
     assert canon.similar_pairs(twice, 0.7).count() == 3
+
+
+def test_links_are_packed_by_subject_before_a_month(spark, sf_dir):
+    packed = plan(e.queries()["gat_input"](spark, sf_dir))
+    exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", packed)
+    assert sorted(exchanges) == ["month", "sub"], packed
