@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import canon, generate, graph, naming
+from ..operators.lineage import broadcast_if_small, cut
 from ..sources import readers
 from ..sources.adapter import NAMES_SQL, TRIPLETS_SQL, dirty_names, table, triplets
 from .analytics import GRAMS, _key_sql
@@ -140,10 +141,13 @@ x AS (SELECT "month", CASE WHEN sub LIKE '%1' THEN 'Brand#1' ELSE sub END AS sub
 SELECT "month", sub, rel, obj, sum(weight)::BIGINT AS weight FROM x WHERE obj <> 'Revenue' AND sub <> obj GROUP BY ALL""")
 def canon_rename_merge(spark, d):
     """Edges renamed by maps; junk ends and self-loops go, equal ones add up."""
-    e = edges(spark, d)
-    brands = e.select(F.col("obj").alias("name")).distinct().withColumn("canonical", F.when(F.col("name") == "Brand#55", "Revenue").otherwise(F.substring("name", 1, 7)))
-    firms = e.select(F.col("sub").alias("name")).distinct().filter(F.col("name").endswith("1")).withColumn("canonical", F.lit("Brand#1"))
-    rels = e.select(F.col("rel").alias("name")).distinct().withColumn("canonical", F.upper("name"))
+    t, e = triplets(spark, d, False), edges(spark, d)
+    names = lambda c: t.select(F.col(c).alias("name")).distinct()
+    brands = names("obj").withColumn("canonical", F.when(F.col("name") == "Brand#55", "Revenue").otherwise(F.substring("name", 1, 7)))
+    firms = names("sub").filter(F.col("name").endswith("1")).withColumn("canonical", F.lit("Brand#1"))
+    rels = names("rel").withColumn("canonical", F.upper("name"))
+    # Few names stand at many edges: joined by a shuffle, a name's edges would be in one task.
+    brands, firms, rels = (broadcast_if_small(cut(m), 1_000_000) for m in (brands, firms, rels))
     return graph.clean_merge(canon.rename(canon.rename(canon.rename(e, brands, "obj"), firms, "sub"), rels, "rel"))
 
 

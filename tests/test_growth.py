@@ -154,3 +154,8 @@ def test_links_are_packed_by_subject_before_a_month(spark, sf_dir):
     packed = plan(e.queries()["gat_input"](spark, sf_dir))
     exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#", packed)
     assert sorted(exchanges) == ["month", "sub"], packed
+
+
+def test_edges_are_not_dealt_by_the_few_names_that_renames_join(spark, sf_dir):
+    renamed = plan(e.queries()["canon_rename_merge"](spark, sf_dir))
+    assert not re.search(r"Exchange hashpartitioning\((obj|rel)#\d+, \d+\)|SortMergeJoin \[(obj|sub|rel)#\d+\]", renamed), renamed
