@@ -6,7 +6,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from kgtide.operators import ml
+from kgtide.operators import ml, repulsion
 from kgtide.plans import files
 from kgtide.sources import bundles, readers, writers
 
@@ -62,6 +62,26 @@ def test_nodes_push_each_other_as_in_the_plain_formula():
     assert np.allclose(ml._pushed(pos, 0, 700, 0.2), want, rtol=1e-9) and np.array_equal(ml._pushed(pos, 5, 300, 0.2), ml._pushed(pos, 0, 700, 0.2)[5:300])
 
 
+def test_many_nodes_push_each_other_without_comparing_all(monkeypatch):
+    g = np.random.default_rng(3)
+    for pos in (g.random((4500, 2)), np.concatenate([g.normal(0, 0.1, (4400, 2)), g.normal(0, 9, (99, 2)), np.zeros((30, 2))]), np.zeros((40, 2)), g.random((2, 2))):
+        n = len(pos)
+        want, got = ml._pushed(pos, 0, n, 0.2), repulsion.pushed(pos, 0, n, 0.2)
+        size = np.sqrt((want**2).sum(-1))
+        assert (np.sqrt(((want - got) ** 2).sum(-1)) <= 1e-11 * np.maximum(size, np.median(size))).all()
+        assert all(np.array_equal(repulsion.pushed(pos, a, b, 0.2), got[a:b]) for a, b in ((0, 1), (1, 2), (n // 3, n // 2 + 1)))
+    pos, edges = g.random((4500, 2)), g.integers(0, 4500, (9000, 2))
+    few = ml._step(pos, 0, 50, edges[edges[:, 0] < 50], edges[edges[:, 1] < 50], 0.1)
+    monkeypatch.setattr(ml, "_pushed", None)  # all pairs
+    assert np.array_equal(ml._step(pos, 0, 4500, edges, edges, 0.1)[:50], few)
+
+
+def test_a_layouts_months_are_tasks_of_their_own(spark):
+    e = spark.range(60).selectExpr("concat('m', id) AS month", "'a' AS sub", "'b' AS obj")
+    parts = ml.spring_layout(e, 1).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 50
+
+
 def test_article_files_are_bounded_and_packed(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(files, "ARTICLES_A_FILE", 100)
     names = glob.glob(files._article_csv(spark, sf_dir).removeprefix("file:") + "/part-*")
