@@ -28,9 +28,9 @@ def month_edges(t: DataFrame) -> DataFrame:
     return t.groupBy("month", "sub", "obj", "rel", "rel_category").agg(F.count("*").alias("weight"))
 
 
-def enriched_edges(t: DataFrame) -> DataFrame:
+def enriched_edges(t: DataFrame, *by: str) -> DataFrame:
     """Edges by (sub, rel, obj); the category of the last occurrence stands."""
-    key = ["month", "sub", "rel", "obj"]
+    key = [*by, "month", "sub", "rel", "obj"]
     usd = F.sum(F.when(F.col("materiality_usd") > 0, F.col("materiality_usd")))
     each = t.groupBy(*key, "event_type").agg(
         F.count("*").alias("n"), F.min(_order()).alias("first"), F.sum("sentiment").alias("s"), F.count("sentiment").alias("c"), usd.alias("usd"),
@@ -159,6 +159,26 @@ def pair_merge(prior: DataFrame, fresh: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def pair_fold(e: DataFrame, at: str, *by: str) -> DataFrame:
+    """What ``pair_merge`` leaves of graphs that are merged one by one in the order of
+    ``at``.  Ends or relations that are null are nobody's equal, as in its join."""
+    key = [*by, "sub", "rel", "obj"]
+    alone = F.when(F.concat(*(F.col(c) for c in key)).isNull(), F.col(at))
+    one = F.struct(F.col(at).alias("at"), "weight", "sentiment", "materiality_usd")
+    listed = e.groupBy(*key, alone.alias("_alone")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    rounded = lambda c: F.round(c, 4)
+
+    def step(a: Column, b: Column) -> Column:
+        both = F.when(b["weight"].isNotNull(), (a["sentiment"] + b["sentiment"]) / 2).otherwise(F.coalesce(a["sentiment"], b["sentiment"]))
+        return F.struct(
+            (a["weight"] + F.coalesce(b["weight"], F.lit(0))).alias("weight"), rounded(both).alias("sentiment"), F.greatest(a["materiality_usd"], b["materiality_usd"]).alias("materiality_usd"),
+        )
+
+    first = F.struct(F.coalesce(F.col("x")[0]["weight"], F.lit(0).cast("long")).alias("weight"), rounded(F.col("x")[0]["sentiment"]).alias("sentiment"), F.col("x")[0]["materiality_usd"].alias("materiality_usd"))
+    rest = F.slice("x", F.lit(2), F.size("x"))
+    return listed.select(*key, F.aggregate(rest, first, step).alias("x")).select(*key, "x.*")
+
+
 def corpus_upsert(prior: DataFrame, fresh: DataFrame) -> DataFrame:
     """Edge weights of a corpus after new occurrences: they add."""
     key = ["month", "sub", "obj", "rel", "rel_category"]

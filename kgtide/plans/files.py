@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph
-from ..operators.lineage import cut, scratch
+from ..operators.lineage import cut, dealt, scratch
 from ..sources import bundles, readers, writers
 from ..sources.adapter import ARTICLES_SQL, TRIPLETS_SQL, articles, table, triplets
 from ..streaming import ingest
@@ -338,15 +338,19 @@ def stream_month_store(spark, d):
 
 def _graph_batches(spark: SparkSession, d: str) -> list[DataFrame]:
     """A third of each month's triplets at a time, as enriched edges."""
-    t = triplets(spark, d).select("month", "url", "seq", "sub", "rel", "obj", "rel_category", "event_type", "sentiment", "materiality_usd")
-    # Written, as a batch's edges are read for its months, edges and nodes, and by each run.
-    return [cut(graph.enriched_edges(t.filter(f"seq % 3 = {k}")).select("month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd")) for k in range(3)]
+    columns = ["month", "sub", "rel", "obj", "weight", "sentiment", "materiality_usd"]
+    t = triplets(spark, d, few=True).withColumns({"k": F.col("seq") % 3, "event_type": F.lit(None)})
+    rows = dealt(t.select("k", "month", "sub", "rel", "obj", "sentiment", "materiality_usd", "event_type"), table(spark, d, "lineitem").count(), "month", "sub")
+    unused = {"url": F.lit(None), "seq": F.lit(None), "rel_category": F.lit(None)}
+    # Written, all batches of one pass, as a batch's edges are read for its edges and nodes, and by each run.
+    edges = cut(graph.enriched_edges(rows.withColumns(unused), "k").select("k", *columns))
+    return [edges.filter(F.col("k") == k).select(*columns) for k in range(3)]
 
 
 def running_graph(spark: SparkSession, d: str) -> ingest.GraphStore:
     store = ingest.GraphStore(spark, scratch(spark, "graph"))
     for k, e in enumerate(_graph_batches(spark, d)):
-        nodes = graph.ends(e, "month").select("month", "node").distinct().withColumn("type", F.lit(f"batch{k}"))
+        nodes = cut(graph.ends(e, "month").select("month", "node").distinct()).withColumn("type", F.lit(f"batch{k}"))
         for _ in range(2):  # a batch that is run again changes nothing
             store.commit(e, nodes, k)
     return store

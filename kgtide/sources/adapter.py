@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import broadcast_if_small
+
+#: Suppliers that are broadcast at most, where they are counted.
+FEW = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triplets(spark: SparkSession, sf_dir: str, events: bool = True) -> DataFrame:
+def triplets(spark: SparkSession, sf_dir: str, events: bool = True, few: bool = False) -> DataFrame:
     """Edge occurrences: an order is an article, a line item one of its triplets.
 
     Without ``events`` there is no event type, and orders are not joined for it.
     ``seq`` is the place in the article and carries all order-sensitive rules.
+    With ``few``, suppliers are counted, and broadcast if they are small.
     """
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    supplier = broadcast_if_small(supplier, FEW) if few else supplier
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     flag = F.concat("l_returnflag", "l_linestatus")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.graph import node_merge, pair_merge, positions
+from ..operators.graph import pair_fold, positions
+from ..operators.lineage import dealt
 from ..sources import readers
 from .ledger import Ledger
 
@@ -79,10 +80,11 @@ class MonthStore:
 
 
 class GraphStore:
-    """A running graph by month, as what each batch leaves of the months it touches.
+    """A running graph by month, as what each batch brings.
 
-    A batch folder is replaced when its batch is run again, and is merged with
-    what earlier batches left, so a crash doubles nothing.
+    A batch folder is replaced when its batch is run again, so a crash doubles
+    nothing.  Readers merge the batches in their order: a commit writes its own rows
+    alone, however large the months that they touch.
     """
 
     EDGES = "month string, sub string, rel string, obj string, weight long, sentiment double, materiality_usd double, batch long"
@@ -95,24 +97,21 @@ class GraphStore:
         if not readers.exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        rows = rows if before is None else rows.filter(F.col("batch") < before)
-        last = rows.groupBy("month").agg(F.max("batch").alias("batch"))  # a row for each month
-        return rows.join(F.broadcast(last), ["month", "batch"], "left_semi")
+        return rows if before is None else rows.filter(F.col("batch") < before)
 
     def edges(self, before: int | None = None) -> DataFrame:
-        return self._read("edges", self.EDGES, before).drop("batch")
+        rows = self._read("edge_batches", self.EDGES, before)
+        return pair_fold(dealt(rows, rows.count(), "month", "sub", "rel", "obj"), "batch", "month")
 
     def nodes(self, before: int | None = None) -> DataFrame:
-        return self._read("nodes", self.NODES, before).drop("batch")
+        """Nodes as the first batch that has them types them."""
+        rows = self._read("node_batches", self.NODES, before)
+        return rows.groupBy("month", "node").agg(F.min_by("type", "batch").alias("type"))
 
     def commit(self, edges: DataFrame, nodes: DataFrame, batch: int) -> None:
-        """Merges a batch's edges and nodes into the months that they touch."""
-        months = F.broadcast(edges.select("month").distinct())
-        prior = self.edges(batch).join(months, "month", "left_semi")
-        old = self.nodes(batch).join(months, "month", "left_semi")
-        merged = {"edges": pair_merge(prior, edges, "month"), "nodes": node_merge(old, nodes, "month")}
-        for name, rows in merged.items():
-            rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
+        """Adds a batch's edges, each once, and nodes to the months that they touch."""
+        for name, rows in {"edge": edges, "node": nodes}.items():
+            rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}_batches")
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:

@@ -4,11 +4,13 @@ import glob
 import json
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from kgtide.operators import ml, repulsion
+from kgtide.operators import graph, lineage, ml, repulsion
 from kgtide.plans import files
 from kgtide.sources import bundles, readers, writers
+from kgtide.streaming import ingest
 
 
 def test_a_large_month_is_several_training_rows(spark):
@@ -90,3 +92,26 @@ def test_article_files_are_bounded_and_packed(spark, sf_dir, monkeypatch):
 
 def test_batches_of_the_running_graph_are_written_once(spark, sf_dir):
     assert all("Scan ExistingRDD" in e._jdf.queryExecution().executedPlan().toString() for e in files._graph_batches(spark, sf_dir))
+
+
+def test_all_batches_of_the_running_graph_are_one_pass(spark, sf_dir, monkeypatch):
+    passes = []
+    monkeypatch.setattr(files, "cut", lambda df: passes.append(df) or lineage.cut(df))
+    assert len(files._graph_batches(spark, sf_dir)) == 3 and len(passes) == 1
+
+
+def test_a_commit_writes_its_own_edges_alone(spark, tmp_path):
+    g = np.random.default_rng(8)
+    schema = "month string, sub string, rel string, obj string, weight long, sentiment double, materiality_usd double"
+    some = lambda p, x: None if g.random() < p else x
+    store, merged = ingest.GraphStore(spark, str(tmp_path)), None
+    for k, n in enumerate((60, 40, 5, 50)):
+        rows = {(f"m{g.integers(2)}", some(0.1, f"s{g.integers(9)}"), "r", f"o{g.integers(5)}"): (int(g.integers(1, 9)), some(0.3, round(float(g.uniform(-1, 1)), 4)), some(0.3, float(g.integers(99)))) for _ in range(n)}
+        e = spark.createDataFrame([(*key, *x) for key, x in rows.items()], schema)
+        merged = e if merged is None else lineage.cut(graph.pair_merge(merged, e, "month"))
+        for _ in range(2):
+            store.commit(e, graph.ends(e, "month").select("month", "node").distinct().withColumn("type", F.lit(str(k))), k)
+        written = [p for p in tmp_path.rglob("*.parquet") if f"batch={k}" in str(p) and "edge" in str(p)]
+        assert sum(pq.read_metadata(p).num_rows for p in written) == len(rows)
+    assert sorted(map(repr, store.edges().collect())) == sorted(map(repr, merged.collect()))
+    assert store.edges(1).count() < store.edges(3).count() and store.nodes().groupBy("month", "node").count().filter("count > 1").count() == 0
