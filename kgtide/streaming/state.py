@@ -2,8 +2,9 @@
 
 A key is a month and a bucket of its edges; its state lists these with the fold
 of all batches so far: weights add, sentiments are averaged pairwise in the order
-of batches, the larger materiality stands.  A state by bucket is read and written
-at once, where one for each edge would be asked for edge by edge.  A timer lets
+of batches, the larger materiality stands.  A state by bucket is read at once,
+where one for each edge would be asked for edge by edge, and written as the edges
+that a batch changes, compressed; a key's ``LISTED`` last are packed into one.  A timer lets
 the state of a month go once the watermark is past the days in which it may still
 change.
 """
@@ -15,14 +16,19 @@ from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.lineage import dealt
+
 KEY = ["month", "sub", "rel", "obj"]
 EDGE = "month string, sub string, rel string, obj string, weight long, sentiment double, materiality_usd double, batch long"
 COLUMNS = [x.split()[0] for x in EDGE.split(", ")]
-FOLD = "weight long, sentiment double, materiality_usd double, batch long"
+#: Packed tables of a state, and their rows: an edge of a later table stands.
+LISTED = 8
+PACKED = pa.schema([*((c, pa.string()) for c in KEY[1:]), ("weight", pa.int64()), ("sentiment", pa.float64()), ("materiality_usd", pa.float64()), ("batch", pa.int64())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -56,6 +62,24 @@ def _none(x: Any) -> Any:
     return None if x is None or x != x else x
 
 
+def packed(edges: dict[tuple, tuple]) -> bytes:
+    """Edges (sub, rel, obj) with their folds as a compressed table; ends that repeat are
+    written once."""
+    rows = sorted(((*edge, *fold) for edge, fold in edges.items()), key=lambda r: tuple(x or "" for x in r[:3]))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)]
+    table = pa.table([c.dictionary_encode() if i < 3 else c for i, c in enumerate(columns)], names=PACKED.names)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(table: bytes) -> dict[tuple, tuple]:
+    with pa.ipc.open_stream(table) as found:
+        columns = [c.to_pylist() for c in found.read_all().columns]
+    return dict(zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True))
+
+
 class EdgeFold(StatefulProcessor):
     """Gives each edge that a batch changes, as it is afterwards."""
 
@@ -64,18 +88,23 @@ class EdgeFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getListState("edges", f"sub string, rel string, obj string, {FOLD}")
+        self.state = handle.getListState("packed", "edges binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fresh: dict[tuple, list[tuple]] = {}
         for part in rows:
             for sub, rel, obj, w, s, m, b in part[["sub", "rel", "obj", "weight", "sentiment", "materiality_usd", "batch"]].itertuples(index=False):
                 fresh.setdefault((sub, rel, obj), []).append((int(w), _none(s), _none(m), int(b)))
-        edges = {tuple(x)[:3]: tuple(x)[3:] for x in self.state.get()}
+        tables, edges = [bytes(x[0]) for x in self.state.get()], {}
+        for table in tables:
+            edges.update(unpacked(table))
         if not edges:
             self.handle.registerTimer(month_end(key[0]) + self.days * 86_400_000)
         changed = {edge: fold(edges.get(edge), found) for edge, found in fresh.items()}
-        self.state.put([(*edge, *state) for edge, state in (edges | changed).items()])
+        if len(tables) < LISTED:
+            self.state.appendValue((packed(changed),))
+        else:
+            self.state.put([(packed(edges | changed),)])
         yield pd.DataFrame([(key[0], *edge, *state) for edge, state in changed.items()], columns=COLUMNS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -124,5 +153,5 @@ class StateGraph:
 
     def edges(self) -> DataFrame:
         rows = self.spark.read.schema(f"{EDGE}, _run long").parquet(f"{self.root}/edges")
-        last = rows.groupBy(*KEY).agg(F.max_by(F.struct("weight", "sentiment", "materiality_usd"), F.struct("batch", "_run")).alias("x"))
+        last = dealt(rows, rows.count(), *KEY).groupBy(*KEY).agg(F.max_by(F.struct("weight", "sentiment", "materiality_usd"), F.struct("batch", "_run")).alias("x"))
         return last.select(*KEY, "x.*")

@@ -5,6 +5,7 @@ import random
 import threading
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,27 @@ def test_a_daily_run_that_is_killed_is_done_again(spark, tmp_path):
     assert sorted((r["url"][-1], r["batch"]) for r in done.articles.articles().collect()) == [("0", 0), ("1", 0), ("2", 0), ("3", 1)]
     assert [(r["month"], r["sub"], r["obj"], r["weight"]) for r in done.graph.edges().collect()] == [("2021-03", "google_news", "X", 4)]
     assert Counter((r["batch"], (r["error"] or "-").split(":")[0]) for r in done.raw().collect()) == {(0, "-"): 1, (1, "-"): 2, (1, "KeyError"): 1}
+
+
+def test_state_of_a_bucket_is_packed_and_grows_by_what_changes(monkeypatch):
+    edges = {(f"s{i}", None if i % 50 == 0 else "r", "o"): (i, None if i % 3 else i / 4, float(i), 2) for i in range(3000)}
+    table = state.packed(edges)
+    assert state.unpacked(table) == edges and state.unpacked(state.packed({})) == {}
+    assert len(table) < 40 * len(edges)
+
+    class Listed(list):
+        get, appendValue = list.copy, list.append
+
+        def put(self, rows):
+            self[:] = rows
+
+    fold = state.EdgeFold(1)
+    fold.state, fold.handle = Listed(), type("Handle", (), {"registerTimer": lambda self, at: None})()
+    monkeypatch.setattr(state, "LISTED", 3)
+    frame = lambda objs, batch: pd.DataFrame([("2024-01", "s", "r", o, 1, 0.5, None, batch) for o in objs], columns=state.COLUMNS)
+    sizes = []
+    for batch in range(5):
+        list(fold.handleInputRows(("2024-01", 0), iter([frame(range(1000) if batch == 0 else [7, 1000 + batch], batch).astype({"obj": str})]), None))
+        sizes.append([len(state.unpacked(t)) for (t,) in fold.state])
+    assert sizes == [[1000], [1000, 2], [1000, 2, 2], [1003], [1003, 2]]
+    assert state.unpacked(fold.state[-1][0])[("s", "r", "7")][0] == 5
