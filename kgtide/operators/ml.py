@@ -113,7 +113,8 @@ def spread_layout(e: DataFrame, iterations: int = 120, scale: float = 1000.0, se
     """node, x, y: what ``spring_layout`` gives for the edges (sub, obj) of one graph.
 
     From ``least`` nodes on, each step is a job in which a task moves a block of nodes;
-    it holds all coordinates (16 bytes a node) and its own nodes' edges.
+    it holds all coordinates, their cells' series (16 bytes a node, and up to 88) and its
+    own nodes' edges.
     """
     spark = e.sparkSession
     names = cut(dictionary(e.select(F.explode(F.array("sub", "obj")).alias("node")))).select("node", (F.col("id") - 1).alias("id"))

@@ -57,6 +57,14 @@ def test_a_spread_layout_is_that_of_one_task(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, spread.collect()))
 
 
+def test_a_spread_layout_of_many_nodes_is_that_of_one_task(spark):
+    g = np.random.default_rng(6)
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in g.integers(0, 5000, (12_000, 2)).tolist()], "sub string, obj string")
+    spread = ml.spread_layout(e, 2)
+    one = ml.spring_layout(e.withColumn("month", F.lit("m")), 2).select("node", "x", "y")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, spread.collect()))
+
+
 def test_nodes_push_each_other_as_in_the_plain_formula():
     pos = np.random.default_rng(3).random((700, 2))
     delta = pos[:, None] - pos[None]
